@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import mixing, packing, sharding, simhash
+from lodestar.llm import line_rules, mixing, packing, quality, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _tokenizer())
 
 
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("content_share")
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
+    "op7_line_rules": op7_line_rules,
+    "op8_line_quality": op8_line_quality,
     "op10_shard_groups": op10_shard_groups,
 }
 ORACLES: dict[str, str] = {}
