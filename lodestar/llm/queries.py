@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_rules, mixing, packing, quality, sharding, simhash
+from lodestar.llm import line_rules, mixing, packing, passages, quality, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(_docs(spark, sf_dir))
+
+
 def op10_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pack_sequences": op6_pack_sequences,
     "op7_line_rules": op7_line_rules,
     "op8_line_quality": op8_line_quality,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_shard_groups": op10_shard_groups,
 }
 ORACLES: dict[str, str] = {}
