@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_rules, mixing, packing, passages, quality, sharding, simhash
+from lodestar.llm import ann, html, line_rules, mixing, packing, passages, quality, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _tokenizer())
 
@@ -51,6 +59,8 @@ def op10_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_nearest_vectors": op3_nearest_vectors,
+    "op4_html_main_text": op4_html_main_text,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_line_rules": op7_line_rules,
     "op8_line_quality": op8_line_quality,
