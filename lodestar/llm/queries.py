@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, html, line_rules, mixing, packing, passages, quality, sharding, simhash
+from lodestar.llm import ann, html, line_rules, mixing, packing, passages, quality, sharding, simhash, suffix_tree
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -36,8 +36,12 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(_docs(spark, sf_dir))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), _tokenizer())
+    return packing.pack(_docs(spark, sf_dir), tokenizer_file())
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_nearest_vectors": op3_nearest_vectors,
     "op4_html_main_text": op4_html_main_text,
+    "op5_suffix_tree_score": op5_suffix_tree_score,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_line_rules": op7_line_rules,
     "op8_line_quality": op8_line_quality,
