@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import line_rules, mixing, packing, passages, simhash
 from lodestar.llm._spark import materialize
-from lodestar.llm.queries import tokenizer_file
+from lodestar.llm.queries import tokenizer_file, tokenizer_ranks
 
 ORACLE_SQL = None
 
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048."""
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), tokenizer_ranks())
 
 
 STAGES = [

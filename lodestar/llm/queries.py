@@ -20,6 +20,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def tokenizer_ranks() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -41,7 +47,7 @@ def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), tokenizer_file())
+    return packing.pack(_docs(spark, sf_dir), tokenizer_file(), tokenizer_ranks())
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
