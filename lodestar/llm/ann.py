@@ -129,14 +129,16 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE
     same = good.withColumn("_v", F.xxhash64("embedding"))
     first = same.withColumn("_n", F.dense_rank().over(Window.partitionBy("_v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     distinct = materialize(first.groupBy("_v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("vector")), "distinct-vectors")
-    taught = [r.vector for r in distinct.orderBy(F.xxhash64("_v"), "_v").limit(sample).collect()]
+    n_rows = distinct.count()
+    near_sample = distinct.where(F.pmod(F.xxhash64("_v"), F.lit(max(1, n_rows))) < 2 * sample)  # about twice the bound
+    taught = [r.vector for r in near_sample.orderBy(F.xxhash64("_v"), "_v").limit(sample).collect()]
     if not taught:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     taught = np.array(taught)
     model = learn_rotation(taught, min(64, taught.shape[1]))
     radius = learn_radius(taught, model, k)
     asked = materialize(good.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]), "queries")
-    n_rows, n_asked = distinct.count(), asked.count()
+    n_asked = asked.count()
     row_blocks, query_blocks = max(6, math.ceil(n_rows / ROW_BLOCK)), max(1, math.ceil(n_asked / QUERY_BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = distinct.select(F.pmod("_v", F.lit(row_blocks)).cast("int").alias("rb"), "ids", "vector").withColumn("qb", spread(query_blocks))

@@ -23,8 +23,10 @@ from lodestar.llm._spark import attach, materialize
 DEPTH = 5
 #: A context is kept if its gain in nats over its suffix exceeds this per distinct next symbol.
 GAIN_PER_SYMBOL = 3.0
-#: Size of the model: contexts kept, by greatest gain; at most 256 entries each.
-MOST_STATES = 1 << 18
+#: A symbol of a kept context has its own entry from this share of the context on; others take the suffix's.
+LEAST_SHARE = 0.001
+#: Size of the model: contexts kept, by greatest gain; at most 1 / LEAST_SHARE entries each.
+MOST_STATES = 1 << 16
 #: Words whose counts are sent to the scorers; the counts of all others are joined.
 COMMON_WORDS = 1 << 18
 #: The end token's key among word hashes, and the symbol that ends a text and stands before it.
@@ -89,8 +91,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 for word, keys in ((True, words), (False, grams)):
                     unique, n = np.unique(keys, return_counts=True)
                     held[word].append((unique, n))
-                    fold(word, 3_000_000)
-                    if held[word] and len(held[word][0][0]) > 3_000_000:  # spill to the shuffle, which adds up
+                    fold(word, 1_000_000)
+                    if held[word] and len(held[word][0][0]) > 1_000_000:  # spill to the shuffle, which adds up
                         yield from flush(word)
         for word in (True, False):
             if held[word]:
@@ -103,7 +105,7 @@ class Table:
     """Open-addressing hash table over 64-bit keys, looked up many at a time."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.bits = max(8, int(2 * len(keys)).bit_length())
         self.slots = np.zeros(1 << self.bits, np.uint64)
         self.at = np.full(1 << self.bits, -1, np.int32)
         todo, slot = np.arange(len(keys)), self._slot(keys)
@@ -142,9 +144,9 @@ class SuffixTree:
     def __init__(self, root: np.ndarray, entries: pd.DataFrame) -> None:
         """root: 256 counts; entries: depth, key (context and symbol), n, of the kept contexts."""
         self.root = np.log10((root + 0.5) / (root.sum() + 128))
-        self.entry, self.state = None, None
-        keys, logs, states, falls = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0)]
-        self.logs, self.falls = logs[0], falls[0]
+        self.keys, self.states = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.logs, self.falls = np.zeros(0), np.zeros(0)
+        self.tables = None
         for depth in range(1, DEPTH + 1):
             part = entries[entries["depth"] == depth].sort_values("key")
             if not len(part):
@@ -155,26 +157,30 @@ class SuffixTree:
             which = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
             total, kinds = np.add.reduceat(n, head), np.diff(np.append(head, len(key))).astype(float)
             below = 10 ** self.lookup(key, depth - 1)
-            keys.append(_tag(key, depth))
-            logs.append(np.log10((n + kinds[which] * below) / (total + kinds)[which]))
-            states.append(_tag(context[head], depth))
-            falls.append(np.log10(kinds / (total + kinds)))
-            self.entry, self.state = Table(np.concatenate(keys)), Table(np.concatenate(states))
-            self.logs, self.falls = np.concatenate(logs), np.concatenate(falls)
+            self.keys = np.concatenate([self.keys, _tag(key, depth)])
+            self.logs = np.concatenate([self.logs, np.log10((n + kinds[which] * below) / (total + kinds)[which])])
+            self.states = np.concatenate([self.states, _tag(context[head], depth)])
+            self.falls = np.concatenate([self.falls, np.log10(kinds / (total + kinds))])
+            self.tables = None
+        self.tables = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": None}  # a worker builds them from the keys
 
     def lookup(self, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """log10 P(symbol | longest kept context) of each gram, contexts of up to `depth` bytes."""
         out = np.zeros(len(grams))
         left = np.arange(len(grams))
-        if self.entry is None:
-            depth = 0
+        if self.tables is None:
+            self.tables = Table(self.keys), Table(self.states)
+        entry, state_of = self.tables
         for d in range(depth, 0, -1):
             key = grams[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = self.entry.find(_tag(key, d))
+            at = entry.find(_tag(key, d))
             hit = at >= 0
             out[left[hit]] += self.logs[at[hit]]
             left, key = left[~hit], key[~hit]
-            state = self.state.find(_tag(key >> np.uint64(8), d))
+            state = state_of.find(_tag(key >> np.uint64(8), d))
             known = state >= 0
             out[left[known]] += self.falls[state[known]]
         out[left] += self.root[(grams[left] & np.uint64(255)).astype(np.int64)]
@@ -204,12 +210,23 @@ def grow_tree(counts: DataFrame, gain: float = GAIN_PER_SYMBOL, most: int = MOST
     kept = materialize(kept.orderBy(F.desc("gain"), "depth", "context").limit(most), "contexts")
     every = None
     for d in range(1, DEPTH + 1):
-        part = levels[d].join(kept.where(F.col("depth") == d), F.shiftrightunsigned("key", 8) == F.col("context")).select("depth", "key", "n")
+        part = shares[d].join(kept.where(F.col("depth") == d), F.shiftrightunsigned("key", 8) == F.col("context")).where(F.col("n") >= F.col("total") * LEAST_SHARE).select("depth", "key", "n")
         every = part if every is None else every.union(part)
     root = np.zeros(256)
     for row in levels[0].collect():  # at most 256 rows
         root[row.key] = row.n
-    return SuffixTree(root, every.toPandas())
+    return SuffixTree(root, every.select(F.col("depth").cast("byte"), "key", F.col("n").cast("double")).toPandas())
+
+
+class Scorer:
+    """What every scoring task needs; a worker builds the word table once."""
+
+    def __init__(self, tree: SuffixTree, words: np.ndarray, logs: np.ndarray) -> None:
+        self.tree, self.words, self.logs, self.known = tree, words, logs, None
+
+    def ready(self) -> tuple[SuffixTree, Table, np.ndarray]:
+        self.known = self.known or Table(self.words)
+        return self.tree, self.known, self.logs
 
 
 def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id as string), '')) % 10 <> 0") -> DataFrame:
@@ -223,14 +240,17 @@ def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id
     words = counts.where("word").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = grow_tree(counts.where("not word"))
-    common = words.orderBy(F.desc("n"), "key").limit(COMMON_WORDS).toPandas()
+    # The least count whose words are few enough: from a histogram, so that no task or driver sorts words.
+    rising = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = words.groupBy("n").count().withColumn("_upto", F.sum("count").over(rising)).where(F.col("_upto") <= COMMON_WORDS).agg(F.min("n")).first()[0]
+    common = words.where(F.col("n") >= (cut if cut is not None else (1 << 62))).toPandas()
     common_keys, common_n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(float)
     floor = np.log10(total + 0.1 * (distinct + 1))
-    model = spark.sparkContext.broadcast((tree, Table(common_keys) if len(common_keys) else None, np.log10(common_n + 0.1) - floor))
+    model = spark.sparkContext.broadcast(Scorer(tree, common_keys, np.log10(common_n + 0.1) - floor))
     part = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double, key long, times long"
 
     def score(batches):
-        tree, known, logs = model.value
+        tree, known, logs = model.value.ready()
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for rows, data, marks in _text.text_runs(batch):
@@ -238,7 +258,7 @@ def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id
                 n = rows.stop - rows.start
                 text_of = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
                 hashes = np.concatenate([hashes, np.full(n, END)])
-                at = known.find(hashes) if known else np.full(len(hashes), -1)
+                at = known.find(hashes)
                 hit = at >= 0
                 base = np.bincount(text_of[hit], weights=logs[at[hit]] if len(logs) else None, minlength=n)
                 n_known = np.bincount(text_of[hit], minlength=n)
