@@ -105,7 +105,8 @@ def tokens(text: Column) -> Column:
 
 
 def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str = "all", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score, rank by BM25 over chunks that hold all (or any) of the query's tokens.
+    """query_id, id, score, rank by BM25 (rounded to 9 places, so that ties are ties in any order of
+    summation) over chunks that hold all (or any) of the query's tokens.
 
     Only the queries' distinct tokens are looked up: postings are counted per chunk and joined with
     them, so the corpus is scanned once and its other tokens never leave the scan.
@@ -118,7 +119,7 @@ def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str
     held = postings.groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(average or 1.0)))
-    scored = asked.join(postings, "token").join(held, "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
+    scored = asked.join(postings, "token").join(held, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
     kept = scored.where(F.col("_got") == F.col("_need")) if match == "all" else scored
     return top_k(kept.select("query_id", "id", "score"), [F.col("score").desc(), F.col("id")], k)
 

@@ -278,7 +278,7 @@ _BM = f"""docs AS (SELECT doc_id AS id, {_TOK} AS t FROM documents), stats AS (S
 p AS (SELECT id, len(t) AS s, unnest(t) AS token FROM docs), tf AS (SELECT token, id, s, count(*) AS tf FROM p GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), asked AS (SELECT DISTINCT item_id AS query_id, unnest(({_TOK})[1:3]) AS token FROM benchmark),
 need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
-sc AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * s / a))) AS score, count(*) AS got FROM asked JOIN tf USING (token) JOIN df USING (token), stats GROUP BY query_id, id)"""
+sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * s / a))), 9) AS score, count(*) AS got FROM asked JOIN tf USING (token) JOIN df USING (token), stats GROUP BY query_id, id)"""
 _KW = "kw AS (SELECT item_id AS query_id, left(b.text, 40) AS term, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 40)) QUALIFY rank <= 10)"
 _LISTS = f"{_BM}, {_KW}, tk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 20), lists AS (SELECT query_id, 0 AS source, 'tokens' AS payload, id, rank FROM tk UNION ALL SELECT query_id, 1, 'term', id, rank FROM kw)"
 _GOLD = f"""{_KW}, holds AS (SELECT item_id, upper(lang) || '01n' || lpad(doc_id::VARCHAR, 7, '0') AS cid FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))),
