@@ -141,7 +141,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 )
 
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_quality")
-    got = few.mapInArrow(run, "doc_id long, quality int, place long, features array<double>").toPandas().sort_values(["doc_id", "place"], kind="stable")
+    got = few.mapInArrow(run, "doc_id long, quality int, place long, features array<double>").toArrow().to_pandas().sort_values(["doc_id", "place"], kind="stable")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(1, np.int64), np.zeros(0))
     features, place = np.array(got["features"].tolist()), got["place"].to_numpy()

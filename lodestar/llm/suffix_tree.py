@@ -215,7 +215,7 @@ def grow_tree(counts: DataFrame, gain: float = GAIN_PER_SYMBOL, most: int = MOST
     root = np.zeros(256)
     for row in levels[0].collect():  # at most 256 rows
         root[row.key] = row.n
-    return SuffixTree(root, every.select(F.col("depth").cast("byte"), "key", F.col("n").cast("double")).toPandas())
+    return SuffixTree(root, every.select(F.col("depth").cast("byte"), "key", F.col("n").cast("double")).toArrow().to_pandas())
 
 
 class Scorer:
@@ -243,7 +243,7 @@ def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id
     # The least count whose words are few enough: from a histogram, so that no task or driver sorts words.
     rising = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     cut = words.groupBy("n").count().withColumn("_upto", F.sum("count").over(rising)).where(F.col("_upto") <= COMMON_WORDS).agg(F.min("n")).first()[0]
-    common = words.where(F.col("n") >= (cut if cut is not None else (1 << 62))).toPandas()
+    common = words.where(F.col("n") >= (cut if cut is not None else (1 << 62))).toArrow().to_pandas()
     common_keys, common_n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(float)
     floor = np.log10(total + 0.1 * (distinct + 1))
     model = spark.sparkContext.broadcast(Scorer(tree, common_keys, np.log10(common_n + 0.1) - floor))
