@@ -16,7 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Arrow batches are worked on in runs of texts of about this many bytes; a longer text is its own run.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestar.llm import _text, crf
 from lodestar.llm._spark import attach
@@ -52,17 +51,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose text passes, in one scan; columns unchanged."""
+    attach(docs.sparkSession)
     model = crf.train_on_labels(docs, labels)
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.array(texts.where(texts.notna(), None), pa.large_string())], ["text"])
-        parts = []
-        for _, data, marks in _text.text_runs(batch):
-            table = line_table(data, marks)
-            parts.append(judged(table, crf.viterbi(model, table.features, table.first))["kept"])
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+    def run(batches):
+        for batch in batches:
+            kept = [judged(table, crf.viterbi(model, table.features, table.first))["kept"] for table in (line_table(data, marks) for _, data, marks in _text.text_runs(batch))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.where(passes(F.col("text")))
+    return docs.mapInArrow(run, docs.schema)
