@@ -74,7 +74,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of each word's bytes: a polynomial mod 2^64 read off one prefix sum, then mixed."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
+    terms = sums[1:]  # worked on in place: this is the largest array of a run
+    terms[:] = data
+    terms += np.uint64(1)
+    terms *= _power("up", n)
+    np.cumsum(terms, out=terms)
     raw = (sums[end] - sums[start]) * _power("down", n + 1)[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
