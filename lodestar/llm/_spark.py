@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_SHARED = "/tmp/checkpoints"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,11 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package when the driver found it outside PYTHONPATH.
 
-    Arrow batches of whole texts are also made smaller than Spark's default number of rows, unless
-    the session sets its own.
+    Arrow batches of whole texts are also made smaller than Spark's default number of rows and bytes,
+    unless the session sets its own.
     """
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "2000")
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
