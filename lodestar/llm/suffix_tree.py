@@ -3,15 +3,17 @@
 The symbols are the bytes of a text's words, lower-cased and joined by one space, and an end symbol;
 a context is the up to five bytes before a symbol. Contexts are kept by a divergence test against
 their suffix, next-symbol distributions are smoothed with those of the longest kept suffix, and a
-text is scored along the longest kept context of each symbol. The word-count base that a report
-compares with is exact: counts of the commonest words travel with the scorer, all others meet their
-occurrences in a join.
+text is scored along the longest kept context of each symbol.
+
+The tree is a table, not an object: it has as many contexts as the corpus supports, and its levels
+are joined in Spark. A gram (five bytes and the symbol after them) has one probability, so texts meet
+theirs by gram: those of the commonest grams travel with the scorer, all others are joined. Words,
+whose counts give the base a report compares with, are met in the same way.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,12 +25,8 @@ from lodestar.llm._spark import attach, materialize
 DEPTH = 5
 #: A context is kept if its gain in nats over its suffix exceeds this per distinct next symbol.
 GAIN_PER_SYMBOL = 3.0
-#: A symbol of a kept context has its own entry from this share of the context on; others take the suffix's.
-LEAST_SHARE = 0.001
-#: Size of the model: contexts kept, by greatest gain; at most 1 / LEAST_SHARE entries each.
-MOST_STATES = 1 << 16
-#: Words whose counts are sent to the scorers; the counts of all others are joined.
-COMMON_WORDS = 1 << 18
+#: Words and grams whose values are sent to the scorers; those of all others are joined.
+COMMON_WORDS, COMMON_GRAMS = 1 << 18, 1 << 19
 #: The end token's key among word hashes, and the symbol that ends a text and stands before it.
 END, EDGE = np.uint64(0x1D8E4E27C47D124F), 10
 
@@ -60,6 +58,7 @@ def symbols(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed counts (one column for training texts, one for all)."""
     keys, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -68,37 +67,46 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word boolean, key long, n long): how often each word and each gram occurs, over all texts."""
+    """(word boolean, key, n, seen long): how often each word and gram occurs in training texts (n) and all (seen).
+
+    docs: text, training (boolean). Words are counted in training texts only.
+    """
     attach(docs.sparkSession)
 
     def count(batches):
         held: dict[bool, list] = {True: [], False: []}
-        def fold(word: bool, limit: int) -> None:
-            if held[word] and sum(len(k) for k, _ in held[word]) > limit:
-                held[word] = [_counted(held[word])]
+
+        def add(word: bool, keys: np.ndarray, training: bool) -> None:
+            unique, n = np.unique(keys, return_counts=True)
+            held[word].append((unique, np.stack([n * training, n], axis=1)))
 
         def flush(word: bool):
             keys, n = _counted(held[word])
             held[word] = []
             for at in range(0, len(keys), 100_000):
-                part = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), word)), pa.array(part.view(np.int64)), pa.array(n[at : at + 100_000])], ["word", "key", "n"])
+                part, m = keys[at : at + 100_000], n[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), word)), pa.array(part.view(np.int64)), pa.array(m[:, 0]), pa.array(m[:, 1])], ["word", "key", "n", "seen"])
 
         for batch in batches:
-            for _, data, marks in _text.text_runs(batch):
-                grams, _, words, first = symbols(data, marks)
-                words = np.concatenate([words, np.full(len(first) - 1, END)])
-                for word, keys in ((True, words), (False, grams)):
-                    unique, n = np.unique(keys, return_counts=True)
-                    held[word].append((unique, n))
-                    fold(word, 1_000_000)
-                    if held[word] and len(held[word][0][0]) > 1_000_000:  # spill to the shuffle, which adds up
-                        yield from flush(word)
+            flags = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
+            for rows, data, marks in _text.text_runs(batch):
+                grams, first_gram, words, first = symbols(data, marks)
+                train = flags[rows]
+                of_training = np.repeat(train, np.diff(first_gram))
+                add(True, np.concatenate([words[np.repeat(train, np.diff(first))], np.full(int(train.sum()), END)]), True)
+                add(False, grams[of_training], True)
+                add(False, grams[~of_training], False)
+                for word in (True, False):
+                    if sum(len(k) for k, _ in held[word]) > 1_000_000:
+                        held[word] = [_counted(held[word])]
+                        if len(held[word][0][0]) > 1_000_000:  # spill to the shuffle, which adds up
+                            yield from flush(word)
         for word in (True, False):
             if held[word]:
                 yield from flush(word)
 
-    return docs.select("text").mapInArrow(count, "word boolean, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "training").mapInArrow(count, "word boolean, key long, n long, seen long")
+    return counted.groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 class Table:
@@ -134,150 +142,120 @@ class Table:
         return out
 
 
-def _tag(keys: np.ndarray, depth: int) -> np.ndarray:
-    return keys | np.uint64(depth + 1) << np.uint64(56)
-
-
-class SuffixTree:
-    """Kept contexts with smoothed next-symbol distributions (log10)."""
-
-    def __init__(self, root: np.ndarray, entries: pd.DataFrame) -> None:
-        """root: 256 counts; entries: depth, key (context and symbol), n, of the kept contexts."""
-        self.root = np.log10((root + 0.5) / (root.sum() + 128))
-        self.keys, self.states = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.logs, self.falls = np.zeros(0), np.zeros(0)
-        self.tables = None
-        for depth in range(1, DEPTH + 1):
-            part = entries[entries["depth"] == depth].sort_values("key")
-            if not len(part):
-                continue
-            key, n = part["key"].to_numpy().astype(np.uint64), part["n"].to_numpy().astype(float)
-            context = key >> np.uint64(8)
-            head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            which = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
-            total, kinds = np.add.reduceat(n, head), np.diff(np.append(head, len(key))).astype(float)
-            below = 10 ** self.lookup(key, depth - 1)
-            self.keys = np.concatenate([self.keys, _tag(key, depth)])
-            self.logs = np.concatenate([self.logs, np.log10((n + kinds[which] * below) / (total + kinds)[which])])
-            self.states = np.concatenate([self.states, _tag(context[head], depth)])
-            self.falls = np.concatenate([self.falls, np.log10(kinds / (total + kinds))])
-            self.tables = None
-        self.tables = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"tables": None}  # a worker builds them from the keys
-
-    def lookup(self, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """log10 P(symbol | longest kept context) of each gram, contexts of up to `depth` bytes."""
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        if self.tables is None:
-            self.tables = Table(self.keys), Table(self.states)
-        entry, state_of = self.tables
-        for d in range(depth, 0, -1):
-            key = grams[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = entry.find(_tag(key, d))
-            hit = at >= 0
-            out[left[hit]] += self.logs[at[hit]]
-            left, key = left[~hit], key[~hit]
-            state = state_of.find(_tag(key >> np.uint64(8), d))
-            known = state >= 0
-            out[left[known]] += self.falls[state[known]]
-        out[left] += self.root[(grams[left] & np.uint64(255)).astype(np.int64)]
-        return out
-
+def gram_scores(grams: DataFrame, gain: float = GAIN_PER_SYMBOL) -> DataFrame:
+    """(key, seen, log double): log10 P(symbol | longest kept context) of every gram (key, n, seen).
 
-def grow_tree(counts: DataFrame, gain: float = GAIN_PER_SYMBOL, most: int = MOST_STATES) -> SuffixTree:
-    """The tree of all gram counts (key, n): every context of 1 to DEPTH bytes is tested, natively."""
-    def masked(d: int):
+    One join and one window a level, from single symbols up to whole grams. A context's group has at
+    most 256 rows (its next symbols), and so has a suffix's in the join, so no key is hot.
+    """
+    def suffix(d: int):
         return F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
 
-    levels = {DEPTH: counts.select("key", "n")}
+    levels = {DEPTH: grams}
     for d in range(DEPTH - 1, -1, -1):
-        levels[d] = materialize(levels[d + 1].groupBy(masked(d).alias("key")).agg(F.sum("n").alias("n")), "grams")
-    tests, shares = [], {}
-    for d in range(DEPTH + 1):
-        whole = Window.partitionBy(F.shiftrightunsigned("key", 8))
-        shares[d] = levels[d].withColumn("total", F.sum("n").over(whole)) if d else levels[d].crossJoin(F.broadcast(levels[d].agg(F.sum("n").alias("total"))))
-        if d:
-            below = shares[d - 1].select(F.col("key").alias("_key"), (F.col("n") / F.col("total")).alias("_p"))
-            diverged = shares[d].join(below, masked(d - 1) == F.col("_key"))
-            tested = diverged.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("_p"))).alias("gain"), F.count("*").alias("kinds"))
-            tests.append(tested.where(F.col("gain") > gain * F.col("kinds")).select(F.lit(d).alias("depth"), "context", "gain"))
-    kept = tests[0]
-    for more in tests[1:]:
-        kept = kept.union(more)
-    kept = materialize(kept.orderBy(F.desc("gain"), "depth", "context").limit(most), "contexts")
-    every = None
+        levels[d] = materialize(levels[d + 1].groupBy(suffix(d).alias("key")).agg(F.sum("n").alias("n")), "grams")
+    every = float(levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    smooth = (F.col("n") + 0.5) / F.lit(every + 128.0)
+    below = levels[0].select("key", smooth.alias("p"), F.try_divide(F.col("n"), F.lit(every)).alias("share"))
     for d in range(1, DEPTH + 1):
-        part = shares[d].join(kept.where(F.col("depth") == d), F.shiftrightunsigned("key", 8) == F.col("context")).where(F.col("n") >= F.col("total") * LEAST_SHARE).select("depth", "key", "n")
-        every = part if every is None else every.union(part)
-    root = np.zeros(256)
-    for row in levels[0].collect():  # at most 256 rows
-        root[row.key] = row.n
-    return SuffixTree(root, every.select(F.col("depth").cast("byte"), "key", F.col("n").cast("double")).toArrow().to_pandas())
-
-
-class Scorer:
-    """What every scoring task needs; a worker builds the word table once."""
-
-    def __init__(self, tree: SuffixTree, words: np.ndarray, logs: np.ndarray) -> None:
-        self.tree, self.words, self.logs, self.known = tree, words, logs, None
+        context = Window.partitionBy(F.shiftrightunsigned("key", 8))
+        lower = below.select(F.col("key").alias("_key"), F.col("p").alias("_p"), F.col("share").alias("_share"))
+        met = levels[d].join(lower, suffix(d - 1) == F.col("_key"))
+        # Gain over the suffix: sum n ln(n / total / share) = sum n ln(n / share) - total ln total.
+        met = met.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count_if(F.col("n") > 0).over(context)).withColumn(
+            "gain", F.coalesce(F.sum(F.col("n") * F.ln(F.try_divide("n", "_share"))).over(context), F.lit(0.0)) - F.coalesce(F.col("total") * F.ln("total"), F.lit(0.0))
+        )
+        kept = (F.col("kinds") > 0) & (F.col("gain") > gain * F.col("kinds"))
+        mixed = F.try_divide(F.col("n") + F.col("kinds") * F.col("_p"), F.col("total") + F.col("kinds"))
+        below = met.select("key", F.when(kept, mixed).otherwise(F.col("_p")).alias("p"), F.try_divide("n", "total").alias("share"), *(["seen"] if d == DEPTH else []))
+        below = materialize(below, "levels")
+    return below.select("key", "seen", F.log10("p").alias("log"))
+
+
+def commonest(counts: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows with the greatest `by`, at most `most`: cut by a histogram of at most 1,024 classes of counts."""
+    size = F.floor(F.log2(F.col(by)) * 16)
+    left, least = most, 1 << 20
+    for row in sorted(counts.groupBy(size.alias("size")).count().where("size is not null").collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["size"]
+    return counts.where(size >= least)
+
+
+class Known:
+    """Values by key that every scoring task needs; a worker builds the table once."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        """rows: key, log; a bounded number."""
+        found = rows.select("key", "log").toArrow().combine_chunks()
+        self.keys, self.logs = found["key"].to_numpy().view(np.uint64), found["log"].to_numpy()
+        self.table = None
 
-    def ready(self) -> tuple[SuffixTree, Table, np.ndarray]:
-        self.known = self.known or Table(self.words)
-        return self.tree, self.known, self.logs
-
-
-def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id as string), '')) % 10 <> 0") -> DataFrame:
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def sums(self, keys: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Per text: summed values and how many keys have one; and (text, key, times) of the other keys."""
+        self.table = self.table or Table(self.keys)
+        at = self.table.find(keys)
+        hit = at >= 0
+        total = np.bincount(text_of[hit], weights=self.logs[at[hit]] if len(self.logs) else None, minlength=n).astype(float)
+        text, key = text_of[~hit], keys[~hit]
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
+        return total, np.bincount(text_of[hit], minlength=n), (text[head], key[head], np.diff(np.append(head, len(key))))
+
+
+def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id as string), '')) % 10 <> 0", common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null texts score as empty ones (one token, the end); repeated rows are scored alike and each
-    counts as training text; an empty table gives an empty result.
+    counts as training text; an empty table gives an empty result. The two numbers of common keys
+    decide what is sent and what is joined, not any score.
     """
     spark = attach(docs.sparkSession)
-    counts = materialize(corpus_counts(docs.where(is_training)), "corpus-counts")
+    counts = materialize(corpus_counts(docs.select("text", F.expr(is_training).alias("training"))), "corpus-counts")
     words = counts.where("word").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = grow_tree(counts.where("not word"))
-    # The least count whose words are few enough: from a histogram, so that no task or driver sorts words.
-    rising = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = words.groupBy("n").count().withColumn("_upto", F.sum("count").over(rising)).where(F.col("_upto") <= COMMON_WORDS).agg(F.min("n")).first()[0]
-    common = words.where(F.col("n") >= (cut if cut is not None else (1 << 62))).toArrow().to_pandas()
-    common_keys, common_n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(float)
-    floor = np.log10(total + 0.1 * (distinct + 1))
-    model = spark.sparkContext.broadcast(Scorer(tree, common_keys, np.log10(common_n + 0.1) - floor))
-    part = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double, key long, times long"
+    floor = float(np.log10(total + 0.1 * (distinct + 1)))
+    grams = gram_scores(counts.where("not word").select("key", "n", "seen"))
+    word_log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(floor)
+    model = spark.sparkContext.broadcast((Known(commonest(words, "n", common_words).select("key", word_log.alias("log"))), Known(commonest(grams, "seen", common_grams))))
+    part = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double, word boolean, key long, times long"
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in part.split(", ")])
 
     def score(batches):
-        tree, known, logs = model.value.ready()
+        known_words, known_grams = model.value
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for rows, data, marks in _text.text_runs(batch):
                 grams, first_gram, hashes, first = symbols(data, marks)
                 n = rows.stop - rows.start
                 text_of = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
-                hashes = np.concatenate([hashes, np.full(n, END)])
-                at = known.find(hashes)
-                hit = at >= 0
-                base = np.bincount(text_of[hit], weights=logs[at[hit]] if len(logs) else None, minlength=n)
-                n_known = np.bincount(text_of[hit], minlength=n)
-                scores = np.add.reduceat(tree.lookup(grams), first_gram[:-1])
-                empty = lambda k: pa.nulls(k, pa.int64())
-                ids = pa.array(uid + np.arange(n))
-                names = [c.split()[0] for c in part.split(", ")]
-                yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id").slice(rows.start, n), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(base), pa.array(scores), empty(n), empty(n)], names)
-                rare = pd.DataFrame({"text": text_of[~hit], "key": hashes[~hit].view(np.int64)}).value_counts(sort=False).reset_index(name="times")
-                if len(rare):
-                    k = len(rare)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid + rare["text"].to_numpy()), empty(k), empty(k), empty(k), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(rare["key"].to_numpy()), pa.array(rare["times"].to_numpy())], names)
+                base, n_known, rare_words = known_words.sums(np.concatenate([hashes, np.full(n, END)]), text_of, n)
+                scores, _, rare_grams = known_grams.sums(grams, np.repeat(np.arange(n), np.diff(first_gram)), n)
+                none = [pa.nulls(n, f.type) for f in list(schema)[6:]]
+                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(n)), batch.column("doc_id").slice(rows.start, n), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(base), pa.array(scores), *none], schema=schema)
+                for word, (text, key, times) in ((True, rare_words), (False, rare_grams)):
+                    for at in range(0, len(key), 100_000):
+                        to = min(at + 100_000, len(key))
+                        none = [pa.nulls(to - at, f.type) for f in list(schema)[1:6]]
+                        yield pa.RecordBatch.from_arrays([pa.array(uid + text[at:to]), *none, pa.array(np.full(to - at, word)), pa.array(key[at:to].view(np.int64)), pa.array(times[at:to])], schema=schema)
                 uid += n
 
     parts = materialize(docs.select("doc_id", "text").mapInArrow(score, part), "scores")
-    rare = parts.where("key is not null").select("uid", "key", "times").join(words, "key", "left")
-    more = rare.groupBy("uid").agg(F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(floor)))).alias("_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known"))
-    whole = parts.where("key is null").join(more, "uid", "left")
-    return whole.select(
-        "doc_id", (~F.expr(is_training)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+    values = words.select(F.lit(True).alias("word"), "key", word_log.alias("log")).union(grams.select(F.lit(False), "key", "log"))
+    rare = parts.where("key is not null").select("uid", "word", "key", "times").join(values, ["word", "key"], "left")
+    log = F.coalesce("log", F.lit(float(np.log10(0.1)) - floor))  # a word without training occurrences; every gram has its value
+    more = rare.groupBy("uid").agg(
+        F.sum(F.when(F.col("word"), F.col("times") * log)).alias("_base"), F.sum(F.when(~F.col("word"), F.col("times") * log)).alias("_score"),
+        F.sum(F.when(F.col("word") & F.col("log").isNotNull(), F.col("times"))).alias("_known"),
+    )
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return parts.where("key is null").join(more, "uid", "left").select(
+        "doc_id", (~F.expr(is_training)).alias("held_out"), "n_tokens", plus("n_known", "_known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "_base").alias("base_score"), plus("score", "_score").alias("score"),
     )

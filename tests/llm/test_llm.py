@@ -150,15 +150,39 @@ def test_suffix_tree(corpus, empty):
     assert suffix_tree.score_texts(empty).count() == 0
 
 
-def test_tree_is_a_distribution():
-    import pandas as pd
-
-    rng = np.random.default_rng(2)
-    root = rng.integers(0, 9, 256).astype(float)
-    entries = pd.DataFrame([(d, int(c << 8 | s), int(rng.integers(1, 9))) for d, c in ((1, 97), (2, 97 << 8 | 98)) for s in range(60, 90)], columns=["depth", "key", "n"])
-    tree = suffix_tree.SuffixTree(root, entries)
-    for context in (97, 97 << 8 | 98, 33):
-        assert (10 ** tree.lookup(np.array([context << 8 | s for s in range(256)], np.uint64))).sum() == pytest.approx(1)
+def test_suffix_tree_by_brute_force(corpus, spark):
+    """Divergence tests and smoothing over plain dictionaries give the same score of every text, whatever is sent or joined."""
+    rows = corpus.select("doc_id", "text").collect()
+    depth, edge = suffix_tree.DEPTH, bytes([suffix_tree.EDGE])
+    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    coded = [edge * depth + b" ".join(re.findall(rb"[^ \t-\r]+", low(r.text))) + edge for r in rows]
+    held = [zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10 == 0 for r in rows]
+    nexts = defaultdict(Counter)
+    for x, out in zip(coded, held):
+        for i in range(depth, 0 if out else len(x)):
+            for d in range(depth + 1):
+                nexts[x[i - d : i]][x[i]] += 1
+    kept = {b""}
+    for context, found in nexts.items():
+        n, shorter = sum(found.values()), nexts[context[1:]]
+        gain = sum(k * np.log(k / n / (shorter[s] / sum(shorter.values()))) for s, k in found.items())
+        if context and gain > suffix_tree.GAIN_PER_SYMBOL * len(found):
+            kept.add(context)
+
+    def p(context, symbol):
+        found, n = nexts[context], sum(nexts[context].values())
+        if not context:
+            return (found[symbol] + 0.5) / (n + 128)
+        below = p(context[1:], symbol)
+        return (found[symbol] + len(found) * below) / (n + len(found)) if context in kept else below
+
+    assert len(kept) > 30 and sum(p(max(kept, key=len), s) for s in range(256)) == pytest.approx(1)
+    want = sorted((str(r.doc_id), sum(np.log10(p(x[i - depth : i], x[i])) for i in range(depth, len(x)))) for r, x in zip(rows, coded))
+    for sent in ({}, {"common_words": 40, "common_grams": 300}, {"common_words": 0, "common_grams": 0}):
+        got = sorted((str(r.doc_id), r.score) for r in suffix_tree.score_texts(corpus, **sent).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    unlearnt = suffix_tree.score_texts(corpus, "false").collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in unlearnt)
 
 
 def test_packing(corpus, empty):
