@@ -28,14 +28,29 @@ def top_k(hits: DataFrame, by: list[Column], k: Column | int, keys: tuple[str, .
     return hits.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(out) <= k)
 
 
+def query_blocks(queries: DataFrame, *keys: str) -> list[DataFrame]:
+    """`queries` in blocks of about QUERY_BLOCK rows, each small enough to be sent to every task."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def meeting(chunks: DataFrame, queries: DataFrame, condition: Column, *keys: str) -> DataFrame:
+    """chunks joined with queries on any condition: the corpus is scanned once for each block of queries and never shuffled."""
+    found = None
+    for block in query_blocks(queries, *keys):
+        part = chunks.join(F.broadcast(block), condition)
+        found = part if found is None else found.union(part)
+    return found
+
+
 def _nearest(queries: pd.DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    ids, vectors = queries["query_id"].to_numpy(), np.array(queries["vector"].tolist(), float)
+    ids, vectors = queries["query_id"].to_numpy(), np.array(queries["vector"].tolist(), float).reshape(len(queries), -1 if len(queries) else 0)
     norms = np.sqrt((vectors**2).sum(axis=1))
     scopes = queries["series"].to_numpy() if "series" in queries else None
 
     def local(frames):
         for pdf in frames:
-            if not len(pdf):
+            if not len(pdf) or not len(ids):
                 continue
             rows = np.array(pdf["embedding"].tolist(), float)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -65,18 +80,15 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes:
     own_k = "k" in queries.columns
     limit = F.col("k") if own_k else F.lit(k)
     light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns])
-    n = light.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
+    if prefixes and mode == "prefilter":
+        asked = queries.select("query_id", "prefixes", F.col("vector").alias("_q"))
+        scoped = meeting(chunks, asked, has_prefix(F.col("canon_id"), F.col("prefixes")) | (F.size("prefixes") == 0), "query_id")
+        near = scoped.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null")
+        return top_k(near, [F.col("distance"), F.col("id")], k)
     most = OVER_FETCH if prefixes else (queries.agg(F.max("k")).first()[0] or k if own_k else k)
     found = None
-    for b in range(blocks):
-        part = light.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else light
-        block = part.toPandas()
-        if prefixes and mode == "prefilter":
-            scoped = chunks.join(F.broadcast(queries.select("query_id", "prefixes", F.col("vector").alias("_q"))), has_prefix(F.col("canon_id"), F.col("prefixes")) | (F.size("prefixes") == 0))
-            near = scoped.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null")
-            return top_k(near, [F.col("distance"), F.col("id")], k)
-        near = _nearest(block, chunks, most)
+    for block in query_blocks(light, "query_id"):
+        near = _nearest(block.toPandas(), chunks, most)
         found = near if found is None else found.union(near)
     ranked = top_k(found, [F.col("distance").asc_nulls_last(), F.col("id")], most)
     if prefixes:
@@ -127,7 +139,5 @@ def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str
 def keyword_search(terms: DataFrame, chunks: DataFrame, k: int = 10, like: bool = False) -> DataFrame:
     """query_id, term, id, rank: the first k chunks (by id) that contain each term; `like` takes % and _ as wildcards."""
     hit = F.col("text").like(F.concat(F.lit("%"), F.col("term"), F.lit("%"))) if like else F.col("text").contains(F.col("term"))
-    n = terms.count()
-    few = F.broadcast(terms) if n <= QUERY_BLOCK else terms
-    found = chunks.select("id", "text").join(few, hit).select("query_id", "term", "id")
+    found = meeting(chunks.select("id", "text"), terms, hit, "query_id", "term").select("query_id", "term", "id")
     return top_k(found, [F.col("id")], k, ("query_id", "term"))

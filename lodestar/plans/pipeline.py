@@ -32,7 +32,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> Dat
         return near.select("query_id", F.lit("vector").alias("list_name"), "id", "rank", "distance").unionByName(words.select("query_id", F.lit("tokens").alias("list_name"), "id", "rank", F.lit(None).cast("double").alias("distance")))
 
     terms = queries.select("query_id", F.explode("sub_terms").alias("term"), F.when(F.size("canon_prefixes") > 0, F.col("canon_prefixes")).otherwise(F.col("boost_prefixes")).alias("_scope"))
-    found = light.select("id", "canon_id", "text").join(F.broadcast(terms), F.col("text").contains(F.col("term")) & ((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope"))))
+    held = F.col("text").contains(F.col("term")) & ((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope")))
+    found = search.meeting(light.select("id", "canon_id", "text"), terms, held, "query_id", "term")
     by_term = search.top_k(found.select("query_id", "term", "id"), [F.col("id")], 10, ("query_id", "term")).select("query_id", F.concat(F.lit("term:"), "term").alias("list_name"), "id", "rank", F.lit(None).cast("double").alias("distance"))
     first = both(asked, True)
     missed = asked.where(F.size("prefixes") > 0).join(first.unionByName(by_term).select("query_id").distinct(), "query_id", "left_anti")

@@ -176,7 +176,7 @@ def seeds(spark, sf):
 
 def _golden(spark, sf):
     asked = _read(spark, sf, "benchmark")
-    holds = _read(spark, sf, "documents").join(F.broadcast(asked.select("item_id", F.substring("text", 1, 60).alias("_t"))), F.col("text").contains(F.col("_t")))
+    holds = search.meeting(_read(spark, sf, "documents"), asked.select("item_id", F.substring("text", 1, 60).alias("_t")), F.col("text").contains(F.col("_t")), "item_id")
     expected = holds.groupBy("item_id").agg(F.collect_set(F.concat(F.upper("lang"), F.lit("01n"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))).alias("expected"))
     category = F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("item_id") % 4 + 1).cast("int"))
     return asked.join(expected, "item_id", "left").select(F.col("item_id").alias("id"), category.alias("category"), F.coalesce("expected", F.array().cast("array<string>")).alias("expected"))
@@ -299,7 +299,7 @@ REGISTRY = {
     "identifiers": (identifiers, f"WITH {LINES}, c AS (SELECT upper(split_part(coord, '_', 1)) AS cid, count(*) AS n FROM segments GROUP BY 1) SELECT cid, n, cid AS normalized, cid AS ids, 'https://reader.example.org/' || cid || '_001' AS link, true AS named, starts_with(cid, 'EN01') OR starts_with(cid, 'DE01') AS scoped, 'T01N0001' AS short FROM c"),
     "script_routes": (script_routes, f"WITH g AS (SELECT conv_id, turn, text, {_SCRIPT} AS glyphs, CASE WHEN trim(text) = '' THEN 0.0 ELSE {_SCRIPT} / greatest(length(replace(text, chr(10), '')), 1)::DOUBLE END AS r FROM conversations) SELECT conv_id, turn, glyphs, round(r, 4) AS ratio, glyphs >= 8 OR r >= 0.4 AS specialist, regexp_matches(text, '(?i)^\\s*(hi|hello|hey)\\s*[!?.~]*\\s*$') AS greeting, CASE WHEN glyphs >= 4 THEN 'tibetan' WHEN regexp_matches(text, '(?i)pali|pāli|tipiṭaka') THEN 'pali_source' WHEN regexp_matches(text, '(?i)sanskrit') THEN 'sanskrit_lexicon' ELSE 'default' END AS profile FROM g"),
     "query_preparation": (query_preparation, f"WITH e AS (SELECT conv_id, turn, text, {_EXPAND} AS x, {_BOOST} AS b FROM conversations WHERE role = 'user') SELECT conv_id, turn, (length(text) + coalesce(list_sum(list_transform(x, lambda t: length(t) + 1)), 0))::INTEGER AS expanded_length, array_to_string(list_filter(b, lambda v, i: list_position(b, v) = i), ',') AS boosts, 'doctrine' AS intent FROM e"),
-    "question_plans": (question_plans, None),
+    "question_plans": (question_plans, "SELECT item_id AS query_id, 'D' AS query_type, 'doctrine' AS intent, 'T' AS series_hint, 40 AS vec_top, 10 AS rerank_top, 1 AS n_terms FROM benchmark"),
     "vector_topk": (vector_topk, f"WITH {_DIST} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d QUALIFY rank <= 20"),
     "vector_topk_by_series": (vector_topk_by_series, f"WITH {_DIST} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d WHERE ql = cl QUALIFY rank <= 20"),
     "vector_topk_prefix": (vector_topk_prefix, f"WITH {_DIST}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS n FROM d QUALIFY n <= 200) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM t WHERE ql = cl QUALIFY rank <= 20"),
@@ -315,7 +315,7 @@ REGISTRY = {
     "seeds": (seeds, f"WITH {_KW} SELECT query_id, left(string_agg(left(text, 240), chr(10) ORDER BY rank), 480) AS seed FROM kw JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY query_id"),
     "recall_report": (recall_report, f"WITH {_GOLD} SELECT category, count(*) AS n, avg((coalesce(best, 99) <= 5)::INTEGER) AS recall FROM gold GROUP BY category"),
     "recall_sets": (recall_sets, f"WITH {_GOLD}, h AS (SELECT category, (coalesce(best, 99) <= 5)::INTEGER AS hit FROM gold) SELECT avg(hit) AS recall_all, avg(hit) FILTER (category IN ('A', 'B')) AS recall_ab, avg(hit) FILTER (category IN ('A', 'B', 'C')) AS recall_abc FROM h"),
-    "miss_report": (miss_report, None),
+    "miss_report": (miss_report, f"WITH {_GOLD}, n AS (SELECT id, count(*) AS n FROM hits GROUP BY id) SELECT gold.id, (coalesce(best, 99) <= 1)::INTEGER AS hit, CASE WHEN best <= 1 THEN NULL WHEN n IS NULL THEN 'no_hits' ELSE 'semantic_drift' END AS miss_reason FROM gold LEFT JOIN n USING (id)"),
     "citation_ranges": (citation_ranges, f"WITH {LINES}, r AS (SELECT doc_id, line_no // 10 AS g, min(coord) AS a, max(coord) AS b FROM segments GROUP BY ALL) SELECT coord FROM segments s WHERE line_no % 7 = 0 AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = s.doc_id AND g % 2 = 0 AND a <= coord AND b >= coord)"),
     "citation_ranges_unscoped": (citation_ranges_unscoped, f"WITH {LINES}, r AS (SELECT doc_id, min(coord) AS a, max(coord) FILTER (line_no < 5) AS b FROM segments GROUP BY doc_id) SELECT coord FROM segments s WHERE line_no % 7 = 0 AND EXISTS (SELECT 1 FROM r WHERE a <= coord AND b >= coord)"),
     "latest_events": (latest_events, "SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
@@ -326,7 +326,7 @@ REGISTRY = {
     "request_routes": (request_routes, "SELECT mode, CASE mode WHEN 'nonsense' THEN 'unknown_mode' WHEN 'chat' THEN 'disabled_mode' ELSE CASE WHEN long THEN 'message_too_long' WHEN mode = 'ocr' THEN 'image_missing' END END AS reason, count(*) AS n FROM (SELECT ['chat', 'translate', 'ocr', 'nonsense'][turn % 4 + 1] AS mode, length(text) > 65536 AS long FROM conversations) GROUP BY ALL"),
     "log_rates": (log_rates, "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chunks, round(avg(round(n_chars / 2.5, 1)), 4) AS avg_rate FROM documents"),
     "grep_lines": (grep_lines, f"WITH {LINES} SELECT file_path, line_no, coord FROM segments WHERE regexp_matches(text, '[0-9]{{3}}')"),
-    "hashed_embeddings": (hashed_embeddings, None),
+    "hashed_embeddings": (hashed_embeddings, f"SELECT doc_id, 256 AS dim, CASE WHEN len({_TOK}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"),
 }
 QUERIES = {name: fn for name, (fn, _) in REGISTRY.items()}
 ORACLES = {name: sql for name, (_, sql) in REGISTRY.items() if sql}

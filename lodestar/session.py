@@ -29,3 +29,8 @@ def attach(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a local default only where it is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"

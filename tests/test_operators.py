@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.functions import tasks, text
+from lodestar.plans import flow_queries
 from lodestar.operators import chunking, evaluate, fusion, infer, queryprep, reports, search, state
 from lodestar.sources import corpus
 from lodestar.streaming import ingest
@@ -104,6 +105,19 @@ def test_vector_modes(spark):
         assert [r.id for r in search.vector_search(q, chunks, 2, True, mode).orderBy("rank").collect()] == [7, 5]
 
 
+def test_query_blocks_change_no_row(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"L{i % 3}", f"word{i % 4} and {i}", [float(i % 5), 1.0]) for i in range(30)], "id long, canon_id string, text string, embedding array<float>")
+    asked = spark.createDataFrame([(q, f"word{q}", [1.0, float(q)], ["l1"] if q % 2 else []) for q in range(4)], "query_id long, term string, vector array<float>, prefixes array<string>")
+    runs = []
+    for size in (2000, 1):
+        monkeypatch.setattr(search, "QUERY_BLOCK", size)
+        found = [search.keyword_search(asked.select("query_id", "term"), chunks, 5).select("query_id", "id", "rank")]
+        found += [search.vector_search(asked.drop("term"), chunks, 4, prefixes=True, mode=m).select("query_id", "id", "rank") for m in ("postfilter", "prefilter")]
+        runs.append([sorted(map(tuple, f.collect())) for f in found])
+    assert runs[0] == runs[1] and runs[0][1] == runs[0][2] and len(runs[0][0]) == 20
+    assert search.vector_search(asked.where("false").drop("term"), chunks, 4).count() == 0
+
+
 def test_inference_errors_become_columns(spark):
     rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, t string")
 
@@ -143,16 +157,18 @@ def test_evaluation_and_reports(spark):
 def test_sql_agrees(spark):
     import duckdb
 
-    from lodestar.plans import queries as core
+    import __spark_entry__ as core
+
+    queries, oracles = core.queries(), core.oracle_sql()
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    for name in ("segments", "identifiers", "vector_topk_prefix", "token_topk", "fused_ranks", "recall_report", "citation_ranges_unscoped", "memory_hits"):
-        ours = core.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for name in ("segments", "identifiers", "vector_topk_prefix", "token_topk", "fused_ranks", "recall_report", "citation_ranges_unscoped", "memory_hits", "miss_report", *flow_queries.ORACLES):
+        ours = queries[name](spark, "/root/testdata/sf0.001")
         columns = sorted(ours.columns)
         show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
-        theirs = con.execute(core.ORACLES[name])
+        theirs = con.execute(oracles[name])
         names = [d[0] for d in theirs.description]
         assert sorted(names) == columns, name
         assert sorted([show(r[c]) for c in columns] for r in ours.collect()) == sorted([show(dict(zip(names, r))[c]) for c in columns] for r in theirs.fetchall()), name
