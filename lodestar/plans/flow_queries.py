@@ -9,7 +9,7 @@ from lodestar.operators import evaluate, fusion, infer, queryprep, reports, sear
 from lodestar.plans import pipeline
 from lodestar.plans import queries as base
 from lodestar.plans.queries import LINES, _chunk_texts, _files, _rank_lists, _read, _token_queries
-from lodestar.session import shared_folder
+from lodestar.session import shared_folder, stored
 from lodestar.sources import corpus
 
 CHANNELS = ("web", "internal", "api", "telegram")
@@ -164,7 +164,7 @@ def hybrid_ranks(spark, sf):
     """Planned benchmark questions over all documents: vector, token and substring ranks fused."""
     asked = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     planned = infer.embed(queryprep.plan_queries(queryprep.preprocess(asked)), "embed_text", "query", 256).withColumnRenamed("embedding", "vector")
-    return pipeline.hybrid_search(planned, infer.embed(_chunk_texts(spark, sf), dim=256)).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+    return pipeline.hybrid_search(stored(planned, "questions"), infer.embed(_chunk_texts(spark, sf), dim=256)).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
 
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import has_prefix
 from lodestar.operators import fusion, infer, queryprep, search
+from lodestar.session import stored
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> DataFrame:
@@ -35,7 +36,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> Dat
     held = F.col("text").contains(F.col("term")) & ((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope")))
     found = search.meeting(light.select("id", "canon_id", "text"), terms, held, "query_id", "term")
     by_term = search.top_k(found.select("query_id", "term", "id"), [F.col("id")], 10, ("query_id", "term")).select("query_id", F.concat(F.lit("term:"), "term").alias("list_name"), "id", "rank", F.lit(None).cast("double").alias("distance"))
-    first = both(asked, True)
+    by_term, first = stored(by_term, "term-ranks"), stored(both(asked, True), "ranks")
     missed = asked.where(F.size("prefixes") > 0).join(first.unionByName(by_term).select("query_id").distinct(), "query_id", "left_anti")
     again = both(missed, False)
     ranks = first.unionByName(again).unionByName(by_term)
@@ -49,7 +50,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> Dat
 def answer_questions(questions: DataFrame, chunks: DataFrame, fn: Callable[[str], str], encoder: Callable | None = None, dim: int = 2048, k: int = 8, wait: float = 2.0) -> DataFrame:
     """query_id, context, answer, answer_error, status: prepare, plan, embed, retrieve, rerank, assemble, infer."""
     planned = queryprep.plan_queries(queryprep.preprocess(questions))
-    ready = infer.embed(planned, "embed_text", "query", dim, encoder).withColumnRenamed("embedding", "vector")
+    ready = stored(infer.embed(planned, "embed_text", "query", dim, encoder).withColumnRenamed("embedding", "vector"), "questions")
     hits = hybrid_search(ready, chunks).join(chunks.select("id", "canon_id", "coord_start", "text"), "id").join(ready.select("query_id", F.col("normalized").alias("query")), "query_id")
     top = fusion.rerank(hits, k).withColumnRenamed("coord_start", "coord")
     context = questions.select("query_id", "question").join(fusion.assemble_context(top), "query_id", "left")

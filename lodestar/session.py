@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +35,10 @@ def attach(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a local default only where it is unset."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back, where several later steps need it."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

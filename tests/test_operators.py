@@ -118,6 +118,15 @@ def test_query_blocks_change_no_row(spark, monkeypatch):
     assert search.vector_search(asked.where("false").drop("term"), chunks, 4).count() == 0
 
 
+def test_answers(spark):
+    from lodestar.plans import pipeline
+
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "zzz")], "query_id long, question string")
+    chunks = infer.embed(spark.createDataFrame([(i, f"T01n000{i}", f"T01n000{i}_p1_", f"alpha beta number {i}") for i in range(6)], "id long, canon_id string, coord_start string, text string"), dim=64)
+    rows = pipeline.answer_questions(asked, chunks, lambda p: p.split("\n")[-1], dim=64, wait=0.0).collect()
+    assert sorted((r.query_id, r.answer, r.status, r.context.count("片段")) for r in rows) == [(1, "alpha beta", "ok", 6), (2, "zzz", "ok", 6)]
+
+
 def test_inference_errors_become_columns(spark):
     rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, t string")
 
