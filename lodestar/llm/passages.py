@@ -4,11 +4,14 @@ Tokens are five-word shingles. Under a hash function, every stretch of at least
 belongs to the compact window (left, right) of its least token: the spans of the Cartesian tree over
 the token hashes. Windows of different texts that agree on their least token meet in a hash bucket
 and are linked to the text with the smallest doc_id; the intervals of a pair's windows are joined
-over all hash functions and the passages inside are verified by Jaccard similarity.
+over all hash functions and the passages inside are verified by Jaccard similarity. Windows whose
+least token lies in no verified passage are compared again with every earlier holder of that token.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +28,8 @@ MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 AGREE = 2
 #: Documents per hash bucket: bounds what one task holds of the windows.
 BUCKET_DOCS = 4000
+#: Windows with the shingles around them per hash bucket, when they are compared again.
+BUCKET_WINDOWS = 50_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F + 0x9E3779B97F4A7C16 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
 
 
@@ -39,13 +44,19 @@ def _shingles(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def compact_windows(tokens: np.ndarray, first: np.ndarray, seed: np.uint64, least: int = MIN_SHINGLES) -> tuple[np.ndarray, ...]:
-    """(key, text, left, right) of the compact windows of at least `least` tokens; bounds within the text, inclusive.
+    """(key, text, left, right) of the compact windows of at least `least` tokens; bounds within the text, inclusive."""
+    key, owner, _, left, right = placed_windows(tokens, first, seed, least)
+    return key, owner, left, right
+
+
+def placed_windows(tokens: np.ndarray, first: np.ndarray, seed: np.uint64, least: int = MIN_SHINGLES) -> tuple[np.ndarray, ...]:
+    """(key, text, place, left, right): the compact windows and the places of their least tokens, within the text.
 
     Only least tokens of some stretch of `least` tokens have such a window, and so do all tokens
     that bound it; the Cartesian tree is built over those alone.
     """
     n = len(tokens)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64) for _ in range(4)])
     if n < least:
         return none
     bits = np.uint64(max(20, n.bit_length()))
@@ -77,44 +88,46 @@ def compact_windows(tokens: np.ndarray, first: np.ndarray, seed: np.uint64, leas
         if stack:
             lefts[i] = places[stack[-1]] + 1
         stack.append(i)
-    return key[at], owner, np.array(lefts) - first[owner], np.array(rights) - first[owner]
+    return key[at], owner, at - first[owner], np.array(lefts) - first[owner], np.array(rights) - first[owner]
 
 
-_ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("left", "<i4"), ("right", "<i4"), ("hash", "<i4")])
-_LINK = np.dtype([(n, "<i8") for n in ("text", "left", "right", "source_text", "source_left", "source_right", "hashes")])
-_PAIR = "text long, left long, right long, source_text long, source_left long, source_right long, hashes long"
+_ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("left", "<i4"), ("right", "<i4"), ("hash", "<i4")])
+_SHARED = "key long, doc long, text long, at long, left long, right long, hash long, source_text long, source_left long, source_right long"
+#: Shingles on either side of a least shingle: every stretch of MIN_SHINGLES that holds it lies inside.
+REACH = MIN_SHINGLES - 1
+_NEAR = np.dtype([("key", "<i8"), ("doc", "<i8"), ("text", "<i8"), ("left", "<i4"), ("right", "<i4"), ("lead", "<i4"), ("size", "<i4"), ("open", "<i4"), ("around", "<u4", 2 * REACH + 1)])
+_PAIR = "text long, left long, right long, source_text long, source_left long, source_right long"
 
 
-def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest doc's row of every key, and the links of the others' texts to that row's text."""
-    rows = rows[np.lexsort((rows["doc"], rows["key"]))]
+def _shared(rows: np.ndarray) -> pd.DataFrame:
+    """The rows of keys that several texts hold, each with the row of smallest doc (its centre); copies of a text count once."""
+    rows = rows[np.lexsort((rows["at"], rows["text"], rows["doc"], rows["key"]))]
+    once = np.lexsort((rows["doc"], rows["at"], rows["text"], rows["key"]))
+    again = np.concatenate([[False], np.all([rows[n][once][1:] == rows[n][once][:-1] for n in ("key", "text", "at")], axis=0)])[: len(rows)]
+    rows = rows[np.sort(once[~again])]
     head = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])[: len(rows)]
-    center = rows[head][np.cumsum(head) - 1]
-    apart = rows["text"] != center["text"]
-    a, b = rows[apart], center[apart]
-    links = np.empty(len(a), _LINK)
-    for name in ("text", "left", "right"):
-        links[name], links[f"source_{name}"] = a[name], b[name]
-    links["hashes"] = np.int64(1) << a["hash"].astype(np.int64)
-    return rows[head], _merged(links)
-
-
-def _merged(links: np.ndarray) -> np.ndarray:
-    """One row per pair of texts: the hull of its windows and all hash functions that agree."""
-    links = links[np.lexsort((links["source_text"], links["text"]))]
-    head = np.flatnonzero(np.concatenate([[True], (links["text"][1:] != links["text"][:-1]) | (links["source_text"][1:] != links["source_text"][:-1])])[: len(links)])
-    out = links[head]
-    if len(head):
-        for name, fold in (("left", np.minimum), ("right", np.maximum), ("source_left", np.minimum), ("source_right", np.maximum), ("hashes", np.bitwise_or)):
-            out[name] = fold.reduceat(links[name], head)
-    return out
-
-
-def window_pairs(docs: DataFrame, hashes: int = HASHES, buckets: int | None = None) -> DataFrame:
-    """Pairs of text hashes whose compact windows share a least token, with the hulls of those windows.
-
-    `docs` has doc_id, text and _text (its hash). Keys are combined where they are made: a task sends
-    one row per key and run of texts, so a passage in a third of all documents stays small.
+    group = np.cumsum(head) - 1
+    center = rows[head][group]
+    several = np.bincount(group, rows["text"] != center["text"]).astype(bool)[group] if len(rows) else head
+    rows, center = rows[several], center[several]
+    out = {n: rows[n].astype(np.int64) for n in _ROW.names}
+    return pd.DataFrame(out | {f"source_{n}": center[n].astype(np.int64) for n in ("text", "left", "right")})
+
+
+def _blobs(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The rows as one binary value for each bucket of keys."""
+    home = (rows["key"].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    rows, cuts = rows[order], np.searchsorted(home[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "rows"])
+
+
+def shared_windows(docs: DataFrame, hashes: int = HASHES, buckets: int | None = None) -> DataFrame:
+    """Compact windows whose least token several texts have, with the window of the smallest doc that has it.
+
+    `docs` has doc_id, text and _text (its hash). No holder is left out: those that turn out to have
+    no passage in common with the centre are compared with each other by `regrouped_pairs`.
     """
     attach(docs.sparkSession)
     buckets = buckets or max(32, -(-docs.count() // BUCKET_DOCS))
@@ -126,28 +139,114 @@ def window_pairs(docs: DataFrame, hashes: int = HASHES, buckets: int | None = No
                 tokens, first = _shingles(data, marks)
                 parts = []
                 for j in range(hashes):
-                    key, owner, left, right = compact_windows(tokens, first, _SEEDS[j])
+                    key, owner, at, left, right = placed_windows(tokens, first, _SEEDS[j])
                     part = np.empty(len(key), _ROW)
                     part["key"], part["doc"], part["text"] = _text.mix(key + np.uint64(j)), docs_[rows][owner], texts_[rows][owner]
-                    part["left"], part["right"], part["hash"] = left, right, j
+                    part["at"], part["left"], part["right"], part["hash"] = at, left, right, j
                     parts.append(part)
-                centers, pairs = _stars(np.concatenate(parts))
-                for kind, rows_, by in ((0, centers, centers["key"]), (1, pairs, _text.mix(pairs["text"].view(np.uint64)))):
-                    home = (by % np.uint64(buckets)).astype(np.int64)
-                    order = np.lexsort((rows_["text"], home))
-                    rows_, home = rows_[order], home[order]
-                    cuts = np.searchsorted(home, np.arange(buckets + 1))
-                    full = np.flatnonzero(np.diff(cuts))
-                    blobs = pa.array([rows_[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), kind)), blobs], ["bucket", "kind", "rows"])
+                yield _blobs(np.concatenate(parts), buckets)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        windows, pairs = (np.frombuffer(b"".join(pdf["rows"][pdf["kind"] == k]), t) for k, t in ((0, _ROW), (1, _LINK)))
-        return pd.DataFrame(np.concatenate([_stars(windows)[1], pairs]))
+        return _shared(np.frombuffer(b"".join(pdf["rows"]), _ROW))
+
+    made = docs.select("doc_id", "_text", "text").where("doc_id is not null").mapInArrow(make, "bucket long, rows binary")
+    return made.groupBy("bucket").applyInPandas(meet, _SHARED)
+
+
+def window_pairs(shared: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Pairs of a text and a centre that enough hash functions agree on, with the hulls of their windows."""
+    apart = shared.where("text != source_text").groupBy("text", "source_text")
+    agreed = F.bit_or(F.expr("shiftleft(1L, cast(hash as int))"))
+    return apart.agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right"), agreed.alias("hashes")).where(F.bit_count("hashes") >= min(AGREE, hashes))
+
+
+def regrouped(rows: np.ndarray) -> list[tuple[int, ...]]:
+    """Pairs, as in _PAIR, of every open row with the smallest doc that shares a passage around their common key.
+
+    Rows of one key are compared by the shingles around it. A passage of MIN_SHINGLES leaves so many
+    shingles in common that one of a row's rarest must be among them; a phrase that the whole group
+    has is therefore no candidate by itself, and a group costs about its real matches.
+    """
+    rows = rows[np.lexsort((rows["text"], rows["doc"], rows["key"]))]
+    least = int(np.ceil(SIMILARITY * MIN_SHINGLES))
+    which, column = np.nonzero(np.arange(2 * REACH + 1) < rows["size"][:, None])
+    token = _text.mix(_text.mix(rows["key"][which].view(np.uint64)) + rows["around"][which, column])
+    _, token = np.unique(token, return_inverse=True)
+    order = np.lexsort((which, token))
+    order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (which[order][1:] != which[order][:-1])])[: len(order)]]
+    holder, first = which[order], np.concatenate([[0], np.cumsum(np.bincount(token[order]))])
+    often = np.diff(first)[token]
+    mark = np.searchsorted(which, np.arange(len(rows) + 1))
+    many = np.bincount(which[often > 1], minlength=len(rows)) >= least
+    found = []
+    for i in np.flatnonzero(many & (rows["open"] > 0)):
+        y, mine = rows[i], token[mark[i] : mark[i + 1]]
+        rare = np.unique(mine[np.argsort(often[mark[i] : mark[i + 1]], kind="stable")[: len(mine) - least + 1]])
+        near, last = y["around"][: y["size"]], -1
+        for k in heapq.merge(*[holder[first[t] : first[t + 1]] for t in rare]):
+            if k >= i:
+                break
+            x = rows[k]
+            if k == last or x["text"] == y["text"] or x["doc"] >= y["doc"]:
+                continue
+            last, other = k, x["around"][: x["size"]]
+            if np.isin(near, other).sum() < least:
+                continue
+            spans = verified_passages(near, other)
+            if spans:
+                found.append((y["text"], y["left"], y["right"], x["text"], x["left"], x["right"]))
+            if any(s <= y["lead"] < e for s, e, *_ in spans):
+                break
+    return found
 
-    made = docs.select("doc_id", "_text", "text").where("doc_id is not null").mapInArrow(make, "bucket long, kind long, rows binary")
-    both = made.groupBy("bucket").applyInPandas(meet, _PAIR)
-    return both.groupBy("text", "source_text").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right"), F.bit_or("hashes").alias("hashes")).where(F.bit_count("hashes") >= min(AGREE, hashes))
+
+def regrouped_pairs(shared: DataFrame, found: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
+    """Pairs of texts, as in _PAIR, between holders of a key that no passage of `found` (text, s, e) settles; and the texts.
+
+    Every row whose least token lies in no verified passage is compared again with all earlier holders
+    of its key, whichever document they are, until one shares a passage there.
+    """
+    spans = found.select(F.col("text").alias("_t"), "s", "e")
+    apart = shared.where("text != source_text")
+    unsettled = apart.join(spans, (F.col("text") == F.col("_t")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left_anti")
+    unsettled = materialize(unsettled.select("key", F.col("text").alias("_t"), F.col("at").alias("_at")), "unsettled")
+    members = shared.join(unsettled.select(F.col("key").alias("_k")).distinct(), F.col("key") == F.col("_k"), "left_semi")
+    members = members.join(unsettled.select(F.col("key").alias("_k"), "_t", "_at").withColumn("open", F.lit(1)), (F.col("key") == F.col("_k")) & (F.col("text") == F.col("_t")) & (F.col("at") == F.col("_at")), "left")
+    listed = members.groupBy("text").agg(F.collect_list(F.struct("key", "doc", "at", "left", "right", F.coalesce("open", F.lit(0)).alias("open"))).alias("windows"))
+    listed = materialize(listed, "windows")
+    buckets = max(32, -(-listed.agg(F.sum(F.size("windows"))).first()[0] // BUCKET_WINDOWS)) if listed.head(1) else 32
+    texts = texts_of(listed.select(F.col("text").alias("_text")))
+
+    def around(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            words, keys, lists = batch.column("words"), batch.column("text").to_pylist(), batch.column("windows")
+            for i, text in enumerate(keys):
+                raw = np.frombuffer(words[i].as_buffer(), np.uint8)
+                tokens = _shingles(raw, np.array([0, len(raw)]))[0].astype(np.uint32)
+                windows = lists[i].values
+                out = np.zeros(len(windows), _NEAR)
+                for n in ("key", "doc", "left", "right", "open"):
+                    out[n] = windows.field(n).to_numpy(zero_copy_only=False)
+                at = windows.field("at").to_numpy(zero_copy_only=False)
+                start = np.maximum(at - REACH, 0)
+                out["text"], out["lead"], out["size"] = text, at - start, np.minimum(at + REACH + 1, len(tokens)) - start
+                spot = start[:, None] + np.arange(2 * REACH + 1)
+                out["around"] = tokens[np.minimum(spot, len(tokens) - 1)]
+                held.append(out)
+                if sum(map(len, held)) > 20_000:
+                    yield _blobs(np.concatenate(held), buckets)
+                    held.clear()
+        if held:
+            yield _blobs(np.concatenate(held), buckets)
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = regrouped(np.frombuffer(b"".join(pdf["rows"]), _NEAR))
+        return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 6), columns=[c.split()[0] for c in _PAIR.split(", ")])
+
+    near = listed.join(texts.select(F.col("_text").alias("_t"), F.col("text").alias("words")), F.col("text") == F.col("_t")).select("text", "windows", "words")
+    pairs = near.mapInArrow(around, "bucket long, rows binary").groupBy("bucket").applyInPandas(again, _PAIR)
+    return pairs.groupBy("text", "source_text").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right")), texts
 
 
 def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> list[tuple[int, int, int, int, float]]:
@@ -213,17 +312,15 @@ def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
     ids = materialize(rows.select("doc_id", "_text").where("doc_id is not null"), "text-ids")
     classes = materialize(ids.groupBy("_text").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_copies")), "classes")
-    pairs = window_pairs(rows, hashes)
+    shared = materialize(shared_windows(rows, hashes), "shared")
     one, two = (classes.select(F.col("_text").alias(f"_{n}"), F.col("_doc").alias(f"{n}_doc")) for n in "ab")
-    pairs = materialize(pairs.join(one, pairs.text == one._a).join(two, F.col("source_text") == two._b).where("a_doc > b_doc"), "pairs")
-    wanted = pairs.select(F.col("text").alias("_text")).union(pairs.select("source_text")).distinct().join(classes, "_text")
-    texts = materialize(
-        rows.join(wanted.select(F.col("_text").alias("_t"), "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_t")))
-        .select("_text", "text").dropDuplicates(["_text"]),
-        "texts",
-    )
-    near = pairs.join(texts.select(F.col("_text").alias("_x"), F.col("text").alias("words")), pairs.text == F.col("_x"))
-    near = near.join(texts.select(F.col("_text").alias("_y"), F.col("text").alias("source_words")), F.col("source_text") == F.col("_y"))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(one, pairs.text == one._a).join(two, F.col("source_text") == two._b).where("a_doc > b_doc"), "pairs")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        wanted = keys.distinct().join(classes, "_text").select(F.col("_text").alias("_t"), "_doc")
+        return materialize(rows.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_t"))).select("_text", "text").dropDuplicates(["_text"]), "texts")
 
     def verify(batches):
         kept: dict[int, np.ndarray] = {}
@@ -242,12 +339,21 @@ def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
                 a = shingles(r["text"], words[i])
                 lo, so = r["left"], r["source_left"]
                 for s, e, p, q, score in verified_passages(a[lo : r["right"] + 1], b[so : r["source_right"] + 1]):
-                    out.append((r["a_doc"], lo + s, lo + e + SHINGLE - 1, r["b_doc"], so + p, so + q + SHINGLE - 1, score))
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(columns)], [c.split()[0] for c in _FOUND.split(", ")])
-
-    near = near.select("text", "source_text", "left", "right", "source_left", "source_right", "a_doc", "b_doc", "words", "source_words")
-    found = near.mapInArrow(verify, _FOUND).withColumn("copy_of", F.lit(None).cast("long"))
+                    out.append((r["text"], r["a_doc"], lo + s, lo + e + SHINGLE - 1, r["b_doc"], so + p, so + q + SHINGLE - 1, score))
+            columns = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 7 else pa.int64()) for k, c in enumerate(columns)], ["text", *[c.split()[0] for c in _FOUND.split(", ")]])
+
+    def passages(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        near = pairs.join(texts.select(F.col("_text").alias("_x"), F.col("text").alias("words")), pairs.text == F.col("_x"))
+        near = near.join(texts.select(F.col("_text").alias("_y"), F.col("text").alias("source_words")), F.col("source_text") == F.col("_y"))
+        near = near.select("text", "source_text", "left", "right", "source_left", "source_right", "a_doc", "b_doc", "words", "source_words")
+        return materialize(near.mapInArrow(verify, "text long, " + _FOUND), "passages")
+
+    pairs = named(window_pairs(shared, hashes))
+    found = passages(pairs, texts_of(pairs.select(F.col("text").alias("_text")).union(pairs.select("source_text"))))
+    spans = found.select("text", F.col("start_word").alias("s"), (F.col("end_word") - (SHINGLE - 1)).alias("e"))
+    more, texts = regrouped_pairs(shared, spans, texts_of)
+    found = found.union(passages(named(more), texts)).drop("text").distinct().withColumn("copy_of", F.lit(None).cast("long"))
     sizes = rows.select("doc_id", "_text", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_n")).where(F.col("_n") >= MIN_WORDS)
     again = sizes.join(classes.where("_copies > 1"), "_text").where("doc_id > _doc").select("doc_id", "_n", "_doc").distinct()
     zero = F.lit(0).cast("long")

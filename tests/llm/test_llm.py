@@ -286,6 +286,18 @@ def test_compact_windows_cover_every_stretch():
                 assert (key[inside] >> np.uint64(20) == low.min()).any()
 
 
+def test_a_passage_whose_keys_go_to_holders_of_fragments(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = make(60)
+    texts = [make(50) + passage[k : k + 20] + make(50) for k in range(0, 41, 8) for _ in range(25)]
+    texts += [make(50) + passage + make(30), make(20) + passage + make(80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    last = len(rows) - 1
+    assert [(r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start) for r in got] == [(last, last - 1, 20, 80, 50)]
+
+
 def test_sharding(corpus, empty):
     rows = sharding.shard(corpus).collect()
     texts, per = {}, defaultdict(list)
