@@ -249,12 +249,36 @@ def regrouped_pairs(shared: DataFrame, found: DataFrame, texts_of) -> tuple[Data
     return pairs.groupBy("text", "source_text").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right")), texts
 
 
+def _stretches(hit: np.ndarray, place: np.ndarray, similarity: float, least: int) -> list[tuple[int, int]]:
+    """Fewest maximal stretches (from, to) of a chain that hold all its stretches of `least` shingles at `similarity`.
+
+    With distinct shingles the similarity of the stretch from hit i to hit j is its hits over the
+    spans of both sides less the hits; that it suffices is an inequality between a term of j and one of i.
+    """
+    n = np.arange(len(hit))
+    ends = (1 + similarity) * (n + 1) - similarity * (hit + place + 2)
+    starts = (1 + similarity) * n - similarity * (hit + place)
+    # The furthest j for each i: the last one whose greatest end from there on is not below the start.
+    best = np.maximum.accumulate(ends[::-1])[::-1]
+    reach = len(hit) - 1 - np.searchsorted(best[::-1], starts - 1e-9, "left")
+    good = np.flatnonzero((reach >= n) & (hit[np.clip(reach, 0, None)] - hit + 1 >= least))
+    good = good[np.concatenate([[True], reach[good][1:] > np.maximum.accumulate(reach[good])[:-1]])[: len(good)]]
+    out: list[tuple[int, int]] = []
+    for k, i in enumerate(good):
+        j = int(reach[i]) + 1
+        # Not needed if the next one also begins inside the last one taken.
+        if out and k + 1 < len(good) and good[k + 1] < out[-1][1]:
+            continue
+        out.append((int(i), j))
+    return out
+
+
 def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> list[tuple[int, int, int, int, float]]:
     """(start, end, source start, source end, similarity) of passages of shingles a that occur in b; ends exclusive.
 
-    Shared shingles are chained while neither side skips more than a few; a chain counts if the sets
-    of shingles it spans on both sides have that Jaccard similarity, and is tried again with smaller
-    skips if not.
+    Shared shingles are chained while they shift by no more than a few; a chain counts if the sets
+    of shingles it spans on both sides have that Jaccard similarity. If not, its maximal stretches
+    that have it count, and what lies between them is tried again with smaller skips.
     """
     order = np.argsort(b, kind="stable")
     ranked = b[order]
@@ -274,25 +298,44 @@ def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
             place[k] = min(spots[max(at - 1, 0) : at + 1], key=lambda x: abs(x - aim))
     found = []
 
+    def passes(hit: np.ndarray, place: np.ndarray) -> bool:
+        s, e, p, q = int(hit[0]), int(hit[-1]) + 1, int(place.min()), int(place.max()) + 1
+        one, two = np.unique(a[s:e]), np.unique(b[p:q])
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        score = both / (len(one) + len(two) - both)
+        if e - s < least or score < similarity:
+            return False
+        found.append((s, e, p, q, score))
+        return True
+
+    def search(hit: np.ndarray, place: np.ndarray, skips: tuple[int, ...]) -> None:
+        if len(hit) < similarity * least or passes(hit, place):
+            return
+        rest, at = [], 0
+        for i, j in _stretches(hit, place, similarity, least):
+            if (i, j) == (0, len(hit)) or not passes(hit[i:j], place[i:j]):
+                # Repeated shingles make the sets smaller than the stretch: cut it at its widest gap.
+                gap = i + 1 + int(np.argmax(np.diff(hit[i:j]) + np.abs(np.diff(place[i:j]))))
+                search(hit[i:gap], place[i:gap], skips)
+                search(hit[gap:j], place[gap:j], skips)
+            rest.append((at, i))
+            at = j
+        for i, j in [*rest, (at, len(hit))]:
+            if j > i:
+                chain(hit[i:j], place[i:j], skips[1:])
+
     def chain(hit: np.ndarray, place: np.ndarray, skips: tuple[int, ...]) -> None:
         if len(hit) < similarity * least or not skips:
             return
         step, jump = np.diff(hit), np.diff(place)
         cut = np.flatnonzero((step > skips[0]) | (np.abs(jump - step) > skips[0])) + 1
         for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]])):
-            if hi - lo < similarity * least:
-                continue
-            s, e = int(hit[lo]), int(hit[hi - 1]) + 1
-            p, q = int(place[lo:hi].min()), int(place[lo:hi].max()) + 1
-            one, two = np.unique(a[s:e]), np.unique(b[p:q])
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            score = both / (len(one) + len(two) - both)
-            if e - s >= least and score >= similarity:
-                found.append((s, e, p, q, score))
-            elif len(skips) > 1:
-                chain(hit[lo:hi], place[lo:hi], skips[1:])
-
-    chain(hit, place, (2 * SHINGLE + 1, SHINGLE + 1, 1))
+            search(hit[lo:hi], place[lo:hi], skips)
+
+    # The first time only a shift of more than a few ends a chain: a long passage may have a long gap.
+    cut = np.flatnonzero(np.abs(np.diff(place) - np.diff(hit)) > 2 * SHINGLE + 1) + 1
+    for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]])):
+        search(hit[lo:hi], place[lo:hi], (len(a), 2 * SHINGLE + 1, SHINGLE + 1, 1))
     return found
 
 

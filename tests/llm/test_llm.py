@@ -298,6 +298,33 @@ def test_a_passage_whose_keys_go_to_holders_of_fragments(spark):
     assert [(r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start) for r in got] == [(last, last - 1, 20, 80, 50)]
 
 
+def test_near_passages_with_uneven_edits():
+    rng = random.Random(5)
+    shingles = lambda w: np.array([zlib.crc32(str(w[i : i + 5]).encode()) for i in range(len(w) - 4)], np.uint64)
+
+    def covered(words, other):
+        found = passages.verified_passages(shingles(words), shingles(other))
+        assert all(e - s >= passages.MIN_SHINGLES and score >= passages.SIMILARITY for s, e, _, _, score in found)
+        return {k for s, e, *_ in found for k in range(s, e)}
+
+    for case in range(12):
+        words = [rng.randrange(10**9) for _ in range(300)]
+        edits = list(range(25, 200, 50)) + list(range(205, 300, 10)) if case == 0 else sorted(rng.sample(range(300), rng.randint(5, 25)))
+        other = [-k - 1 if k in edits else w for k, w in enumerate(words)]
+        same, want = shingles(words) == shingles(other), set()
+        total = np.concatenate([[0], np.cumsum(same)])
+        for s in np.flatnonzero(same):
+            for e in np.flatnonzero(same) + 1:
+                if e - s >= passages.MIN_SHINGLES and 1.8 * (total[e] - total[s]) >= 1.6 * (e - s) - 1e-9:
+                    want |= set(range(s, e))
+        got = covered(words, other)
+        assert got == want and (case or len(got) >= 190)
+    # A word more or less moves the rest of the passage.
+    words = [rng.randrange(10**9) for _ in range(300)]
+    other = words[:60] + [-1] + words[60:120] + words[121:180] + [-k for k in range(2, 20)] + words[198:]
+    assert len(covered(words, other)) >= 270 - 20
+
+
 def test_sharding(corpus, empty):
     rows = sharding.shard(corpus).collect()
     texts, per = {}, defaultdict(list)
