@@ -160,39 +160,87 @@ def window_pairs(shared: DataFrame, hashes: int = HASHES) -> DataFrame:
     return apart.agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right"), agreed.alias("hashes")).where(F.bit_count("hashes") >= min(AGREE, hashes))
 
 
+def _alike(rows: np.ndarray) -> np.ndarray:
+    """The rows by key and doc; those of one text with the same shingles around a key are one row with the hull of their windows."""
+    inside = np.arange(2 * REACH + 1) < rows["size"][:, None]
+    sums = np.where(inside, _text.mix(rows["around"] + (np.arange(2 * REACH + 1, dtype=np.uint64) << np.uint64(32))), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((rows["lead"], sums, rows["text"], rows["doc"], rows["key"]))
+    rows, sums = rows[order], sums[order]
+    same = np.all([rows[n][1:] == rows[n][:-1] for n in ("key", "text", "lead", "size")], axis=0) & (sums[1:] == sums[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~same])[: len(rows)])
+    out = rows[head]
+    if len(head):
+        for name, fold in (("left", np.minimum), ("right", np.maximum), ("open", np.maximum)):
+            out[name] = fold.reduceat(rows[name], head)
+    return out
+
+
+def _different(tokens: np.ndarray) -> np.ndarray:
+    """For each stretch of MIN_SHINGLES, the places where a token stands for the first time in it."""
+    order = np.argsort(tokens, kind="stable")
+    before = np.full(len(tokens), -1)
+    again = tokens[order][1:] == tokens[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    start, spot = np.arange(max(len(tokens) - MIN_SHINGLES, 0) + 1)[:, None], np.arange(len(tokens))
+    return (spot >= start) & (spot < start + MIN_SHINGLES) & (before < start)
+
+
 def regrouped(rows: np.ndarray) -> list[tuple[int, ...]]:
     """Pairs, as in _PAIR, of every open row with the smallest doc that shares a passage around their common key.
 
-    Rows of one key are compared by the shingles around it. A passage of MIN_SHINGLES leaves so many
-    shingles in common that one of a row's rarest must be among them; a phrase that the whole group
-    has is therefore no candidate by itself, and a group costs about its real matches.
+    Rows of one key are compared by the shingles around it. A stretch has SIMILARITY of its different
+    shingles in common with its source, so one of its rarest must be among them; a phrase that the
+    whole group has is therefore no candidate by itself, and a group costs about its real matches.
     """
-    rows = rows[np.lexsort((rows["text"], rows["doc"], rows["key"]))]
-    least = int(np.ceil(SIMILARITY * MIN_SHINGLES))
+    rows = _alike(rows)
     which, column = np.nonzero(np.arange(2 * REACH + 1) < rows["size"][:, None])
     token = _text.mix(_text.mix(rows["key"][which].view(np.uint64)) + rows["around"][which, column])
     _, token = np.unique(token, return_inverse=True)
+    n_tokens = int(token.max(initial=-1)) + 1
     order = np.lexsort((which, token))
     order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (which[order][1:] != which[order][:-1])])[: len(order)]]
-    holder, first = which[order], np.concatenate([[0], np.cumsum(np.bincount(token[order]))])
-    often = np.diff(first)[token]
+    holder, held = which[order], token[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=n_tokens))])
+    # Holders are ordered by doc and text, so those of one text are neighbours.
+    texts = np.concatenate([[True], (held[1:] != held[:-1]) | (rows["text"][holder][1:] != rows["text"][holder][:-1])])[: len(held)]
+    often = np.bincount(held[texts], minlength=n_tokens)[token]
     mark = np.searchsorted(which, np.arange(len(rows) + 1))
-    many = np.bincount(which[often > 1], minlength=len(rows)) >= least
-    found = []
+    many = np.bincount(which[often > 1], minlength=len(rows)) >= SIMILARITY * MIN_SHINGLES
+    flag, found = np.zeros(n_tokens, bool), []
+    sets: dict[int, np.ndarray] = {}
+
+    def part(k: int, mine: np.ndarray, other: np.ndarray) -> bool:
+        if k not in sets:
+            if len(sets) > 2000:
+                sets.clear()
+            sets[k] = _different(mine)
+        flag[other] = True
+        shared = sets[k][:, flag[mine]].sum(axis=1)
+        flag[other] = False
+        return bool((shared >= SIMILARITY * sets[k].sum(axis=1)).any())
+
     for i in np.flatnonzero(many & (rows["open"] > 0)):
-        y, mine = rows[i], token[mark[i] : mark[i + 1]]
-        rare = np.unique(mine[np.argsort(often[mark[i] : mark[i + 1]], kind="stable")[: len(mine) - least + 1]])
+        y, mine, count = rows[i], token[mark[i] : mark[i + 1]], often[mark[i] : mark[i + 1]]
+        ranked = np.argsort(count, kind="stable")
+        different = _different(mine)[:, ranked]
+        size = different.sum(axis=1)
+        least = np.ceil(SIMILARITY * size - 1e-9)
+        usable = different[:, count[ranked] > 1].sum(axis=1) >= least
+        if not usable.any():
+            continue
+        different, size, least = different[usable], size[usable], least[usable]
+        rare = np.unique(mine[ranked[(different & (np.cumsum(different, axis=1) <= (size - least + 1)[:, None])).any(axis=0)]])
         near, last = y["around"][: y["size"]], -1
-        for k in heapq.merge(*[holder[first[t] : first[t + 1]] for t in rare]):
+        for k in heapq.merge(*[holder[first[t] : first[t + 1]].tolist() for t in rare]):
             if k >= i:
                 break
-            x = rows[k]
-            if k == last or x["text"] == y["text"] or x["doc"] >= y["doc"]:
+            if k == last or rows["text"][k] == y["text"] or rows["doc"][k] >= y["doc"]:
                 continue
-            last, other = k, x["around"][: x["size"]]
-            if np.isin(near, other).sum() < least:
+            last, theirs = k, token[mark[k] : mark[k + 1]]
+            if not (part(i, mine, theirs) and part(k, theirs, mine)):
                 continue
-            spans = verified_passages(near, other)
+            x = rows[k]
+            spans = verified_passages(near, x["around"][: x["size"]])
             if spans:
                 found.append((y["text"], y["left"], y["right"], x["text"], x["left"], x["right"]))
             if any(s <= y["lead"] < e for s, e, *_ in spans):
