@@ -53,8 +53,8 @@ def fingerprint_batch(data: np.ndarray, offsets: np.ndarray, width: int = 3, see
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, carry: str = "doc_id") -> DataFrame:
+    """(doc_id, fp long): null and wordless texts have fingerprint 0. `carry` is the long column to keep for doc_id."""
     attach(docs.sparkSession)
 
     def run(batches):
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             if fps:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(fps).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(carry).alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(value: Column, at: int, n: int) -> Column:
@@ -181,6 +181,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, one row of each; columns unchanged."""
-    ids = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, whatever its ids: the smallest doc_id (null last), then the smallest text hash; columns unchanged."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    prints = materialize(fingerprints(rows, carry="_text").distinct().select(F.col("doc_id").alias("_t"), "fp"), "fingerprints")
+    roots = component_labels(links(prints.select("fp").distinct()))
+    rooted = prints.join(roots, prints.fp == roots.node, "left").select("_t", F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text"))
+    chosen = rows.select("doc_id", "_text").join(rooted, F.col("_text") == F.col("_t")).groupBy("root").agg(first.alias("_one"))
+    chosen = chosen.select(F.col("_one.doc_id").alias("_keep"), F.col("_one._text").alias("_t"))
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    kept = marked.join(chosen, marked.doc_id.eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_t")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -55,6 +55,14 @@ def test_simhash(corpus, empty):
     assert simhash.keep_one(corpus).columns == corpus.columns
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (3, e), (None, e)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e)])
+
+
 def test_hot_simhash_bucket():
     rng = np.random.default_rng(1)
     rest = np.concatenate([rng.integers(0, 1 << 38, 100), 7 ^ (1 << rng.integers(0, 12, 300)) ^ (1 << rng.integers(0, 12, 300))]).astype(np.int64)
