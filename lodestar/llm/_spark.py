@@ -9,14 +9,30 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints"
+LOCAL_SHARED = "/tmp/checkpoints"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local default only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED
+    """This application's folder in the one that all executors share (spark.checkpoint.dir).
+
+    Without that setting only a local master works, in a folder of its own; elsewhere it is an error,
+    since executors do not see each other's disks.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
+    return f"{base.rstrip('/')}/lodestar-{context.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still read them are then lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -40,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage (an executor lost later costs a re-read, not a recomputation) and gives the
-    planner real sizes. The files stay until the folder is cleared.
+    planner real sizes. The files stay until `clear_tables`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -17,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Arrow batches are worked on in runs of texts of about this many bytes; a longer text is its own run.
 RUN_BYTES = 1_000_000
+#: Longer words and lines are hashed one by one: a polynomial mod 2^64 has regular collisions from some hundred bytes on.
+POLYNOMIAL_BYTES = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -71,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes: a polynomial mod 2^64 read off one prefix sum, then mixed."""
+    """64-bit hash of each word's bytes: a polynomial mod 2^64 read off one prefix sum, then mixed; XXH64 of long words."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     terms = sums[1:]  # worked on in place: this is the largest array of a run
@@ -80,7 +83,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     terms *= _power("up", n)
     np.cumsum(terms, out=terms)
     raw = (sums[end] - sums[start]) * _power("down", n + 1)[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(end - start > POLYNOMIAL_BYTES)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -1,4 +1,7 @@
-"""Quality rules by line labelling: Viterbi over a line CRF, content share decides retention."""
+"""Quality rules by line labelling: Viterbi over a line CRF, content share decides retention.
+
+The bar of the share is the one that errs least on the labelled sample (0.5 without one).
+"""
 
 from __future__ import annotations
 
@@ -10,18 +13,19 @@ from lodestar.llm import _text, crf
 from lodestar.llm._spark import attach
 from lodestar.llm.lines import line_table
 
-MIN_WORDS, MIN_CONTENT = 50, 0.5
+MIN_WORDS = 50
 
 
-def judged(table, labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Statistics, content share (of word characters in content lines; no words: 0) and the verdict."""
+def judged(table, model: crf.LineModel) -> dict[str, np.ndarray]:
+    """Statistics, content share (of word characters in lines that Viterbi marks content; no words: 0) and the verdict."""
+    labels = crf.viterbi(model, table.features, table.first)
     n = len(table.first) - 1
     text_of = np.repeat(np.arange(n), np.diff(table.first))
     content = np.bincount(text_of, weights=table.weight * labels, minlength=n)
     share = content / np.maximum(np.bincount(text_of, weights=table.weight, minlength=n), 1)
     s = table.stats
     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-    return s | {"content_share": share, "base_failed": failed, "kept": ~failed & (share >= MIN_CONTENT)}
+    return s | {"content_share": share, "base_failed": failed, "kept": ~failed & (share >= model.least_content)}
 
 
 def label_documents(docs: DataFrame, model: crf.LineModel) -> DataFrame:
@@ -36,7 +40,7 @@ def label_documents(docs: DataFrame, model: crf.LineModel) -> DataFrame:
         for batch in batches:
             for rows, data, marks in _text.text_runs(batch):
                 table = line_table(data, marks)
-                found = judged(table, crf.viterbi(model, table.features, table.first))
+                found = judged(table, model)
                 ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(found[n]) for n in names]], ["doc_id", *names])
 
@@ -50,13 +54,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text passes, in one scan; columns unchanged."""
+    """The rows of `docs` whose text passes, in one scan; columns unchanged, whatever their names.
+
+    Null and empty texts do not pass; repeated rows pass or fail alike; an empty table stays empty.
+    """
     attach(docs.sparkSession)
     model = crf.train_on_labels(docs, labels)
 
     def run(batches):
         for batch in batches:
-            kept = [judged(table, crf.viterbi(model, table.features, table.first))["kept"] for table in (line_table(data, marks) for _, data, marks in _text.text_runs(batch))]
+            kept = [judged(line_table(data, marks), model)["kept"] for _, data, marks in _text.text_runs(batch)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 

@@ -15,11 +15,11 @@ THRESHOLD = 0.3
 
 
 def score_batch(model: crf.LineModel, data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Scores of consecutive texts: marginals of their lines weighted by length, on the sample's logistic scale."""
     table = line_table(data, marks)
-    good, _, _ = crf.forward_backward(model, table.features, table.first)
-    n = len(table.first) - 1
-    text_of, weight = np.repeat(np.arange(n), np.diff(table.first)), table.weight + 1e-6
-    return np.clip(np.bincount(text_of, weights=weight * good, minlength=n) / np.bincount(text_of, weights=weight, minlength=n), 0, 1)
+    _, mean = crf.document_means(model, table.features, table.first, table.weight, np.repeat(np.arange(len(table.first) - 1), np.diff(table.first)))
+    slope, offset = model.scale
+    return 1 / (1 + np.exp(-np.clip(slope * mean + offset, -700, 700)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
