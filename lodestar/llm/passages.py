@@ -3,9 +3,12 @@
 Tokens are five-word shingles. Under a hash function, every stretch of at least MIN_SHINGLES tokens
 belongs to the compact window (left, right) of its least token: the spans of the Cartesian tree over
 the token hashes. Windows of different texts that agree on their least token meet in a hash bucket
-and are linked to the text with the smallest doc_id; the intervals of a pair's windows are joined
-over all hash functions and the passages inside are verified by Jaccard similarity. Windows whose
-least token lies in no verified passage are compared again with every earlier holder of that token.
+and are linked to the text with the smallest doc_id; the intervals of a pair are joined by position,
+on both sides, and where enough hash functions agree the passages are verified by Jaccard similarity.
+
+The earliest holder of a token need not hold the passage around it. So the windows of a text are also
+intersected over pairs of hash functions: where no verified passage holds both least tokens of such an
+intersection, it is compared with every earlier text that has the same two least tokens in one stretch.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import _text
@@ -28,8 +31,8 @@ MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 AGREE = 2
 #: Documents per hash bucket: bounds what one task holds of the windows.
 BUCKET_DOCS = 4000
-#: Windows with the shingles around them per hash bucket, when they are compared again.
-BUCKET_WINDOWS = 50_000
+#: Rows that are compared again at once: more holders of two least tokens are compared in blocks of so many.
+BLOCK_ROWS = 50_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F + 0x9E3779B97F4A7C16 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
 
 
@@ -75,10 +78,9 @@ def placed_windows(tokens: np.ndarray, first: np.ndarray, seed: np.uint64, least
         return none
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     owner = text_of[at]
-    left, right = first[owner].copy(), (first[owner + 1] - 1).copy()
     places, values, owners = at.tolist(), value[at].tolist(), owner.tolist()
     stack: list[int] = []
-    lefts, rights = left.tolist(), right.tolist()
+    lefts, rights = first[owner].tolist(), (first[owner + 1] - 1).tolist()
     text = -1
     for i, (place, v, o) in enumerate(zip(places, values, owners)):
         if o != text:
@@ -88,15 +90,20 @@ def placed_windows(tokens: np.ndarray, first: np.ndarray, seed: np.uint64, least
         if stack:
             lefts[i] = places[stack[-1]] + 1
         stack.append(i)
-    return key[at], owner, at - first[owner], np.array(lefts) - first[owner], np.array(rights) - first[owner]
+    left, right = np.array(lefts), np.array(rights)
+    # A token that stays the least while it recurs has one window: its first and last place stand for it.
+    again = (key[at][1:] == key[at][:-1]) & (owner[1:] == owner[:-1])
+    head, tail = np.concatenate([[True], ~again]), np.concatenate([~again, [True]])
+    left = left[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+    at, owner, left, right = (x[head | tail] for x in (at, owner, left, right))
+    return key[at], owner, at - first[owner], left - first[owner], right - first[owner]
 
 
 _ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("left", "<i4"), ("right", "<i4"), ("hash", "<i4")])
-_SHARED = "key long, doc long, text long, at long, left long, right long, hash long, source_text long, source_left long, source_right long"
-#: Shingles on either side of a least shingle: every stretch of MIN_SHINGLES that holds it lies inside.
+_SHARED = "key long, doc long, text long, at long, left long, right long, hash long, source_doc long, source_text long, source_left long, source_right long"
+_REGION = ["text", "doc", "source_text", "source_doc", "left", "right", "source_left", "source_right"]
+#: Shingles on either side of two least tokens: every stretch of MIN_SHINGLES that holds both lies inside.
 REACH = MIN_SHINGLES - 1
-_NEAR = np.dtype([("key", "<i8"), ("doc", "<i8"), ("text", "<i8"), ("left", "<i4"), ("right", "<i4"), ("lead", "<i4"), ("size", "<i4"), ("open", "<i4"), ("around", "<u4", 2 * REACH + 1)])
-_PAIR = "text long, left long, right long, source_text long, source_left long, source_right long"
 
 
 def _shared(rows: np.ndarray) -> pd.DataFrame:
@@ -111,7 +118,7 @@ def _shared(rows: np.ndarray) -> pd.DataFrame:
     several = np.bincount(group, rows["text"] != center["text"]).astype(bool)[group] if len(rows) else head
     rows, center = rows[several], center[several]
     out = {n: rows[n].astype(np.int64) for n in _ROW.names}
-    return pd.DataFrame(out | {f"source_{n}": center[n].astype(np.int64) for n in ("text", "left", "right")})
+    return pd.DataFrame(out | {f"source_{n}": center[n].astype(np.int64) for n in ("doc", "text", "left", "right")})
 
 
 def _blobs(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -127,7 +134,7 @@ def shared_windows(docs: DataFrame, hashes: int = HASHES, buckets: int | None =
     """Compact windows whose least token several texts have, with the window of the smallest doc that has it.
 
     `docs` has doc_id, text and _text (its hash). No holder is left out: those that turn out to have
-    no passage in common with the centre are compared with each other by `regrouped_pairs`.
+    no passage in common with the centre are compared with each other by `open_pairs`.
     """
     attach(docs.sparkSession)
     buckets = buckets or max(32, -(-docs.count() // BUCKET_DOCS))
@@ -154,25 +161,79 @@ def shared_windows(docs: DataFrame, hashes: int = HASHES, buckets: int | None =
 
 
 def window_pairs(shared: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Pairs of a text and a centre that enough hash functions agree on, with the hulls of their windows."""
-    apart = shared.where("text != source_text").groupBy("text", "source_text")
-    agreed = F.bit_or(F.expr("shiftleft(1L, cast(hash as int))"))
-    return apart.agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right"), agreed.alias("hashes")).where(F.bit_count("hashes") >= min(AGREE, hashes))
-
-
-def _alike(rows: np.ndarray) -> np.ndarray:
-    """The rows by key and doc; those of one text with the same shingles around a key are one row with the hull of their windows."""
-    inside = np.arange(2 * REACH + 1) < rows["size"][:, None]
-    sums = np.where(inside, _text.mix(rows["around"] + (np.arange(2 * REACH + 1, dtype=np.uint64) << np.uint64(32))), np.uint64(0)).sum(axis=1, dtype=np.uint64)
-    order = np.lexsort((rows["lead"], sums, rows["text"], rows["doc"], rows["key"]))
-    rows, sums = rows[order], sums[order]
-    same = np.all([rows[n][1:] == rows[n][:-1] for n in ("key", "text", "lead", "size")], axis=0) & (sums[1:] == sums[:-1])
-    head = np.flatnonzero(np.concatenate([[True], ~same])[: len(rows)])
-    out = rows[head]
-    if len(head):
-        for name, fold in (("left", np.minimum), ("right", np.maximum), ("open", np.maximum)):
-            out[name] = fold.reduceat(rows[name], head)
-    return out
+    """Regions (_REGION) of a text and a centre where enough hash functions agree: their windows joined by position.
+
+    Windows of a pair belong together while they have a stretch of MIN_SHINGLES in common, first on
+    the text's side, then on the source's; the functions are counted within such a region.
+    """
+    pair = ["text", "source_text"]
+    part = shared.where("text != source_text")
+    for name, left, right in (("_part", "left", "right"), ("_spot", "source_left", "source_right")):
+        along = Window.partitionBy(*pair).orderBy(left, right)
+        before = F.max(right).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        part = part.withColumn("_cut", F.coalesce((F.col(left) + REACH > before).cast("int"), F.lit(0)))
+        part = part.withColumn(name, F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        pair = [*pair, name]
+    agreed = F.bit_or(F.expr("shiftleft(1L, cast(hash as int))")).alias("hashes")
+    hull = [f(c).alias(c) for c, f in (("doc", F.min), ("source_doc", F.min), ("left", F.min), ("right", F.max), ("source_left", F.min), ("source_right", F.max))]
+    return part.groupBy(*pair).agg(*hull, agreed).where(F.bit_count("hashes") >= min(AGREE, hashes)).select(*_REGION)
+
+
+_MEET = "key long, text long, doc long, lo long, hi long, left long, right long, open boolean"
+
+
+def _intersections(windows: dict[str, np.ndarray], text_of: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: int) -> tuple[np.ndarray, ...]:
+    """(key, text number, lo, hi, left, right, open) of windows of two hash functions in one stretch of a text.
+
+    windows: key, at, left, right, hash; spans: text number, start, end of verified passages, by text
+    and start. lo and hi are the places of the two least tokens.
+    """
+    far = np.int64(1) << 32
+    out: list[tuple[np.ndarray, ...]] = []
+    place = text_of * far + windows["at"]
+    for i in range(hashes):
+        for j in range(i + 1, hashes):
+            a, b = np.flatnonzero(windows["hash"] == i), np.flatnonzero(windows["hash"] == j)
+            b = b[np.argsort(place[b], kind="stable")]
+            start, end = np.searchsorted(place[b], place[a] - REACH, "left"), np.searchsorted(place[b], place[a] + REACH, "right")
+            a, b = np.repeat(a, end - start), b[_text.ranges(start, end - start)]
+            left, right = np.maximum(windows["left"][a], windows["left"][b]), np.minimum(windows["right"][a], windows["right"][b])
+            lo, hi = np.minimum(windows["at"][a], windows["at"][b]), np.maximum(windows["at"][a], windows["at"][b])
+            good = (right - left >= REACH) & (left <= lo) & (hi <= right)
+            key = _text.mix(_text.mix(windows["key"][a].view(np.uint64)) + windows["key"][b].view(np.uint64)).view(np.int64)
+            out.append(tuple(x[good] for x in (key, text_of[a], lo, hi, left, right)))
+    key, text, lo, hi, left, right = (np.concatenate(x) for x in zip(*out))
+    of, s, e = spans
+    # The furthest end of a text's passages that begin at or before lo.
+    furthest = np.maximum.accumulate(of * far + e) if len(of) else e
+    k = np.searchsorted(of * far + s, text * far + lo, "right") - 1
+    settled = np.zeros(len(key), bool)
+    some = k >= 0
+    settled[some] = furthest[k[some]] > text[some] * far + hi[some]
+    return key, text, lo, hi, left, right, ~settled
+
+
+def intersections(shared: DataFrame, spans: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Rows (_MEET) for each pair of least tokens in one stretch of a text; open if no verified span (text, s, e) holds both."""
+    listed = shared.groupBy("text").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("key", "at", "left", "right", "hash")).alias("windows"))
+    found = spans.groupBy(F.col("text").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    names = [c.split()[0] for c in _MEET.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            texts, docs = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("text", "doc"))
+            lists, spans_ = batch.column("windows"), batch.column("spans").combine_chunks() if isinstance(batch.column("spans"), pa.ChunkedArray) else batch.column("spans")
+            flat = lists.flatten()
+            windows = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("key", "at", "left", "right", "hash")}
+            text_of = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            inner, sizes = spans_.flatten(), pa.compute.list_value_length(spans_).fill_null(0).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(batch)), sizes)
+            key, text, *rest = _intersections(windows, text_of, (of, *(inner.field(n).to_numpy(zero_copy_only=False) for n in ("s", "e"))), hashes)
+            for at in range(0, len(key), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (key, texts[text], docs[text], *rest)], names)
+
+    return listed.join(found, F.col("text") == F.col("_t"), "left").select("text", "doc", "windows", "spans").mapInArrow(run, _MEET)
 
 
 def _different(tokens: np.ndarray) -> np.ndarray:
@@ -185,29 +246,51 @@ def _different(tokens: np.ndarray) -> np.ndarray:
     return (spot >= start) & (spot < start + MIN_SHINGLES) & (before < start)
 
 
-def regrouped(rows: np.ndarray) -> list[tuple[int, ...]]:
-    """Pairs, as in _PAIR, of every open row with the smallest doc that shares a passage around their common key.
+def _hopeful(token: np.ndarray, known: np.ndarray, which: np.ndarray, mark: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """The asking rows with a stretch of MIN_SHINGLES of which SIMILARITY is known; rows that repeat a token are not judged."""
+    sizes = np.diff(mark)
+    sums = np.concatenate([[0], np.cumsum(known)])
+    starts = _text.ranges(mark[:-1], np.maximum(sizes - REACH, 0))
+    best = np.zeros(len(sizes), np.int64)
+    np.maximum.at(best, which[starts], sums[starts + MIN_SHINGLES] - sums[starts])
+    pair = _distinct(which.astype(np.int64) * (int(token.max(initial=0)) + 1) + token)
+    distinct = np.bincount(pair // (int(token.max(initial=0)) + 1), minlength=len(sizes))
+    return np.flatnonzero(ask & (sizes >= MIN_SHINGLES) & ((best >= SIMILARITY * MIN_SHINGLES) | (distinct < sizes)))
+
 
-    Rows of one key are compared by the shingles around it. A stretch has SIMILARITY of its different
+def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
+    """Regions (_REGION) of every asking row with the earliest rows of its key that share a passage around the two tokens.
+
+    Columns: key, ask (else the row may be a source), text, doc, lo, hi (of the two tokens within
+    `around`), left, right, around (shingles, uint32). A stretch has SIMILARITY of its different
     shingles in common with its source, so one of its rarest must be among them; a phrase that the
     whole group has is therefore no candidate by itself, and a group costs about its real matches.
+    A source is earlier by (doc, text); the search of a row ends at the first one that holds both tokens.
     """
-    rows = _alike(rows)
-    which, column = np.nonzero(np.arange(2 * REACH + 1) < rows["size"][:, None])
-    token = _text.mix(_text.mix(rows["key"][which].view(np.uint64)) + rows["around"][which, column])
-    _, token = np.unique(token, return_inverse=True)
-    n_tokens = int(token.max(initial=-1)) + 1
-    order = np.lexsort((which, token))
-    order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (which[order][1:] != which[order][:-1])])[: len(order)]]
-    holder, held = which[order], token[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=n_tokens))])
-    # Holders are ordered by doc and text, so those of one text are neighbours.
-    texts = np.concatenate([[True], (held[1:] != held[:-1]) | (rows["text"][holder][1:] != rows["text"][holder][:-1])])[: len(held)]
-    often = np.bincount(held[texts], minlength=n_tokens)[token]
-    mark = np.searchsorted(which, np.arange(len(rows) + 1))
-    many = np.bincount(which[often > 1], minlength=len(rows)) >= SIMILARITY * MIN_SHINGLES
-    flag, found = np.zeros(n_tokens, bool), []
-    sets: dict[int, np.ndarray] = {}
+    rows = rows.sort_values(["key", "doc", "text"], kind="stable", ignore_index=True)
+    arrays = [np.frombuffer(x, np.uint32) for x in rows["around"]]
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    which = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+    ask, key, text, doc = rows["ask"].to_numpy(bool), rows["key"].to_numpy(), rows["text"].to_numpy(), rows["doc"].to_numpy()
+    _, token = np.unique(_text.mix(_text.mix(key.view(np.uint64))[which] + flat), return_inverse=True)
+    n_tokens, mark = int(token.max(initial=-1)) + 1, np.concatenate([[0], np.cumsum(sizes)])
+    # Rows of one text are one holder; holders are numbered in order within the key.
+    _, rank = np.unique(np.stack([key, doc, text], axis=1), axis=0, return_inverse=True) if len(rows) else (None, np.zeros(0, np.int64))
+    # Postings of the rows that may be sources, once per row and token, in order.
+    source = ~ask[which]
+    posting = _distinct(token[source].astype(np.int64) * len(rows) + which[source])
+    holder, held = posting % max(len(rows), 1), posting // max(len(rows), 1)
+    first = np.searchsorted(held, np.arange(n_tokens + 1))
+    often = np.diff(first)[token]
+    earliest = np.full(n_tokens, np.iinfo(np.int64).max)
+    some = np.flatnonzero(np.diff(first))
+    earliest[some] = rank[holder[first[:-1][some]]]
+    # A row can match only if some stretch has SIMILARITY of its tokens from earlier holders.
+    known = earliest[token] < rank[which]
+    hopeful = _hopeful(token, known, which, mark, ask)
+    flag, found, sets = np.zeros(n_tokens, bool), [], {}
+    at = {n: rows[n].to_numpy() for n in ("lo", "hi", "left", "right")}
 
     def part(k: int, mine: np.ndarray, other: np.ndarray) -> bool:
         if k not in sets:
@@ -219,82 +302,84 @@ def regrouped(rows: np.ndarray) -> list[tuple[int, ...]]:
         flag[other] = False
         return bool((shared >= SIMILARITY * sets[k].sum(axis=1)).any())
 
-    for i in np.flatnonzero(many & (rows["open"] > 0)):
-        y, mine, count = rows[i], token[mark[i] : mark[i + 1]], often[mark[i] : mark[i + 1]]
+    for i in hopeful:
+        mine, count = token[mark[i] : mark[i + 1]], np.where(known[mark[i] : mark[i + 1]], often[mark[i] : mark[i + 1]], 0)
         ranked = np.argsort(count, kind="stable")
         different = _different(mine)[:, ranked]
         size = different.sum(axis=1)
         least = np.ceil(SIMILARITY * size - 1e-9)
-        usable = different[:, count[ranked] > 1].sum(axis=1) >= least
+        usable = different[:, count[ranked] > 0].sum(axis=1) >= least
         if not usable.any():
             continue
         different, size, least = different[usable], size[usable], least[usable]
-        rare = np.unique(mine[ranked[(different & (np.cumsum(different, axis=1) <= (size - least + 1)[:, None])).any(axis=0)]])
-        near, last = y["around"][: y["size"]], -1
+        rare = _distinct(mine[ranked[(different & (np.cumsum(different, axis=1) <= (size - least + 1)[:, None])).any(axis=0)]])
+        last = -1
         for k in heapq.merge(*[holder[first[t] : first[t + 1]].tolist() for t in rare]):
-            if k >= i:
+            if (doc[k], text[k]) >= (doc[i], text[i]):
                 break
-            if k == last or rows["text"][k] == y["text"] or rows["doc"][k] >= y["doc"]:
+            if k == last or text[k] == text[i]:
                 continue
             last, theirs = k, token[mark[k] : mark[k + 1]]
             if not (part(i, mine, theirs) and part(k, theirs, mine)):
                 continue
-            x = rows[k]
-            spans = verified_passages(near, x["around"][: x["size"]])
+            spans = verified_passages(arrays[i], arrays[k])
             if spans:
-                found.append((y["text"], y["left"], y["right"], x["text"], x["left"], x["right"]))
-            if any(s <= y["lead"] < e for s, e, *_ in spans):
+                found.append((text[i], doc[i], text[k], doc[k], at["left"][i], at["right"][i], at["left"][k], at["right"][k]))
+            if any(s <= at["lo"][i] and at["hi"][i] < e for s, e, *_ in spans):
                 break
     return found
 
 
-def regrouped_pairs(shared: DataFrame, found: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
-    """Pairs of texts, as in _PAIR, between holders of a key that no passage of `found` (text, s, e) settles; and the texts.
+def open_pairs(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Regions (_REGION) of texts that share a passage around two least tokens that no passage found before holds.
 
-    Every row whose least token lies in no verified passage is compared again with all earlier holders
-    of its key, whichever document they are, until one shares a passage there.
+    met: rows as _MEET; texts: text, shingles. Only keys with an open row after the first holder count. Rows
+    of one key meet in blocks: each row may be a source in one block, and open rows ask in all of them.
     """
-    spans = found.select(F.col("text").alias("_t"), "s", "e")
-    apart = shared.where("text != source_text")
-    unsettled = apart.join(spans, (F.col("text") == F.col("_t")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left_anti")
-    unsettled = materialize(unsettled.select("key", F.col("text").alias("_t"), F.col("at").alias("_at")), "unsettled")
-    members = shared.join(unsettled.select(F.col("key").alias("_k")).distinct(), F.col("key") == F.col("_k"), "left_semi")
-    members = members.join(unsettled.select(F.col("key").alias("_k"), "_t", "_at").withColumn("open", F.lit(1)), (F.col("key") == F.col("_k")) & (F.col("text") == F.col("_t")) & (F.col("at") == F.col("_at")), "left")
-    listed = members.groupBy("text").agg(F.collect_list(F.struct("key", "doc", "at", "left", "right", F.coalesce("open", F.lit(0)).alias("open"))).alias("windows"))
-    listed = materialize(listed, "windows")
-    buckets = max(32, -(-listed.agg(F.sum(F.size("windows"))).first()[0] // BUCKET_WINDOWS)) if listed.head(1) else 32
-    texts = texts_of(listed.select(F.col("text").alias("_text")))
-
-    def around(batches):
-        held: list[np.ndarray] = []
-        for batch in batches:
-            words, keys, lists = batch.column("words"), batch.column("text").to_pylist(), batch.column("windows")
-            for i, text in enumerate(keys):
-                raw = np.frombuffer(words[i].as_buffer(), np.uint8)
-                tokens = _shingles(raw, np.array([0, len(raw)]))[0].astype(np.uint32)
-                windows = lists[i].values
-                out = np.zeros(len(windows), _NEAR)
-                for n in ("key", "doc", "left", "right", "open"):
-                    out[n] = windows.field(n).to_numpy(zero_copy_only=False)
-                at = windows.field("at").to_numpy(zero_copy_only=False)
-                start = np.maximum(at - REACH, 0)
-                out["text"], out["lead"], out["size"] = text, at - start, np.minimum(at + REACH + 1, len(tokens)) - start
-                spot = start[:, None] + np.arange(2 * REACH + 1)
-                out["around"] = tokens[np.minimum(spot, len(tokens) - 1)]
-                held.append(out)
-                if sum(map(len, held)) > 20_000:
-                    yield _blobs(np.concatenate(held), buckets)
-                    held.clear()
+    place = F.struct("doc", "text")
+    stats = met.groupBy(F.col("key").alias("_key")).agg(F.min(place).alias("_first"), F.max(F.when(F.col("open"), place)).alias("_last"), F.count("*").alias("_n")).where("_last > _first")
+    kept = met.join(stats.select("_key", "_first", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks")), F.col("key") == F.col("_key"))
+    kept = kept.withColumn("open", F.col("open") & (place > F.col("_first")))
+    kept = materialize(kept.select("key", "_blocks", "text", "doc", "lo", "hi", "left", "right", "open"), "open")
+    begin, end = F.greatest("left", F.col("hi") - REACH), F.least("right", F.col("lo") + REACH)
+    near = kept.join(texts.select(F.col("text").alias("_t"), "shingles"), F.col("text") == F.col("_t")).select(
+        "key", "_blocks", "text", "doc", (F.col("lo") - begin).alias("lo"), (F.col("hi") - begin).alias("hi"), "left", "right", "open", _slice("shingles", begin, end).alias("around")
+    )
+    mine = F.pmod(F.xxhash64("text"), F.col("_blocks")).cast("int")
+    own = F.array(F.struct(mine.alias("block"), F.lit(False).alias("ask")))
+    asks = F.when(F.col("open"), F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("ask")))).otherwise(F.array().cast("array<struct<block:int,ask:boolean>>"))
+    dealt = near.select("key", "text", "doc", "lo", "hi", "left", "right", "around", F.inline(F.concat(own, asks)))
+    region = ", ".join(f"{n} long" for n in _REGION)
+
+    def again(frames):
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            last = (pdf["key"].to_numpy() == pdf["key"].iloc[-1]) & (pdf["block"].to_numpy() == pdf["block"].iloc[-1])
+            cut = int(np.argmax(last))
+            if cut and sum(map(len, held)) + cut >= 4000:
+                yield pd.DataFrame(regrouped(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)), columns=_REGION, dtype=np.int64)
+                held = [pdf.iloc[cut:]]
+            else:
+                held.append(pdf)
         if held:
-            yield _blobs(np.concatenate(held), buckets)
+            yield pd.DataFrame(regrouped(pd.concat(held, ignore_index=True)), columns=_REGION, dtype=np.int64)
+
+    dealt = dealt.withColumn("key", F.xxhash64("key", "block")).repartition("key").sortWithinPartitions("key")
+    pairs = dealt.select("key", "block", "ask", "text", "doc", "lo", "hi", "left", "right", "around").mapInPandas(again, region)
+    hull = [f(c).alias(c) for c, f in (("left", F.min), ("right", F.max), ("source_left", F.min), ("source_right", F.max))]
+    return pairs.groupBy("text", "doc", "source_text", "source_doc").agg(*hull).select(*_REGION)
+
 
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = regrouped(np.frombuffer(b"".join(pdf["rows"]), _NEAR))
-        return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 6), columns=[c.split()[0] for c in _PAIR.split(", ")])
+def _slice(shingles: str, begin, end):
+    """Shingles begin to end (inclusive) of a binary column of uint32."""
+    return F.substring(shingles, (4 * begin + 1).cast("int"), (4 * (end - begin + 1)).cast("int"))
 
-    near = listed.join(texts.select(F.col("_text").alias("_t"), F.col("text").alias("words")), F.col("text") == F.col("_t")).select("text", "windows", "words")
-    pairs = near.mapInArrow(around, "bucket long, rows binary").groupBy("bucket").applyInPandas(again, _PAIR)
-    return pairs.groupBy("text", "source_text").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("source_left").alias("source_left"), F.max("source_right").alias("source_right")), texts
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
 
 
 def _stretches(hit: np.ndarray, place: np.ndarray, similarity: float, least: int) -> list[tuple[int, int]]:
@@ -348,9 +433,10 @@ def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
 
     def passes(hit: np.ndarray, place: np.ndarray) -> bool:
         s, e, p, q = int(hit[0]), int(hit[-1]) + 1, int(place.min()), int(place.max()) + 1
-        one, two = np.unique(a[s:e]), np.unique(b[p:q])
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        score = both / (len(one) + len(two) - both)
+        one, two = _distinct(a[s:e]), _distinct(b[p:q])
+        all_ = np.sort(np.concatenate([one, two]))
+        both = int((all_[1:] == all_[:-1]).sum())
+        score = both / (len(all_) - both)
         if e - s < least or score < similarity:
             return False
         found.append((s, e, p, q, score))
@@ -387,69 +473,79 @@ def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
     return found
 
 
-_FOUND = "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, similarity double"
+_FOUND = "text long, doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, similarity double"
 
 
-def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Passages of at least 50 words that occur in a document of smaller doc_id, at similarity 0.8 or more.
+def shingle_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, shingles (binary, uint32) of the wanted texts (text, doc) among rows (doc_id, text, _text)."""
+    wanted = wanted.select(F.col("text").alias("_t"), F.col("doc").alias("_doc"))
+    some = rows.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_t"))).dropDuplicates(["doc_id", "_text"])
 
-    doc_id, start_word, end_word, source_doc_id, source_start, source_end, similarity, copy_of. Rows
-    link one document per text (its smallest doc_id); an exact copy of at least 50 words has one row,
-    its whole text with copy_of set, and shares its class's other rows. Words are lower-cased.
-    Null or shorter texts and null doc_ids take no part; repeated rows of one id count once; repeats
-    within one document are not looked for.
-    """
-    attach(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
-    ids = materialize(rows.select("doc_id", "_text").where("doc_id is not null"), "text-ids")
-    classes = materialize(ids.groupBy("_text").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_copies")), "classes")
-    shared = materialize(shared_windows(rows, hashes), "shared")
-    one, two = (classes.select(F.col("_text").alias(f"_{n}"), F.col("_doc").alias(f"{n}_doc")) for n in "ab")
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("_text")
+            for part, data, marks in _text.text_runs(batch):
+                tokens, first = _shingles(data, marks)
+                raw = pa.py_buffer(tokens.astype(np.uint32).tobytes())
+                ends = pa.py_buffer((4 * first).astype(np.int64).tobytes())
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, ends, raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), lists], ["text", "shingles"])
 
-    def named(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.join(one, pairs.text == one._a).join(two, F.col("source_text") == two._b).where("a_doc > b_doc"), "pairs")
+    return some.select("_text", "text").mapInArrow(run, "text long, shingles binary")
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        wanted = keys.distinct().join(classes, "_text").select(F.col("_text").alias("_t"), "_doc")
-        return materialize(rows.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_t"))).select("_text", "text").dropDuplicates(["_text"]), "texts")
 
-    def verify(batches):
-        kept: dict[int, np.ndarray] = {}
-        def shingles(key: int, text: pa.Scalar) -> np.ndarray:
-            if key not in kept:
-                if len(kept) > 8:
-                    kept.clear()
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                kept[key] = _shingles(raw, np.array([0, len(raw)]))[0]
-            return kept[key]
+def verified(regions: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages (_FOUND) of regions (_REGION) with similarity SIMILARITY; only the regions' shingles are shipped."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
 
+    def run(batches):
         for batch in batches:
-            out, words, source_words = [], batch.column("words"), batch.column("source_words")
-            for i, r in enumerate(batch.drop_columns(["words", "source_words"]).to_pylist()):
-                b = shingles(r["source_text"], source_words[i])
-                a = shingles(r["text"], words[i])
-                lo, so = r["left"], r["source_left"]
-                for s, e, p, q, score in verified_passages(a[lo : r["right"] + 1], b[so : r["source_right"] + 1]):
-                    out.append((r["text"], r["a_doc"], lo + s, lo + e + SHINGLE - 1, r["b_doc"], so + p, so + q + SHINGLE - 1, score))
-            columns = list(zip(*out)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 7 else pa.int64()) for k, c in enumerate(columns)], ["text", *[c.split()[0] for c in _FOUND.split(", ")]])
-
-    def passages(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        near = pairs.join(texts.select(F.col("_text").alias("_x"), F.col("text").alias("words")), pairs.text == F.col("_x"))
-        near = near.join(texts.select(F.col("_text").alias("_y"), F.col("text").alias("source_words")), F.col("source_text") == F.col("_y"))
-        near = near.select("text", "source_text", "left", "right", "source_left", "source_right", "a_doc", "b_doc", "words", "source_words")
-        return materialize(near.mapInArrow(verify, "text long, " + _FOUND), "passages")
-
-    pairs = named(window_pairs(shared, hashes))
-    found = passages(pairs, texts_of(pairs.select(F.col("text").alias("_text")).union(pairs.select("source_text"))))
+            out = []
+            places = [batch.column(n).to_pylist() for n in ("text", "doc", "source_doc", "left", "source_left")]
+            for i, (text, doc, source, lo, so) in enumerate(zip(*places)):
+                a, b = (np.frombuffer(batch.column(n)[i].as_buffer(), np.uint32) for n in ("a", "b"))
+                for s, e, p, q, score in verified_passages(a, b):
+                    out.append((text, doc, lo + s, lo + e + SHINGLE - 1, source, so + p, so + q + SHINGLE - 1, score))
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(names, columns)], names)
+
+    held = texts.select(F.col("text").alias("_t"), "shingles")
+    near = regions.join(held, F.col("text") == F.col("_t")).select(*_REGION, _slice("shingles", F.col("left"), F.col("right")).alias("a"))
+    near = near.join(held, F.col("source_text") == F.col("_t")).select("text", "doc", "source_doc", "left", "source_left", "a", _slice("shingles", F.col("source_left"), F.col("source_right")).alias("b"))
+    return near.mapInArrow(run, _FOUND)
+
+
+def text_passages(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(passages as _FOUND by text, classes of equal texts: _text, _doc, _copies) of documents with an id."""
+    attach(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text")).where("doc_id is not null")
+    classes = materialize(rows.groupBy("_text").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_copies")), "classes")
+    shared = materialize(shared_windows(rows, hashes), "shared")
+    texts = materialize(shingle_table(rows, shared.select("text", "doc").distinct()), "texts")
+    found = materialize(verified(window_pairs(shared, hashes), texts), "passages")
     spans = found.select("text", F.col("start_word").alias("s"), (F.col("end_word") - (SHINGLE - 1)).alias("e"))
-    more, texts = regrouped_pairs(shared, spans, texts_of)
-    found = found.union(passages(named(more), texts)).drop("text").distinct().withColumn("copy_of", F.lit(None).cast("long"))
-    sizes = rows.select("doc_id", "_text", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_n")).where(F.col("_n") >= MIN_WORDS)
+    met = materialize(intersections(shared, spans, hashes), "intersections")
+    more = verified(materialize(open_pairs(met, texts), "pairs"), texts)
+    return materialize(found.union(more).distinct(), "all-passages"), classes
+
+
+def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Passages of at least 50 words that occur in an earlier document, at similarity 0.8 or more.
+
+    doc_id, start_word, end_word, source_doc_id, source_start, source_end, similarity, copy_of. Rows
+    link one document per text (its smallest doc_id); an exact copy of at least 50 words has one row,
+    its whole text with copy_of set, and shares its class's other rows. Words are lower-cased. Earlier
+    is the smaller doc_id (of two texts with one id, the smaller hash). Null or shorter texts and null
+    doc_ids take no part; repeated rows of one id count once; repeats within one document are not
+    looked for. An empty table gives an empty result; other columns are not read.
+    """
+    found, classes = text_passages(docs, hashes)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    sizes = rows.select("doc_id", F.xxhash64("text").alias("_text"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_n")).where(F.col("_n") >= MIN_WORDS)
     again = sizes.join(classes.where("_copies > 1"), "_text").where("doc_id > _doc").select("doc_id", "_n", "_doc").distinct()
     zero = F.lit(0).cast("long")
     copies = again.select("doc_id", zero.alias("start_word"), F.col("_n").alias("end_word"), F.col("_doc").alias("source_doc_id"), zero.alias("source_start"), F.col("_n").alias("source_end"), F.lit(1.0).alias("similarity"), F.col("_doc").alias("copy_of"))
-    return found.unionByName(copies)
+    return found.drop("text").withColumn("copy_of", F.lit(None).cast("long")).unionByName(copies)
 
 
 def without(text: str, spans: list[list[int]]) -> str | None:
@@ -465,31 +561,43 @@ def without(text: str, spans: list[list[int]]) -> str | None:
 
 
 def drop_repeats(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """The documents without their repeated passages; the document of smallest doc_id keeps its own.
+    """The documents without their repeated passages; the earliest document keeps its own.
 
-    A document whose words all go is dropped; the others keep every other byte of their text and get
-    the text's new n_chars if they have that column. Null texts stay. Columns unchanged.
+    Passages are cut from the very text that they were found in, so that rows which share an id keep
+    their own. A copy (of a text of at least 50 words) under a larger id, and a document whose words
+    all go, is dropped; the others keep every other byte of their text and get the text's new n_chars
+    if they have that column. Null texts, null ids and shorter texts stay, and so do repeated rows of
+    an id. Columns unchanged, whatever their names; an empty table stays empty.
     """
-    spans = near_duplicate_passages(docs, hashes).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.array("start_word", "end_word"))).alias("_spans"))
+    found, classes = text_passages(docs, hashes)
+    spans = found.groupBy("text").agg(F.sort_array(F.collect_set(F.array("start_word", "end_word"))).alias("spans"))
+    facts = classes.join(spans, F.col("_text") == F.col("text"), "left").where("_copies > 1 or spans is not null").select(F.col("_text").alias("key"), F.col("_doc").alias("first"), "spans")
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            cuts, kept = batch.column("_spans"), batch.select(names)
-            touched = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False) & kept.column("text").is_valid().to_numpy(zero_copy_only=False))
+            kept = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names)
+            firsts, cuts = batch.column("first"), batch.column("spans")
+            touched = np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False) & kept.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             if len(touched):
-                texts, stay = kept.column("text").to_pylist(), np.ones(len(kept), bool)
-                for i in touched:
-                    texts[i] = without(texts[i], cuts[int(i)].as_py())
-                    stay[i] = texts[i] is not None
+                texts, ids, stay = kept.column("text").to_pylist(), kept.column("doc_id").to_pylist(), np.ones(len(kept), bool)
+                for i in touched.tolist():
+                    if texts[i] is None:
+                        continue
+                    if ids[i] > firsts[i].as_py():
+                        stay[i] = len(_text.word_bounds(np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(texts[i].encode())]))[0]) < MIN_WORDS
+                    elif cuts[i].is_valid:
+                        texts[i] = without(texts[i], cuts[i].as_py())
+                        stay[i] = texts[i] is not None
                 new = {"text": pa.array(texts, kept.schema.field("text").type)}
                 if "n_chars" in names:
                     sizes = kept.column("n_chars").to_pylist()
-                    for i in touched:
-                        sizes[i] = len(texts[i] or "")
+                    for i in touched.tolist():
+                        sizes[i] = len(texts[i]) if texts[i] is not None and cuts[i].is_valid and ids[i] <= firsts[i].as_py() else sizes[i]
                     new["n_chars"] = pa.array(sizes, kept.schema.field("n_chars").type)
                 kept = pa.RecordBatch.from_arrays([new.get(n, kept.column(n)) for n in names], names).filter(pa.array(stay))
             yield kept
 
-    named = spans.select(F.col("doc_id").alias("_id"), "_spans")
-    return docs.join(named, docs.doc_id == F.col("_id"), "left").select(*[docs[n] for n in names], "_spans").mapInArrow(run, docs.schema)
+    wrapped = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    marked = wrapped.join(facts, F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("key"), "left")
+    return marked.select("row", "first", "spans").mapInArrow(run, docs.schema)

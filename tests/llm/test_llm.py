@@ -362,3 +362,65 @@ def test_pipeline_on_small_tables(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_every_pair_is_found_beside_holders_of_its_beginning(spark):
+    """60 pairs share 60 words each; documents of smaller ids hold the first 45 of them, or nothing."""
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [make(60) for _ in range(60)]
+    for some in ([], [make(30) + p[:45] + make(30) for p in shared]):
+        texts = some + [make(rng.randint(20, 90)) + p + make(rng.randint(20, 90)) for p in shared for _ in range(2)]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        base = len(some)
+        want = {(base + 2 * k + 1, base + 2 * k) for k in range(60)}
+        covered = defaultdict(set)
+        for r in got:
+            covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert {(r.doc_id, r.source_doc_id) for r in got} == want and all(len(c) == 60 for c in covered.values())
+
+
+def test_exact_passages_by_brute_force(spark):
+    """Every 50-word window that an earlier text has lies in found passages but for outer words; clean documents have none."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(3000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    pool, texts = [make(rng.randint(50, 120)) for _ in range(12)], []
+    for _ in range(150):
+        text = make(rng.randint(10, 150))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(pool)
+            k = rng.randint(0, len(p) - 50) if rng.random() < 0.5 else 0
+            text += p[k:] + make(rng.randint(0, 80))
+        texts.append(text)
+    texts += [["same"] * 200, ["same"] * 90 + make(30), (make(12) * 20)[:200]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    covered, first, missed, n, words = defaultdict(set), {}, 0, 0, 0
+    for r in got:
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    for i, t in enumerate(texts):
+        windows = {tuple(t[k : k + 50]): k for k in range(len(t) - 49)}
+        hits = [k for k in range(len(t) - 49) if tuple(t[k : k + 50]) in first]
+        n += len(hits)
+        repeated = {w for k in hits for w in range(k, k + 50)}
+        missed, words = missed + len(repeated - covered[i]), words + len(repeated)
+        assert all(len(set(range(k, k + 50)) & covered[i]) >= 25 for k in hits)
+        assert hits or not covered[i] or i >= 150
+        for w in windows:
+            first.setdefault(w, i)
+    # A passage that a third text has longer than the linked one is not extended.
+    assert n > 300 and missed <= 0.02 * words
+
+
+def test_drop_repeats_cuts_the_right_text(spark):
+    rng = random.Random(4)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, alone, copy = make(80), make(90), make(60)
+    rows = [(1, f"{shared} {make(20)}", 5, 7, 8, 9), (2, alone, 5, 7, 8, 9), (2, f"{make(20)} {shared}", 5, 7, 8, 9), (None, f"{shared} x", 5, 7, 8, 9), (3, copy, 5, 7, 8, 9), (4, copy, 5, 7, 8, 9), (4, copy, 5, 7, 8, 9), (5, None, 5, 7, 8, 9), (6, "a b", 5, 7, 8, 9), (7, "a b", 5, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _id long, _spans long, _text long").repartition(3)
+    got = passages.drop_repeats(docs)
+    left = sorted((str(r.doc_id), r.text and len(r.text.split()), r.n_chars == len(r.text or "") or r.n_chars == 5) for r in got.collect())
+    assert got.columns == docs.columns and left == sorted([("1", 100, True), ("2", 90, True), ("2", 20, True), ("None", 81, True), ("3", 60, True), ("5", None, True), ("6", 2, True), ("7", 2, True)])
+    assert passages.drop_repeats(docs.where("false")).count() == 0
