@@ -1,8 +1,10 @@
-"""Mixing sources to target weights: capped weight targets, Sainte-Lague block quotas, seeded blocks.
+"""Mixing sources to target weights: capped weight targets, Sainte-Lague block quotas per shard, seeded blocks.
 
 Each source's documents are laid end to end in seeded order and cut into blocks of equal tokens.
-Sainte-Lague apportionment gives every source an integer number of blocks; a quota above the
-source's own blocks takes whole passes and then a seeded run of blocks.
+Sainte-Lague apportionment deals the mix's blocks to the sources by highest quotients, in the order in
+which the shards fill up: every shard has its integer quota of each source, and so have all shards up
+to it together. A shard takes its quota as the next run of the source's blocks, from a seeded first one;
+a source that is taken more than once begins anew.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from lodestar.llm._spark import materialize, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Largest block; small inputs use smaller ones, so that a source holds about a thousand blocks.
-BLOCK_TOKENS, BLOCKS_PER_SOURCE = 256, 1024
+#: Tokens of a block and shards of a mix.
+BLOCK_TOKENS, SHARDS = 32, 16
 
 
 def word_count(text: Column) -> Column:
@@ -43,66 +45,75 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     return placed.withColumn("target", F.least("top", F.coalesce(first["level"], F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "place", "weight", "target")
 
 
-def block_quotas(targets: DataFrame, blocks: int, block_tokens: int, cap: float = 3.0) -> DataFrame:
-    """targets plus quota: `blocks` seats by highest quotients target / (2k - 1), ties to the first source.
+def block_quotas(targets: DataFrame, houses: list[int], block_tokens: int, cap: float = 3.0) -> DataFrame:
+    """targets plus house and quota: seats of each house size by highest quotients target / (2k - 1), ties to the first source.
 
     Seats far below a source's share are certain; only those around it are ranked, a handful of
-    rows per source.
+    rows per source and house. A smaller house's quotas are never above a larger one's.
     """
-    every = Window.partitionBy()
-    share = F.col("target") * blocks / F.greatest(F.sum("target").over(every), F.lit(1e-300))
-    wide = targets.withColumn("share", share).withColumn("pad", (F.lit(2) + F.ceil(F.col("share") * F.count("*").over(every) / F.lit(blocks))).cast("long"))
+    sizes = F.array(*[F.struct(F.lit(j).alias("house"), F.lit(n).cast("long").alias("blocks")) for j, n in enumerate(houses)])
+    every = Window.partitionBy("house")
+    wide = targets.select("*", F.inline(sizes))
+    wide = wide.withColumn("share", F.col("target") * F.col("blocks") / F.greatest(F.sum("target").over(every), F.lit(1e-300)))
+    wide = wide.withColumn("pad", (F.lit(2) + F.ceil(F.col("share") * F.count("*").over(every) / F.greatest("blocks", F.lit(1)))).cast("long"))
     wide = wide.withColumn("sure", F.greatest(F.floor("share").cast("long") - F.col("pad"), F.lit(0).cast("long")))
-    left = wide.withColumn("open", F.lit(blocks) - F.sum("sure").over(every))
+    left = wide.withColumn("open", F.col("blocks") - F.sum("sure").over(every))
     seats = left.withColumn("k", F.explode(F.sequence(F.col("sure") + 1, F.floor("share").cast("long") + F.col("pad") + 1)))
-    ranked = seats.withColumn("nth", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("k") - 1)).desc(), "place", "k")))
-    won = ranked.groupBy("place").agg(F.sum(((F.col("nth") <= F.col("open")) & (F.col("target") > 0)).cast("long")).alias("more"))
+    ranked = seats.withColumn("nth", F.row_number().over(every.orderBy((F.col("target") / (2 * F.col("k") - 1)).desc(), "place", "k")))
+    won = ranked.groupBy("place", "house").agg(F.sum(((F.col("nth") <= F.col("open")) & (F.col("target") > 0)).cast("long")).alias("more"))
     most = (F.lit(cap) * F.ceil(F.col("source_size") / block_tokens)).cast("long")
-    return wide.join(won, "place").select("source", "source_size", "place", "weight", "target", F.least(F.col("sure") + F.col("more"), most).alias("quota"))
+    return wide.join(won, ["place", "house"]).select("source", "source_size", "place", "weight", "target", "house", F.least(F.col("sure") + F.col("more"), most).alias("quota"))
 
 
-def shard_quotas(quotas: DataFrame, shards: int) -> DataFrame:
-    """(source, shard, quota): each source's blocks spread over the shards, integer and within one of even."""
-    upto = lambda j: F.floor((F.col("quota") * j + F.pmod(F.col("place"), F.lit(shards))) / shards)
-    return quotas.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("long").alias("quota"))
+def shard_quotas(targets: DataFrame, blocks: int, shards: int, block_tokens: int, cap: float = 3.0) -> DataFrame:
+    """(source, source_size, place, weight, target, upto): blocks of the source in the first 0, 1, ... `shards` shards.
+
+    A shard's quota is the difference of two neighbours in `upto`. Shards have equally many blocks, but
+    for one; seats are dealt in the order of their quotients.
+    """
+    houses = [blocks * j // shards for j in range(1, shards + 1)]
+    found = block_quotas(targets, houses, block_tokens, cap)
+    upto = F.transform(F.array_sort(F.collect_list(F.struct("house", "quota"))), lambda x: x["quota"])
+    same = [F.first(n).alias(n) for n in ("source", "source_size", "weight", "target")]
+    return found.groupBy("place").agg(*same, F.concat(F.array(F.lit(0).cast("long")), upto).alias("upto"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, block_tokens: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, quota, block_tokens, taken for every row.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, quota, taken, by_shard for every row.
 
-    Null texts have size 0 and are never taken; a null source is a source of its own; repeated rows
-    count separately; an empty table gives an empty result. `taken` is a whole number of passes over
-    the document but for the two documents at the ends of a source's selected run.
+    by_shard: the document's words in each shard; taken is their sum. Null texts have size 0 and are
+    never taken; a null source is a source of its own; repeated rows count separately; an empty table
+    gives an empty result; other columns are not read. `taken` is a whole number of passes over the
+    document but for the two documents at the ends of a source's selected blocks.
     """
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    total, sources = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))).first()
-    size = block_tokens or max(1, min(BLOCK_TOKENS, total // max(1, sources * BLOCKS_PER_SOURCE)))
-    blocks = max(1, round(total / size))
-    quotas = materialize(block_quotas(source_targets(sized, weights, cap), blocks, size, cap), "quotas")
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    quotas = materialize(shard_quotas(source_targets(sized, weights, cap), max(1, round(total / block_tokens)), shards, block_tokens, cap), "quotas")
     facts = quotas.withColumnRenamed("source", "_source")
     rows = sized.join(facts, sized.source.eqNullSafe(F.col("_source"))).drop("_source", "weight")
     tape = numbered(rows.withColumn("_mark", F.xxhash64(F.lit(seed), "doc_id")), ["place"], ["_mark", "doc_id"], "size", "_start")
-    n = F.greatest(F.ceil(F.col("source_size") / size), F.lit(1)).cast("long")
-    passes, extra = F.floor(F.col("quota") / n).cast("long"), F.pmod(F.col("quota"), n)
+    n = F.greatest(F.ceil(F.col("source_size") / block_tokens), F.lit(1)).cast("long")
     first = F.pmod(F.xxhash64(F.lit(seed), F.lit("first"), "place"), n)
-    def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.least(F.col("_start") + F.col("size"), hi) - F.greatest(F.col("_start"), lo), F.lit(0).cast("long"))
-    run = overlap(F.col("_first") * size, F.least(F.col("_first") + F.col("_extra"), n) * size) + overlap(F.lit(0).cast("long"), F.greatest(F.col("_first") + F.col("_extra") - n, F.lit(0).cast("long")) * size)
-    return (
-        tape.withColumn("_first", first).withColumn("_extra", extra)
-        .withColumn("taken", (passes * F.col("size") + run).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "quota", F.lit(size).cast("long").alias("block_tokens"), "taken")
-    )
+
+    def before(place: Column) -> Column:
+        """The document's words among the first `place` tokens of its source's blocks laid end to end again and again."""
+        turn = F.floor(place / (n * block_tokens)).cast("long")
+        return turn * F.col("size") + F.greatest(F.least(place - turn * n * block_tokens - F.col("_start"), F.col("size")), F.lit(0).cast("long"))
+
+    reached = tape.withColumn("_at", F.transform("upto", lambda q: before((first + q) * block_tokens)))
+    by_shard = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.get("_at", j) - F.get("_at", j - 1))
+    taken = (F.get("_at", F.lit(shards)) - F.get("_at", F.lit(0))).cast("long")
+    return reached.select("doc_id", "source", "size", "source_size", "target", F.get("upto", F.lit(shards)).alias("quota"), taken.alias("taken"), by_shard.alias("by_shard"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them (taken / size, rounded); columns unchanged.
+    """The documents as often as the mix takes them (taken / size, rounded); columns unchanged, whatever their names.
 
     Rows of one doc_id are matched by (doc_id, source, size), so repeated ids keep their own decisions;
-    fully equal rows share them evenly. Wordless documents are not part of a mix and leave.
+    fully equal rows share them evenly. Wordless documents are not part of a mix and leave; an empty
+    table stays empty.
     """
-    taken = mix(docs, **options).where("size > 0 and taken > 0").groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("_times"))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.round("_times").cast("int").alias("_times")).where("_times > 0")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    both = sized.join(taken, sized.doc_id.eqNullSafe(F.col("_d")) & sized.source.eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = mix(docs, **options).where("size > 0 and taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), word_count(F.col("text")).alias("words"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return rows.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -251,8 +251,10 @@ def _hopeful(token: np.ndarray, known: np.ndarray, which: np.ndarray, mark: np.n
     sizes = np.diff(mark)
     sums = np.concatenate([[0], np.cumsum(known)])
     starts = _text.ranges(mark[:-1], np.maximum(sizes - REACH, 0))
-    best = np.zeros(len(sizes), np.int64)
-    np.maximum.at(best, which[starts], sums[starts + MIN_SHINGLES] - sums[starts])
+    best, count = np.zeros(len(sizes), np.int64), np.maximum(sizes - REACH, 0)
+    some = np.flatnonzero(count)
+    if len(some):
+        best[some] = np.maximum.reduceat(sums[starts + MIN_SHINGLES] - sums[starts], np.cumsum(count[some]) - count[some])
     pair = _distinct(which.astype(np.int64) * (int(token.max(initial=0)) + 1) + token)
     distinct = np.bincount(pair // (int(token.max(initial=0)) + 1), minlength=len(sizes))
     return np.flatnonzero(ask & (sizes >= MIN_SHINGLES) & ((best >= SIMILARITY * MIN_SHINGLES) | (distinct < sizes)))
@@ -276,7 +278,7 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
     _, token = np.unique(_text.mix(_text.mix(key.view(np.uint64))[which] + flat), return_inverse=True)
     n_tokens, mark = int(token.max(initial=-1)) + 1, np.concatenate([[0], np.cumsum(sizes)])
     # Rows of one text are one holder; holders are numbered in order within the key.
-    _, rank = np.unique(np.stack([key, doc, text], axis=1), axis=0, return_inverse=True) if len(rows) else (None, np.zeros(0, np.int64))
+    rank = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])[: len(rows)])
     # Postings of the rows that may be sources, once per row and token, in order.
     source = ~ask[which]
     posting = _distinct(token[source].astype(np.int64) * len(rows) + which[source])
@@ -292,15 +294,18 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
     flag, found, sets = np.zeros(n_tokens, bool), [], {}
     at = {n: rows[n].to_numpy() for n in ("lo", "hi", "left", "right")}
 
-    def part(k: int, mine: np.ndarray, other: np.ndarray) -> bool:
+    def part(k: int, mine: np.ndarray, other: np.ndarray, least: int) -> bool:
+        """Whether a stretch of row k has SIMILARITY of its tokens in common with the other's; `least`: no fewer than so many do."""
+        flag[other] = True
+        held_by = flag[mine]
+        flag[other] = False
+        if held_by.sum() < least:
+            return False
         if k not in sets:
             if len(sets) > 2000:
                 sets.clear()
             sets[k] = _different(mine)
-        flag[other] = True
-        shared = sets[k][:, flag[mine]].sum(axis=1)
-        flag[other] = False
-        return bool((shared >= SIMILARITY * sets[k].sum(axis=1)).any())
+        return bool((sets[k][:, held_by].sum(axis=1) >= SIMILARITY * sets[k].sum(axis=1)).any())
 
     for i in hopeful:
         mine, count = token[mark[i] : mark[i + 1]], np.where(known[mark[i] : mark[i + 1]], often[mark[i] : mark[i + 1]], 0)
@@ -320,7 +325,7 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
             if k == last or text[k] == text[i]:
                 continue
             last, theirs = k, token[mark[k] : mark[k + 1]]
-            if not (part(i, mine, theirs) and part(k, theirs, mine)):
+            if not (part(i, mine, theirs, int(least.min())) and part(k, theirs, mine, 1)):
                 continue
             spans = verified_passages(arrays[i], arrays[k])
             if spans:

@@ -181,14 +181,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, whatever its ids: the smallest doc_id (null last), then the smallest text hash; columns unchanged."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    prints = materialize(fingerprints(rows, carry="_text").distinct().select(F.col("doc_id").alias("_t"), "fp"), "fingerprints")
+    """One row of each component, whatever its ids: the smallest doc_id (null last), then the smallest text hash.
+
+    Wordless texts are one component. Columns unchanged, whatever their names; an empty table stays empty.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    prints = materialize(fingerprints(rows, carry="hash").distinct().select(F.col("doc_id").alias("hash"), "fp"), "fingerprints")
     roots = component_labels(links(prints.select("fp").distinct()))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("_t", F.coalesce("root", "fp").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text"))
-    chosen = rows.select("doc_id", "_text").join(rooted, F.col("_text") == F.col("_t")).groupBy("root").agg(first.alias("_one"))
-    chosen = chosen.select(F.col("_one.doc_id").alias("_keep"), F.col("_one._text").alias("_t"))
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    kept = marked.join(chosen, marked.doc_id.eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_t")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    rooted = prints.join(roots, prints.fp == roots.node, "left").select(F.col("hash").alias("of"), F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash"))
+    chosen = rows.select("doc_id", "hash").join(rooted, F.col("hash") == F.col("of")).groupBy("root").agg(first.alias("one"))
+    chosen = chosen.select(F.col("one.doc_id").alias("keep"), F.col("one.hash").alias("of"))
+    marked = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = marked.join(chosen, F.col("id").eqNullSafe(F.col("keep")) & (F.col("hash") == F.col("of")), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("row.*")
