@@ -67,3 +67,10 @@ PROFILES = [("pali_source", "(?iu)巴利|巴利文|Pāli|Pali|tipiṭaka|三藏"
 MODES = ["translate", "ocr", "deep_think", "canon_rag", "chat", "model_admin"]
 DELIMITERS = "。！？\n"
 SPECIALIST_RANGE = (0x0F00, 0x0FFF)
+
+#: Introductions of the answer prompts: with passages for scoped and open questions, and without any.
+PROMPTS = {
+    "scoped": "Answer from the passages below and cite them by their coordinates.",
+    "open": "Answer from the passages below: first the main points, then each with the passages that support it, cited by their coordinates.",
+    "empty": "No passage was found. Answer with caution and do not invent sources.",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
+from lodestar.session import running_max, stored
 
 
 def expected_ids(golden: DataFrame) -> DataFrame:
@@ -41,25 +42,16 @@ def citation_exists(cites: DataFrame, chunks: DataFrame, scoped: bool = False) -
         mine = cites.withColumn("_work", text.canon_id_from_coord(F.col("coord")))
         inside = (F.col("coord_start") <= F.col("coord")) & (F.col("coord_end") >= F.col("coord")) & (F.col("_work") == F.col("canon_id"))
         return mine.join(chunks.select("canon_id", "coord_start", "coord_end"), inside, "left_semi").drop("_work")
-    from pyspark.sql import Window
-
-    # The first 16 characters place starts and ends in a segment of the axis; what begins in earlier
-    # segments is summed up by one running maximum over segments.
-    segment = lambda c: F.substring(c, 1, 16)
-    points = chunks.select(F.col("coord_start").alias("at"), F.col("coord_end").alias("reach"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("cite_id")).union(
-        cites.select("coord", F.lit(None).cast("string"), F.lit(1), "cite_id")
-    ).withColumn("seg", segment(F.col("at")))
-    totals = points.groupBy("seg").agg(F.max("reach").alias("_top"))
-    earlier = totals.select("seg", F.max("_top").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
-    within = F.max("reach").over(Window.partitionBy("seg").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    reached = points.withColumn("_within", within).join(earlier, "seg")
-    good = reached.where((F.col("side") == 1) & (F.greatest("_within", "_earlier") >= F.col("at"))).select("cite_id")
+    starts = chunks.select(F.col("coord_start").alias("at"), F.lit(0).alias("side"), F.col("coord_end").alias("reach"), F.lit(None).cast("long").alias("cite_id"))
+    points = starts.union(cites.select("coord", F.lit(1), F.lit(None).cast("string"), "cite_id")).where("at is not null")
+    good = running_max(points, ["at", "side"], "reach", "_reach").where("side = 1 and _reach >= at").select("cite_id")
     return cites.join(good, "cite_id", "left_semi")
 
 
 def citation_accuracy(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """citations, accuracy (null without citations) over all 【…】 of column sample_answer."""
-    cites = answers.select(F.explode(text.citations(F.col("sample_answer"))).alias("_raw")).select(F.monotonically_increasing_id().alias("cite_id"), text.citation_coord(F.col("_raw")).alias("coord"))
+    found = answers.select(F.explode(text.citations(F.col("sample_answer"))).alias("_raw")).select(F.monotonically_increasing_id().alias("cite_id"), text.citation_coord(F.col("_raw")).alias("coord"))
+    cites = stored(found, "citations")  # numbered once, read twice
     good = citation_exists(cites, chunks).agg(F.count("*").alias("good"))
     return cites.agg(F.count("*").alias("citations")).crossJoin(good).select("citations", F.try_divide("good", "citations").alias("accuracy"))
 

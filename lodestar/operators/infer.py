@@ -59,26 +59,66 @@ def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "outp
     return df.withColumn("_r", called(F.col(column))).withColumn(out, F.col("_r.value")).withColumn(f"{out}_error", F.col("_r.error")).drop("_r")
 
 
-def translate(requests: DataFrame, memory: DataFrame, specialist: Callable[[str], str], general: Callable[[str], str], polish: Callable[[str], str], span=None, wait: float = 2.0) -> DataFrame:
-    """id, text, draft, polished, used_specialist, from_memory, error: memory first, then routed drafts; specialist drafts are polished."""
+def translate(
+    requests: DataFrame, memory: DataFrame, specialist: Callable[[str], str], general: Callable[[str], str], polish: Callable[[str], str], span=None, wait: float = 2.0,
+    audit_fn: Callable[[str], str] | None = None, audit_flag: str = "off", level: str = "H2",
+) -> DataFrame:
+    """id, text, source_key, draft, polished, used_specialist, from_memory, error, audit, blocked.
+
+    Memory first, then routed drafts; specialist drafts are polished; fresh ones are audited where
+    `audit_flag` says so (a failing audit bypasses, it does not block). Append `state.memory_rows` of the
+    result to the memory.
+    """
     hits, rest = memory_lookup(requests, memory)
     span = span or text.lexicon.SPECIALIST_RANGE
     routed = rest.withColumn("used_specialist", F.coalesce(text.is_specialist(F.col("text"), span), F.lit(False)))
     special = infer(infer(routed.where("used_specialist"), "text", specialist, "draft", wait=wait), "draft", polish, "polished", wait=wait)
     plain = infer(routed.where("not used_specialist"), "text", general, "draft", wait=wait).withColumn("polished", F.col("draft")).withColumn("polished_error", F.lit(None).cast("string"))
-    columns = ["id", "text", "source_key", "draft", "polished", "used_specialist"]
+    columns = ["id", "text", "source_key", "draft", "polished", "used_specialist"] + (["skip"] if "skip" in requests.columns else [])
     done = special.unionByName(plain).select(*columns, F.lit(False).alias("from_memory"), F.coalesce("draft_error", "polished_error").alias("error"))
-    return done.unionByName(hits.select(*columns, F.lit(True).alias("from_memory"), F.lit(None).cast("string").alias("error")))
+    judged = optional_audit(done, F.lit(audit_flag), F.col("used_specialist"), F.lit(level), audit_fn, "text", "polished", wait=wait)
+    known = hits.select(*columns, F.lit(True).alias("from_memory"), F.lit(None).cast("string").alias("error"))
+    return judged.unionByName(known.withColumn("audit", F.lit(None).cast(_AUDIT)).withColumn("blocked", F.lit(False)))
 
 
-def audit(rows: DataFrame, level: Column, fn: Callable[[str], str], column: str = "polished", wait: float = 2.0) -> DataFrame:
-    """Adds audit (struct) and blocked: H0 is skipped, a failed H1 is an unapproved row with an issue, a failed H2 blocks."""
-    judged = infer(rows.withColumn("_level", level).withColumn("_ask", F.when(F.col("_level") != "H0", F.col(column))), "_ask", fn, "_raw", wait=wait)
+_AUDIT = "struct<approved:boolean,issues:array<string>,skipped:boolean,fallback:boolean,bypass:boolean>"
+
+
+def audit(rows: DataFrame, level: Column, fn: Callable[[str], str], original: str = "text", column: str = "polished", wait: float = 2.0) -> DataFrame:
+    """Adds audit (approved, issues, skipped, fallback, bypass) and blocked.
+
+    fn is asked with the original and the draft. H0 is approved and skipped. Where fn fails or answers
+    without JSON, H1 gives an unapproved row with an issue and H2 blocks; keys that are missing count as
+    not approved. `split_blocked` sends blocked rows elsewhere.
+    """
+    asked = F.concat(F.coalesce(F.col(original), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(column), F.lit("")))
+    judged = infer(rows.withColumn("_level", level).withColumn("_ask", F.when(F.col("_level") != "H0", asked)), "_ask", fn, "_raw", wait=wait)
     parsed = judged.withColumn("_a", tasks.parse_audit(F.col("_raw")))
-    failed = F.col("_raw").isNull() | F.col("_a.error").isNotNull()
-    issue = F.array(F.coalesce("_raw_error", "_a.error", F.lit("no answer")))
-    result = F.when(F.col("_level") == "H0", F.lit(None)).when(failed, F.struct(F.lit(False).alias("approved"), issue.alias("issues"))).otherwise(F.struct(F.col("_a.approved").alias("approved"), F.col("_a.issues").alias("issues")))
-    return parsed.withColumn("audit", result).withColumn("blocked", (F.col("_level") == "H2") & failed).drop("_raw", "_raw_error", "_a", "_ask", "_level")
+    failed = F.col("_raw").isNull() | (F.coalesce(F.col("_a.error"), F.lit("")) == "not_json")
+    issue = F.array(F.when(F.col("_raw").isNull(), F.concat(F.lit("error: "), F.coalesce("_raw_error", F.lit("no answer")))).otherwise(F.lit("not_json")))
+    verdict = lambda approved, issues, skipped=False, fallback=F.lit(False): F.struct(approved.alias("approved"), issues.alias("issues"), F.lit(skipped).alias("skipped"), fallback.alias("fallback"), F.lit(False).alias("bypass"))
+    none = F.array().cast("array<string>")
+    given = F.coalesce("_a.issues", F.array(F.coalesce("_a.error", F.lit("no issues"))))
+    result = F.when(F.col("_level") == "H0", verdict(F.lit(True), none, True)).when(failed, verdict(F.lit(False), issue, fallback=F.col("_raw").isNull())).otherwise(verdict(F.coalesce("_a.approved", F.lit(False)), given))
+    return parsed.withColumn("audit", result.cast(_AUDIT)).withColumn("blocked", (F.col("_level") == "H2") & failed).drop("_raw", "_raw_error", "_a", "_ask", "_level")
+
+
+def split_blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that go out, blocked rows for a reject table)."""
+    return rows.where(~F.col("blocked")), rows.where("blocked")
+
+
+def optional_audit(rows: DataFrame, flag: Column, signal: Column, level: Column, fn: Callable[[str], str] | None, original: str, column: str, wait: float = 2.0) -> DataFrame:
+    """audit() where the flag asks for it (`signal`: hits of an answer, or whether a specialist translated); it never blocks.
+
+    What would have blocked is approved with the issue and marked as bypassed. Rows without an audit have null.
+    """
+    if fn is None:
+        return rows.withColumn("audit", F.lit(None).cast(_AUDIT)).withColumn("blocked", F.lit(False))
+    wanted = tasks.audits_translation(flag, signal) if dict(rows.select(signal.alias("s")).dtypes)["s"] == "boolean" else tasks.audits_answer(flag, signal)
+    judged = audit(rows.withColumn("_wanted", wanted), F.when(F.col("_wanted"), level).otherwise("H0"), fn, original, column, wait)
+    bypass = F.struct(F.lit(True).alias("approved"), F.transform("audit.issues", lambda i: F.concat(F.lit("bypass: "), i)).alias("issues"), F.lit(False).alias("skipped"), F.lit(False).alias("fallback"), F.lit(True).alias("bypass")).cast(_AUDIT)
+    return judged.withColumn("audit", F.when(F.col("_wanted"), F.when(F.col("blocked"), bypass).otherwise(F.col("audit")))).withColumn("blocked", F.lit(False)).drop("_wanted")
 
 
 def image_text(requests: DataFrame, fn: Callable[[bytes], str], most: int = 16, wait: float = 2.0) -> tuple[DataFrame, DataFrame]:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import has_prefix
-from lodestar.session import attach
+from lodestar.session import attach, stored
 
-#: Queries sent to the tasks at once; larger tables of queries take several passes over the corpus.
+#: Queries (or terms) up to this number are sent to every task; larger tables meet the corpus in blocks dealt by shuffle.
 QUERY_BLOCK = 2000
+#: Vectors of the corpus that a task holds when the queries are too many to be sent.
+ROW_BLOCK = 16384
+#: Terms of one automaton; more terms take another scan of the corpus.
+TERM_BLOCK = 500_000
 OVER_FETCH = 200
 
 
@@ -28,87 +30,159 @@ def top_k(hits: DataFrame, by: list[Column], k: Column | int, keys: tuple[str, .
     return hits.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(out) <= k)
 
 
-def query_blocks(queries: DataFrame, *keys: str) -> list[DataFrame]:
-    """`queries` in blocks of about QUERY_BLOCK rows, each small enough to be sent to every task."""
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) for b in range(blocks)]
+def _rank_block(ids: np.ndarray, vectors: np.ndarray, scopes, rows: pd.DataFrame, most: int, best: dict) -> None:
+    """Merge a batch of chunks into the running `most` nearest (distances, ids) of each query."""
+    matrix = np.array(rows["embedding"].tolist(), float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = 1 - vectors @ matrix.T / (np.sqrt((vectors**2).sum(axis=1))[:, None] * np.sqrt((matrix**2).sum(axis=1)))
+    chunk_ids, series = rows["id"].to_numpy(), rows["series"].to_numpy() if scopes is not None else None
+    for q in range(len(ids)):
+        d = apart[q]
+        ok = ~np.isnan(d)
+        if scopes is not None and scopes[q] is not None:
+            ok &= series == scopes[q]
+        at = np.flatnonzero(ok)
+        if len(at) > most:
+            at = at[d[at] <= np.partition(d[at], most - 1)[most - 1]]
+        held = best.get(q)
+        dist, found = (d[at], chunk_ids[at]) if held is None else (np.concatenate([held[0], d[at]]), np.concatenate([held[1], chunk_ids[at]]))
+        order = np.lexsort((found, dist))[:most]
+        best[q] = dist[order], found[order]
 
 
-def meeting(chunks: DataFrame, queries: DataFrame, condition: Column, *keys: str) -> DataFrame:
-    """chunks joined with queries on any condition: the corpus is scanned once for each block of queries and never shuffled."""
-    found = None
-    for block in query_blocks(queries, *keys):
-        part = chunks.join(F.broadcast(block), condition)
-        found = part if found is None else found.union(part)
-    return found
+def _ranked_rows(ids: np.ndarray, best: dict) -> pd.DataFrame:
+    parts = [(np.repeat(ids[q], len(d)), found, d) for q, (d, found) in best.items()]
+    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "id", "distance"), columns)))
+
+
+_NEAR = "query_id long, id long, distance double"
 
 
-def _nearest(queries: pd.DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    ids, vectors = queries["query_id"].to_numpy(), np.array(queries["vector"].tolist(), float).reshape(len(queries), -1 if len(queries) else 0)
-    norms = np.sqrt((vectors**2).sum(axis=1))
-    scopes = queries["series"].to_numpy() if "series" in queries else None
+def _nearest(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """The `most` nearest chunks of each query, per task: few queries are sent to all tasks, many pass by row blocks."""
+    scoped = "series" in queries.columns
+    light = chunks.where("embedding is not null").select("id", "embedding", *(["series"] if scoped else []))
+    if queries.count() <= QUERY_BLOCK:
+        asked = queries.toPandas()
+        ids, vectors = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1 if len(asked) else 0)
+        scopes = asked["series"].to_numpy() if scoped else None
 
-    def local(frames):
+        def local(frames):
+            best: dict = {}
+            for pdf in frames:
+                if len(pdf) and len(ids):
+                    _rank_block(ids, vectors, scopes, pdf, most, best)
+            yield _ranked_rows(ids, best)
+
+        return light.mapInPandas(local, _NEAR)
+    blocks = max(1, -(-light.count() // ROW_BLOCK))
+    series = F.col("series") if scoped else F.lit(None).cast("string")
+    rows = light.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", F.col("embedding").cast("array<double>").alias("embedding"), series.alias("series"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1), F.col("query_id"), F.col("vector").cast("array<double>"), series)
+
+    def meet(frames):
+        """Rows come by block, its chunks first: they are held, its queries pass by."""
+        now, held = None, []
         for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            rows = np.array(pdf["embedding"].tolist(), float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                apart = 1 - vectors @ rows.T / (norms[:, None] * np.sqrt((rows**2).sum(axis=1)))
-            chunk_ids = pdf["id"].to_numpy()
-            for q in range(len(ids)):
-                d = apart[q]
-                ok = ~np.isnan(d)
-                if scopes is not None and scopes[q] is not None:
-                    ok &= pdf["series"].to_numpy() == scopes[q]
-                at = np.flatnonzero(ok)
-                at = at[np.lexsort((chunk_ids[at], d[at]))[:most]]
-                yield pd.DataFrame({"query_id": ids[q], "id": chunk_ids[at], "distance": d[at]})
-
-    columns = ["id", "embedding"] + (["series"] if scopes is not None else [])
-    return chunks.where("embedding is not null").select(*columns).mapInPandas(local, "query_id long, id long, distance double")
+            for block, part in pdf.groupby("block", sort=False):
+                held = [] if block != now else held
+                now = block
+                held += [part[part["asks"] == 0]]
+                queries = part[part["asks"] == 1]
+                rows = pd.concat(held, ignore_index=True) if len(queries) else None
+                if rows is not None and len(rows):
+                    ids, best = queries["id"].to_numpy(), {}
+                    _rank_block(ids, np.array(queries["embedding"].tolist(), float), queries["series"].to_numpy() if scoped else None, rows, most, best)
+                    held = [rows]
+                    yield _ranked_rows(ids, best)
+
+    return rows.union(asked).repartition("block").sortWithinPartitions("block", "asks").mapInPandas(meet, _NEAR)
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes: bool = False, mode: str = "postfilter") -> DataFrame:
     """query_id, id, distance, rank: the k nearest chunks of each query by cosine distance, ties by id.
 
     queries: query_id, vector and optionally series, prefixes (array), k (per-query limit). With
-    prefixes, "postfilter" filters the nearest 200 and "prefilter" searches only matching chunks.
-    The corpus is never shuffled: each task ranks its rows, and k rows a task and query are merged.
+    prefixes, "postfilter" filters the nearest 200 and "prefilter" ranks only matching chunks. Queries
+    up to QUERY_BLOCK are sent to all tasks and the corpus is not shuffled; each task keeps its k best.
     """
     attach(queries.sparkSession)
     own_k = "k" in queries.columns
-    limit = F.col("k") if own_k else F.lit(k)
     light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns])
+    most = queries.agg(F.max("k")).first()[0] or k if own_k else k
     if prefixes and mode == "prefilter":
-        asked = queries.select("query_id", "prefixes", F.col("vector").alias("_q"))
-        scoped = meeting(chunks, asked, has_prefix(F.col("canon_id"), F.col("prefixes")) | (F.size("prefixes") == 0), "query_id")
+        asked = queries.select("query_id", "prefixes", F.col("vector").alias("_q"), *([F.col("series").alias("_s")] if "series" in queries.columns else []))
+        inside = has_prefix(F.col("canon_id"), F.col("prefixes")) | (F.size("prefixes") == 0)
+        if "series" in queries.columns:
+            inside = inside & (F.col("_s").isNull() | (F.col("_s") == F.col("series")))
+        scoped = chunks.join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, inside)
         near = scoped.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null")
-        return top_k(near, [F.col("distance"), F.col("id")], k)
-    most = OVER_FETCH if prefixes else (queries.agg(F.max("k")).first()[0] or k if own_k else k)
-    found = None
-    for block in query_blocks(light, "query_id"):
-        near = _nearest(block.toPandas(), chunks, most)
-        found = near if found is None else found.union(near)
-    ranked = top_k(found, [F.col("distance").asc_nulls_last(), F.col("id")], most)
-    if prefixes:
-        kept = ranked.drop("rank").join(queries.select("query_id", "prefixes"), "query_id").join(chunks.select("id", "canon_id"), "id")
-        ranked = kept.where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes"))).select("query_id", "id", "distance")
-        return top_k(ranked, [F.col("distance"), F.col("id")], k)
+    else:
+        near = _nearest(light, chunks, max(most, OVER_FETCH) if prefixes else most)
+        if prefixes:
+            near = top_k(near, [F.col("distance"), F.col("id")], OVER_FETCH).drop("rank")
+            near = near.join(queries.select("query_id", "prefixes"), "query_id").join(chunks.select("id", "canon_id"), "id")
+            near = near.where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes"))).select("query_id", "id", "distance")
     if own_k:
-        ranked = ranked.join(queries.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).drop("k")
-    return ranked.select("query_id", "id", "distance", "rank")
+        return top_k(near.join(queries.select("query_id", "k"), "query_id"), [F.col("distance"), F.col("id")], F.col("k")).select("query_id", "id", "distance", "rank")
+    return top_k(near, [F.col("distance"), F.col("id")], k).select("query_id", "id", "distance", "rank")
+
+
+def query_collection(queries: DataFrame, store: DataFrame, collection: str, n: int = 8) -> DataFrame:
+    """query_id, id, distance, rank: the n nearest rows of a named collection (column `collection` of `store`), without other filters."""
+    return vector_search(queries.select("query_id", "vector"), store.where(F.col("collection") == collection), n)
+
+
+def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((dim, tables * bits))
+
+
+def _keys(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """(vectors, tables): the signs of `bits` projections side by side, with the table's number."""
+    signs = (vectors @ _planes(vectors.shape[1], tables, bits) >= 0).reshape(len(vectors), tables, bits)
+    return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) | (np.arange(tables, dtype=np.int64) << 32)
+
+
+def learn_tables(sample: np.ndarray, k: int = 10, recall: float = 0.9) -> tuple[int, int]:
+    """(tables, bits) with the fewest candidates among those that find `recall` of the sample's k nearest."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    true = np.argsort(-near, axis=1)[:, : min(k, max(len(unit) - 1, 1))]
+    best = (2.0, 32, 2)
+    for bits in (16, 14, 12, 10, 8, 6, 5, 4, 3, 2):
+        keys, met = _keys(unit, 32, bits), np.zeros(near.shape, bool)
+        for table in range(32):
+            met |= keys[:, table, None] == keys[None, :, table]
+            if table in (3, 7, 15, 31) and np.take_along_axis(met, true, axis=1).mean() >= recall:
+                best = min(best, (float(met.mean()), table + 1, bits))
+                break
+    return best[1], best[2]
 
 
-def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, bucket: float = 1.2, tables: int = 8) -> DataFrame:
-    """Random-projection candidates of normalised vectors, then exact distances."""
-    def unit(df: DataFrame, name: str, key: str) -> DataFrame:
-        norm = F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
-        return df.where(norm > 0).select(F.col(key), F.col(name), array_to_vector(F.transform(name, lambda v: v / norm)).alias("features"))
+def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, tables: int | None = None, bits: int | None = None) -> DataFrame:
+    """Chunks that share a bucket with the query in one of several tables, then exact distances.
 
-    rows, asked = unit(chunks.where("embedding is not null"), "embedding", "id"), unit(queries, "vector", "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    near = model.approxSimilarityJoin(rows, asked, 2.0, "_d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), cosine_distance(F.col("datasetB.vector"), F.col("datasetA.embedding")).alias("distance"))
+    A bucket is the signs of several random projections together. How many is learned on at most 1,000
+    vectors; where vectors are spread evenly, no buckets tell near from far, and many rows meet.
+    """
+    attach(queries.sparkSession)
+    rows, asked = chunks.where("embedding is not null").select("id", "embedding"), queries.select("query_id", "vector")
+    if tables is None or bits is None:
+        sample = [r.embedding for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()]
+        good = np.array(sample, float)[[any(v) for v in sample]] if sample else np.zeros((0, 1))
+        tables, bits = learn_tables(good, min(k, 10)) if len(good) > 1 else (1, 1)
+    n, b = tables, bits
+
+    @F.pandas_udf("array<long>")
+    def keys(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_keys(np.array(v.tolist(), float), n, b)))
+
+    left = rows.select("id", F.explode(keys("embedding")).alias("key"))
+    right = asked.select("query_id", F.explode(keys("vector")).alias("key"))
+    pairs = left.join(right, "key").select("query_id", "id").distinct()
+    near = pairs.join(rows, "id").join(asked, "query_id").select("query_id", "id", cosine_distance(F.col("vector"), F.col("embedding")).alias("distance")).where("distance is not null")
     return top_k(near, [F.col("distance"), F.col("id")], k)
 
 
@@ -120,24 +194,96 @@ def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str
     """query_id, id, score, rank by BM25 (rounded to 9 places, so that ties are ties in any order of
     summation) over chunks that hold all (or any) of the query's tokens.
 
-    Only the queries' distinct tokens are looked up: postings are counted per chunk and joined with
-    them, so the corpus is scanned once and its other tokens never leave the scan.
+    queries: query_id, query and optionally k (per-query limit), series, prefixes: chunks outside a
+    query's series or prefixes are left out before the limit. Only the queries' distinct tokens are
+    looked up: one scan counts them per chunk, together with the sizes, and the corpus' other tokens
+    never leave it.
     """
+    scope = [c for c, own in (("series", "series"), ("canon_id", "prefixes")) if own in queries.columns]
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     need = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
-    sized = chunks.select("id", tokens(F.col("text")).alias("_tokens")).withColumn("_size", F.size("_tokens"))
-    n, average = sized.agg(F.count("*"), F.avg("_size")).first()
-    postings = sized.select("id", "_size", F.explode("_tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("_tf"), F.first("_size").alias("_size"))
+    # The empty token stands for the chunk itself: its row carries the size into the statistics.
+    wanted = asked.select("token").union(asked.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    sized = chunks.select("id", *scope, tokens(F.col("text")).alias("_tokens"))
+    every = sized.select("id", *scope, F.size("_tokens").alias("_size"), F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("token"))
+    found = every.join(wanted, "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("_tf"), F.first("_size").alias("_size"), *[F.first(c).alias(c) for c in scope])
+    found = stored(found, "postings")
+    n, average = found.where("token = ''").agg(F.count("*"), F.avg("_size")).first()
+    postings = found.where("token <> ''")
     held = postings.groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(average or 1.0)))
-    scored = asked.join(postings, "token").join(held, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
+    met = asked.join(postings, "token").join(held, "token")
+    scored = met.groupBy("query_id", "id", *scope).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
     kept = scored.where(F.col("_got") == F.col("_need")) if match == "all" else scored
-    return top_k(kept.select("query_id", "id", "score"), [F.col("score").desc(), F.col("id")], k)
+    own = [c for c in ("k", "series", "prefixes") if c in queries.columns]
+    if own:
+        kept = kept.join(queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in own]), "query_id")
+        if "series" in own:
+            kept = kept.where(F.col("_series").isNull() | (F.col("series") == F.col("_series")))
+        if "prefixes" in own:
+            kept = kept.where((F.size("_prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("_prefixes")))
+    return top_k(kept, [F.col("score").desc(), F.col("id")], F.col("_k") if "k" in own else k).select("query_id", "id", "score", "rank")
+
+
+def containing(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, id) of every distinct non-null term (column `term`) and chunk (id, text) that contains it.
+
+    One pass over the texts finds all terms of a block at once with an automaton; the empty term is in
+    every text.
+    """
+    attach(chunks.sparkSession)
+    distinct = terms.select("term").where("term is not null").distinct()
+    n = distinct.count()
+    blocks, found = max(1, -(-n // TERM_BLOCK)), None
+    for block in range(blocks):
+        words = [r.term for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]
+
+        def search(frames, words=words):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for k, word in enumerate(words):
+                if word:
+                    automaton.add_word(word, k)
+            if len(automaton):
+                automaton.make_automaton()
+            for pdf in frames:
+                hits, ids = [], []
+                for id_, text in zip(pdf["id"], pdf["text"]):
+                    if text is None:
+                        continue
+                    got = {k for _, k in automaton.iter(text)} if len(automaton) else set()
+                    got |= {k for k, word in enumerate(words) if word == ""}
+                    hits += got
+                    ids += [id_] * len(got)
+                yield pd.DataFrame({"term": [words[k] for k in hits], "id": ids})
+
+        id_type = chunks.schema["id"].dataType.simpleString()
+        part = chunks.select("id", "text").mapInPandas(search, f"term string, id {id_type}")
+        found = part if found is None else found.union(part)
+    return found
 
 
 def keyword_search(terms: DataFrame, chunks: DataFrame, k: int = 10, like: bool = False) -> DataFrame:
-    """query_id, term, id, rank: the first k chunks (by id) that contain each term; `like` takes % and _ as wildcards."""
-    hit = F.col("text").like(F.concat(F.lit("%"), F.col("term"), F.lit("%"))) if like else F.col("text").contains(F.col("term"))
-    found = meeting(chunks.select("id", "text"), terms, hit, "query_id", "term").select("query_id", "term", "id")
-    return top_k(found, [F.col("id")], k, ("query_id", "term"))
+    """query_id, term, id, rank: the first k chunks (by id) that contain each term.
+
+    `like` takes % and _ as wildcards, which no automaton can: every text then meets every term. terms may
+    have series and scope (array of prefixes): other chunks are left out before the limit.
+    """
+    own = [c for c in ("series", "scope") if c in terms.columns]
+    keys = terms.select("query_id", "term", *[F.col(c).alias(f"_{c}") for c in own])
+    if like:
+        hit = F.col("text").like(F.concat(F.lit("%"), F.col("term"), F.lit("%")))
+        asked = terms.select("term").where("term is not null").distinct()
+        found = chunks.select("id", "text").join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, hit).select("term", "id")
+    else:
+        found = containing(terms, chunks)
+    met = found.join(keys, "term")
+    if own:
+        met = met.join(chunks.select("id", *[c for c, o in (("series", "series"), ("canon_id", "scope")) if o in own]), "id")
+        if "series" in own:
+            met = met.where(F.col("_series").isNull() | (F.col("series") == F.col("_series")))
+        if "scope" in own:
+            met = met.where((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope")))
+    return top_k(met.select("query_id", "term", "id").distinct(), [F.col("id")], k, ("query_id", "term"))

@@ -49,6 +49,29 @@ def purge_expired(cache: DataFrame, now: Column, days: int = 7) -> tuple[DataFra
     return cache.where(fresh), cache.agg(F.count_if(~fresh).alias("purged"))
 
 
+def upsert(log: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """Append rows to an append log at `path` and return the log with them; `latest` is its view."""
+    rows.select(*log.columns).write.mode("append").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def cache_rows(answers: DataFrame, at: Column, version: str = "v1", least_chunks: int = 1) -> DataFrame:
+    """Rows to append to the answer cache: query_hash, query_embed, top_chunks, answer, created_at.
+
+    answers: query, vector, top_chunks, answer; failed and empty answers, and those without chunks, are not kept.
+    """
+    good = answers.where((F.coalesce("answer", F.lit("")) != "") & (F.coalesce(F.size("top_chunks"), F.lit(0)) >= least_chunks))
+    return good.select(cache_key(F.col("query"), version).alias("query_hash"), F.col("vector").alias("query_embed"), "top_chunks", "answer", at.alias("created_at"))
+
+
+def memory_rows(translated: DataFrame, at: Column) -> DataFrame:
+    """Rows to append to the translation memory: new drafts without an error, one per source text."""
+    fresh = translated.where(~F.col("from_memory") & F.col("error").isNull() & (strip(F.col("text")) != ""))
+    if "skip" in translated.columns:
+        fresh = fresh.where(~F.coalesce(F.col("skip"), F.lit(False)))
+    return fresh.groupBy("source_key").agg(*[F.max_by(c, "id").alias(c) for c in ("draft", "polished", "used_specialist")]).withColumn("created_at", at)
+
+
 def memory_lookup(requests: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with draft and polished, rows still to compute). Blank texts and bypassed rows are never looked up."""
     keyed = requests.withColumn("source_key", cache_key(F.col("text")))

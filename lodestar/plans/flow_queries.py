@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestar.functions import tasks, text
 from lodestar.operators import evaluate, fusion, infer, queryprep, reports, search, state
 from lodestar.plans import pipeline
 from lodestar.plans import queries as base
-from lodestar.plans.queries import LINES, _chunk_texts, _files, _rank_lists, _read, _token_queries
+from lodestar.plans.queries import FILLERS, LINES, NAMES, OPEN_BOOSTS, _chunk_texts, _files, _hits, _rank_lists, _read
 from lodestar.session import shared_folder, stored
 from lodestar.sources import corpus
 
 CHANNELS = ("web", "internal", "api", "telegram")
 FLAGS = ("off", "always", "specialist", "auto", "", "hits")
-FILLERS = ["the ", "and ", "of "]
-NAMES = {"the": "T01n0001", "tion": "T01n0002", "er": "T01n0003"}
 
 
 def _pick(values, at):
@@ -24,7 +24,7 @@ def _pick(values, at):
 
 def reranked(spark, sf):
     """The five best of each question's token hits by shared tokens."""
-    hits = search.token_search(_token_queries(spark, sf), _chunk_texts(spark, sf), 20, "any").drop("score")
+    hits = _hits(spark, sf).drop("score")
     asked = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     full = hits.join(_chunk_texts(spark, sf).select("id", "text"), "id").join(asked, "query_id")
     return fusion.rerank(full, 5).select("query_id", "id", "rank", "fused_rank", F.round("rerank_score", 9).alias("score"))
@@ -38,16 +38,16 @@ def distance_order(spark, sf):
 
 def hit_payloads(spark, sf):
     """Distances after merging token hits (with one) and substring hits (without), both ways."""
-    lists = _rank_lists(spark, sf).select("query_id", "id", F.when(F.col("list_name") == "tokens", 0).otherwise(1).alias("source"), F.when(F.col("list_name") == "tokens", F.col("rank") / 10).alias("distance"))
+    lists = stored(_rank_lists(spark, sf).select("query_id", "id", "source", F.when(F.col("list_name") == "tokens", F.col("rank") / 10).alias("distance")), "rank-lists")
     both = [fusion.hit_payload(lists, keep).withColumn("keeps", F.lit(keep)) for keep in (True, False)]
     return both[0].unionByName(both[1])
 
 
 def citation_report(spark, sf):
-    """Citations in sentences built around every seventh line's coordinate."""
+    """Citations in sentences built around every line's coordinate."""
     found = corpus.segments_of(_files(spark, sf)).withColumn("canon_id", text.canon_id_from_coord(F.col("coord")))
     ranges = found.groupBy("canon_id").agg(F.min("coord").alias("coord_start"), F.max(F.when(F.col("line_no") < 5, F.col("coord"))).alias("coord_end")).where("coord_end is not null")
-    answers = found.where("line_no % 7 = 0").select(F.concat(F.lit("as said in 【"), "coord", F.lit("】.")).alias("sample_answer"))
+    answers = found.select(F.concat(F.lit("as said in 【"), "coord", F.lit("】.")).alias("sample_answer"))
     return evaluate.citation_accuracy(answers, ranges).select("citations", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -160,11 +160,89 @@ def id_rules(spark, sf):
     )
 
 
-def hybrid_ranks(spark, sf):
-    """Planned benchmark questions over all documents: vector, token and substring ranks fused."""
+def _planned(spark, sf):
+    """Benchmark questions of all classes, with the vector of their number."""
     asked = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    planned = infer.embed(queryprep.plan_queries(queryprep.preprocess(asked)), "embed_text", "query", 256).withColumnRenamed("embedding", "vector")
-    return pipeline.hybrid_search(stored(planned, "questions"), infer.embed(_chunk_texts(spark, sf), dim=256)).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+    planned = queryprep.plan_queries(queryprep.preprocess(asked, terms={}, aliases=NAMES), aliases=NAMES, fillers=FILLERS, boosts=OPEN_BOOSTS)
+    return planned.join(_read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("query_id") % 500 == F.col("vec_id"))
+
+
+def _hybrid_chunks(spark, sf):
+    """Documents as chunks of five works in two series; the work's name stands in the text."""
+    work = F.concat(F.lit("T01N000"), (F.col("doc_id") % 5).cast("string"))
+    docs = _read(spark, sf, "documents").join(_read(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("doc_id") % 500 == F.col("vec_id"))
+    return docs.select(F.col("doc_id").alias("id"), work.alias("canon_id"), F.when(F.col("doc_id") % 4 == 0, "X").otherwise("T").alias("series"), F.concat(work, F.lit(" "), "text").alias("text"), "embedding")
+
+
+def hybrid_ranks(spark, sf):
+    """Planned questions over all documents: scoped vector, token and substring lists fused, boosted and reranked."""
+    found = pipeline.hybrid_search(stored(_planned(spark, sf), "questions"), _hybrid_chunks(spark, sf))
+    return found.select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+
+
+def translations(spark, sf):
+    """The translation flow over user turns: memory, routed drafts, polish, and an audit of what a specialist wrote."""
+    asked = _read(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+
+    def judge(both: str) -> str:
+        import json
+
+        original, draft = both[: len(both) // 2], both[len(both) // 2 :]
+        return json.dumps({"original": original, "translation": draft, "approved": len(both) % 2 == 0, "issues": []}) if len(both) % 3 else "no answer"
+
+    done = infer.translate(asked, base._memory(spark, sf), lambda t: t.upper(), lambda t: t.lower(), lambda t: t + ".", base.SPAN, wait=0.0, audit_fn=judge, audit_flag="specialist")
+    return done.select("id", "used_specialist", "from_memory", F.md5("polished").alias("md5"), "audit.approved", "audit.bypass", "blocked", "error")
+
+
+def audited(spark, sf):
+    """The audit flow over every turn, on three levels: the auditor approves, answers without JSON, leaves out keys, or fails."""
+    rows = _read(spark, sf, "conversations").select("conv_id", "turn", "text", F.length("text").cast("string").alias("draft"))
+
+    def judge(both: str) -> str:
+        import json
+
+        kind = int(both.rsplit("\n", 1)[1]) % 4
+        if kind == 3:
+            raise ValueError("down")
+        return "no json" if kind == 2 else json.dumps({"original": "a", "translation": "b", "approved": True} | ({"issues": ["i"]} if kind == 0 else {}))
+
+    judged = infer.audit(rows, _pick(("H0", "H1", "H2"), F.col("turn") % 3), judge, column="draft", wait=0.0)
+    out, rejected = infer.split_blocked(judged)
+    both = out.withColumn("goes", F.lit("out")).unionByName(rejected.withColumn("goes", F.lit("reject")))
+    return both.select("conv_id", "turn", "goes", "audit.approved", F.array_join("audit.issues", "|").alias("issues"), "audit.skipped", "audit.fallback")
+
+
+def collection_topk(spark, sf):
+    """The plain vector query of one named collection."""
+    store = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), F.col("label")).alias("collection"), "embedding")
+    asked = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.query_collection(asked, store, "c1", 8).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def evaluation_json(spark, sf):
+    """The nested evaluation report as one JSON object."""
+    results = evaluate.miss_reasons(evaluate.hits_at_k(base._golden(spark, sf), base._golden_hits(spark, sf), 1).withColumn("sub_terms", F.array().cast("array<string>")), base._golden_hits(spark, sf))
+    report = reports.evaluation_report(results, 1)
+    return report.select("questions", "k", F.round("recall_all", 6).alias("recall_all"), F.size("misses").alias("misses"), F.round(F.col("by_category")["B"]["recall"], 6).alias("recall_b"), F.col("by_category")["B"]["n"].alias("n_b"))
+
+
+def expected(spark, sf):
+    """Expected identifiers of questions that give a list, one, an empty one or none."""
+    kind, one = F.col("item_id") % 4, F.concat(F.lit("T"), F.col("item_id"))
+    many = F.when(kind == 0, F.array(one, F.lit("T0"))).when(kind == 1, F.array().cast("array<string>"))
+    golden = _read(spark, sf, "benchmark").select("item_id", many.alias("expected_canon_ids"), F.when(kind == 1, one).when(kind == 2, "").alias("expected_canon_id"))
+    return evaluate.expected_ids(golden).select("item_id", F.array_join("expected", ",").alias("expected"))
+
+
+def progress_upserts(spark, sf):
+    """Progress rows of the segments of every file, appended to a log of older ones, and the view of it."""
+    chunks = corpus.segments_of(_files(spark, sf)).select("file_path", F.col("coord").alias("coord_end"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    old = chunks.groupBy("file_path").agg(F.min("coord_end").alias("last_coord")).select("file_path", "last_coord", F.lit(1).alias("chunk_count"), F.lit(False).alias("completed"), F.timestamp_seconds(F.lit(1_600_000_000)).alias("updated_at"))
+    path = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    log = state.upsert(old.limit(0), old, path)
+    log = state.upsert(log, state.checkpoint_rows(chunks, at), path)
+    return state.latest(log, ["file_path"], ["updated_at"]).select("file_path", "last_coord", "chunk_count", "completed")
 
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -176,7 +254,7 @@ REGISTRY = {
     "reranked": (reranked, f"WITH {base._LISTS}, q AS (SELECT item_id AS query_id, list_distinct({base._TOK}) AS a FROM benchmark), s AS (SELECT query_id, id, rank AS fused_rank, len(list_intersect(a, t)) / len(a)::DOUBLE AS s FROM tk JOIN docs USING (id) JOIN q USING (query_id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fused_rank, id) AS rank, fused_rank, round(s, 9) AS score FROM s QUALIFY rank <= 5"),
     "distance_order": (distance_order, "WITH r AS (SELECT doc_id // 20 AS query_id, doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN n_chars / 100.0 END::DOUBLE AS distance FROM documents) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, id) AS rank, distance FROM r"),
     "hit_payloads": (hit_payloads, f"WITH {base._LISTS}, m AS (SELECT query_id, id, max(source) AS source, min(rank / 10.0) FILTER (source = 0) AS d FROM lists GROUP BY query_id, id) SELECT query_id, id, d::DOUBLE AS distance, source, true AS keeps FROM m UNION ALL SELECT query_id, id, CASE WHEN source = 0 THEN d END::DOUBLE, source, false FROM m"),
-    "citation_report": (citation_report, f"WITH {LINES}, r AS (SELECT doc_id, min(coord) AS a, max(coord) FILTER (line_no < 5) AS b FROM segments GROUP BY doc_id), c AS (SELECT EXISTS (SELECT 1 FROM r WHERE a <= coord AND b >= coord) AS good FROM segments s WHERE line_no % 7 = 0) SELECT count(*) AS citations, round(avg(good::INTEGER), 6) AS accuracy FROM c"),
+    "citation_report": (citation_report, f"WITH {LINES}, r AS (SELECT doc_id, min(coord) AS a, max(coord) FILTER (line_no < 5) AS b FROM segments GROUP BY doc_id), c AS (SELECT EXISTS (SELECT 1 FROM r WHERE a <= coord AND b >= coord) AS good FROM segments s) SELECT count(*) AS citations, round(avg(good::INTEGER), 6) AS accuracy FROM c"),
     "cache_hits": (cache_hits, "WITH t AS (SELECT conv_id, turn, text, sha256('v1:' || " + _STRIP.format("text") + ") AS k, embedding::DOUBLE[] AS e FROM conversations JOIN embeddings ON vec_id = conv_id % 500 WHERE role = 'user'), c AS (SELECT k, e AS ce, text AS answer, least(len(string_split(text, ' ')), conv_id % 5 + 1) AS m, conv_id * 3600 + turn AS made FROM t WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY made DESC) = 1), j AS (SELECT conv_id, turn, m, coalesce(made >= 86400 AND list_cosine_similarity(e, ce) >= 0.95 AND m >= 3 AND answer <> '', false) AS ok FROM t LEFT JOIN c USING (k)) SELECT conv_id, turn, CASE WHEN ok THEN 'cache' ELSE 'fresh' END AS source, CASE WHEN ok THEN m END::INTEGER AS n_chunks FROM j"),
     "progress_view": (progress_view, "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT 'f' || c_custkey AS file_path, event_type AS last_coord, coalesce(trunc(value), 0)::INTEGER AS chunk_count, coalesce(event_id % 2 = 0, false) AS completed FROM customer LEFT JOIN l ON user_id = c_custkey"),
     "ingest_eta": (ingest_eta, "WITH a AS (SELECT count(*) AS files, count(*) FILTER (doc_id % 3 <> 0) AS completed_files, (sum(n_chars) FILTER (doc_id % 3 <> 0))::BIGINT AS completed_chunks, min(n_chars / 4.0)::DOUBLE AS min_rate, max(n_chars / 4.0)::DOUBLE AS max_rate, avg(n_chars / 4.0) AS r FROM documents) SELECT files, completed_files, completed_chunks, min_rate, max_rate, round(r, 6) AS avg_rate, round((1000000 - completed_files) * (completed_chunks / completed_files) / r / 3600, 6) AS eta_hours FROM a"),
@@ -190,7 +268,39 @@ REGISTRY = {
     "image_texts": (image_texts, "WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations QUALIFY n <= 16) SELECT conv_id AS id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS md5 FROM p WHERE turn % 3 <> 2 AND text <> '' GROUP BY conv_id"),
     "filler_terms": (filler_terms, "WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(" + _STRIP.format(_SPACED) + ", '\\s+'), lambda p: length(p) BETWEEN 2 AND 8) AS parts, list_filter(['tion', 'the', 'er'], lambda a: contains(text, a)) AS named FROM benchmark), j AS (SELECT *, list_concat(named, parts) AS al FROM w), k AS (SELECT *, list_filter(al, lambda v, i: list_position(al, v) = i)[1:5] AS t FROM j) SELECT item_id, md5(trim(replace(replace(replace(regexp_replace(" + _STRIP.format("text") + ", '[？?]+$', ''), 'the ', ''), 'and ', ''), 'of ', ''), '？? 的')) AS stripped, CASE WHEN len(t) > 0 THEN array_to_string(t, '|') ELSE left(text, 8) END AS terms FROM k"),
     "id_rules": (id_rules, "SELECT doc_id, (doc_id % 100)::INTEGER AS volume, true AS longer, false AS shorter, round(CASE WHEN doc_id % 2 = 0 THEN 0.23 ELSE 0.2 END, 4)::DOUBLE AS temperature, 0.45::DOUBLE AS clamped FROM documents"),
-    "hybrid_ranks": (hybrid_ranks, None),
+    "hybrid_ranks": (hybrid_ranks, f"""WITH {base._PLANS}, qv AS (SELECT plans.*, embedding::DOUBLE[] AS e FROM plans JOIN embeddings ON vec_id = query_id % 500),
+      c AS (SELECT doc_id AS id, 'T01N000' || (doc_id % 5) AS canon, 'T01N000' || (doc_id % 5) || ' ' || d.text AS text, embedding::DOUBLE[] AS e FROM documents d JOIN embeddings ON vec_id = doc_id % 500 WHERE doc_id % 4 <> 0),
+      allc AS (SELECT doc_id AS id, 'T01N000' || (doc_id % 5) || ' ' || text AS text, doc_id % 4 <> 0 AS mine, 'T01N000' || (doc_id % 5) AS canon FROM documents),
+      near AS (SELECT query_id, id, canon, ids, n, vec_top, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_distance(qv.e, c.e), id) AS g FROM qv, c QUALIFY g <= 200),
+      vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY g) AS rank, vec_top FROM near WHERE n = 0 OR list_contains(ids, canon) QUALIFY rank <= vec_top),
+      t AS (SELECT id, mine, canon, {base._TOK} AS t FROM allc), st AS (SELECT count(*) AS nn, avg(len(t)) AS a FROM t),
+      tf AS (SELECT token, id, mine, canon, s, count(*) AS tf FROM (SELECT id, mine, canon, len(t) AS s, unnest(t) AS token FROM t) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+      asked AS (SELECT DISTINCT query_id, unnest({base._TOK.replace("text", "normalized")}) AS token FROM plans), need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
+      sc AS (SELECT query_id, id, canon, round(sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * s / a))), 9) AS score, count(*) AS got FROM asked JOIN tf USING (token) JOIN df USING (token), st WHERE mine GROUP BY query_id, id, canon),
+      tok AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, vec_top FROM sc JOIN need USING (query_id) JOIN plans USING (query_id) WHERE got = need AND (n = 0 OR list_contains(ids, canon)) QUALIFY rank <= vec_top),
+      tl AS (SELECT query_id, unnest(terms) AS term, CASE WHEN n > 0 THEN ids ELSE boosts END AS scope FROM plans),
+      kw AS (SELECT query_id, term, id, row_number() OVER (PARTITION BY query_id, term ORDER BY id) AS rank FROM tl JOIN c ON contains(c.text, term) AND (len(scope) = 0 OR list_contains(scope, canon)) QUALIFY rank <= 10),
+      ranks AS (SELECT query_id, id, rank FROM vec UNION ALL SELECT query_id, id, rank FROM tok UNION ALL SELECT query_id, id, rank FROM kw),
+      fu AS (SELECT query_id, id, sum(1 / (60.0 + rank)) AS s, count(*) AS k FROM ranks GROUP BY ALL),
+      sco AS (SELECT query_id, id, fuse_top, rerank_top, p.text AS asked, c.text AS held, round((s + (2 + len(terms) - k) * (1 / 121.0)) * CASE WHEN list_contains(ids, canon) THEN 1.5 WHEN len(boosts) = 0 THEN 1.0
+        WHEN list_position(boosts, canon) = 1 THEN 2.0 WHEN list_position(boosts, canon) = 2 THEN 1.75 WHEN list_position(boosts, canon) > 2 THEN 1.55 ELSE 0.18 END, 12) AS score FROM fu JOIN plans p USING (query_id) JOIN c USING (id)),
+      cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS f FROM sco QUALIFY f <= fuse_top),
+      lex AS (SELECT *, list_distinct({base._TOK.replace("text", "asked")}) AS qa, {base._TOK.replace("text", "held")} AS qt FROM cut)
+      SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(qa, qt)) / len(qa)::DOUBLE DESC, f, id) AS rank, round(score, 9) AS score FROM lex QUALIFY rank <= rerank_top"""),
+    "translations": (translations, f"""WITH {base._MEM}, u AS (SELECT conv_id || '-' || turn AS id, text, sha256({_STRIP.format("text")}) AS k, {base._SCRIPT} AS glyphs FROM conversations WHERE role = 'user'),
+      r AS (SELECT id, text, k, {_STRIP.format("text")} <> '' AS looked, glyphs >= 8 OR (CASE WHEN {_STRIP.format("text")} = '' THEN 0 ELSE glyphs / greatest(length(replace(text, chr(10), '')), 1)::DOUBLE END) >= 0.4 AS special FROM u),
+      j AS (SELECT r.*, mem.k IS NOT NULL AND looked AS known, CASE WHEN mem.k IS NOT NULL AND looked THEN mem.polished WHEN special THEN upper(text) || '.' ELSE lower(text) END AS polished FROM r LEFT JOIN mem USING (k)),
+      a AS (SELECT *, length(text) + 2 + length(polished) AS m, special AND NOT known AS judged FROM j)
+      SELECT id, special AND NOT known AS used_specialist, known AS from_memory, md5(polished) AS md5, CASE WHEN judged THEN m % 3 = 0 OR m % 2 = 0 END AS approved, CASE WHEN judged THEN m % 3 = 0 END AS bypass, false AS blocked, NULL::VARCHAR AS error FROM a"""),
+    "audited": (audited, """WITH r AS (SELECT conv_id, turn, turn % 3 AS level, length(text) % 4 AS kind FROM conversations)
+      SELECT conv_id, turn, CASE WHEN level = 2 AND kind >= 2 THEN 'reject' ELSE 'out' END AS goes, level = 0 OR kind = 0 AS approved,
+      CASE WHEN level = 0 THEN '' WHEN kind = 0 THEN 'i' WHEN kind = 1 THEN 'missing_keys' WHEN kind = 2 THEN 'not_json' ELSE 'error: ValueError: down' END AS issues, level = 0 AS skipped, level > 0 AND kind = 3 AS fallback FROM r"""),
+    "collection_topk": (collection_topk, """WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS x FROM embeddings q, embeddings c WHERE c.label = 1)
+      SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d QUALIFY rank <= 8"""),
+    "evaluation_json": (evaluation_json, f"""WITH {base._GOLD}, h AS (SELECT category, (coalesce(best, 99) <= 1)::INTEGER AS hit FROM gold)
+      SELECT count(*) AS questions, 1 AS k, round(avg(hit), 6) AS recall_all, (count(*) FILTER (hit = 0))::INTEGER AS misses, round(avg(hit) FILTER (category = 'B'), 6) AS recall_b, count(*) FILTER (category = 'B') AS n_b FROM h"""),
+    "expected": (expected, "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'T' || item_id || ',T0' WHEN 1 THEN 'T' || item_id ELSE '' END AS expected FROM benchmark"),
+    "progress_upserts": (progress_upserts, f"WITH {LINES} SELECT file_path, max(coord) AS last_coord, count(*)::INTEGER AS chunk_count, true AS completed FROM segments GROUP BY file_path"),
 }
 QUERIES = {name: fn for name, (fn, _) in REGISTRY.items()}
 ORACLES = {name: sql for name, (_, sql) in REGISTRY.items() if sql}

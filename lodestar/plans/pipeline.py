@@ -4,55 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import has_prefix
-from lodestar.operators import fusion, infer, queryprep, search
+from lodestar.functions import lexicon, text
+from lodestar.operators import fusion, infer, queryprep, search, state
 from lodestar.session import stored
 
+#: Distinct hits below which a scoped question is asked again without its scope.
+LEAST_HITS = 1
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> DataFrame:
-    """query_id, id, score, rank, distance: vector, token and per-term substring ranks fused and boosted.
 
-    queries: query_id, original, normalized, vector, sub_terms, canon_prefixes, boost_prefixes and the
-    per-query limits vec_top, bm25_top, fuse_top. Queries whose scoped lists come back empty run the
-    vector and token searches again unscoped, their substring search stays scoped.
+def hybrid_search(queries: DataFrame, chunks: DataFrame, term_top: int = 10, scorer=None, rrf: bool = True, reranked: bool = True) -> DataFrame:
+    """query_id, id, canon_id, text, score, distance, rank: vector, token and per-term substring lists fused, boosted and reranked.
+
+    queries: query_id, original, normalized, vector, series_hint, sub_terms, canon_prefixes, boost_prefixes
+    and the per-query limits vec_top, bm25_top, fuse_top, rerank_top. Each list is filtered by series and
+    prefixes before its limit (the vector list as in `vector_search`); terms fall back to the boost
+    prefixes. Scoped questions without a hit run the vector and token searches again unscoped. The
+    fused list is cut at fuse_top, reranked by the original question and cut at rerank_top. Without
+    `rrf` the lists are merged in order instead.
     """
-    asked = queries.select("query_id", F.col("normalized").alias("query"), "vector", F.col("canon_prefixes").alias("prefixes"), F.col("vec_top").alias("k"))
-    light = chunks.select("id", "canon_id", "text", "embedding")
-
-    def both(q: DataFrame, scoped: bool) -> DataFrame:
-        near = search.vector_search(q.drop("query"), light, 40, prefixes=scoped)
-        if scoped:
-            near = near.join(q.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
-        words = search.token_search(q.select("query_id", "query"), light, 200 if scoped else 40)
-        if scoped:
-            kept = words.join(q.select("query_id", "prefixes"), "query_id").join(light.select("id", "canon_id"), "id").where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes")))
-            words = search.top_k(kept.select("query_id", "id", "score"), [F.col("score").desc(), F.col("id")], 40)
-        return near.select("query_id", F.lit("vector").alias("list_name"), "id", "rank", "distance").unionByName(words.select("query_id", F.lit("tokens").alias("list_name"), "id", "rank", F.lit(None).cast("double").alias("distance")))
-
-    terms = queries.select("query_id", F.explode("sub_terms").alias("term"), F.when(F.size("canon_prefixes") > 0, F.col("canon_prefixes")).otherwise(F.col("boost_prefixes")).alias("_scope"))
-    held = F.col("text").contains(F.col("term")) & ((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope")))
-    found = search.meeting(light.select("id", "canon_id", "text"), terms, held, "query_id", "term")
-    by_term = search.top_k(found.select("query_id", "term", "id"), [F.col("id")], 10, ("query_id", "term")).select("query_id", F.concat(F.lit("term:"), "term").alias("list_name"), "id", "rank", F.lit(None).cast("double").alias("distance"))
-    by_term, first = stored(by_term, "term-ranks"), stored(both(asked, True), "ranks")
-    missed = asked.where(F.size("prefixes") > 0).join(first.unionByName(by_term).select("query_id").distinct(), "query_id", "left_anti")
-    again = both(missed, False)
-    ranks = first.unionByName(again).unionByName(by_term)
-    lists = queries.select("query_id", (2 + F.size("sub_terms")).alias("n_lists"))
-    payload = queries.select("query_id", F.col("normalized").alias("query"), "boost_prefixes", "fuse_top")
-    fused = fusion.rrf_fuse(ranks.join(light.select("id", "canon_id"), "id"), lists, limit=limit, payload=payload)
+    columns = ["id", "canon_id", "text", "embedding"] + (["series"] if "series" in chunks.columns else [])
+    light, scope = chunks.select(*columns), "series" in chunks.columns
+    keys = ["query_id"] + ([F.col("series_hint").alias("series")] if scope else [])
+
+    def lists(q: DataFrame, scoped: bool) -> DataFrame:
+        prefixes = F.col("canon_prefixes") if scoped else F.array().cast("array<string>")
+        near = search.vector_search(q.select(*keys, "vector", prefixes.alias("prefixes"), F.col("vec_top").alias("k")), light, 40, prefixes=scoped)
+        words = search.token_search(q.select(*keys, F.col("normalized").alias("query"), prefixes.alias("prefixes"), F.col("bm25_top").alias("k")), light)
+        none = F.lit(None).cast("double").alias("distance")
+        return near.select("query_id", F.lit("vector").alias("list_name"), F.lit(0).alias("source"), "id", "rank", "distance").union(words.select("query_id", F.lit("tokens"), F.lit(1), "id", "rank", none))
+
+    held = F.when(F.size("canon_prefixes") > 0, F.col("canon_prefixes")).otherwise(F.col("boost_prefixes"))
+    terms = queries.select(*keys, F.posexplode("sub_terms").alias("at", "term"), held.alias("scope"))
+    by_term = search.keyword_search(terms.drop("at"), light, term_top).join(terms.select("query_id", "term", "at").groupBy("query_id", "term").agg(F.min("at").alias("at")), ["query_id", "term"])
+    by_term = by_term.select("query_id", F.concat(F.lit("term:"), "term").alias("list_name"), (F.col("at") + 2).alias("source"), "id", "rank", F.lit(None).cast("double").alias("distance"))
+    by_term, first = stored(by_term, "term-ranks"), stored(lists(queries, True), "ranks")
+    hits = first.union(by_term).groupBy("query_id").agg(F.count_distinct("id").alias("_n")).where(F.col("_n") >= LEAST_HITS)
+    scoped = queries.where(F.size("canon_prefixes") > 0)
+    missed = scoped.join(hits, "query_id", "left_anti")
+    kept = first.join(missed.select("query_id"), "query_id", "left_anti")
+    if missed.head(1):
+        kept = kept.union(lists(missed, False))
+    ranks = stored(kept.union(by_term), "all-ranks")
     distance = ranks.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return fused.join(distance, ["query_id", "id"])
+    if rrf:
+        payload = queries.select("query_id", F.col("normalized").alias("query"), "boost_prefixes", "fuse_top")
+        sizes = queries.select("query_id", (2 + F.size(F.array_distinct("sub_terms"))).alias("n_lists"))
+        fused = fusion.rrf_fuse(ranks.select("query_id", "list_name", "id", "rank").join(light.select("id", "canon_id"), "id"), sizes, payload=payload)
+    else:
+        merged = fusion.merge_hits(ranks.select("query_id", "id", "source", "rank", F.col("list_name").alias("payload")), 1 << 30)
+        fused = merged.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank")
+    full = fused.join(distance, ["query_id", "id"]).join(light.select("id", "canon_id", "text"), "id").join(queries.select("query_id", F.col("original").alias("query"), F.col("rerank_top").alias("_top")), "query_id")
+    if rrf and reranked:
+        full = fusion.rerank(full, F.col("_top"), scorer)
+    return full.where(F.col("rank") <= F.col("_top")).select("query_id", "id", "canon_id", "text", "score", "distance", "rank")
+
 
+def prompts(questions: DataFrame, intro: dict[str, str] | None = None) -> Column:
+    """The prompt of each question: its context under the introduction of its class (D, or any other), or a conservative one."""
+    words = lexicon.PROMPTS if intro is None else intro
+    head = F.when(F.col("query_type") == "D", words["open"]).otherwise(words["scoped"])
+    return F.when(F.col("context").isNotNull(), F.concat(head, F.lit("\n\n"), "context", F.lit("\n\n"), "question")).otherwise(F.concat(F.lit(words["empty"]), F.lit("\n\n"), "question"))
 
-def answer_questions(questions: DataFrame, chunks: DataFrame, fn: Callable[[str], str], encoder: Callable | None = None, dim: int = 2048, k: int = 8, wait: float = 2.0) -> DataFrame:
-    """query_id, context, answer, answer_error, status: prepare, plan, embed, retrieve, rerank, assemble, infer."""
-    planned = queryprep.plan_queries(queryprep.preprocess(questions))
+
+def answer_questions(
+    questions: DataFrame, chunks: DataFrame, fn: Callable[[str], str], encoder: Callable | None = None, dim: int = 2048, k: int = 8, wait: float = 2.0,
+    cache: DataFrame | None = None, now: Column | None = None, link: str = "{id}", audit: Callable[[str], str] | None = None, audit_flag: str = "off", level: str = "H2", **plan,
+) -> DataFrame:
+    """One row per question: query_id, query_type, status, source, context, answer, answer_error, preview, links, top_chunks, query, vector, audit, blocked.
+
+    Prepare, plan, embed; take chunks from the cache where it has the question, else retrieve by plan;
+    order by distance, collect links, put the first k into the prompt of the question's class, infer.
+    status: pg_hit, pg_empty without hits, pg_miss where the question could not be embedded; the last two
+    get the conservative prompt. `audit` judges answers where `audit_flag` says so, and never breaks the
+    flow. Append `state.cache_rows` of the result to the cache.
+    """
+    planned = queryprep.plan_queries(queryprep.preprocess(questions, terms=plan.get("terms"), aliases=plan.get("aliases")), **plan)
     ready = stored(infer.embed(planned, "embed_text", "query", dim, encoder).withColumnRenamed("embedding", "vector"), "questions")
-    hits = hybrid_search(ready, chunks).join(chunks.select("id", "canon_id", "coord_start", "text"), "id").join(ready.select("query_id", F.col("normalized").alias("query")), "query_id")
-    top = fusion.rerank(hits, k).withColumnRenamed("coord_start", "coord")
-    context = questions.select("query_id", "question").join(fusion.assemble_context(top), "query_id", "left")
-    prompt = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), F.col("question"))
-    return infer.infer(context.withColumn("_p", prompt), "_p", fn, "answer", wait=wait).withColumn("status", F.when(F.col("context").isNull(), "pg_empty").otherwise("ok")).drop("_p", "question")
+    asked = ready.where(F.col("vector").isNotNull())
+    if cache is not None:
+        looked = state.cache_lookup(asked.select("query_id", F.col("normalized").alias("query"), "vector"), cache, F.current_timestamp() if now is None else now)
+        looked = stored(looked.select("query_id", "source", "top_chunks"), "cached")
+        asked = asked.join(looked.where("source = 'fresh'").select("query_id"), "query_id", "left_semi")
+    coords = chunks.select("id", F.col("coord_start").alias("coord"))
+    columns = ["query_id", "id", "canon_id", "coord", "text", "distance", "rank"]
+    hits = hybrid_search(asked, chunks).join(coords, "id").select(*columns)
+    if cache is not None:
+        ids = looked.where("source = 'cache'").select("query_id", F.posexplode("top_chunks").alias("_at", "id")).select("query_id", F.col("id").cast("long").alias("id"), (F.col("_at") + 1).alias("rank"))
+        again = ids.join(chunks.select("id", "canon_id", F.col("coord_start").alias("coord"), "text"), "id").withColumn("distance", F.lit(None).cast("double"))
+        hits = hits.unionByName(again.select(*columns))
+    hits = stored(fusion.order_by_distance(hits), "hits")
+    top = hits.where(F.col("rank") <= k)
+    listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", F.substring("text", 1, 500).alias("preview")))).alias("preview"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top_chunks"))
+    found = fusion.similar_links(hits.withColumn("metadata", F.create_map(F.lit("canon_id"), "canon_id")), link)
+    links = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "link_id", "url"))).alias("links"))
+    full = ready.select("query_id", "question", "query_type", F.col("normalized").alias("query"), "vector").join(fusion.assemble_context(top), "query_id", "left").join(listed, "query_id", "left").join(links, "query_id", "left")
+    full = full.join(looked.select("query_id", "source"), "query_id", "left") if cache is not None else full.withColumn("source", F.lit("fresh"))
+    status = F.when(F.col("vector").isNull(), "pg_miss").when(F.col("context").isNull(), "pg_empty").otherwise("pg_hit")
+    answered = stored(infer.infer(full.withColumn("status", status).withColumn("_p", prompts(full)), "_p", fn, "answer", wait=wait), "answers")
+    judged = infer.optional_audit(answered, F.lit(audit_flag), F.coalesce(F.size("top_chunks"), F.lit(0)), F.lit(level), audit, "question", "answer", wait=wait)
+    return judged.select("query_id", "query_type", "status", F.coalesce("source", F.lit("fresh")).alias("source"), "context", "answer", "answer_error", "preview", "links", "top_chunks", "query", "vector", "audit", "blocked")

@@ -6,7 +6,8 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +53,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_max(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds `out`: the greatest `value` up to each row in `order`, over all rows, without one task for all.
+
+    Rows are range-partitioned in order and stored; each partition runs its own maximum, and the
+    partitions' maxima (one row each) give what went before.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    tops = ranged.groupBy("_pid").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select(F.col("_pid").alias("_of"), F.max("_top").over(before).alias("_earlier"))
+    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = ranged.withColumn("_within", F.max(value).over(within)).join(earlier, F.col("_pid") == F.col("_of"))
+    return inner.withColumn(out, F.greatest("_within", "_earlier")).drop("_pid", "_of", "_within", "_earlier")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from lodestar.functions.text import parse_line
 
@@ -59,10 +60,25 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("id", F.xxhash64("file_path", "chunk_no", "piece_no"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the written files' rows: one directory per series and file batch, dynamic overwrite."""
-    bucket = F.pmod(F.xxhash64("file_path"), F.lit(1 << 30))
-    chunks.withColumn("file_key", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series", "file_key").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, version: int) -> None:
+    """Write a batch of whole files as one version; writing the version again replaces it.
+
+    A file's rows count in its newest version only (see read_chunks), so nothing written before is
+    touched or lost. One directory a version and series, however many files there are.
+    """
+    chunks.write.mode("overwrite").partitionBy("series").parquet(f"{path}/version={version:012d}")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every file's newest version."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(F.col("file_path").alias("_file")).agg(F.max("version").alias("_newest"))
+    return rows.join(newest, (F.col("file_path") == F.col("_file")) & (F.col("version") == F.col("_newest"))).drop("_file", "_newest", "version")
+
+
+def compact_chunks(spark: SparkSession, path: str, out: str) -> None:
+    """The newest rows as version 0 of a new table."""
+    write_chunks(read_chunks(spark, path), out, 0)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -85,3 +101,19 @@ def update_embeddings(chunks: DataFrame, new: DataFrame, staging: str) -> DataFr
 def reembed_checkpoint(done: DataFrame) -> DataFrame:
     """last_id and updated of the rows committed so far: where the next range starts."""
     return done.agg(F.max("id").alias("last_id"), F.count("*").alias("updated"))
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> dict:
+    """The checkpoint with the greatest last_id of a JSON log; empty before the first."""
+    schema = "last_id long, updated long, elapsed_sec double"
+    try:
+        rows = spark.read.schema(schema).json(path).orderBy(F.desc("last_id")).limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = []
+    return rows[0].asDict() if rows else {}
+
+
+def write_checkpoint(spark: SparkSession, path: str, last_id: int, updated: int, elapsed_sec: float) -> None:
+    spark.createDataFrame([(last_id, updated, elapsed_sec)], "last_id long, updated long, elapsed_sec double").coalesce(1).write.mode("append").json(path)

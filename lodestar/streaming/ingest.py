@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,26 +10,81 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.chunking import chunk_segments
 from lodestar.operators.infer import embed
-from lodestar.sources.corpus import _relative, fetch_batch, segments_of, series_key, with_chunk_ids, write_chunks
+from lodestar.operators.state import checkpoint_rows
+from lodestar.session import stored
+from lodestar.sources import corpus
 
 
-def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, encoder: Callable | None = None, dim: int = 2048):
-    """Process every file that the checkpoint has not seen, then stop; a repeated batch replaces its own files."""
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "new.txt").schema("value string").load(root)
-    named = files.select(_relative(root).alias("file_path"), "value").withColumn("series", series_key(F.split("file_path", "/")[0]))
+def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, encoder: Callable | None = None, dim: int = 2048, progress: str | None = None, files_per_batch: int = 1000):
+    """Process every file that the checkpoint has not seen, in batches, then stop.
 
-    def write(batch: DataFrame, _: int) -> None:
-        chunks = with_chunk_ids(chunk_segments(segments_of(batch))).withColumn("series", series_key(F.split("file_path", "/")[0]))
-        write_chunks(embed(chunks, "text", "passage", dim, encoder), out)
+    A batch is one version of the chunk table `out` and of the progress log `progress`: a repeated
+    batch replaces its own files and rows.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "new.txt").option("maxFilesPerTrigger", files_per_batch).schema("value string").load(root)
+    named = files.select(corpus._relative(root).alias("file_path"), "value").withColumn("series", corpus.series_key(F.split("file_path", "/")[0]))
+
+    def write(batch: DataFrame, number: int) -> None:
+        chunks = corpus.with_chunk_ids(chunk_segments(corpus.segments_of(batch))).withColumn("series", corpus.series_key(F.split("file_path", "/")[0]))
+        chunks = stored(embed(chunks, "text", "passage", dim, encoder), "ingested")
+        corpus.write_chunks(chunks, out, number)
+        if progress:
+            checkpoint_rows(chunks, F.current_timestamp()).write.mode("overwrite").parquet(f"{progress}/version={number:012d}")
 
     return named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def reembed_range(chunks: DataFrame, series: str, after_id: int, limit: int, encoder: Callable | None = None, dim: int = 2048) -> DataFrame:
     """One id range with new embeddings; running it again gives the same rows."""
-    return embed(fetch_batch(chunks, series, after_id, limit).drop("embedding"), "text", "passage", dim, encoder)
+    return embed(corpus.fetch_batch(chunks, series, after_id, limit).drop("embedding"), "text", "passage", dim, encoder)
+
+
+def reembed(chunks: DataFrame, series: str, out: str, checkpoint: str, encoder: Callable | None = None, dim: int = 2048, batch: int = 1_000_000, limit: int | None = None) -> dict:
+    """Give all chunks of a series new embeddings, range by range, and resume after the last finished range.
+
+    Each range is written under its first id, so that a range cut short is written anew; the checkpoint
+    (JSON: last_id, updated, elapsed_sec) follows it. Returns the counts of this run; `limit` bounds it.
+    """
+    spark, began = chunks.sparkSession, time.perf_counter()
+    state = corpus.read_checkpoint(spark, checkpoint)
+    last_id, before, updated = state.get("last_id", -(1 << 63)), state.get("updated", 0), 0
+    while limit is None or updated < limit:
+        size = batch if limit is None else min(batch, limit - updated)
+        path = f"{out}/after={last_id}"
+        reembed_range(chunks, series, last_id, size, encoder, dim).write.mode("overwrite").parquet(path)
+        done = corpus.reembed_checkpoint(spark.read.parquet(path)).first()
+        if not done["updated"]:
+            break
+        last_id, updated = done["last_id"], updated + done["updated"]
+        corpus.write_checkpoint(spark, checkpoint, last_id, before + updated, time.perf_counter() - began)
+    seconds = time.perf_counter() - began
+    return {"updated": updated, "last_id": last_id if before + updated else None, "elapsed_sec": round(seconds, 1), "chunks_per_sec": round(updated / seconds, 2) if seconds > 0 else 0.0}
 
 
 def first_within_ttl(events: DataFrame, keys: list[str], time: str, ttl: str = "7 days") -> DataFrame:
     """Keep-first expiring cache on a stream: one row per key while it is younger than the watermark."""
     return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+
+
+def latest_within_ttl(events: DataFrame, keys: list[str], time: str, out: str, checkpoint: str, ttl: str = "7 days"):
+    """Keep-latest expiring cache on a stream: after each batch `out` holds the newest row of each key within `ttl`.
+
+    The state is a table: a batch is merged with the version before it into a version of its own, whose
+    number is the batch's, so a repeated batch gives the same version. Age counts from the newest event.
+    Start it with `.start()`; read the cache with `read_latest`.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/version={number - 1:012d}"))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), time).alias("_row")).select("_row.*")
+        top = newest.agg(F.max(time).alias("_now"))
+        fresh = newest.crossJoin(F.broadcast(top)).where(F.col(time) > F.col("_now") - F.expr(f"interval {ttl}")).drop("_now")
+        fresh.write.mode("overwrite").parquet(f"{out}/version={number:012d}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of a keep-latest cache."""
+    rows = spark.read.parquet(out)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("_v"))), F.col("version") == F.col("_v")).drop("version", "_v")

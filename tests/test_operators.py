@@ -28,6 +28,9 @@ def test_identifier_rules(spark):
 
 def test_chunker_vectors(spark):
     assert [len(p) for p in chunking.split_long("字" * 1100)] == [600, 560, 20]
+    # A short tail joins the last piece of a split text, not the whole of it.
+    tail = chunking.fold_segments(["a", "b", "c"], ["一", "字" * 700, "三字尾"])
+    assert [(a, b, len(t)) for a, b, t in tail] == [("a", "b", 600), ("a", "c", 164)]
     merged = chunking.fold_segments(["a", "b", "c"], ["短。", "四字文。", "這是一個十六個字的句子在這裡用。" * 10])
     assert merged[0][0] == "a" and len(merged[0][2]) >= 120
     assert all(len(p) <= 620 for p in chunking.split_long("開" + "四字句。。" * 200))
@@ -111,6 +114,8 @@ def test_query_blocks_change_no_row(spark, monkeypatch):
     runs = []
     for size in (2000, 1):
         monkeypatch.setattr(search, "QUERY_BLOCK", size)
+        monkeypatch.setattr(search, "ROW_BLOCK", 7 if size == 1 else 16384)
+        monkeypatch.setattr(search, "TERM_BLOCK", 2 if size == 1 else 500_000)
         found = [search.keyword_search(asked.select("query_id", "term"), chunks, 5).select("query_id", "id", "rank")]
         found += [search.vector_search(asked.drop("term"), chunks, 4, prefixes=True, mode=m).select("query_id", "id", "rank") for m in ("postfilter", "prefilter")]
         runs.append([sorted(map(tuple, f.collect())) for f in found])
@@ -121,10 +126,17 @@ def test_query_blocks_change_no_row(spark, monkeypatch):
 def test_answers(spark):
     from lodestar.plans import pipeline
 
-    asked = spark.createDataFrame([(1, "alpha beta"), (2, "zzz")], "query_id long, question string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "zzz"), (3, "T01n0001 alpha")], "query_id long, question string")
     chunks = infer.embed(spark.createDataFrame([(i, f"T01n000{i}", f"T01n000{i}_p1_", f"alpha beta number {i}") for i in range(6)], "id long, canon_id string, coord_start string, text string"), dim=64)
-    rows = pipeline.answer_questions(asked, chunks, lambda p: p.split("\n")[-1], dim=64, wait=0.0).collect()
-    assert sorted((r.query_id, r.answer, r.status, r.context.count("片段")) for r in rows) == [(1, "alpha beta", "ok", 6), (2, "zzz", "ok", 6)]
+    flow = lambda **more: {r.query_id: r for r in pipeline.answer_questions(asked, chunks, lambda p: p.split("\n")[-1], dim=64, wait=0.0, link="u/{id}", **more).collect()}
+    rows = flow(audit=lambda t: "no json", audit_flag="always")
+    assert [(rows[q].answer, rows[q].status, rows[q].query_type, rows[q].context.count("片段")) for q in (1, 2, 3)] == [("alpha beta", "pg_hit", "D", 6), ("zzz", "pg_hit", "D", 6), ("T01n0001 alpha", "pg_hit", "A", 1)]
+    assert rows[3].links[0].link_id == "T01N0001" and rows[1].preview[0]["rank"] == 1 and rows[1].audit.bypass and not rows[1].blocked
+    empty = pipeline.answer_questions(asked, chunks.where("false"), lambda p: p, dim=64, wait=0.0).collect()
+    assert {(r.status, r.context) for r in empty} == {("pg_empty", None)} and all("do not invent" in r.answer for r in empty)
+    cache = state.cache_rows(spark.createDataFrame([("alpha beta", [float(v) for v in rows[1].vector], [5, 4, 3], "old")], "query string, vector array<double>, top_chunks array<long>, answer string"), F.current_timestamp())
+    again = flow(cache=cache)
+    assert again[1].source == "cache" and again[1].top_chunks == [5, 4, 3] and again[2].source == "fresh"
 
 
 def test_inference_errors_become_columns(spark):
@@ -145,11 +157,177 @@ def test_corpus_files_and_stream(spark, tmp_path):
         (tmp_path / "in" / name / "new.txt").write_text(body)
     root = str(tmp_path / "in")
     got = corpus.read_segments(spark, root).orderBy("file_path", "line_no").collect()
-    assert [(r.series, r.line_no, r.coord) for r in got] == [("T", 0, "T01n0001_p0001a01_"), ("T", 2, "T01n0001_p0001a02_"), ("AB", 0, "X01n0001_p1_")] or len(got) == 3
+    assert [(r.series, r.line_no, r.coord) for r in got] == [("T", 0, "T01n0001_p0001a01_"), ("T", 2, "T01n0001_p0001a02_"), ("AB", 0, "X01n0001_p1_")]
+    assert [r.series for r in corpus.discover_series(spark, root).collect()] == ["T", "AB"]
+    assert corpus.read_segments(spark, root, series="ab").count() + corpus.read_segments(spark, root, volume="T/T01").count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        corpus.read_files(spark, root, volume="T/none").count()
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
     for _ in range(2):
-        ingest.ingest_new_files(spark, root, str(tmp_path / "out"), str(tmp_path / "ck"), dim=16).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 2 and sorted({r.series for r in out.collect()}) == ["AB", "T"]
+        ingest.ingest_new_files(spark, root, out, str(tmp_path / "ck"), dim=16, progress=log, files_per_batch=1).awaitTermination()
+    rows = corpus.read_chunks(spark, out)
+    assert rows.count() == 2 and sorted({r.series for r in rows.collect()}) == ["AB", "T"] and spark.read.parquet(out).select("version").distinct().count() == 2
+    done = state.latest(spark.read.parquet(log), ["file_path"], ["updated_at"]).collect()
+    assert sorted((r.file_path, r.last_coord, r.chunk_count, r.completed) for r in done) == [("T/T01/new.txt", "T01n0001_p0001a02_", 1, True), ("ab/X1/new.txt", "X01n0001_p1_", 1, True)]
+
+
+def test_chunk_sink_keeps_all_files(spark, tmp_path):
+    """Files whose path hashes agree, a replayed batch, a file written anew, and the number of directories."""
+    path = str(tmp_path / "chunks")
+    make = lambda names, text: corpus.with_chunk_ids(spark.createDataFrame([(n, "T", 0, k, text) for n in names for k in range(2)], "file_path string, series string, chunk_no int, piece_no int, text string"))
+    names = [f"T/{k}/new.txt" for k in range(300)]
+    corpus.write_chunks(make(names[:200], "a"), path, 0)
+    for _ in range(2):
+        corpus.write_chunks(make(names[200:] + names[:1], "b"), path, 1)
+    rows = corpus.read_chunks(spark, path)
+    got = sorted((r.file_path, r.piece_no, r.text) for r in rows.collect())
+    assert got == sorted((n, k, "b" if i == 0 or i >= 200 else "a") for i, n in enumerate(names) for k in range(2)) and rows.select("id").distinct().count() == 600
+    assert len(list((tmp_path / "chunks").glob("version=*/series=*"))) == 2
+    corpus.compact_chunks(spark, path, str(tmp_path / "compact"))
+    assert corpus.read_chunks(spark, str(tmp_path / "compact")).count() == 600
+
+
+def test_reembedding_resumes(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "T" if i % 2 else "X", f"text {i}", [0.0]) for i in range(1, 41)], "id long, series string, text string, embedding array<float>")
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    first = ingest.reembed(chunks, "T", out, log, dim=8, batch=6, limit=12)
+    assert (first["updated"], first["last_id"]) == (12, 23)
+    again = ingest.reembed(chunks, "T", out, log, dim=8, batch=6)
+    assert (again["updated"], again["last_id"]) == (8, 39) and ingest.reembed(chunks, "T", out, log, dim=8)["updated"] == 0
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 40, 2)) and all(len(r.embedding) == 8 for r in rows)
+    assert corpus.read_checkpoint(spark, log)["updated"] == 20 and corpus.read_checkpoint(spark, str(tmp_path / "none")) == {}
+
+
+def test_expiring_caches_on_streams(spark, tmp_path):
+    schema = "key string, at timestamp, v int"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", datetime(2026, 1, 1), 1), ("a", datetime(2026, 1, 3), 2), ("b", datetime(2026, 1, 2), 3)], schema).coalesce(1).write.mode("append").parquet(source)
+    out, mark = str(tmp_path / "cache"), str(tmp_path / "ck")
+    run = lambda: ingest.latest_within_ttl(spark.readStream.schema(schema).parquet(source), ["key"], "at", out, mark).start().awaitTermination()
+    run()
+    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out).collect()) == [("a", 2), ("b", 3)]
+    spark.createDataFrame([("c", datetime(2026, 1, 9, 12), 4), ("a", datetime(2026, 1, 2), 9)], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out).collect()) == [("a", 2), ("c", 4)]
+    query = ingest.first_within_ttl(spark.readStream.schema(schema).parquet(source), ["key"], "at").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.key for r in spark.table("firsts").collect()) == ["a", "b", "c"]
+
+
+def test_golden_and_expected(spark, tmp_path):
+    path = tmp_path / "golden.jsonl"
+    path.write_text('{"id": "1", "category": "A", "question": "q", "expected_canon_ids": ["T01n0001"]}\n{"id": "2", "question": "r", "expected_canon_id": "T02n0002", "expected_canon_ids": []}\n{"id": "3", "question": "s"}\n')
+    rows = evaluate.expected_ids(corpus.read_golden(spark, str(path))).orderBy("id").collect()
+    assert [r.expected for r in rows] == [["T01n0001"], ["T02n0002"], []]
+    path.write_text("not json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        corpus.read_golden(spark, str(path)).collect()
+
+
+def test_state_rows(spark, tmp_path):
+    log = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, ts int, v string")
+    state.compact(log, ["k"], ["ts"], str(tmp_path / "c"))
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "c")).collect()] == ["b"]
+    stays, gone = state.purge_expired(spark.createDataFrame([(datetime(2026, 1, d),) for d in (1, 8, 9)], "created_at timestamp"), F.lit(datetime(2026, 1, 10)))
+    assert stays.count() == 2 and gone.first().purged == 1
+    answers = spark.createDataFrame([(" q ", [1.0], [1], "x"), ("r", [1.0], [1], ""), ("s", [1.0], [], "y")], "query string, vector array<double>, top_chunks array<long>, answer string")
+    kept = state.cache_rows(answers, F.lit(datetime(2026, 1, 1))).collect()
+    assert [r.answer for r in kept] == ["x"] and kept[0].query_hash == one(spark, "q", text.cache_key(F.col("c"), "v1"))[0]
+
+
+def test_translation_flow_fills_the_memory(spark, tmp_path):
+    memory = spark.createDataFrame([], "source_key string, draft string, polished string, used_specialist boolean, created_at timestamp")
+    asked = spark.createDataFrame([(1, "plain", False), (2, "བོད་ཡིག་གི་ཡི་གེ", False), (3, "bad", False), (4, "skipped", True), (5, " ", False)], "id long, text string, skip boolean")
+
+    def general(t):
+        if t == "bad":
+            raise ValueError("no")
+        return t.upper()
+
+    flow = lambda m: infer.translate(asked, m, lambda t: "special", general, lambda t: t + "!", wait=0.0, audit_fn=lambda t: "no json", audit_flag="specialist")
+    first = {r.id: r for r in flow(memory).collect()}
+    assert (first[2].polished, first[2].used_specialist, first[2].audit.bypass, first[2].audit.approved, first[2].blocked) == ("special!", True, True, True, False)
+    assert first[1].polished == "PLAIN" and first[1].audit is None and first[3].error == "ValueError: no"
+    path = str(tmp_path / "memory")
+    memory = state.upsert(memory, state.memory_rows(flow(memory), F.lit(datetime(2026, 1, 1))), path)
+    assert memory.count() == 2
+    again = {r.id: r for r in flow(memory).collect()}
+    assert [again[i].from_memory for i in range(1, 6)] == [True, True, False, False, False] and again[2].polished == "special!"
+
+
+def test_audit_levels(spark):
+    rows = spark.createDataFrame([(k, lv, f"draft{k}") for k in range(4) for lv in ("H0", "H1", "H2")], "k int, lv string, polished string").withColumn("text", F.lit("src"))
+
+    def judge(both):
+        assert both.startswith("src")
+        k = int(both[-1])
+        if k == 3:
+            raise RuntimeError("down")
+        return ['{"original": "a", "translation": "b", "approved": true, "issues": []}', '{"approved": true}', "plain"][k]
+
+    got = {(r.k, r.lv): r for r in infer.audit(rows, F.col("lv"), judge, wait=0.0).collect()}
+    assert all(got[k, "H0"].audit.approved and got[k, "H0"].audit.skipped and not got[k, "H0"].blocked for k in range(4))
+    assert [got[k, "H1"].audit.approved for k in range(4)] == [True, False, False, False] and [got[k, "H2"].blocked for k in range(4)] == [False, False, True, True]
+    assert got[3, "H1"].audit.issues == ["error: RuntimeError: down"] and got[3, "H1"].audit.fallback and got[2, "H1"].audit.issues == ["not_json"]
+    out, rejected = infer.split_blocked(infer.audit(rows, F.col("lv"), judge, wait=0.0))
+    assert out.count() == 10 and rejected.count() == 2
+
+
+def test_search_scopes_and_terms(spark):
+    chunks = spark.createDataFrame([(i, f"T0{i % 2 + 1}N1", "T" if i < 20 else "X", f"alpha beta {i}", [1.0, float(i)]) for i in range(30)], "id long, canon_id string, series string, text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "alpha", "T", ["T01"], 3), (2, "alpha", "X", [], 50), (3, "alpha", None, [], 2)], "query_id long, query string, series string, prefixes array<string>, k int")
+    got = {}
+    for r in search.token_search(asked, chunks).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert sorted(got[1]) == [0, 2, 4] and sorted(got[2]) == list(range(20, 30)) and sorted(got[3]) == [0, 1]
+    terms = spark.createDataFrame([(1, "beta", "T", ["T02"]), (1, "", None, []), (2, "a 2", None, []), (2, "none", None, []), (3, None, None, [])], "query_id long, term string, series string, scope array<string>")
+    found = sorted((r.query_id, r.term, r.id) for r in search.keyword_search(terms, chunks, 4).collect())
+    assert found == [(1, "", i) for i in range(4)] + [(1, "beta", i) for i in (1, 3, 5, 7)] + [(2, "a 2", i) for i in (2, 20, 21, 22)]
+    like = search.keyword_search(spark.createDataFrame([(1, "b_ta%9")], "query_id long, term string"), chunks, 9, like=True)
+    assert sorted(r.id for r in like.collect()) == [9, 19, 29]
+    store = chunks.withColumn("collection", F.col("series"))
+    near = search.query_collection(spark.createDataFrame([(1, [1.0, 25.0])], "query_id long, vector array<float>"), store, "X", 3)
+    assert sorted(r.id for r in near.collect()) == [24, 25, 26]
+
+
+def test_lsh_finds_clusters_without_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((60, 32))
+    x = np.concatenate([c + 0.25 * rng.standard_normal((20, 32)) for c in centers])
+    chunks = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    asked = chunks.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tables, bits = search.learn_tables(unit, 10)
+    keys = search._keys(unit, tables, bits)
+    met = (keys[::10, None, :] == keys[None, :, :]).any(axis=2)
+    hits, found = 0, {}
+    for r in search.approximate_vector_search(asked, chunks, 10).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    for q in range(0, len(x), 10):
+        hits += len(found[q] & set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(found) and met.mean() < 0.1
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    lines = spark.createDataFrame([("ingested 10 chunks from f in 2.0s (5.0 chunks/s, total 9)",), ("ingested 4 chunks from f in 2.0s (2.0 chunks/s)",)], "value string")
+    progress = spark.createDataFrame([("a", 10, True), ("b", 4, False)], "file_path string, chunk_count int, completed boolean")
+    reports.write_report(reports.nested_report("T", reports.parse_log_rates(lines), progress, 3, F.lit("2026-01-01")), str(tmp_path / "r"))
+    got = json.loads(next((tmp_path / "r").glob("*.json")).read_text())
+    assert got["ingest_rates_chunks_per_sec"] == {"samples": 2, "min": 2.0, "max": 5.0, "avg": 3.5} and got["chunks_in_db"] == 14 and got["volumes_completed"] == 1
+    results = spark.createDataFrame([("1", "a", 1, None), ("2", "B", 0, "no_hits"), ("3", None, 0, "x")], "id string, category string, hit int, miss_reason string")
+    report = reports.evaluation_report(results, 5).first()
+    assert report.by_category["A"].recall == 1.0 and report.by_category["UNKNOWN"].n == 1 and [m.id for m in report.misses] == ["2", "3"]
+    timed = spark.createDataFrame([(10, datetime(2026, 1, 1, 0, 0, 0), datetime(2026, 1, 1, 0, 0, 5)), (20, datetime(2026, 1, 1, 0, 0, 2), datetime(2026, 1, 1, 0, 0, 10))], "chunk_count int, began_at timestamp, updated_at timestamp")
+    assert reports.throughput(timed).first().chunks_per_sec == 3.0 and reports.throughput(timed.where("false")).first().chunks_per_sec == 0.0
+    segments = spark.createDataFrame([("f", k, f"c{k}", f"line {k}") for k in range(5)], "file_path string, line_no int, coord string, text string")
+    assert [r.line_no for r in reports.corpus_grep(segments, "line [1-4]", 2).collect()] == [1, 2]
+    scored = fusion.rerank(spark.createDataFrame([(1, 7, "aa", "q", 1), (1, 8, "aaaa", "q", 2)], "query_id long, id long, text string, query string, rank int"), 1, infer.pair_scorer(lambda q, t: t.str.len().astype(float)))
+    assert [r.id for r in scored.collect()] == [8]
 
 
 def test_evaluation_and_reports(spark):
