@@ -3,10 +3,10 @@
 Tokens are five-word shingles. Under a hash function, every stretch of at least MIN_SHINGLES tokens
 belongs to the compact window (left, right) of its least token: the spans of the Cartesian tree over
 the token hashes. Windows of different texts that agree on their least token meet in a hash bucket
-and are linked to the text with the smallest doc_id; the intervals of a pair are joined by position,
-on both sides, and where enough hash functions agree the passages are verified by Jaccard similarity.
+and are linked to one holder; the intervals of a pair are joined by position, on both sides, and where
+enough hash functions agree the passages are verified by Jaccard similarity.
 
-The earliest holder of a token need not hold the passage around it. So the windows of a text are also
+That holder of a token need not hold the passage around it. So the windows of a text are also
 intersected over pairs of hash functions: where no verified passage holds both least tokens of such an
 intersection, it is compared with every earlier text that has the same two least tokens in one stretch.
 """
@@ -18,6 +18,8 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
 AGREE = 2
 #: Documents per hash bucket: bounds what one task holds of the windows.
 BUCKET_DOCS = 4000
+#: A least token that so many windows of 1 MB of texts have is frequent: from then on a task links its holders
+#: itself and sends one of them to the token's bucket, so that no bucket holds more than a few of each task.
+FREQUENT = 8
 #: Rows that are compared again at once: more holders of two least tokens are compared in blocks of so many.
 BLOCK_ROWS = 50_000
 _SEEDS = [np.uint64(0xA0761D6478BD642F + 0x9E3779B97F4A7C16 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
@@ -106,40 +111,78 @@ _REGION = ["text", "doc", "source_text", "source_doc", "left", "right", "source_
 REACH = MIN_SHINGLES - 1
 
 
-def _shared(rows: np.ndarray) -> pd.DataFrame:
-    """The rows of keys that several texts hold, each with the row of smallest doc (its centre); copies of a text count once."""
-    rows = rows[np.lexsort((rows["at"], rows["text"], rows["doc"], rows["key"]))]
+def _linked(rows: np.ndarray, center: np.ndarray) -> pd.DataFrame:
+    out = {n: rows[n].astype(np.int64) for n in _ROW.names}
+    return pd.DataFrame(out | {f"source_{n}": center[n].astype(np.int64) for n in ("doc", "text", "left", "right")})
+
+
+def _once(rows: np.ndarray) -> np.ndarray:
+    """The rows by key and doc; copies of a text count once, as the smallest doc."""
     once = np.lexsort((rows["doc"], rows["at"], rows["text"], rows["key"]))
     again = np.concatenate([[False], np.all([rows[n][once][1:] == rows[n][once][:-1] for n in ("key", "text", "at")], axis=0)])[: len(rows)]
-    rows = rows[np.sort(once[~again])]
+    rows = rows[once[~again]]
+    return rows[np.lexsort((rows["at"], rows["text"], rows["doc"], rows["key"]))]
+
+
+def _shared(rows: np.ndarray) -> pd.DataFrame:
+    """The rows of keys that several texts hold, each with the row of smallest doc (its centre)."""
+    rows = _once(rows)
     head = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])[: len(rows)]
     group = np.cumsum(head) - 1
     center = rows[head][group]
     several = np.bincount(group, rows["text"] != center["text"]).astype(bool)[group] if len(rows) else head
-    rows, center = rows[several], center[several]
-    out = {n: rows[n].astype(np.int64) for n in _ROW.names}
-    return pd.DataFrame(out | {f"source_{n}": center[n].astype(np.int64) for n in ("doc", "text", "left", "right")})
-
-
-def _blobs(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The rows as one binary value for each bucket of keys."""
+    return _linked(rows[several], center[several])
+
+
+class Frequent:
+    """What a task has seen of frequent keys: the first row of each."""
+
+    def __init__(self) -> None:
+        self.keys, self.centers = np.zeros(0, np.uint64), np.zeros(0, _ROW)
+
+    def split(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows for the buckets, linked rows, their centres) of a run's rows, which come as from _once."""
+        head = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])[: len(rows)]
+        group = np.cumsum(head) - 1
+        first = rows[head]
+        at = np.minimum(np.searchsorted(self.keys, first["key"]), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == first["key"] if len(self.keys) else np.zeros(len(first), bool)
+        fresh = (np.bincount(group, minlength=len(first)) >= FREQUENT) & ~known
+        center = first.copy()
+        if known.any():
+            center[known] = self.centers[at[known]]
+        if fresh.any():
+            keys, centers = np.concatenate([self.keys, first["key"][fresh]]), np.concatenate([self.centers, first[fresh]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.centers = keys[order], centers[order]
+        local = (known | fresh)[group]
+        sent = ~local | (head & fresh[group])
+        return rows[sent], rows[local], center[group][local]
+
+
+def _blobs(rows: np.ndarray, buckets: int, linked: np.ndarray, centers: np.ndarray, number: int) -> pa.RecordBatch:
+    """The rows as one binary value for each bucket of keys; linked rows, which nobody has to meet, in a bucket by `number`."""
     home = (rows["key"].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     rows, cuts = rows[order], np.searchsorted(home[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    return pa.RecordBatch.from_arrays([pa.array(full), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "rows"])
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    values = [rows[cuts[b] : cuts[b + 1]].tobytes() for b in full] + [b""] * bool(len(linked))
+    both = [b""] * len(full) + [linked.tobytes() + centers.tobytes()] * bool(len(linked))
+    return pa.RecordBatch.from_arrays([pa.array(full + [number % buckets] * bool(len(linked)), pa.int64()), pa.array(values, pa.binary()), pa.array(both, pa.binary())], ["bucket", "rows", "linked"])
 
 
 def shared_windows(docs: DataFrame, hashes: int = HASHES, buckets: int | None = None) -> DataFrame:
-    """Compact windows whose least token several texts have, with the window of the smallest doc that has it.
+    """Compact windows whose least token several texts have, each with the window of another holder.
 
-    `docs` has doc_id, text and _text (its hash). No holder is left out: those that turn out to have
-    no passage in common with the centre are compared with each other by `open_pairs`.
+    `docs` has doc_id, text and _text (its hash). That holder is the smallest doc of the token's bucket, or of
+    the task where the token is frequent; doc may be any of a text's documents. No holder is left out: those
+    that turn out to have no passage in common with it are compared with each other by `open_pairs`.
     """
     attach(docs.sparkSession)
     buckets = buckets or max(32, -(-docs.count() // BUCKET_DOCS))
 
     def make(batches):
+        frequent, number = Frequent(), TaskContext.get().partitionId() * 7919
         for batch in batches:
             docs_, texts_ = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text").to_numpy(zero_copy_only=False)
             for rows, data, marks in _text.text_runs(batch):
@@ -151,23 +194,32 @@ def shared_windows(docs: DataFrame, hashes: int = HASHES, buckets: int | None =
                     part["key"], part["doc"], part["text"] = _text.mix(key + np.uint64(j)), docs_[rows][owner], texts_[rows][owner]
                     part["at"], part["left"], part["right"], part["hash"] = at, left, right, j
                     parts.append(part)
-                yield _blobs(np.concatenate(parts), buckets)
+                number += 1
+                sent, linked, centers = frequent.split(_once(np.concatenate(parts)))
+                yield _blobs(sent, buckets, linked, centers, number)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _shared(np.frombuffer(b"".join(pdf["rows"]), _ROW))
+        parts = [_shared(np.frombuffer(b"".join(pdf["rows"]), _ROW))]
+        for raw in pdf["linked"]:
+            both = np.frombuffer(raw, _ROW)
+            parts.append(_linked(both[: len(both) // 2], both[len(both) // 2 :]))
+        return pd.concat(parts, ignore_index=True)
 
-    made = docs.select("doc_id", "_text", "text").where("doc_id is not null").mapInArrow(make, "bucket long, rows binary")
+    made = docs.select("doc_id", "_text", "text").where("doc_id is not null").mapInArrow(make, "bucket long, rows binary, linked binary")
     return made.groupBy("bucket").applyInPandas(meet, _SHARED)
 
 
-def window_pairs(shared: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Regions (_REGION) of a text and a centre where enough hash functions agree: their windows joined by position.
+def window_pairs(shared: DataFrame, holders: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Regions (_REGION) of two texts where enough hash functions agree: their windows joined by position.
 
     Windows of a pair belong together while they have a stretch of MIN_SHINGLES in common, first on
-    the text's side, then on the source's; the functions are counted within such a region.
+    one side, then on the other; the functions are counted within such a region. holders: text, doc (its
+    smallest); the source is the text of smaller (doc, text).
     """
+    sides = [("text", "left", "right"), ("source_text", "source_left", "source_right")]
+    turned = F.col("text") < F.col("source_text")
+    part = shared.where("text != source_text").select("hash", *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for one, two in (sides, sides[::-1]) for a, b in zip(one, two)])
     pair = ["text", "source_text"]
-    part = shared.where("text != source_text")
     for name, left, right in (("_part", "left", "right"), ("_spot", "source_left", "source_right")):
         along = Window.partitionBy(*pair).orderBy(left, right)
         before = F.max(right).over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -175,8 +227,14 @@ def window_pairs(shared: DataFrame, hashes: int = HASHES) -> DataFrame:
         part = part.withColumn(name, F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         pair = [*pair, name]
     agreed = F.bit_or(F.expr("shiftleft(1L, cast(hash as int))")).alias("hashes")
-    hull = [f(c).alias(c) for c, f in (("doc", F.min), ("source_doc", F.min), ("left", F.min), ("right", F.max), ("source_left", F.min), ("source_right", F.max))]
-    return part.groupBy(*pair).agg(*hull, agreed).where(F.bit_count("hashes") >= min(AGREE, hashes)).select(*_REGION)
+    hull = [f(c).alias(c) for c, f in (("left", F.min), ("right", F.max), ("source_left", F.min), ("source_right", F.max))]
+    found = part.groupBy(*pair).agg(*hull, agreed).where(F.bit_count("hashes") >= min(AGREE, hashes))
+    for side in ("text", "source_text"):
+        name = side.replace("text", "doc")
+        found = found.join(holders.select(F.col("text").alias("_of"), F.col("doc").alias(name)), F.col(side) == F.col("_of")).drop("_of")
+    earlier = F.struct("doc", "text") < F.struct(F.col("source_doc").alias("doc"), F.col("source_text").alias("text"))
+    sides = [("text", "doc", "left", "right"), ("source_text", "source_doc", "source_left", "source_right")]
+    return found.select(*[F.when(earlier, F.col(b)).otherwise(F.col(a)).alias(a) for one, two in (sides, sides[::-1]) for a, b in zip(one, two)]).select(*_REGION)
 
 
 _MEET = "key long, text long, doc long, lo long, hi long, left long, right long, open boolean"
@@ -215,18 +273,18 @@ def _intersections(windows: dict[str, np.ndarray], text_of: np.ndarray, spans: t
 
 def intersections(shared: DataFrame, spans: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Rows (_MEET) for each pair of least tokens in one stretch of a text; open if no verified span (text, s, e) holds both."""
-    listed = shared.groupBy("text").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("key", "at", "left", "right", "hash")).alias("windows"))
+    listed = shared.groupBy("text").agg(F.min("doc").alias("doc"), F.collect_set(F.struct("key", "at", "left", "right", "hash")).alias("windows"))
     found = spans.groupBy(F.col("text").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
     names = [c.split()[0] for c in _MEET.split(", ")]
 
     def run(batches):
         for batch in batches:
             texts, docs = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("text", "doc"))
-            lists, spans_ = batch.column("windows"), batch.column("spans").combine_chunks() if isinstance(batch.column("spans"), pa.ChunkedArray) else batch.column("spans")
+            lists, spans_ = batch.column("windows"), batch.column("spans")
             flat = lists.flatten()
             windows = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("key", "at", "left", "right", "hash")}
-            text_of = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            inner, sizes = spans_.flatten(), pa.compute.list_value_length(spans_).fill_null(0).to_numpy(zero_copy_only=False)
+            text_of = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            inner, sizes = spans_.flatten(), pc.list_value_length(spans_).fill_null(0).to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(batch)), sizes)
             key, text, *rest = _intersections(windows, text_of, (of, *(inner.field(n).to_numpy(zero_copy_only=False) for n in ("s", "e"))), hashes)
             for at in range(0, len(key), 100_000):
@@ -526,8 +584,9 @@ def text_passages(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, Dat
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text")).where("doc_id is not null")
     classes = materialize(rows.groupBy("_text").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_copies")), "classes")
     shared = materialize(shared_windows(rows, hashes), "shared")
-    texts = materialize(shingle_table(rows, shared.select("text", "doc").distinct()), "texts")
-    found = materialize(verified(window_pairs(shared, hashes), texts), "passages")
+    holders = materialize(shared.groupBy("text").agg(F.min("doc").alias("doc")), "holders")
+    texts = materialize(shingle_table(rows, holders), "texts")
+    found = materialize(verified(window_pairs(shared, holders, hashes), texts), "passages")
     spans = found.select("text", F.col("start_word").alias("s"), (F.col("end_word") - (SHINGLE - 1)).alias("e"))
     met = materialize(intersections(shared, spans, hashes), "intersections")
     more = verified(materialize(open_pairs(met, texts), "pairs"), texts)
