@@ -112,12 +112,16 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes:
     light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns])
     most = queries.agg(F.max("k")).first()[0] or k if own_k else k
     if prefixes and mode == "prefilter":
-        asked = queries.select("query_id", "prefixes", F.col("vector").alias("_q"), *([F.col("series").alias("_s")] if "series" in queries.columns else []))
-        inside = has_prefix(F.col("canon_id"), F.col("prefixes")) | (F.size("prefixes") == 0)
-        if "series" in queries.columns:
-            inside = inside & (F.col("_s").isNull() | (F.col("_s") == F.col("series")))
-        scoped = chunks.join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, inside)
-        near = scoped.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null")
+        # Every beginning of a chunk's id is a key, and so are the queries' prefixes: an equi-join.
+        series = ["series"] if "series" in queries.columns else []
+        keys = queries.select("query_id", F.col("vector").alias("_q"), *[F.col(c).alias("_s") for c in series], F.explode(F.transform("prefixes", F.upper)).alias("_key"))
+        heads = F.transform(F.sequence(F.lit(0), F.length("canon_id")), lambda n: F.upper(F.substring("canon_id", F.lit(1), n)))
+        rows = chunks.where("embedding is not null").select("id", "embedding", *series, F.explode(heads).alias("_key"))
+        met = rows.join(keys, "_key")
+        met = met.where(F.col("_s").isNull() | (F.col("_s") == F.col("series"))) if series else met
+        near = met.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null").distinct()
+        free = queries.where(F.size("prefixes") == 0).select("query_id").join(light, "query_id").select(*light.columns)
+        near = near.union(_nearest(free, chunks, most))
     else:
         near = _nearest(light, chunks, max(most, OVER_FETCH) if prefixes else most)
         if prefixes:
@@ -274,7 +278,7 @@ def keyword_search(terms: DataFrame, chunks: DataFrame, k: int = 10, like: bool
     own = [c for c in ("series", "scope") if c in terms.columns]
     keys = terms.select("query_id", "term", *[F.col(c).alias(f"_{c}") for c in own])
     if like:
-        hit = F.col("text").like(F.concat(F.lit("%"), F.col("term"), F.lit("%")))
+        hit = F.like(F.col("text"), F.concat(F.lit("%"), F.col("term"), F.lit("%")))
         asked = terms.select("term").where("term is not null").distinct()
         found = chunks.select("id", "text").join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, hit).select("term", "id")
     else:
