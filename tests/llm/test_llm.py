@@ -637,3 +637,33 @@ def test_drop_repeats_cuts_the_right_text(spark):
     left = sorted((str(r.doc_id), r.text and len(r.text.split()), r.n_chars == len(r.text or "") or r.n_chars == 5) for r in got.collect())
     assert got.columns == docs.columns and left == sorted([("1", 100, True), ("2", 90, True), ("2", 20, True), ("None", 81, True), ("3", 60, True), ("5", None, True), ("6", 2, True), ("7", 2, True)])
     assert passages.drop_repeats(docs.where("false")).count() == 0
+
+
+def test_near_passages_are_found(spark):
+    """Of 120 passages of 60 to 140 words with one word changed in 45, all but a few are found at similarity 0.8."""
+    rng = random.Random(31)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(120):
+        p = make(rng.randint(60, 140))
+        q = list(p)
+        for k in range(rng.randrange(10, 30), len(q), 45):
+            q[k] = "changed"
+        texts += [make(40) + p + make(40), make(25) + q + make(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} <= {(2 * k + 1, 2 * k) for k in range(120)} and len({r.doc_id for r in got}) >= 116
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
+
+
+def test_frequent_windows_are_linked_in_the_task():
+    rng = np.random.default_rng(2)
+    rows = np.zeros(600, passages._ROW)
+    rows["key"], rows["doc"], rows["text"] = np.where(rng.random(600) < 0.5, 7, rng.integers(100, 10**6, 600)), rng.integers(0, 10**6, 600), rng.integers(0, 10**6, 600)
+    seen, sent, local = passages.Frequent(), [], []
+    for part in np.split(rows, 6):
+        a, b, c = seen.split(passages._once(part))
+        sent, local = sent + [a], local + [b]
+        assert (b["key"] == c["key"]).all()
+    sent, local = np.concatenate(sent), np.concatenate(local)
+    assert (sent["key"] == 7).sum() == 1 and (local["key"] == 7).all() and len(local) == (rows["key"] == 7).sum() and len(sent) == 1 + (rows["key"] != 7).sum()
