@@ -24,7 +24,9 @@ TRAIN_LINES = 24
 #: Bound of the training sequences (by hash of document and place), and so of what the driver holds.
 TRAIN_RUNS = 6000
 #: How often a line is taken to have the label of its document.
-AGREES = 0.8
+AGREES = 0.7
+#: First rounds of expectation-maximisation, in which lines are labelled by their own features alone.
+ALONE = 3
 #: Ridge of the weights of a line's own features, and of its neighbours' features and labels: these may tip
 #: the scales, but a line that looks like the others of its kind keeps their label beside any neighbour.
 OWN_RIDGE, NEAR_RIDGE = 1e-4, 1e-2
@@ -108,18 +110,19 @@ def forward_backward(model: LineModel, features: np.ndarray, first: np.ndarray,
     return good, np.exp(pair).sum(axis=0), float(total[first[:-1]].sum())
 
 
-def _climb(model: LineModel, features: np.ndarray, first: np.ndarray, gold: np.ndarray, moves: np.ndarray, steps: int, local: bool) -> LineModel:
-    """Adam steps up the likelihood of soft labels `gold` and transitions `moves`; `local`: only a line's own features."""
+def _climb(model: LineModel, features: np.ndarray, first: np.ndarray, gold: np.ndarray, moves: np.ndarray, steps: int, worth: np.ndarray | None = None) -> LineModel:
+    """Adam steps up the likelihood of soft labels `gold` and transitions `moves`; with `worth` (of each line) by a line's own features alone."""
     width = len(FEATURES)
     ridge = np.r_[0, np.full(len(OWN) - 1, OWN_RIDGE), np.full(width - len(OWN) + 4, NEAR_RIDGE)]
     open_ = np.ones(width + 4)
-    if local:
+    if worth is not None:
         open_[len(OWN) :] = 0
+    worth = np.ones(len(gold)) if worth is None else worth
     theta, m, v = np.r_[model.emit, model.stay.ravel()], 0.0, 0.0
     for t in range(1, steps + 1):
         now = LineModel(theta[:width], theta[width:].reshape(2, 2))
         good, expected, _ = forward_backward(now, features, first)
-        slope = np.concatenate([features.T @ (gold - good), (moves - expected).ravel()]) / len(gold) - ridge * theta
+        slope = np.concatenate([features.T @ (worth * (gold - good)), (moves - expected).ravel()]) / len(gold) - ridge * theta
         slope *= open_
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta = theta + 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -130,8 +133,9 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int
     """Lines get latent labels; a document's label (one per sequence) is a noisy sign of each line's.
 
     Expectation-maximisation: lines are labelled by forward-backward with what the document's label
-    says about them, then weights and transitions are fitted to that. It starts from each line's own
-    features, so that alike lines of good and bad documents come to one label. Without both labels
+    says about them, then weights and transitions are fitted to that. It starts with rounds of each line's own
+    features alone, with good and bad documents worth the same, so that alike lines of both come to the label
+    of those where they are commoner. Without both labels
     there is nothing to tell apart: the model then calls every line good or bad.
     """
     width = len(FEATURES)
@@ -141,11 +145,12 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int
         return LineModel(emit, np.zeros((2, 2)))
     seen = np.repeat(labels, np.diff(first)).astype(int)
     gold, moves, model = seen.astype(float), np.zeros((2, 2)), LineModel(np.zeros(width), np.zeros((2, 2)))
+    even = 0.5 / np.where(seen == 1, max(seen.mean(), 1e-9), max(1 - seen.mean(), 1e-9))
     sign = np.log(np.array([[AGREES, 1 - AGREES], [1 - AGREES, AGREES]]))[seen]
     for k in range(rounds):
-        model = _climb(model, features, first, gold, moves, steps, local=k == 0)
+        model = _climb(model, features, first, gold, moves, steps, even if k < ALONE else None)
         gold, moves, _ = forward_backward(model, features, first, sign)
-    return _climb(model, features, first, gold, moves, steps, local=False)
+    return _climb(model, features, first, gold, moves, steps)
 
 
 def calibrate(model: LineModel, share: np.ndarray, mean: np.ndarray, labels: np.ndarray) -> LineModel:
