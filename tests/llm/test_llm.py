@@ -654,16 +654,3 @@ def test_near_passages_are_found(spark):
     got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {(r.doc_id, r.source_doc_id) for r in got} <= {(2 * k + 1, 2 * k) for k in range(120)} and len({r.doc_id for r in got}) >= 116
     assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
-
-
-def test_frequent_windows_are_linked_in_the_task():
-    rng = np.random.default_rng(2)
-    rows = np.zeros(600, passages._ROW)
-    rows["key"], rows["doc"], rows["text"] = np.where(rng.random(600) < 0.5, 7, rng.integers(100, 10**6, 600)), rng.integers(0, 10**6, 600), rng.integers(0, 10**6, 600)
-    seen, sent, local = passages.Frequent(), [], []
-    for part in np.split(rows, 6):
-        a, b, c = seen.split(passages._once(part))
-        sent, local = sent + [a], local + [b]
-        assert (b["key"] == c["key"]).all()
-    sent, local = np.concatenate(sent), np.concatenate(local)
-    assert (sent["key"] == 7).sum() == 1 and (local["key"] == 7).all() and len(local) == (rows["key"] == 7).sum() and len(sent) == 1 + (rows["key"] != 7).sum()
