@@ -1,12 +1,12 @@
 """LM scoring with a probabilistic suffix tree.
 
 The symbols are the bytes of a text's words, lower-cased and joined by one space, and an end symbol;
-a context is the up to seven bytes before a symbol. Contexts are kept by a divergence test against
+a context is the up to six bytes before a symbol. Contexts are kept by a divergence test against
 their suffix, next-symbol distributions are smoothed with those of the longest kept suffix, and a
 text is scored along the longest kept context of each symbol.
 
 The tree is a table, not an object: it has as many contexts as the corpus supports, and its levels
-are joined in Spark. A gram (seven bytes and the symbol after them) has one probability, so texts meet
+are joined in Spark. A gram (six bytes and the symbol after them) has one probability, so texts meet
 theirs by gram: those of the commonest grams travel with the scorer, all others are joined. Words,
 whose counts give the base a report compares with, are met in the same way.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import _text
 from lodestar.llm._spark import attach, materialize
 
-#: Bytes of the longest context: with the symbol after it a gram fills one 64-bit key.
-DEPTH = 7
+#: Bytes of the longest context: with the symbol after it a gram is one 64-bit key.
+DEPTH = 6
 #: A context is kept if its gain in nats over its suffix exceeds this per distinct next symbol.
 GAIN_PER_SYMBOL = 3.0
 #: Words and grams whose values are sent to the scorers; those of all others are joined.
