@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, html, line_rules, mixing, packing, passages, quality, sharding, simhash, suffix_tree
+from lodestar.llm import alignment, ann, fingerprints, html, line_rules, mixing, packing, passages, quality, sharding, simhash, suffix_tree, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,23 @@ def op10_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a byte-level and a piece tokenizer end tokens together, in all documents."""
+    import public_tokenizers
+
+    return alignment.align_tokenizers(_docs(spark, sf_dir), tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"), tokenizer_ranks())
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how near they are."""
+    return fingerprints.document_fingerprints(_docs(spark, sf_dir))
+
+
+def op13_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 16 whitened components of the distinct ones."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -89,5 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_shard_groups": op10_shard_groups,
+    "op11_align_tokenizers": op11_align_tokenizers,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_whitened_vectors": op13_whitened_vectors,
 }
 ORACLES: dict[str, str] = {}
