@@ -36,7 +36,7 @@ def canon_id_from_coord(coord: Column) -> Column:
 def normalize_id(raw: Column) -> Column:
     full = F.upper(F.regexp_extract(raw, ID, 1))
     volume, number = F.regexp_extract(raw, SHORT_ID, 1), F.regexp_extract(raw, SHORT_ID, 2)
-    return F.coalesce(nullif_empty(full), F.when(volume != "", F.concat(F.lit("T"), volume, F.lit("N"), F.lpad(number, 4, "0"))))
+    return F.coalesce(nullif_empty(full), F.when(volume != "", F.concat(F.lit("T"), volume, F.lit("N"), number)))
 
 
 def id_prefixes(ids: Column) -> Column:

@@ -34,17 +34,15 @@ def recall_subsets(results: DataFrame) -> DataFrame:
 def citation_exists(cites: DataFrame, chunks: DataFrame, scoped: bool = False) -> DataFrame:
     """cites (cite_id, coord) that fall in some chunk's coordinate range, by code points.
 
-    Unscoped, any chunk counts: a chunk holds c if among those starting at or before c the greatest
-    end reaches c. That is one ordered pass over chunk starts and citations, not a theta join.
-    `scoped` looks only at chunks of the citation's own work: an equi join with a range condition.
+    Unscoped, any chunk counts; `scoped` looks only at chunks of the citation's own work. A chunk holds c
+    if among those (of the work) starting at or before c the greatest end reaches c. That is one ordered
+    pass over chunk starts and citations, not a theta join, whatever the number of chunks of a work.
     """
-    if scoped:
-        mine = cites.withColumn("_work", text.canon_id_from_coord(F.col("coord")))
-        inside = (F.col("coord_start") <= F.col("coord")) & (F.col("coord_end") >= F.col("coord")) & (F.col("_work") == F.col("canon_id"))
-        return mine.join(chunks.select("canon_id", "coord_start", "coord_end"), inside, "left_semi").drop("_work")
-    starts = chunks.select(F.col("coord_start").alias("at"), F.lit(0).alias("side"), F.col("coord_end").alias("reach"), F.lit(None).cast("long").alias("cite_id"))
-    points = starts.union(cites.select("coord", F.lit(1), F.lit(None).cast("string"), "cite_id")).where("at is not null")
-    good = running_max(points, ["at", "side"], "reach", "_reach").where("side = 1 and _reach >= at").select("cite_id")
+    work = (lambda c: c.alias("work")) if scoped else (lambda c: F.lit("").alias("work"))
+    starts = chunks.select(work(F.col("canon_id") if scoped else None), F.col("coord_start").alias("at"), F.lit(0).alias("side"), F.col("coord_end").alias("reach"), F.lit(None).cast("long").alias("cite_id"))
+    asked = cites.select(work(text.canon_id_from_coord(F.col("coord")) if scoped else None), "coord", F.lit(1), F.lit(None).cast("string"), "cite_id")
+    points = starts.union(asked).where("at is not null and work is not null")
+    good = running_max(points, ["at", "side"], "reach", "_reach", ("work",) if scoped else ()).where("side = 1 and _reach >= at").select("cite_id")
     return cites.join(good, "cite_id", "left_semi")
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import tasks, text
 from lodestar.operators.state import memory_lookup
-from lodestar.session import attach
+from lodestar.session import attach, finished_folders, shared_folder, unique_name
 
 
 def embed(df: DataFrame, column: str = "text", role: str = "passage", dim: int = 2048, encoder: Callable[[pd.Series], pd.Series] | None = None, prompts: dict[str, str] | None = None) -> DataFrame:
@@ -36,8 +37,11 @@ def pair_scorer(fn: Callable[[pd.Series, pd.Series], pd.Series]):
     return F.pandas_udf(lambda q, t: fn(q, t), "double")
 
 
-def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "output", attempts: int = 3, wait: float = 2.0, most_wait: float = 10.0) -> DataFrame:
-    """Adds `out` and `{out}_error`: fn per row, retried with growing waits; errors become a column."""
+def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "output", attempts: int = 3, wait: float = 2.0, most_wait: float = 10.0, calls: int = 1) -> DataFrame:
+    """Adds `out` and `{out}_error`: fn per row, retried with growing waits; errors become a column.
+
+    `calls` is how many calls a task makes at a time; answers keep the order of the rows.
+    """
     attach(df.sparkSession)
 
     def one(value):
@@ -53,12 +57,51 @@ def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "outp
         return None, error
 
     def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(v) if v is not None else (None, None) for v in values], columns=["value", "error"])
+        ask = lambda v: one(v) if v is not None else (None, None)
+        if calls == 1:
+            return pd.DataFrame(map(ask, values), columns=["value", "error"])
+        with ThreadPoolExecutor(calls) as pool:
+            return pd.DataFrame(pool.map(ask, values), columns=["value", "error"])
 
     called = F.pandas_udf(run, "value string, error string")
     return df.withColumn("_r", called(F.col(column))).withColumn(out, F.col("_r.value")).withColumn(f"{out}_error", F.col("_r.error")).drop("_r")
 
 
+def infer_resumable(df: DataFrame, column: str, fn: Callable[[str], str], path: str, out: str = "output", keys: tuple[str, ...] = (), parts: int = 64, parallel: int = 2, retry_errors: bool = False, **how) -> DataFrame:
+    """`infer` whose answers are kept in `path`: a run that follows a killed one calls no finished row again.
+
+    A question is the value of `column` with those of `keys`; equal ones are asked once. One scan deals the
+    questions without an answer to `parts` by hash; each part is asked by a job of its own, `parallel` at a
+    time, and counts from its commit on. Errors are answers too, unless `retry_errors`. Other arguments are
+    those of `infer`. Rows and their columns are as `infer` gives them.
+    """
+    spark = attach(df.sparkSession)
+    ask = F.sha2(F.to_json(F.struct(*keys, F.col(column).alias("_in"))), 256)
+    asked = df.where(F.col(column).isNotNull()).select(ask.alias("_ask"), F.col(column).alias("_in")).distinct()
+    known = _answers(spark, path)
+    rest = asked.join(known.where("error is null") if retry_errors else known, "_ask", "left_anti")
+    folder = f"{shared_folder(spark)}/{unique_name('questions')}"
+    rest.withColumn("part", F.pmod(F.xxhash64("_ask"), F.lit(parts)).cast("int")).hint("rebalance", "part").write.partitionBy("part").parquet(folder)
+    table = spark.read.schema("_ask string, _in string, part int").parquet(folder)
+
+    def run(number: int) -> None:
+        answered = infer(table.where(F.col("part") == number), "_in", fn, "value", **how)
+        answered.select("_ask", "value", F.col("value_error").alias("error")).write.parquet(f"{path}/{unique_name('answers')}")
+
+    numbers = sorted(r.part for r in table.select("part").distinct().collect())  # `parts` at most
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(run, numbers))
+    answers = _answers(spark, path).groupBy("_ask").agg(F.max_by(F.struct("value", "error"), F.col("error").isNull()).alias("_r"))
+    joined = df.withColumn("_ask", ask).join(answers, "_ask", "left")
+    return joined.withColumn(out, F.col("_r.value")).withColumn(f"{out}_error", F.col("_r.error")).drop("_r", "_ask")
+
+
+def _answers(spark: SparkSession, path: str) -> DataFrame:
+    """_ask, value, error of all committed parts."""
+    folders, schema = finished_folders(spark, path), "_ask string, value string, error string"
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def translate(
     requests: DataFrame, memory: DataFrame, specialist: Callable[[str], str], general: Callable[[str], str], polish: Callable[[str], str], span=None, wait: float = 2.0,
     audit_fn: Callable[[str], str] | None = None, audit_flag: str = "off", level: str = "H2",
@@ -76,7 +119,7 @@ def translate(
     plain = infer(routed.where("not used_specialist"), "text", general, "draft", wait=wait).withColumn("polished", F.col("draft")).withColumn("polished_error", F.lit(None).cast("string"))
     columns = ["id", "text", "source_key", "draft", "polished", "used_specialist"] + (["skip"] if "skip" in requests.columns else [])
     done = special.unionByName(plain).select(*columns, F.lit(False).alias("from_memory"), F.coalesce("draft_error", "polished_error").alias("error"))
-    judged = optional_audit(done, F.lit(audit_flag), F.col("used_specialist"), F.lit(level), audit_fn, "text", "polished", wait=wait)
+    judged = optional_audit(done, tasks.audits_translation(F.lit(audit_flag), F.col("used_specialist")), F.lit(level), audit_fn, "text", "polished", wait=wait)
     known = hits.select(*columns, F.lit(True).alias("from_memory"), F.lit(None).cast("string").alias("error"))
     return judged.unionByName(known.withColumn("audit", F.lit(None).cast(_AUDIT)).withColumn("blocked", F.lit(False)))
 
@@ -108,14 +151,13 @@ def split_blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~F.col("blocked")), rows.where("blocked")
 
 
-def optional_audit(rows: DataFrame, flag: Column, signal: Column, level: Column, fn: Callable[[str], str] | None, original: str, column: str, wait: float = 2.0) -> DataFrame:
-    """audit() where the flag asks for it (`signal`: hits of an answer, or whether a specialist translated); it never blocks.
+def optional_audit(rows: DataFrame, wanted: Column, level: Column, fn: Callable[[str], str] | None, original: str, column: str, wait: float = 2.0) -> DataFrame:
+    """audit() where `wanted` (`tasks.audits_answer` or `tasks.audits_translation` of a flag); it never blocks.
 
     What would have blocked is approved with the issue and marked as bypassed. Rows without an audit have null.
     """
     if fn is None:
         return rows.withColumn("audit", F.lit(None).cast(_AUDIT)).withColumn("blocked", F.lit(False))
-    wanted = tasks.audits_translation(flag, signal) if dict(rows.select(signal.alias("s")).dtypes)["s"] == "boolean" else tasks.audits_answer(flag, signal)
     judged = audit(rows.withColumn("_wanted", wanted), F.when(F.col("_wanted"), level).otherwise("H0"), fn, original, column, wait)
     bypass = F.struct(F.lit(True).alias("approved"), F.transform("audit.issues", lambda i: F.concat(F.lit("bypass: "), i)).alias("issues"), F.lit(False).alias("skipped"), F.lit(False).alias("fallback"), F.lit(True).alias("bypass")).cast(_AUDIT)
     return judged.withColumn("audit", F.when(F.col("_wanted"), F.when(F.col("blocked"), bypass).otherwise(F.col("audit")))).withColumn("blocked", F.lit(False)).drop("_wanted")

@@ -1,15 +1,23 @@
 """Query preparation over a table of questions: expansion, aliases, intent, class, boosts, terms.
 
-The dictionaries are arguments (defaults in functions.lexicon) and become literal arrays, so a
-table of questions of any size is one narrow projection without joins or shuffles.
+Dictionaries are arguments. Small ones (the defaults in functions.lexicon) are dicts and become literal
+arrays, so a table of questions of any size is one narrow projection. Large ones are tables: one automaton
+finds all their words in the questions, and joins with the table do the rest (`*_by_table`).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import lexicon, text
+from lodestar.operators.search import containing
+
+
+#: Alternatives with such a character are search terms too.
+_CJK = "[一-鿿]"
 
 
 def _strings(items) -> Column:
@@ -37,13 +45,64 @@ def resolve_aliases(query: Column, aliases: dict[str, str] | None = None) -> Col
     aliases = lexicon.ALIASES if aliases is None else aliases
     ordered = _longest(aliases)
     table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(aliases[a]).alias("id")) for a in ordered])
-    starts = lambda a: F.filter(F.sequence(F.lit(1), F.greatest(F.length(query) - F.length(a["alias"]) + 1, F.lit(1))), lambda i: F.substring(query, i, F.length(a["alias"])) == a["alias"])
-    spans = F.flatten(F.transform(F.filter(table, lambda a: query.contains(a["alias"])), lambda a: F.transform(starts(a), lambda i: F.struct((-F.length(a["alias"])).alias("by"), i.alias("start"), (i + F.length(a["alias"])).alias("stop"), a["id"].alias("id")))))
-    kept = F.aggregate(F.array_sort(spans), F.filter(spans, lambda s: F.lit(False)), lambda got, s: F.when(F.exists(got, lambda g: (g["start"] < s["stop"]) & (s["start"] < g["stop"])), got).otherwise(F.array_append(got, s)))
-    ids = F.array_distinct(F.transform(kept, lambda s: s["id"]))
+    spans = F.flatten(F.transform(F.filter(table, lambda a: query.contains(a["alias"])), lambda a: _alias_spans(query, a["alias"], a["id"])))
+    return _with_ids(query, spans)
+
+
+def _alias_spans(query: Column, alias: Column, id_: Column) -> Column:
+    """All places of an alias in the query, overlapping ones included."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(query) - F.length(alias) + 1, F.lit(1))), lambda i: F.substring(query, i, F.length(alias)) == alias)
+    return F.transform(starts, lambda i: F.struct((-F.length(alias)).alias("by"), i.alias("start"), (i + F.length(alias)).alias("stop"), id_.alias("id")))
+
+
+def _apart(spans: Column) -> Column:
+    """The spans in order, without those that overlap an earlier one kept."""
+    return F.aggregate(spans, F.filter(spans, lambda s: F.lit(False)), lambda got, s: F.when(F.exists(got, lambda g: (g["start"] < s["stop"]) & (s["start"] < g["stop"])), got).otherwise(F.array_append(got, s)))
+
+
+def _with_ids(query: Column, spans: Column) -> Column:
+    ids = F.array_distinct(F.transform(_apart(F.array_sort(spans)), lambda s: s["id"]))
     return F.when(F.size(ids) > 0, F.concat_ws(" ", query, F.array_join(ids, " "))).otherwise(query)
 
 
+def _found(queries: DataFrame, column: str, words: DataFrame, word: str) -> DataFrame:
+    """query_id, word: the distinct words of a table that each query's text contains."""
+    texts = queries.select(F.col("query_id").alias("id"), F.col(column).alias("text"))
+    return containing(words.select(F.col(word).alias("term")), texts).select(F.col("id").alias("query_id"), F.col("term").alias(word))
+
+
+def expand_terms_by_table(queries: DataFrame, column: str, terms: DataFrame, out: str) -> DataFrame:
+    """`expand_terms` for a dictionary table (term, alt): adds `out` to queries (query_id and `column`)."""
+    pairs = terms.select("term", "alt", F.lower("alt").alias("low"))
+    by_term = _found(queries, column, pairs, "term").join(pairs, "term").select("query_id", F.col("alt").alias("extra"))
+    by_alt = _found(queries.withColumn("_low", F.lower(column)), "_low", pairs, "low").join(pairs, "low").select("query_id", F.col("term").alias("extra"))
+    extras = by_term.union(by_alt).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("extra")), " ").alias("_extra"))
+    return queries.join(extras, "query_id", "left").withColumn(out, F.concat_ws(" ", F.col(column), "_extra")).drop("_extra")
+
+
+def resolve_aliases_by_table(queries: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
+    """`resolve_aliases` for a dictionary table (alias, id): adds `out` to queries (query_id and `column`)."""
+    met = _found(queries, column, aliases, "alias").join(aliases.select("alias", "id"), "alias").join(queries.select("query_id", F.col(column).alias("_q")), "query_id")
+    spans = met.select("query_id", F.inline(_alias_spans(F.col("_q"), F.col("alias"), F.col("id"))))
+    held = spans.groupBy("query_id").agg(F.collect_list(F.struct("by", "start", "stop", "id")).alias("_spans"))
+    none = F.array().cast("array<struct<by:int,start:int,stop:int,id:string>>")
+    return queries.join(held, "query_id", "left").withColumn(out, _with_ids(F.col(column), F.coalesce("_spans", none))).drop("_spans")
+
+
+def doctrine_terms_by_table(queries: DataFrame, column: str, terms: DataFrame, out: str, extras=None) -> DataFrame:
+    """`expand_doctrine_terms` for a dictionary table (no, term, alts): adds `out` to queries (query_id and `column`).
+
+    `no` orders terms of one length; alts is the array of a term's alternatives.
+    """
+    met = _found(queries, column, terms, "term").join(terms.select("no", "term", "alts"), "term").join(queries.select("query_id", F.col(column).alias("_q")), "query_id")
+    start, n = F.position(F.col("term"), F.col("_q")), F.length("term")
+    with_alts = F.concat(F.array("term"), F.filter("alts", lambda a: a.rlike(_CJK)))
+    held = met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-n).alias("by"), "no", start.alias("start"), (start + n).alias("stop"), with_alts.alias("all")))).alias("_spans"))
+    none = F.array().cast(dict(held.dtypes)["_spans"])
+    found = F.flatten(F.transform(_apart(F.coalesce("_spans", none)), lambda s: s["all"]))
+    return queries.join(held, "query_id", "left").withColumn(out, _doctrine(F.col(column), found, extras)).drop("_spans")
+
+
 def detect_intent(query: Column) -> Column:
     out = F.when(F.lit(False), "")
     for name, pattern in lexicon.INTENTS:
@@ -52,9 +111,13 @@ def detect_intent(query: Column) -> Column:
 
 
 def preprocess(queries: DataFrame, column: str = "question", default_series: str = "T", terms=None, aliases=None) -> DataFrame:
-    """Adds original, normalized, canon_ids, canon_prefixes, intent, series_hint."""
-    expanded = queries.withColumn("original", text.strip(F.col(column))).withColumn("_expanded", expand_terms(F.col("original"), terms))
-    named = expanded.withColumn("normalized", resolve_aliases(F.col("_expanded"), aliases))
+    """Adds original, normalized, canon_ids, canon_prefixes, intent, series_hint.
+
+    terms and aliases are dicts or tables (term, alt) and (alias, id); with tables, queries has query_id.
+    """
+    asked = queries.withColumn("original", text.strip(F.col(column)))
+    expanded = expand_terms_by_table(asked, "original", terms, "_expanded") if isinstance(terms, DataFrame) else asked.withColumn("_expanded", expand_terms(F.col("original"), terms))
+    named = resolve_aliases_by_table(expanded, "_expanded", aliases, "normalized") if isinstance(aliases, DataFrame) else expanded.withColumn("normalized", resolve_aliases(F.col("_expanded"), aliases))
     appended = F.array_distinct(F.concat(F.filter(F.split(F.substring(F.col("normalized"), F.length("_expanded") + 1, F.length("normalized")), " "), lambda x: x != ""), F.transform(text.all_ids(F.col("normalized")), F.upper)))
     ids = named.withColumn("canon_ids", appended).withColumn("canon_prefixes", text.id_prefixes(F.col("canon_ids")))
     hint = F.coalesce(F.try_element_at("canon_prefixes", F.lit(1)), F.try_element_at("canon_ids", F.lit(1)))
@@ -77,10 +140,14 @@ def expand_doctrine_terms(query: Column, terms=None, extras=None) -> Column:
     """Dictionary terms (longest first, overlapping ones skipped) with their CJK alternatives, then the
     triggered extras, else the question without fillers, else the question."""
     terms = lexicon.TERMS if terms is None else terms
-    table = F.array(*[F.struct(F.lit(t).alias("term"), _strings([t] + [a for a in terms[t] if any("一" <= ch <= "鿿" for ch in a)]).alias("all")) for t in _longest(terms)])
-    spans = F.transform(F.filter(table, lambda a: query.contains(a["term"])), lambda a: F.struct(F.position(a["term"], query).alias("start"), F.length(a["term"]).alias("n"), a["all"].alias("all")))
-    kept = F.aggregate(spans, F.filter(spans, lambda s: F.lit(False)), lambda got, s: F.when(F.exists(got, lambda g: (g["start"] < s["start"] + s["n"]) & (s["start"] < g["start"] + g["n"])), got).otherwise(F.array_append(got, s)))
-    found = [F.flatten(F.transform(kept, lambda s: s["all"]))]
+    table = F.array(*[F.struct(F.lit(t).alias("term"), _strings([t] + [a for a in terms[t] if re.search(_CJK, a)]).alias("all")) for t in _longest(terms)])
+    spans = F.transform(F.filter(table, lambda a: query.contains(a["term"])), lambda a: F.struct(F.position(a["term"], query).alias("start"), (F.position(a["term"], query) + F.length(a["term"])).alias("stop"), a["all"].alias("all")))
+    return _doctrine(query, F.flatten(F.transform(_apart(spans), lambda s: s["all"])), extras)
+
+
+def _doctrine(query: Column, terms: Column, extras=None) -> Column:
+    """Found terms, then the triggered extras, else the question without fillers, else the question."""
+    found = [terms]
     for triggers, more in lexicon.EXTRAS if extras is None else extras:
         found.append(_when(F.exists(_strings(triggers), lambda t: query.contains(t)), _strings(more)))
     out = F.array_distinct(F.concat(*found))

@@ -1,7 +1,12 @@
-"""Exact and approximate vector search, token search and substring search over tables of queries."""
+"""Exact vector search, token search and substring search over tables of queries."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from bisect import insort
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import has_prefix
 from lodestar.session import attach, stored
 
-#: Queries (or terms) up to this number are sent to every task; larger tables meet the corpus in blocks dealt by shuffle.
+#: Queries up to this number are sent to every task; larger tables meet the corpus in blocks dealt by shuffle.
 QUERY_BLOCK = 2000
 #: Vectors of the corpus that a task holds when the queries are too many to be sent.
 ROW_BLOCK = 16384
@@ -30,56 +35,92 @@ def top_k(hits: DataFrame, by: list[Column], k: Column | int, keys: tuple[str, .
     return hits.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(out) <= k)
 
 
-def _rank_block(ids: np.ndarray, vectors: np.ndarray, scopes, rows: pd.DataFrame, most: int, best: dict) -> None:
-    """Merge a batch of chunks into the running `most` nearest (distances, ids) of each query."""
-    matrix = np.array(rows["embedding"].tolist(), float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        apart = 1 - vectors @ matrix.T / (np.sqrt((vectors**2).sum(axis=1))[:, None] * np.sqrt((matrix**2).sum(axis=1)))
-    chunk_ids, series = rows["id"].to_numpy(), rows["series"].to_numpy() if scopes is not None else None
-    for q in range(len(ids)):
-        d = apart[q]
-        ok = ~np.isnan(d)
-        if scopes is not None and scopes[q] is not None:
-            ok &= series == scopes[q]
-        at = np.flatnonzero(ok)
-        if len(at) > most:
-            at = at[d[at] <= np.partition(d[at], most - 1)[most - 1]]
-        held = best.get(q)
-        dist, found = (d[at], chunk_ids[at]) if held is None else (np.concatenate([held[0], d[at]]), np.concatenate([held[1], chunk_ids[at]]))
-        order = np.lexsort((found, dist))[:most]
-        best[q] = dist[order], found[order]
-
-
-def _ranked_rows(ids: np.ndarray, best: dict) -> pd.DataFrame:
+def row_masks(queries: pd.DataFrame, rows: pd.DataFrame) -> Callable[[int], np.ndarray | None]:
+    """For the q-th query: which rows are of its `series` and begin with one of its `prefixes` (None: all).
+
+    Queries without a series or without prefixes meet all rows. Prefixes are compared once with each
+    distinct canon_id of the rows, whatever the number of queries that share them.
+    """
+    series = rows["series"].to_numpy() if "series" in queries.columns else None
+    wanted = queries["series"].to_list() if series is not None else None
+    scopes = queries["prefixes"].to_list() if "prefixes" in queries.columns else None
+    code, names = pd.factorize(rows["canon_id"].str.upper()) if scopes is not None else (None, [])
+    known: dict = {}
+
+    def mask(q: int) -> np.ndarray | None:
+        own = wanted[q] if wanted is not None and not pd.isna(wanted[q]) else None
+        heads = tuple(p.upper() for p in scopes[q]) if scopes is not None and scopes[q] is not None else ()
+        if own is None and not heads:
+            return None
+        if (own, heads) not in known:
+            ok = np.ones(len(rows), bool) if own is None else series == own
+            if heads:
+                ok = ok & np.array([n.startswith(heads) for n in names] + [False])[code]
+            known[own, heads] = ok
+        return known[own, heads]
+
+    return mask
+
+
+def keep_nearest(best: dict, q: int, d: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, most: int) -> None:
+    """Merge rows into the running `most` nearest (distances, ids) of query q, ties to smaller ids."""
+    ok = ~np.isnan(d)
+    if allowed is not None:
+        ok &= allowed
+    at = np.flatnonzero(ok)
+    if len(at) > most:
+        at = at[d[at] <= np.partition(d[at], most - 1)[most - 1]]
+    held = best.get(q)
+    dist, found = (d[at], ids[at]) if held is None else (np.concatenate([held[0], d[at]]), np.concatenate([held[1], ids[at]]))
+    order = np.lexsort((found, dist))[:most]
+    best[q] = dist[order], found[order]
+
+
+def ranked_rows(ids: np.ndarray, best: dict) -> pd.DataFrame:
     parts = [(np.repeat(ids[q], len(d)), found, d) for q, (d, found) in best.items()]
     columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[], [], []]
     return pd.DataFrame(dict(zip(("query_id", "id", "distance"), columns)))
 
 
+def _rank_block(queries: pd.DataFrame, vectors: np.ndarray, rows: pd.DataFrame, most: int, best: dict) -> None:
+    """Merge a batch of chunks into the running nearest of each query."""
+    matrix = np.array(rows["embedding"].tolist(), float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = 1 - vectors @ matrix.T / (np.sqrt((vectors**2).sum(axis=1))[:, None] * np.sqrt((matrix**2).sum(axis=1)))
+    mask, ids = row_masks(queries, rows), rows["id"].to_numpy()
+    for q in range(len(queries)):
+        keep_nearest(best, q, apart[q], ids, mask(q), most)
+
+
 _NEAR = "query_id long, id long, distance double"
 
 
 def _nearest(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    """The `most` nearest chunks of each query, per task: few queries are sent to all tasks, many pass by row blocks."""
-    scoped = "series" in queries.columns
-    light = chunks.where("embedding is not null").select("id", "embedding", *(["series"] if scoped else []))
-    if queries.count() <= QUERY_BLOCK:
-        asked = queries.toPandas()
+    """The `most` nearest chunks of each query, per task: few queries are sent to all tasks, many pass by row blocks.
+
+    A query's series and prefixes, where it has such columns, are tested in the task: no key of the
+    scope is shuffled, so a prefix that the whole corpus has is no hot key.
+    """
+    scope = [(c, own) for c, own in (("series", "series"), ("prefixes", "canon_id")) if c in queries.columns]
+    light = chunks.where("embedding is not null").select("id", "embedding", *[own for _, own in scope])
+    asked = queries.limit(QUERY_BLOCK + 1).toPandas()
+    if len(asked) <= QUERY_BLOCK:
         ids, vectors = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1 if len(asked) else 0)
-        scopes = asked["series"].to_numpy() if scoped else None
 
         def local(frames):
             best: dict = {}
             for pdf in frames:
                 if len(pdf) and len(ids):
-                    _rank_block(ids, vectors, scopes, pdf, most, best)
-            yield _ranked_rows(ids, best)
+                    _rank_block(asked, vectors, pdf, most, best)
+            yield ranked_rows(ids, best)
 
         return light.mapInPandas(local, _NEAR)
     blocks = max(1, -(-light.count() // ROW_BLOCK))
-    series = F.col("series") if scoped else F.lit(None).cast("string")
-    rows = light.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", F.col("embedding").cast("array<double>").alias("embedding"), series.alias("series"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1), F.col("query_id"), F.col("vector").cast("array<double>"), series)
+    none = {"series": F.lit(None).cast("string").alias("series"), "canon_id": F.lit(None).cast("string").alias("canon_id"), "prefixes": F.lit(None).cast("array<string>").alias("prefixes")}
+    own = lambda frame, c: F.col(c) if c in frame.columns else none[c]
+    rows = light.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", F.col("embedding").cast("array<double>").alias("embedding"), own(light, "series"), own(light, "canon_id"), none["prefixes"])
+    asking = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1), F.col("query_id"), F.col("vector").cast("array<double>"), own(queries, "series"), none["canon_id"], own(queries, "prefixes"))
+    columns = ["id", *[c for c, _ in scope]]
 
     def meet(frames):
         """Rows come by block, its chunks first: they are held, its queries pass by."""
@@ -89,15 +130,15 @@ def _nearest(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
                 held = [] if block != now else held
                 now = block
                 held += [part[part["asks"] == 0]]
-                queries = part[part["asks"] == 1]
+                queries = part[part["asks"] == 1].reset_index(drop=True)
                 rows = pd.concat(held, ignore_index=True) if len(queries) else None
                 if rows is not None and len(rows):
-                    ids, best = queries["id"].to_numpy(), {}
-                    _rank_block(ids, np.array(queries["embedding"].tolist(), float), queries["series"].to_numpy() if scoped else None, rows, most, best)
+                    best: dict = {}
+                    _rank_block(queries[columns], np.array(queries["embedding"].tolist(), float), rows, most, best)
                     held = [rows]
-                    yield _ranked_rows(ids, best)
+                    yield ranked_rows(queries["id"].to_numpy(), best)
 
-    return rows.union(asked).repartition("block").sortWithinPartitions("block", "asks").mapInPandas(meet, _NEAR)
+    return rows.union(asking).repartition("block").sortWithinPartitions("block", "asks").mapInPandas(meet, _NEAR)
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes: bool = False, mode: str = "postfilter") -> DataFrame:
@@ -108,26 +149,14 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes:
     up to QUERY_BLOCK are sent to all tasks and the corpus is not shuffled; each task keeps its k best.
     """
     attach(queries.sparkSession)
-    own_k = "k" in queries.columns
-    light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns])
+    own_k, first = "k" in queries.columns, prefixes and mode == "prefilter"
+    light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns], *(["prefixes"] if first else []))
     most = queries.agg(F.max("k")).first()[0] or k if own_k else k
-    if prefixes and mode == "prefilter":
-        # Every beginning of a chunk's id is a key, and so are the queries' prefixes: an equi-join.
-        series = ["series"] if "series" in queries.columns else []
-        keys = queries.select("query_id", F.col("vector").alias("_q"), *[F.col(c).alias("_s") for c in series], F.explode(F.transform("prefixes", F.upper)).alias("_key"))
-        heads = F.transform(F.sequence(F.lit(0), F.length("canon_id")), lambda n: F.upper(F.substring("canon_id", F.lit(1), n)))
-        rows = chunks.where("embedding is not null").select("id", "embedding", *series, F.explode(heads).alias("_key"))
-        met = rows.join(keys, "_key")
-        met = met.where(F.col("_s").isNull() | (F.col("_s") == F.col("series"))) if series else met
-        near = met.select("query_id", "id", cosine_distance(F.col("_q"), F.col("embedding")).alias("distance")).where("distance is not null").distinct()
-        free = queries.where(F.size("prefixes") == 0).select("query_id").join(light, "query_id").select(*light.columns)
-        near = near.union(_nearest(free, chunks, most))
-    else:
-        near = _nearest(light, chunks, max(most, OVER_FETCH) if prefixes else most)
-        if prefixes:
-            near = top_k(near, [F.col("distance"), F.col("id")], OVER_FETCH).drop("rank")
-            near = near.join(queries.select("query_id", "prefixes"), "query_id").join(chunks.select("id", "canon_id"), "id")
-            near = near.where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes"))).select("query_id", "id", "distance")
+    near = _nearest(light, chunks, max(most, OVER_FETCH) if prefixes and not first else most)
+    if prefixes and not first:
+        near = top_k(near, [F.col("distance"), F.col("id")], OVER_FETCH).drop("rank")
+        near = near.join(queries.select("query_id", "prefixes"), "query_id").join(chunks.select("id", "canon_id"), "id")
+        near = near.where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes"))).select("query_id", "id", "distance")
     if own_k:
         return top_k(near.join(queries.select("query_id", "k"), "query_id"), [F.col("distance"), F.col("id")], F.col("k")).select("query_id", "id", "distance", "rank")
     return top_k(near, [F.col("distance"), F.col("id")], k).select("query_id", "id", "distance", "rank")
@@ -138,60 +167,41 @@ def query_collection(queries: DataFrame, store: DataFrame, collection: str, n: i
     return vector_search(queries.select("query_id", "vector"), store.where(F.col("collection") == collection), n)
 
 
-def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((dim, tables * bits))
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _keys(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """(vectors, tables): the signs of `bits` projections side by side, with the table's number."""
-    signs = (vectors @ _planes(vectors.shape[1], tables, bits) >= 0).reshape(len(vectors), tables, bits)
-    return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) | (np.arange(tables, dtype=np.int64) << 32)
+def query_tokens(queries: DataFrame) -> DataFrame:
+    """query_id, token: the distinct tokens of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
 
 
-def learn_tables(sample: np.ndarray, k: int = 10, recall: float = 0.9) -> tuple[int, int]:
-    """(tables, bits) with the fewest candidates among those that find `recall` of the sample's k nearest."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    near = unit @ unit.T
-    np.fill_diagonal(near, -2)
-    true = np.argsort(-near, axis=1)[:, : min(k, max(len(unit) - 1, 1))]
-    best = (2.0, 32, 2)
-    for bits in (16, 14, 12, 10, 8, 6, 5, 4, 3, 2):
-        keys, met = _keys(unit, 32, bits), np.zeros(near.shape, bool)
-        for table in range(32):
-            met |= keys[:, table, None] == keys[None, :, table]
-            if table in (3, 7, 15, 31) and np.take_along_axis(met, true, axis=1).mean() >= recall:
-                best = min(best, (float(met.mean()), table + 1, bits))
-                break
-    return best[1], best[2]
+def token_scope(queries: DataFrame) -> list[str]:
+    """The columns of the chunks that the queries' series and prefixes are compared with."""
+    return [c for c, own in (("series", "series"), ("canon_id", "prefixes")) if own in queries.columns]
 
 
-def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, tables: int | None = None, bits: int | None = None) -> DataFrame:
-    """Chunks that share a bucket with the query in one of several tables, then exact distances.
+def rank_postings(queries: DataFrame, postings: DataFrame, n: int, average: float | None, k: int, match: str, k1: float, b: float) -> DataFrame:
+    """query_id, id, score, rank by BM25 from the postings (token, id, _tf, _size and the scope's columns) of the queries' tokens.
 
-    A bucket is the signs of several random projections together. How many is learned on at most 1,000
-    vectors; where vectors are spread evenly, no buckets tell near from far, and many rows meet.
+    n and average: the number of chunks and their mean size in tokens.
     """
-    attach(queries.sparkSession)
-    rows, asked = chunks.where("embedding is not null").select("id", "embedding"), queries.select("query_id", "vector")
-    if tables is None or bits is None:
-        sample = [r.embedding for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()]
-        good = np.array(sample, float)[[any(v) for v in sample]] if sample else np.zeros((0, 1))
-        tables, bits = learn_tables(good, min(k, 10)) if len(good) > 1 else (1, 1)
-    n, b = tables, bits
-
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        return pd.Series(list(_keys(np.array(v.tolist(), float), n, b)))
-
-    left = rows.select("id", F.explode(keys("embedding")).alias("key"))
-    right = asked.select("query_id", F.explode(keys("vector")).alias("key"))
-    pairs = left.join(right, "key").select("query_id", "id").distinct()
-    near = pairs.join(rows, "id").join(asked, "query_id").select("query_id", "id", cosine_distance(F.col("vector"), F.col("embedding")).alias("distance")).where("distance is not null")
-    return top_k(near, [F.col("distance"), F.col("id")], k)
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    scope, asked = token_scope(queries), query_tokens(queries)
+    need = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
+    held = postings.groupBy("token").agg(F.count("*").alias("_df"))
+    idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(average or 1.0)))
+    met = asked.join(postings, "token").join(held, "token")
+    scored = met.groupBy("query_id", "id", *scope).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
+    kept = scored.where(F.col("_got") == F.col("_need")) if match == "all" else scored
+    own = [c for c in ("k", "series", "prefixes") if c in queries.columns]
+    if own:
+        kept = kept.join(queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in own]), "query_id")
+        if "series" in own:
+            kept = kept.where(F.col("_series").isNull() | (F.col("series") == F.col("_series")))
+        if "prefixes" in own:
+            kept = kept.where((F.size("_prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("_prefixes")))
+    return top_k(kept, [F.col("score").desc(), F.col("id")], F.col("_k") if "k" in own else k).select("query_id", "id", "score", "rank")
 
 
 def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str = "all", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -201,33 +211,81 @@ def token_search(queries: DataFrame, chunks: DataFrame, k: int = 20, match: str
     queries: query_id, query and optionally k (per-query limit), series, prefixes: chunks outside a
     query's series or prefixes are left out before the limit. Only the queries' distinct tokens are
     looked up: one scan counts them per chunk, together with the sizes, and the corpus' other tokens
-    never leave it.
+    never leave it. `text_index.search_tokens` does the same on a written token table.
     """
-    scope = [c for c, own in (("series", "series"), ("canon_id", "prefixes")) if own in queries.columns]
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    need = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
+    scope = token_scope(queries)
     # The empty token stands for the chunk itself: its row carries the size into the statistics.
-    wanted = asked.select("token").union(asked.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    wanted = query_tokens(queries).select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct()
     sized = chunks.select("id", *scope, tokens(F.col("text")).alias("_tokens"))
     every = sized.select("id", *scope, F.size("_tokens").alias("_size"), F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("token"))
     found = every.join(wanted, "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("_tf"), F.first("_size").alias("_size"), *[F.first(c).alias(c) for c in scope])
     found = stored(found, "postings")
     n, average = found.where("token = ''").agg(F.count("*"), F.avg("_size")).first()
-    postings = found.where("token <> ''")
-    held = postings.groupBy("token").agg(F.count("*").alias("_df"))
-    idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(average or 1.0)))
-    met = asked.join(postings, "token").join(held, "token")
-    scored = met.groupBy("query_id", "id", *scope).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
-    kept = scored.where(F.col("_got") == F.col("_need")) if match == "all" else scored
-    own = [c for c in ("k", "series", "prefixes") if c in queries.columns]
-    if own:
-        kept = kept.join(queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in own]), "query_id")
-        if "series" in own:
-            kept = kept.where(F.col("_series").isNull() | (F.col("series") == F.col("_series")))
-        if "prefixes" in own:
-            kept = kept.where((F.size("_prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("_prefixes")))
-    return top_k(kept, [F.col("score").desc(), F.col("id")], F.col("_k") if "k" in own else k).select("query_id", "id", "score", "rank")
+    return rank_postings(queries, found.where("token <> ''"), n, average, k, match, k1, b)
+
+
+def like_pattern(term: str) -> tuple[str, re.Pattern | None]:
+    """The longest literal part of a term with % and _ as wildcards (a backslash takes the next character
+    as it is), and the whole as a pattern (None without wildcards)."""
+    parts, pattern, k = [""], "", 0
+    while k < len(term):
+        c = term[k]
+        if c in "%_":
+            parts.append("")
+            pattern += ".*" if c == "%" else "."
+        else:
+            k += c == "\\" and k + 1 < len(term)
+            parts[-1] += term[k]
+            pattern += re.escape(term[k])
+        k += 1
+    return max(parts, key=len), re.compile(pattern, re.DOTALL) if len(parts) > 1 else None
+
+
+class Finder:
+    """Terms by the literal that a text must hold for each: one automaton finds those of all at once."""
+
+    def __init__(self, terms: list[str], like: bool = False) -> None:
+        import ahocorasick
+
+        literals: dict[str, list[int]] = {}
+        self.patterns: list[re.Pattern | None] = []
+        for n, term in enumerate(terms):
+            literal, pattern = like_pattern(term) if like else (term, None)
+            self.patterns.append(pattern)
+            literals.setdefault(literal, []).append(n)
+        self.automaton, self.groups = ahocorasick.Automaton(), [literals.pop("", [])]
+        for literal, owners in literals.items():
+            self.automaton.add_word(literal, len(self.groups))
+            self.groups.append(owners)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def found(self, text: str) -> Iterator[int]:
+        """Numbers of the terms that the text contains."""
+        groups = {0} | ({g for _, g in self.automaton.iter(text)} if len(self.automaton) else set())
+        for g in groups:
+            for n in self.groups[g]:
+                if self.patterns[n] is None or self.patterns[n].search(text):
+                    yield n
+
+
+_finders: dict[str, Finder] = {}
+
+
+def _finder(key: str, terms, like: bool) -> Finder:
+    """The finder of a block of terms (a broadcast), built once in each worker."""
+    if key not in _finders:
+        _finders.clear()
+        _finders[key] = Finder(terms.value, like)
+    return _finders[key]
+
+
+def _term_blocks(terms: DataFrame, columns: list[str]) -> Iterator[list]:
+    """The distinct rows of `columns` in blocks of about TERM_BLOCK at most."""
+    distinct = terms.select(*columns).where("term is not null").distinct()
+    blocks = max(1, -(-distinct.count() // TERM_BLOCK))
+    for block in range(blocks):
+        yield distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()
 
 
 def containing(terms: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -236,58 +294,66 @@ def containing(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     One pass over the texts finds all terms of a block at once with an automaton; the empty term is in
     every text.
     """
-    attach(chunks.sparkSession)
-    distinct = terms.select("term").where("term is not null").distinct()
-    n = distinct.count()
-    blocks, found = max(1, -(-n // TERM_BLOCK)), None
-    for block in range(blocks):
-        words = [r.term for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]
-
-        def search(frames, words=words):
-            import ahocorasick
+    spark, out = attach(chunks.sparkSession), None
+    for rows in _term_blocks(terms, ["term"]):
+        sent, key = spark.sparkContext.broadcast([r.term for r in rows]), uuid.uuid4().hex
 
-            automaton = ahocorasick.Automaton()
-            for k, word in enumerate(words):
-                if word:
-                    automaton.add_word(word, k)
-            if len(automaton):
-                automaton.make_automaton()
+        def search(frames, sent=sent, key=key):
+            finder, words = _finder(key, sent, False), sent.value
             for pdf in frames:
                 hits, ids = [], []
                 for id_, text in zip(pdf["id"], pdf["text"]):
-                    if text is None:
-                        continue
-                    got = {k for _, k in automaton.iter(text)} if len(automaton) else set()
-                    got |= {k for k, word in enumerate(words) if word == ""}
-                    hits += got
-                    ids += [id_] * len(got)
-                yield pd.DataFrame({"term": [words[k] for k in hits], "id": ids})
-
-        id_type = chunks.schema["id"].dataType.simpleString()
-        part = chunks.select("id", "text").mapInPandas(search, f"term string, id {id_type}")
-        found = part if found is None else found.union(part)
-    return found
+                    if text is not None:
+                        got = list(finder.found(text))
+                        hits += got
+                        ids += [id_] * len(got)
+                if hits:
+                    yield pd.DataFrame({"term": [words[k] for k in hits], "id": ids})
+
+        part = chunks.select("id", "text").mapInPandas(search, f"term string, id {chunks.schema['id'].dataType.simpleString()}")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def keyword_search(terms: DataFrame, chunks: DataFrame, k: int = 10, like: bool = False) -> DataFrame:
     """query_id, term, id, rank: the first k chunks (by id) that contain each term.
 
-    `like` takes % and _ as wildcards, which no automaton can: every text then meets every term. terms may
-    have series and scope (array of prefixes): other chunks are left out before the limit.
+    terms may have series and scope (array of prefixes): other chunks are left out before the limit.
+    `like` takes % and _ as wildcards; a text is then searched for the longest literal part of each term
+    and compared with those only whose part it has. Every task keeps the k smallest ids of each term and
+    scope, so it emits k rows for each at most, however often they occur.
     """
+    spark = attach(chunks.sparkSession)
     own = [c for c in ("series", "scope") if c in terms.columns]
-    keys = terms.select("query_id", "term", *[F.col(c).alias(f"_{c}") for c in own])
-    if like:
-        hit = F.like(F.col("text"), F.concat(F.lit("%"), F.col("term"), F.lit("%")))
-        asked = terms.select("term").where("term is not null").distinct()
-        found = chunks.select("id", "text").join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, hit).select("term", "id")
-    else:
-        found = containing(terms, chunks)
-    met = found.join(keys, "term")
-    if own:
-        met = met.join(chunks.select("id", *[c for c, o in (("series", "series"), ("canon_id", "scope")) if o in own]), "id")
-        if "series" in own:
-            met = met.where(F.col("_series").isNull() | (F.col("series") == F.col("_series")))
-        if "scope" in own:
-            met = met.where((F.size("_scope") == 0) | has_prefix(F.col("canon_id"), F.col("_scope")))
+    keyed = terms.select("query_id", F.xxhash64("term", *own).alias("ask"), "term", *own)
+    columns = ["id", "text", *[c for c, o in (("series", "series"), ("canon_id", "scope")) if o in own]]
+    found = None
+    for rows in _term_blocks(keyed, ["ask", "term", *own]):
+        sent, key = spark.sparkContext.broadcast([r.term for r in rows]), uuid.uuid4().hex
+        limits = spark.sparkContext.broadcast([(r.ask, r.series if "series" in own else None, tuple(p.upper() for p in r.scope or ()) if "scope" in own else ()) for r in rows])
+
+        def search(frames, sent=sent, limits=limits, key=key):
+            finder, asks, best = _finder(key, sent, like), limits.value, {}
+            for pdf in frames:
+                n = len(pdf)
+                series = pdf["series"].to_list() if "series" in own else [None] * n
+                canon = pdf["canon_id"].to_list() if "scope" in own else [None] * n
+                for id_, text, s, c in zip(pdf["id"].to_list(), pdf["text"], series, canon):
+                    if text is None:
+                        continue
+                    for at in finder.found(text):
+                        _, only, heads = asks[at]
+                        held = best.setdefault(at, [])
+                        if len(held) == k and id_ >= held[-1] or only is not None and s != only or heads and not (c or "").upper().startswith(heads):
+                            continue
+                        if id_ not in held:
+                            insort(held, id_)
+                            del held[k:]
+            words = sent.value
+            out = [(asks[at][0], words[at], id_) for at, held in best.items() for id_ in held]
+            yield pd.DataFrame(out, columns=["ask", "term", "id"])
+
+        part = chunks.select(*columns).mapInPandas(search, f"ask long, term string, id {chunks.schema['id'].dataType.simpleString()}")
+        found = part if found is None else found.union(part)
+    met = found.join(keyed.select("query_id", "ask", "term"), ["ask", "term"])
     return top_k(met.select("query_id", "term", "id").distinct(), [F.col("id")], k, ("query_id", "term"))

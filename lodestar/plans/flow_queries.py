@@ -53,7 +53,7 @@ def citation_report(spark, sf):
 
 def cache_hits(spark, sf):
     """User turns against a cache filled by the even conversations: text, age, vector and chunks decide."""
-    turns = _read(spark, sf, "conversations").where("role = 'user'").join(_read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("conv_id") % 500 == F.col("vec_id"))
+    turns = _read(spark, sf, "conversations").where("role = 'user'").join(_read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("conv_id") % _read(spark, sf, "embeddings").count() == F.col("vec_id"))
     begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
     created = F.timestamp_seconds(F.unix_timestamp(begin) + F.col("conv_id") * 3600 + F.col("turn"))
     chunks = F.slice(F.split("text", " "), 1, (F.col("conv_id") % 5 + 1).cast("int"))
@@ -160,17 +160,38 @@ def id_rules(spark, sf):
     )
 
 
+def _dictionary(spark, sf):
+    """Each word of at least four characters of a question with the word after it as its alternative."""
+    words = F.filter(F.split("text", " "), lambda w: F.length(w) >= 4)
+    pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("term"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("alt"))
+    return _read(spark, sf, "benchmark").select(F.inline(pairs)).distinct()
+
+
+def dictionary_terms(spark, sf):
+    """Expansion of every turn by a dictionary table: terms bring their alternatives, and those their terms."""
+    turns = _read(spark, sf, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("query_id"), "text")
+    return queryprep.expand_terms_by_table(turns, "text", _dictionary(spark, sf), "expanded").select("query_id", F.md5("expanded").alias("md5"))
+
+
+def question_kinds(spark, sf):
+    """Intent of every turn with a phrase of each kind, and short identifiers of three and four digits."""
+    said = F.concat("text", _pick(("", "出處", "何經", "原文", "怎麼說"), F.col("turn") % 5))
+    digits = F.when(F.col("conv_id") % 2 == 0, F.lpad((F.col("conv_id") % 1000).cast("string"), 3, "0")).otherwise(F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"))
+    short = F.concat(F.lit("see T"), F.lpad((F.col("turn") % 100).cast("string"), 2, "0"), digits, F.lit(" there"))
+    return _read(spark, sf, "conversations").select("conv_id", "turn", queryprep.detect_intent(said).alias("intent"), text.normalize_id(short).alias("id"))
+
+
 def _planned(spark, sf):
     """Benchmark questions of all classes, with the vector of their number."""
     asked = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     planned = queryprep.plan_queries(queryprep.preprocess(asked, terms={}, aliases=NAMES), aliases=NAMES, fillers=FILLERS, boosts=OPEN_BOOSTS)
-    return planned.join(_read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("query_id") % 500 == F.col("vec_id"))
+    return planned.join(_read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("query_id") % _read(spark, sf, "embeddings").count() == F.col("vec_id"))
 
 
 def _hybrid_chunks(spark, sf):
     """Documents as chunks of five works in two series; the work's name stands in the text."""
     work = F.concat(F.lit("T01N000"), (F.col("doc_id") % 5).cast("string"))
-    docs = _read(spark, sf, "documents").join(_read(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("doc_id") % 500 == F.col("vec_id"))
+    docs = _read(spark, sf, "documents").join(_read(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("doc_id") % _read(spark, sf, "embeddings").count() == F.col("vec_id"))
     return docs.select(F.col("doc_id").alias("id"), work.alias("canon_id"), F.when(F.col("doc_id") % 4 == 0, "X").otherwise("T").alias("series"), F.concat(work, F.lit(" "), "text").alias("text"), "embedding")
 
 
@@ -190,7 +211,7 @@ def translations(spark, sf):
         original, draft = both[: len(both) // 2], both[len(both) // 2 :]
         return json.dumps({"original": original, "translation": draft, "approved": len(both) % 2 == 0, "issues": []}) if len(both) % 3 else "no answer"
 
-    done = infer.translate(asked, base._memory(spark, sf), lambda t: t.upper(), lambda t: t.lower(), lambda t: t + ".", base.SPAN, wait=0.0, audit_fn=judge, audit_flag="specialist")
+    done = infer.translate(asked, base._memory(spark, sf), lambda t: "s:" + t, lambda t: "g:" + t, lambda t: t + ".", base.SPAN, wait=0.0, audit_fn=judge, audit_flag="specialist")
     return done.select("id", "used_specialist", "from_memory", F.md5("polished").alias("md5"), "audit.approved", "audit.bypass", "blocked", "error")
 
 
@@ -255,7 +276,7 @@ REGISTRY = {
     "distance_order": (distance_order, "WITH r AS (SELECT doc_id // 20 AS query_id, doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN n_chars / 100.0 END::DOUBLE AS distance FROM documents) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, id) AS rank, distance FROM r"),
     "hit_payloads": (hit_payloads, f"WITH {base._LISTS}, m AS (SELECT query_id, id, max(source) AS source, min(rank / 10.0) FILTER (source = 0) AS d FROM lists GROUP BY query_id, id) SELECT query_id, id, d::DOUBLE AS distance, source, true AS keeps FROM m UNION ALL SELECT query_id, id, CASE WHEN source = 0 THEN d END::DOUBLE, source, false FROM m"),
     "citation_report": (citation_report, f"WITH {LINES}, r AS (SELECT doc_id, min(coord) AS a, max(coord) FILTER (line_no < 5) AS b FROM segments GROUP BY doc_id), c AS (SELECT EXISTS (SELECT 1 FROM r WHERE a <= coord AND b >= coord) AS good FROM segments s) SELECT count(*) AS citations, round(avg(good::INTEGER), 6) AS accuracy FROM c"),
-    "cache_hits": (cache_hits, "WITH t AS (SELECT conv_id, turn, text, sha256('v1:' || " + _STRIP.format("text") + ") AS k, embedding::DOUBLE[] AS e FROM conversations JOIN embeddings ON vec_id = conv_id % 500 WHERE role = 'user'), c AS (SELECT k, e AS ce, text AS answer, least(len(string_split(text, ' ')), conv_id % 5 + 1) AS m, conv_id * 3600 + turn AS made FROM t WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY made DESC) = 1), j AS (SELECT conv_id, turn, m, coalesce(made >= 86400 AND list_cosine_similarity(e, ce) >= 0.95 AND m >= 3 AND answer <> '', false) AS ok FROM t LEFT JOIN c USING (k)) SELECT conv_id, turn, CASE WHEN ok THEN 'cache' ELSE 'fresh' END AS source, CASE WHEN ok THEN m END::INTEGER AS n_chunks FROM j"),
+    "cache_hits": (cache_hits, "WITH t AS (SELECT conv_id, turn, text, sha256('v1:' || " + _STRIP.format("text") + ") AS k, embedding::DOUBLE[] AS e FROM conversations JOIN embeddings ON vec_id = conv_id % (SELECT count(*) FROM embeddings) WHERE role = 'user'), c AS (SELECT k, e AS ce, text AS answer, least(len(string_split(text, ' ')), conv_id % 5 + 1) AS m, conv_id * 3600 + turn AS made FROM t WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY made DESC) = 1), j AS (SELECT conv_id, turn, m, coalesce(made >= 86400 AND list_cosine_similarity(e, ce) >= 0.95 AND m >= 3 AND answer <> '', false) AS ok FROM t LEFT JOIN c USING (k)) SELECT conv_id, turn, CASE WHEN ok THEN 'cache' ELSE 'fresh' END AS source, CASE WHEN ok THEN m END::INTEGER AS n_chunks FROM j"),
     "progress_view": (progress_view, "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT 'f' || c_custkey AS file_path, event_type AS last_coord, coalesce(trunc(value), 0)::INTEGER AS chunk_count, coalesce(event_id % 2 = 0, false) AS completed FROM customer LEFT JOIN l ON user_id = c_custkey"),
     "ingest_eta": (ingest_eta, "WITH a AS (SELECT count(*) AS files, count(*) FILTER (doc_id % 3 <> 0) AS completed_files, (sum(n_chars) FILTER (doc_id % 3 <> 0))::BIGINT AS completed_chunks, min(n_chars / 4.0)::DOUBLE AS min_rate, max(n_chars / 4.0)::DOUBLE AS max_rate, avg(n_chars / 4.0) AS r FROM documents) SELECT files, completed_files, completed_chunks, min_rate, max_rate, round(r, 6) AS avg_rate, round((1000000 - completed_files) * (completed_chunks / completed_files) / r / 3600, 6) AS eta_hours FROM a"),
     "reembed_batch": (reembed_batch, "SELECT vec_id AS id, label::VARCHAR AS series FROM embeddings WHERE label = 1 AND vec_id > 100 ORDER BY vec_id LIMIT 50"),
@@ -267,9 +288,15 @@ REGISTRY = {
     "flat_hits": (flat_hits, "WITH l AS (SELECT doc_id, lang, p[i] AS line, i - 1 AS i FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, count(*) AS n, count(*) FILTER (i % 3 <> 0) AS n_distances, (sum(i) FILTER (i % 3 <> 0))::DOUBLE AS total, min(lang) AS lang FROM l WHERE " + _STRIP.format("line") + " <> '' GROUP BY doc_id"),
     "image_texts": (image_texts, "WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations QUALIFY n <= 16) SELECT conv_id AS id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS md5 FROM p WHERE turn % 3 <> 2 AND text <> '' GROUP BY conv_id"),
     "filler_terms": (filler_terms, "WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(" + _STRIP.format(_SPACED) + ", '\\s+'), lambda p: length(p) BETWEEN 2 AND 8) AS parts, list_filter(['tion', 'the', 'er'], lambda a: contains(text, a)) AS named FROM benchmark), j AS (SELECT *, list_concat(named, parts) AS al FROM w), k AS (SELECT *, list_filter(al, lambda v, i: list_position(al, v) = i)[1:5] AS t FROM j) SELECT item_id, md5(trim(replace(replace(replace(regexp_replace(" + _STRIP.format("text") + ", '[？?]+$', ''), 'the ', ''), 'and ', ''), 'of ', ''), '？? 的')) AS stripped, CASE WHEN len(t) > 0 THEN array_to_string(t, '|') ELSE left(text, 8) END AS terms FROM k"),
+    "dictionary_terms": (dictionary_terms, """WITH b AS (SELECT list_filter(string_split(text, ' '), lambda w: length(w) >= 4) AS ws FROM benchmark),
+      p AS (SELECT DISTINCT ws[i] AS term, ws[i + 1] AS alt FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM b)),
+      q AS (SELECT conv_id * 10000 + turn AS query_id, text FROM conversations), e AS (SELECT query_id, alt AS extra FROM q JOIN p ON contains(text, term) UNION SELECT query_id, term FROM q JOIN p ON contains(lower(text), lower(alt))),
+      x AS (SELECT query_id, string_agg(extra, ' ' ORDER BY extra) AS extra FROM e GROUP BY query_id) SELECT query_id, md5(concat_ws(' ', text, extra)) AS md5 FROM q LEFT JOIN x USING (query_id)"""),
+    "question_kinds": (question_kinds, """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'doctrine' WHEN 1 THEN 'provenance' WHEN 2 THEN 'provenance' ELSE 'citation' END AS intent,
+      'T' || lpad((turn % 100)::VARCHAR, 2, '0') || 'N' || CASE WHEN conv_id % 2 = 0 THEN lpad((conv_id % 1000)::VARCHAR, 3, '0') ELSE lpad((conv_id % 10000)::VARCHAR, 4, '0') END AS id FROM conversations"""),
     "id_rules": (id_rules, "SELECT doc_id, (doc_id % 100)::INTEGER AS volume, true AS longer, false AS shorter, round(CASE WHEN doc_id % 2 = 0 THEN 0.23 ELSE 0.2 END, 4)::DOUBLE AS temperature, 0.45::DOUBLE AS clamped FROM documents"),
-    "hybrid_ranks": (hybrid_ranks, f"""WITH {base._PLANS}, qv AS (SELECT plans.*, embedding::DOUBLE[] AS e FROM plans JOIN embeddings ON vec_id = query_id % 500),
-      c AS (SELECT doc_id AS id, 'T01N000' || (doc_id % 5) AS canon, 'T01N000' || (doc_id % 5) || ' ' || d.text AS text, embedding::DOUBLE[] AS e FROM documents d JOIN embeddings ON vec_id = doc_id % 500 WHERE doc_id % 4 <> 0),
+    "hybrid_ranks": (hybrid_ranks, f"""WITH {base._PLANS}, qv AS (SELECT plans.*, embedding::DOUBLE[] AS e FROM plans JOIN embeddings ON vec_id = query_id % (SELECT count(*) FROM embeddings)),
+      c AS (SELECT doc_id AS id, 'T01N000' || (doc_id % 5) AS canon, 'T01N000' || (doc_id % 5) || ' ' || d.text AS text, embedding::DOUBLE[] AS e FROM documents d JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE doc_id % 4 <> 0),
       allc AS (SELECT doc_id AS id, 'T01N000' || (doc_id % 5) || ' ' || text AS text, doc_id % 4 <> 0 AS mine, 'T01N000' || (doc_id % 5) AS canon FROM documents),
       near AS (SELECT query_id, id, canon, ids, n, vec_top, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_distance(qv.e, c.e), id) AS g FROM qv, c QUALIFY g <= 200),
       vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY g) AS rank, vec_top FROM near WHERE n = 0 OR list_contains(ids, canon) QUALIFY rank <= vec_top),
@@ -289,7 +316,7 @@ REGISTRY = {
       SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(qa, qt)) / len(qa)::DOUBLE DESC, f, id) AS rank, round(score, 9) AS score FROM lex QUALIFY rank <= rerank_top"""),
     "translations": (translations, f"""WITH {base._MEM}, u AS (SELECT conv_id || '-' || turn AS id, text, sha256({_STRIP.format("text")}) AS k, {base._SCRIPT} AS glyphs FROM conversations WHERE role = 'user'),
       r AS (SELECT id, text, k, {_STRIP.format("text")} <> '' AS looked, glyphs >= 8 OR (CASE WHEN {_STRIP.format("text")} = '' THEN 0 ELSE glyphs / greatest(length(replace(text, chr(10), '')), 1)::DOUBLE END) >= 0.4 AS special FROM u),
-      j AS (SELECT r.*, mem.k IS NOT NULL AND looked AS known, CASE WHEN mem.k IS NOT NULL AND looked THEN mem.polished WHEN special THEN upper(text) || '.' ELSE lower(text) END AS polished FROM r LEFT JOIN mem USING (k)),
+      j AS (SELECT r.*, mem.k IS NOT NULL AND looked AS known, CASE WHEN mem.k IS NOT NULL AND looked THEN mem.polished WHEN special THEN 's:' || text || '.' ELSE 'g:' || text END AS polished FROM r LEFT JOIN mem USING (k)),
       a AS (SELECT *, length(text) + 2 + length(polished) AS m, special AND NOT known AS judged FROM j)
       SELECT id, special AND NOT known AS used_specialist, known AS from_memory, md5(polished) AS md5, CASE WHEN judged THEN m % 3 = 0 OR m % 2 = 0 END AS approved, CASE WHEN judged THEN m % 3 = 0 END AS bypass, false AS blocked, NULL::VARCHAR AS error FROM a"""),
     "audited": (audited, """WITH r AS (SELECT conv_id, turn, turn % 3 AS level, length(text) % 4 AS kind FROM conversations)

@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions import lexicon, text
-from lodestar.operators import fusion, infer, queryprep, search, state
+from lodestar.functions import lexicon, tasks, text
+from lodestar.operators import fusion, infer, queryprep, search, state, text_index
 from lodestar.session import stored
 
 #: Distinct hits below which a scoped question is asked again without its scope.
 LEAST_HITS = 1
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, term_top: int = 10, scorer=None, rrf: bool = True, reranked: bool = True) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, term_top: int = 10, scorer=None, rrf: bool = True, reranked: bool = True, token_table: str | None = None) -> DataFrame:
     """query_id, id, canon_id, text, score, distance, rank: vector, token and per-term substring lists fused, boosted and reranked.
 
     queries: query_id, original, normalized, vector, series_hint, sub_terms, canon_prefixes, boost_prefixes
@@ -23,7 +23,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, term_top: int = 10, sco
     prefixes before its limit (the vector list as in `vector_search`); terms fall back to the boost
     prefixes. Scoped questions without a hit run the vector and token searches again unscoped. The
     fused list is cut at fuse_top, reranked by the original question and cut at rerank_top. Without
-    `rrf` the lists are merged in order instead.
+    `rrf` the lists are merged in order instead. `token_table` is the path of a `text_index` token table
+    of the chunks; without it the token search scans the texts.
     """
     columns = ["id", "canon_id", "text", "embedding"] + (["series"] if "series" in chunks.columns else [])
     light, scope = chunks.select(*columns), "series" in chunks.columns
@@ -32,7 +33,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, term_top: int = 10, sco
     def lists(q: DataFrame, scoped: bool) -> DataFrame:
         prefixes = F.col("canon_prefixes") if scoped else F.array().cast("array<string>")
         near = search.vector_search(q.select(*keys, "vector", prefixes.alias("prefixes"), F.col("vec_top").alias("k")), light, 40, prefixes=scoped)
-        words = search.token_search(q.select(*keys, F.col("normalized").alias("query"), prefixes.alias("prefixes"), F.col("bm25_top").alias("k")), light)
+        asked = q.select(*keys, F.col("normalized").alias("query"), prefixes.alias("prefixes"), F.col("bm25_top").alias("k"))
+        words = search.token_search(asked, light) if token_table is None else text_index.search_tokens(asked, token_table)
         none = F.lit(None).cast("double").alias("distance")
         return near.select("query_id", F.lit("vector").alias("list_name"), F.lit(0).alias("source"), "id", "rank", "distance").union(words.select("query_id", F.lit("tokens"), F.lit(1), "id", "rank", none))
 
@@ -104,5 +106,5 @@ def answer_questions(
     full = full.join(looked.select("query_id", "source"), "query_id", "left") if cache is not None else full.withColumn("source", F.lit("fresh"))
     status = F.when(F.col("vector").isNull(), "pg_miss").when(F.col("context").isNull(), "pg_empty").otherwise("pg_hit")
     answered = stored(infer.infer(full.withColumn("status", status).withColumn("_p", prompts(full)), "_p", fn, "answer", wait=wait), "answers")
-    judged = infer.optional_audit(answered, F.lit(audit_flag), F.coalesce(F.size("top_chunks"), F.lit(0)), F.lit(level), audit, "question", "answer", wait=wait)
+    judged = infer.optional_audit(answered, tasks.audits_answer(F.lit(audit_flag), F.coalesce(F.size("top_chunks"), F.lit(0))), F.lit(level), audit, "question", "answer", wait=wait)
     return judged.select("query_id", "query_type", "status", F.coalesce("source", F.lit("fresh")).alias("source"), "context", "answer", "answer_error", "preview", "links", "top_chunks", "query", "vector", "audit", "blocked")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import tasks, text
-from lodestar.operators import chunking, evaluate, fusion, infer, queryprep, reports, search, state
+from lodestar.operators import chunking, evaluate, fusion, infer, queryprep, reports, search, state, text_index, vector_index
+from lodestar.session import shared_folder, unique_name
 from lodestar.sources.corpus import segments_of, series_key
 
 SPAN = (0x00C0, 0x017F)
@@ -109,8 +110,14 @@ def vector_topk_prefix(spark, sf):
     return search.vector_search(_vector_queries(spark, sf).select("query_id", "vector", "prefixes"), _vectors(spark, sf), 20, prefixes=True).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
+def vector_topk_prefilter(spark, sf):
+    """The nearest of the chunks whose identifier begins with a prefix of the query, whatever lies nearer."""
+    return search.vector_search(_vector_queries(spark, sf).select("query_id", "vector", "prefixes"), _vectors(spark, sf), 20, prefixes=True, mode="prefilter").select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 def vector_lsh(spark, sf):
-    return search.approximate_vector_search(_vector_queries(spark, sf), _vectors(spark, sf), 20).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+    """Every vector's nearest found in an index of coarse cells and coded residuals."""
+    return vector_index.approximate_vector_search(_vector_queries(spark, sf).select("query_id", "vector"), _vectors(spark, sf), 20).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
 def _chunk_texts(spark, sf):
@@ -121,8 +128,27 @@ def _token_queries(spark, sf):
     return _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_token_tables: dict[tuple, str] = {}
+
+
+def _token_table(spark, sf) -> str:
+    """The token table of the documents, written once for each state of their files.
+
+    A first version has other texts for every third document; a second one replaces those.
+    """
+    docs = _read(spark, sf, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
+    if key not in _token_tables:
+        path, texts, third = f"{shared_folder(spark)}/{unique_name('tokens')}", _chunk_texts(spark, sf), F.col("id") % 3 == 0
+        text_index.write_token_table(texts.withColumn("text", F.when(third, F.lit("words of an older version")).otherwise(F.col("text"))), path, 0)
+        text_index.write_token_table(texts.where(third), path, 1)
+        _token_tables[key] = path
+    return _token_tables[key]
+
+
 def token_topk(spark, sf):
-    return search.token_search(_token_queries(spark, sf), _chunk_texts(spark, sf), 20).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return text_index.search_tokens(_token_queries(spark, sf), _token_table(spark, sf), 20).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def _terms(spark, sf):
@@ -135,8 +161,19 @@ def keyword_topk(spark, sf):
     return search.keyword_search(_terms(spark, sf).drop("at"), _chunk_texts(spark, sf), 10)
 
 
+def gram_topk(spark, sf):
+    """The words and first letters of every question in the turns, from a gram table; even questions ask users only."""
+    turns = _read(spark, sf, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), F.col("role").alias("series"), "text")
+    path = f"{shared_folder(spark)}/{unique_name('grams')}"
+    text_index.write_gram_table(turns.where("id % 2 = 0"), path, 0)
+    text_index.write_gram_table(turns.where("id % 2 = 1"), path, 1)
+    first = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 2).alias("term"))
+    terms = _terms(spark, sf).drop("at").union(first).distinct()
+    return text_index.search_grams(terms.withColumn("series", F.when(F.col("query_id") % 2 == 0, "user")), path, 10)
+
+
 def _hits(spark, sf, k=20):
-    return search.token_search(_token_queries(spark, sf), _chunk_texts(spark, sf), k, "any")
+    return text_index.search_tokens(_token_queries(spark, sf), _token_table(spark, sf), k, "any")
 
 
 def _rank_lists(spark, sf):
@@ -357,6 +394,10 @@ REGISTRY = {
       md5(CASE WHEN n = 0 THEN text ELSE normalized END) AS embed_md5 FROM plans"""),
     "vector_topk": (vector_topk, f"WITH {_DIST} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d QUALIFY rank <= 20"),
     "vector_topk_by_series": (vector_topk_by_series, f"WITH {_DIST} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d WHERE ql = cl QUALIFY rank <= 20"),
+    "vector_topk_prefilter": (vector_topk_prefilter, f"WITH {_DIST} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM d WHERE ql = cl QUALIFY rank <= 20"),
+    "gram_topk": (gram_topk, f"""WITH t AS (SELECT DISTINCT item_id AS query_id, unnest(list_append({_WORDS}, text[1:2])) AS term FROM benchmark),
+      c AS (SELECT conv_id * 10000 + turn AS id, role, text FROM conversations)
+      SELECT query_id, term, id, row_number() OVER (PARTITION BY query_id, term ORDER BY id) AS rank FROM t JOIN c ON contains(text, term) AND (query_id % 2 = 1 OR role = 'user') QUALIFY rank <= 10"""),
     "vector_topk_prefix": (vector_topk_prefix, f"WITH {_DIST}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS n FROM d QUALIFY n <= 200) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS rank, round(x, 6) AS distance FROM t WHERE ql = cl QUALIFY rank <= 20"),
     "vector_lsh": (vector_lsh, None),
     "token_topk": (token_topk, f"WITH {_BM} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM sc JOIN need USING (query_id) WHERE got = need QUALIFY rank <= 20"),

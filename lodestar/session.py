@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -50,21 +51,47 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back, where several later steps need it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{unique_name(label)}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_max(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds `out`: the greatest `value` up to each row in `order`, over all rows, without one task for all.
+def running_max(df: DataFrame, order: list[str], value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `out`: the greatest `value` up to each row in `order`, over all rows (or those of its keys), without one task for all.
 
-    Rows are range-partitioned in order and stored; each partition runs its own maximum, and the
-    partitions' maxima (one row each) give what went before.
+    Rows are range-partitioned by keys and order and stored; each partition runs its own maximum, and the
+    partitions' maxima (one row each and key) give what went before, so a key may span many partitions.
     """
-    ranged = stored(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
-    tops = ranged.groupBy("_pid").agg(F.max(value).alias("_top"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = tops.select(F.col("_pid").alias("_of"), F.max("_top").over(before).alias("_earlier"))
-    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = ranged.withColumn("_within", F.max(value).over(within)).join(earlier, F.col("_pid") == F.col("_of"))
-    return inner.withColumn(out, F.greatest("_within", "_earlier")).drop("_pid", "_of", "_within", "_earlier")
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    tops = ranged.groupBy("_pid", *keys).agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select(F.col("_pid").alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], F.max("_top").over(before).alias("_earlier"))
+    within = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_pid") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inner = ranged.withColumn("_within", F.max(value).over(within)).join(earlier, same)
+    return inner.withColumn(out, F.greatest("_within", "_earlier")).drop("_pid", "_of", "_within", "_earlier", *[f"_of_{k}" for k in keys])
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly under `path` that a job wrote to the end, in order of their names; none where there is no such path."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()] if fs.exists(base) else []
+    return sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unique_name(label: str) -> str:
+    """A name for a new folder beside others of its kind."""
+    return f"{label}-{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still read them are then lost."""
+    delete_folder(spark, shared_folder(spark))

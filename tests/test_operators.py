@@ -166,7 +166,7 @@ def test_corpus_files_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_new_files(spark, root, out, str(tmp_path / "ck"), dim=16, progress=log, files_per_batch=1).awaitTermination()
     rows = corpus.read_chunks(spark, out)
-    assert rows.count() == 2 and sorted({r.series for r in rows.collect()}) == ["AB", "T"] and spark.read.parquet(out).select("version").distinct().count() == 2
+    assert rows.count() == 2 and sorted({r.series for r in rows.collect()}) == ["AB", "T"] and corpus.read_manifest(spark, out).select("version").distinct().count() == 2
     done = state.latest(spark.read.parquet(log), ["file_path"], ["updated_at"]).collect()
     assert sorted((r.file_path, r.last_coord, r.chunk_count, r.completed) for r in done) == [("T/T01/new.txt", "T01n0001_p0001a02_", 1, True), ("ab/X1/new.txt", "X01n0001_p1_", 1, True)]
 
@@ -182,7 +182,7 @@ def test_chunk_sink_keeps_all_files(spark, tmp_path):
     rows = corpus.read_chunks(spark, path)
     got = sorted((r.file_path, r.piece_no, r.text) for r in rows.collect())
     assert got == sorted((n, k, "b" if i == 0 or i >= 200 else "a") for i, n in enumerate(names) for k in range(2)) and rows.select("id").distinct().count() == 600
-    assert len(list((tmp_path / "chunks").glob("version=*/series=*"))) == 2
+    assert corpus.read_manifest(spark, path).select("version", "attempt").distinct().count() == 2
     corpus.compact_chunks(spark, path, str(tmp_path / "compact"))
     assert corpus.read_chunks(spark, str(tmp_path / "compact")).count() == 600
 
@@ -194,9 +194,9 @@ def test_reembedding_resumes(spark, tmp_path):
     assert (first["updated"], first["last_id"]) == (12, 23)
     again = ingest.reembed(chunks, "T", out, log, dim=8, batch=6)
     assert (again["updated"], again["last_id"]) == (8, 39) and ingest.reembed(chunks, "T", out, log, dim=8)["updated"] == 0
-    rows = spark.read.parquet(out).collect()
+    rows = ingest.read_reembedded(spark, out, log).collect()
     assert sorted(r.id for r in rows) == list(range(1, 40, 2)) and all(len(r.embedding) == 8 for r in rows)
-    assert corpus.read_checkpoint(spark, log)["updated"] == 20 and corpus.read_checkpoint(spark, str(tmp_path / "none")) == {}
+    assert sum(r.updated for r in corpus.read_checkpoint(spark, log)) == 20 and corpus.read_checkpoint(spark, str(tmp_path / "none")) == []
 
 
 def test_expiring_caches_on_streams(spark, tmp_path):
@@ -206,10 +206,10 @@ def test_expiring_caches_on_streams(spark, tmp_path):
     out, mark = str(tmp_path / "cache"), str(tmp_path / "ck")
     run = lambda: ingest.latest_within_ttl(spark.readStream.schema(schema).parquet(source), ["key"], "at", out, mark).start().awaitTermination()
     run()
-    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out).collect()) == [("a", 2), ("b", 3)]
+    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out, ["key"]).collect()) == [("a", 2), ("b", 3)]
     spark.createDataFrame([("c", datetime(2026, 1, 9, 12), 4), ("a", datetime(2026, 1, 2), 9)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out).collect()) == [("a", 2), ("c", 4)]
+    assert sorted((r.key, r.v) for r in ingest.read_latest(spark, out, ["key"]).collect()) == [("a", 2), ("c", 4)]
     query = ingest.first_within_ttl(spark.readStream.schema(schema).parquet(source), ["key"], "at").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.key for r in spark.table("firsts").collect()) == ["a", "b", "c"]
@@ -291,26 +291,6 @@ def test_search_scopes_and_terms(spark):
     assert sorted(r.id for r in near.collect()) == [24, 25, 26]
 
 
-def test_lsh_finds_clusters_without_all_pairs(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    centers = rng.standard_normal((60, 32))
-    x = np.concatenate([c + 0.25 * rng.standard_normal((20, 32)) for c in centers])
-    chunks = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
-    asked = chunks.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    tables, bits = search.learn_tables(unit, 10)
-    keys = search._keys(unit, tables, bits)
-    met = (keys[::10, None, :] == keys[None, :, :]).any(axis=2)
-    hits, found = 0, {}
-    for r in search.approximate_vector_search(asked, chunks, 10).collect():
-        found.setdefault(r.query_id, set()).add(r.id)
-    for q in range(0, len(x), 10):
-        hits += len(found[q] & set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()))
-    assert hits >= 0.9 * 10 * len(found) and met.mean() < 0.1
-
-
 def test_reports(spark, tmp_path):
     import json
 
@@ -341,18 +321,21 @@ def test_evaluation_and_reports(spark):
     assert reports.parse_log_rates(lines).count() == 2
 
 
+SAME_SHAPE = {"vector_topk_by_series", "vector_topk", "hit_preview", "seeds", "recall_sets", "evaluation_json", "merged_hits", "hit_payloads"}
+
+
 def test_sql_agrees(spark):
+    """Every query that has SQL, at the scale of the correctness gate, but for some that differ from another in a last step only."""
     import duckdb
 
     import __spark_entry__ as core
 
-    queries, oracles = core.queries(), core.oracle_sql()
-
+    sf, queries, oracles = "/root/testdata/sf0.01", core.queries(), core.oracle_sql()
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "customer"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    for name in ("segments", "identifiers", "vector_topk_prefix", "token_topk", "fused_ranks", "recall_report", "citation_ranges_unscoped", "memory_hits", "miss_report", *flow_queries.ORACLES):
-        ours = queries[name](spark, "/root/testdata/sf0.001")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in sorted(oracles.keys() - SAME_SHAPE):
+        ours = queries[name](spark, sf)
         columns = sorted(ours.columns)
         show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
         theirs = con.execute(oracles[name])
