@@ -18,37 +18,62 @@ from lodestar.operators.state import memory_lookup
 from lodestar.session import attach, finished_folders, shared_folder, unique_name
 
 
-def embed(df: DataFrame, column: str = "text", role: str = "passage", dim: int = 2048, encoder: Callable[[pd.Series], pd.Series] | None = None, prompts: dict[str, str] | None = None) -> DataFrame:
+def embed(df: DataFrame, column: str = "text", role: str = "passage", dim: int = 2048, encoder: Callable[[pd.Series], pd.Series] | None = None, prompts: dict[str, str] | None = None, errors: str | None = None) -> DataFrame:
     """Adds embedding (L2-normalised, `dim` wide). `encoder` maps texts to vectors batch by batch;
-    without one, hashed token counts are used, which need no model."""
+    without one, hashed token counts are used, which need no model.
+
+    A failing encoder fails the job, unless `errors` names a column for its message: then a batch that
+    fails is asked row by row, and rows that fail have no embedding.
+    """
     prompt = F.lit((prompts or {"passage": "", "query": "query: "}).get(role, ""))
     if encoder is None:
         stages = [RegexTokenizer(inputCol="_in", outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim), Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)]
         source = df.withColumn("_in", F.coalesce(F.col(column), F.lit("")))
-        return Pipeline(stages=stages).fit(source).transform(source).withColumn("embedding", vector_to_array("_unit", "float32")).drop("_in", "_tokens", "_tf", "_unit")
+        done = Pipeline(stages=stages).fit(source).transform(source).withColumn("embedding", vector_to_array("_unit", "float32")).drop("_in", "_tokens", "_tf", "_unit")
+        return done if errors is None else done.withColumn(errors, F.lit(None).cast("string"))
+
+    def tried(texts: pd.Series) -> pd.DataFrame:
+        try:
+            return pd.DataFrame({"v": encoder(texts), "e": None})
+        except Exception as e:  # the model's failure is data here
+            if len(texts) == 1:
+                return pd.DataFrame({"v": [None], "e": [f"{type(e).__name__}: {e}"]})
+            return pd.concat([tried(texts.iloc[k : k + 1]) for k in range(len(texts))], ignore_index=True)
+
+    text_in = F.concat(prompt, F.coalesce(F.col(column), F.lit("")))
+    if errors is not None:
+        df = df.withColumn("_tried", F.pandas_udf(tried, "v array<double>, e string")(text_in)).withColumn(errors, F.col("_tried.e"))
     call = F.pandas_udf(lambda s: encoder(s), "array<double>")
-    raw = F.slice(call(F.concat(prompt, F.coalesce(F.col(column), F.lit("")))), 1, dim)
+    raw = F.slice(F.col("_tried.v") if errors is not None else call(text_in), 1, dim)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn("_raw", raw).withColumn("embedding", F.transform("_raw", lambda x: F.try_divide(x, norm(F.col("_raw"))).cast("float"))).drop("_raw")
+    return df.withColumn("_raw", raw).withColumn("embedding", F.transform("_raw", lambda x: F.try_divide(x, norm(F.col("_raw"))).cast("float"))).drop("_raw", "_tried")
 
 
 def pair_scorer(fn: Callable[[pd.Series, pd.Series], pd.Series]):
-    """A scorer for rerank() from a batch function of (queries, texts)."""
-    return F.pandas_udf(lambda q, t: fn(q, t), "double")
+    """A scorer for rerank() from a batch function of (queries, texts); where it fails, scores are null."""
+
+    def scores(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return fn(queries, texts)
+        except Exception:  # rerank() then keeps the order it was given
+            return pd.Series([None] * len(queries), dtype=float)
+
+    return F.pandas_udf(scores, "double")
 
 
-def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "output", attempts: int = 3, wait: float = 2.0, most_wait: float = 10.0, calls: int = 1) -> DataFrame:
+def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "output", attempts: int = 3, wait: float = 2.0, most_wait: float = 10.0, calls: int = 1, second: str | None = None) -> DataFrame:
     """Adds `out` and `{out}_error`: fn per row, retried with growing waits; errors become a column.
 
-    `calls` is how many calls a task makes at a time; answers keep the order of the rows.
+    `calls` is how many calls a task makes at a time; answers keep the order of the rows. `second` names a
+    column whose value is fn's second argument.
     """
     attach(df.sparkSession)
 
-    def one(value):
+    def one(value, *more):
         pause = wait
         for n in range(attempts):
             try:
-                return fn(value), None
+                return fn(value, *more), None
             except Exception as e:  # the model's failure is data here
                 error = f"{type(e).__name__}: {e}"
                 if n < attempts - 1:
@@ -56,15 +81,16 @@ def infer(df: DataFrame, column: str, fn: Callable[[str], str], out: str = "outp
                     pause = min(pause * 2, most_wait)
         return None, error
 
-    def run(values: pd.Series) -> pd.DataFrame:
-        ask = lambda v: one(v) if v is not None else (None, None)
+    def run_with(values: pd.Series, others: pd.Series) -> pd.DataFrame:
+        ask = lambda v, *more: one(v, *more) if v is not None else (None, None)
+        given = (values, others) if second is not None else (values,)
         if calls == 1:
-            return pd.DataFrame(map(ask, values), columns=["value", "error"])
+            return pd.DataFrame(map(ask, *given), columns=["value", "error"])
         with ThreadPoolExecutor(calls) as pool:
-            return pd.DataFrame(pool.map(ask, values), columns=["value", "error"])
+            return pd.DataFrame(pool.map(ask, *given), columns=["value", "error"])
 
-    called = F.pandas_udf(run, "value string, error string")
-    return df.withColumn("_r", called(F.col(column))).withColumn(out, F.col("_r.value")).withColumn(f"{out}_error", F.col("_r.error")).drop("_r")
+    called = F.pandas_udf(run_with, "value string, error string")
+    return df.withColumn("_r", called(F.col(column), F.col(second or column))).withColumn(out, F.col("_r.value")).withColumn(f"{out}_error", F.col("_r.error")).drop("_r")
 
 
 def infer_resumable(df: DataFrame, column: str, fn: Callable[[str], str], path: str, out: str = "output", keys: tuple[str, ...] = (), parts: int = 64, parallel: int = 2, retry_errors: bool = False, **how) -> DataFrame:

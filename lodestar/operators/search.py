@@ -64,13 +64,16 @@ def row_masks(queries: pd.DataFrame, rows: pd.DataFrame) -> Callable[[int], np.n
 
 def keep_nearest(best: dict, q: int, d: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, most: int) -> None:
     """Merge rows into the running `most` nearest (distances, ids) of query q, ties to smaller ids."""
-    ok = ~np.isnan(d)
+    held = best.get(q)
+    worst = held[0][-1] if held is not None and len(held[0]) == most else np.inf
+    ok = d <= worst  # never for NaN
     if allowed is not None:
         ok &= allowed
     at = np.flatnonzero(ok)
+    if not len(at) and held is not None:
+        return
     if len(at) > most:
         at = at[d[at] <= np.partition(d[at], most - 1)[most - 1]]
-    held = best.get(q)
     dist, found = (d[at], ids[at]) if held is None else (np.concatenate([held[0], d[at]]), np.concatenate([held[1], ids[at]]))
     order = np.lexsort((found, dist))[:most]
     best[q] = dist[order], found[order]
@@ -191,7 +194,14 @@ def rank_postings(queries: DataFrame, postings: DataFrame, n: int, average: floa
     held = postings.groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(average or 1.0)))
-    met = asked.join(postings, "token").join(held, "token")
+    weighed = asked.join(held, "token")
+    if match == "all":
+        # Chunks with a query's rarest token are the candidates; its other tokens are looked up for those alone.
+        rarest = weighed.groupBy("query_id").agg(F.min_by("token", F.struct("_df", "token")).alias("token"))
+        candidates = rarest.join(postings.select("token", "id"), "token").select("query_id", "id")
+        met = candidates.join(weighed, "query_id").join(postings, ["token", "id"])
+    else:
+        met = weighed.join(postings, "token")
     scored = met.groupBy("query_id", "id", *scope).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("_got")).join(need, "query_id")
     kept = scored.where(F.col("_got") == F.col("_need")) if match == "all" else scored
     own = [c for c in ("k", "series", "prefixes") if c in queries.columns]

@@ -26,7 +26,7 @@ MOST_CELLS, PARTS, WORDS = 4096, 16, 256
 REACH = 0.95
 
 
-def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
+def k_means(points: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     """k centres (fewer where there are fewer points); empty ones are taken by the worst placed points."""
     rng = np.random.default_rng(seed)
     k = min(k, len(points))
@@ -127,8 +127,9 @@ _MODEL = "cells long, dim long, parts long, words long, width long, probes long,
 
 
 def write_model(spark: SparkSession, model: CellModel, path: str) -> None:
-    row = (*model.centres.shape, *model.books.shape, model.probes, model.shortlist, model.centres.astype("<f4").tobytes(), model.books.astype("<f4").tobytes())
-    spark.createDataFrame([row], _MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    values = [*model.centres.shape, *model.books.shape, model.probes, model.shortlist, model.centres.astype("<f4").tobytes(), model.books.astype("<f4").tobytes()]
+    row = pa.table({c.split()[0]: [v] for c, v in zip(_MODEL.split(", "), values)})
+    spark.createDataFrame(row).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def read_model(spark: SparkSession, path: str) -> CellModel:

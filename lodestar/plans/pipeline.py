@@ -73,18 +73,21 @@ def prompts(questions: DataFrame, intro: dict[str, str] | None = None) -> Column
 
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, fn: Callable[[str], str], encoder: Callable | None = None, dim: int = 2048, k: int = 8, wait: float = 2.0,
-    cache: DataFrame | None = None, now: Column | None = None, link: str = "{id}", audit: Callable[[str], str] | None = None, audit_flag: str = "off", level: str = "H2", **plan,
+    cache: DataFrame | None = None, now: Column | None = None, link: str = "{id}", audit: Callable[[str], str] | None = None, audit_flag: str = "off", level: str = "H2", scorer=None, with_temperature: bool = False, **plan,
 ) -> DataFrame:
-    """One row per question: query_id, query_type, status, source, context, answer, answer_error, preview, links, top_chunks, query, vector, audit, blocked.
+    """One row per question: query_id, query_type, status, source, context, answer, answer_error, preview, links, top_chunks, query, vector, profile, temperature, audit, blocked.
 
     Prepare, plan, embed; take chunks from the cache where it has the question, else retrieve by plan;
     order by distance, collect links, put the first k into the prompt of the question's class, infer.
-    status: pg_hit, pg_empty without hits, pg_miss where the question could not be embedded; the last two
-    get the conservative prompt. `audit` judges answers where `audit_flag` says so, and never breaks the
+    status: pg_hit, pg_empty without hits, pg_miss (with the encoder's message, if it failed) where the
+    question could not be embedded; the last two get the conservative prompt. The question's profile sets
+    the temperature of its answer, which `fn` gets as a second argument `with_temperature`. `audit` judges answers where `audit_flag` says so, and never breaks the
     flow. Append `state.cache_rows` of the result to the cache.
     """
     planned = queryprep.plan_queries(queryprep.preprocess(questions, terms=plan.get("terms"), aliases=plan.get("aliases")), **plan)
-    ready = stored(infer.embed(planned, "embed_text", "query", dim, encoder).withColumnRenamed("embedding", "vector"), "questions")
+    embedded = infer.embed(planned, "embed_text", "query", dim, encoder, errors="embed_error").withColumnRenamed("embedding", "vector")
+    profile = text.expert_profile(F.col("question"))
+    ready = stored(embedded.withColumn("profile", profile).withColumn("temperature", text.profile_temperature(profile)), "questions")
     asked = ready.where(F.col("vector").isNotNull())
     if cache is not None:
         looked = state.cache_lookup(asked.select("query_id", F.col("normalized").alias("query"), "vector"), cache, F.current_timestamp() if now is None else now)
@@ -92,7 +95,7 @@ def answer_questions(
         asked = asked.join(looked.where("source = 'fresh'").select("query_id"), "query_id", "left_semi")
     coords = chunks.select("id", F.col("coord_start").alias("coord"))
     columns = ["query_id", "id", "canon_id", "coord", "text", "distance", "rank"]
-    hits = hybrid_search(asked, chunks).join(coords, "id").select(*columns)
+    hits = hybrid_search(asked, chunks, scorer=scorer).join(coords, "id").select(*columns)
     if cache is not None:
         ids = looked.where("source = 'cache'").select("query_id", F.posexplode("top_chunks").alias("_at", "id")).select("query_id", F.col("id").cast("long").alias("id"), (F.col("_at") + 1).alias("rank"))
         again = ids.join(chunks.select("id", "canon_id", F.col("coord_start").alias("coord"), "text"), "id").withColumn("distance", F.lit(None).cast("double"))
@@ -102,9 +105,10 @@ def answer_questions(
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", F.substring("text", 1, 500).alias("preview")))).alias("preview"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("top_chunks"))
     found = fusion.similar_links(hits.withColumn("metadata", F.create_map(F.lit("canon_id"), "canon_id")), link)
     links = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "link_id", "url"))).alias("links"))
-    full = ready.select("query_id", "question", "query_type", F.col("normalized").alias("query"), "vector").join(fusion.assemble_context(top), "query_id", "left").join(listed, "query_id", "left").join(links, "query_id", "left")
+    full = ready.select("query_id", "question", "query_type", F.col("normalized").alias("query"), "vector", "profile", "temperature", "embed_error").join(fusion.assemble_context(top), "query_id", "left").join(listed, "query_id", "left").join(links, "query_id", "left")
     full = full.join(looked.select("query_id", "source"), "query_id", "left") if cache is not None else full.withColumn("source", F.lit("fresh"))
-    status = F.when(F.col("vector").isNull(), "pg_miss").when(F.col("context").isNull(), "pg_empty").otherwise("pg_hit")
-    answered = stored(infer.infer(full.withColumn("status", status).withColumn("_p", prompts(full)), "_p", fn, "answer", wait=wait), "answers")
+    missed = F.concat_ws(":", F.lit("pg_miss"), F.substring("embed_error", 1, 200))
+    status = F.when(F.col("vector").isNull(), missed).when(F.col("context").isNull(), "pg_empty").otherwise("pg_hit")
+    answered = stored(infer.infer(full.withColumn("status", status).withColumn("_p", prompts(full)), "_p", fn, "answer", wait=wait, second="temperature" if with_temperature else None), "answers")
     judged = infer.optional_audit(answered, tasks.audits_answer(F.lit(audit_flag), F.coalesce(F.size("top_chunks"), F.lit(0))), F.lit(level), audit, "question", "answer", wait=wait)
-    return judged.select("query_id", "query_type", "status", F.coalesce("source", F.lit("fresh")).alias("source"), "context", "answer", "answer_error", "preview", "links", "top_chunks", "query", "vector", "audit", "blocked")
+    return judged.select("query_id", "query_type", "status", F.coalesce("source", F.lit("fresh")).alias("source"), "context", "answer", "answer_error", "preview", "links", "top_chunks", "query", "vector", "profile", "temperature", "audit", "blocked")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import tasks, text
 from lodestar.operators import chunking, evaluate, fusion, infer, queryprep, reports, search, state, text_index, vector_index
-from lodestar.session import shared_folder, unique_name
+from lodestar.session import shared_folder, stored, unique_name
 from lodestar.sources.corpus import segments_of, series_key
 
 SPAN = (0x00C0, 0x017F)
@@ -255,14 +255,14 @@ def miss_report(spark, sf):
 
 def citation_ranges(spark, sf):
     """Every line's coordinate, shortened, against ranges of ten lines of each file."""
-    found = segments_of(_files(spark, sf)).withColumn("canon_id", text.canon_id_from_coord(F.col("coord")))
+    found = stored(segments_of(_files(spark, sf)).select(text.canon_id_from_coord(F.col("coord")).alias("canon_id"), "line_no", "coord"), "lines")
     ranges = found.groupBy("canon_id", F.floor(F.col("line_no") / 10).alias("g")).agg(F.min("coord").alias("coord_start"), F.max("coord").alias("coord_end")).where("g % 2 = 0")
     cites = found.select(F.xxhash64("coord").alias("cite_id"), text.citation_coord(F.concat(F.lit(" "), F.col("coord"), F.lit("_"))).alias("coord"))
     return evaluate.citation_exists(cites, ranges, scoped=True).select("coord")
 
 
 def citation_ranges_unscoped(spark, sf):
-    found = segments_of(_files(spark, sf)).withColumn("canon_id", text.canon_id_from_coord(F.col("coord")))
+    found = stored(segments_of(_files(spark, sf)).select(text.canon_id_from_coord(F.col("coord")).alias("canon_id"), "line_no", "coord"), "lines")
     ranges = found.groupBy("canon_id").agg(F.min("coord").alias("coord_start"), F.max(F.when(F.col("line_no") < 5, F.col("coord"))).alias("coord_end")).where("coord_end is not null")
     cites = found.select(F.xxhash64("coord").alias("cite_id"), "coord")
     return evaluate.citation_exists(cites, ranges).select("coord")

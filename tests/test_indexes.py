@@ -113,7 +113,9 @@ def versions(spark, write, path, n=120):
     return chunk_frame(spark, [row(i, second[i] if i in again else t) for i, t in enumerate(first) if i // 4 != 5])
 
 
-def test_token_table(spark, tmp_path):
+def test_token_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BUCKETS", 4)
+    monkeypatch.setattr(text_index, "DEALT_CHUNKS", 50)
     path = str(tmp_path / "tokens")
     chunks = versions(spark, text_index.write_token_table, path)
     asked = spark.createDataFrame([(k, t, k % 5 + 1, "A" if k % 2 else None, ["T1"] if k % 3 == 0 else []) for k, t in enumerate([" ".join(t.split()[:2]) for t in texts(40, 2)])], "query_id long, query string, k int, series string, prefixes array<string>")
@@ -126,7 +128,9 @@ def test_token_table(spark, tmp_path):
     assert text_index.token_statistics(spark, path)[0] == chunks.count()
 
 
-def test_gram_table(spark, tmp_path):
+def test_gram_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BUCKETS", 4)
+    monkeypatch.setattr(text_index, "DEALT_CHUNKS", 50)
     path = str(tmp_path / "grams")
     chunks = versions(spark, text_index.write_gram_table, path)
     held = [r.text for r in chunks.where("length(text) > 12").limit(12).collect()]

@@ -139,6 +139,34 @@ def test_answers(spark):
     assert again[1].source == "cache" and again[1].top_chunks == [5, 4, 3] and again[2].source == "fresh"
 
 
+def test_answers_when_models_fail(spark):
+    """An encoder that fails for one question, a reranker that fails, and the temperature of each answer."""
+    import pandas as pd
+
+    from lodestar.plans import pipeline
+
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "broken"), (3, "བོད་སྐད་ཡིག་ཆ alpha")], "query_id long, question string")
+    chunks = infer.embed(spark.createDataFrame([(i, f"T01n000{i}", f"T01n000{i}_p1_", f"alpha beta number {i}") for i in range(6)], "id long, canon_id string, coord_start string, text string"), dim=8)
+
+    def encoder(texts):
+        if texts.str.contains("broken").any():
+            raise ValueError("no vector")
+        return pd.Series([[1.0] * 8 for _ in texts])
+
+    def scorer(queries, texts):
+        raise RuntimeError("reranker down")
+
+    flow = lambda **more: {r.query_id: r for r in pipeline.answer_questions(asked, chunks, lambda p, t: f"{t:.2f}", encoder, 8, wait=0.0, with_temperature=True, **more).collect()}
+    rows = flow(scorer=infer.pair_scorer(scorer))
+    assert rows[2].status == "pg_miss:ValueError: no vector" and rows[2].vector is None and rows[1].status == rows[3].status == "pg_hit"
+    assert [(rows[q].profile, rows[q].answer) for q in (1, 2, 3)] == [("default", "0.20"), ("default", "0.20"), ("tibetan", "0.23")]
+    hits = spark.createDataFrame([(1, k, k, "q", f"t{k}") for k in range(1, 6)], "query_id long, id long, rank int, query string, text string")
+    kept = fusion.rerank(hits, 3, infer.pair_scorer(scorer)).orderBy("rank").collect()
+    assert [r.id for r in kept] == [1, 2, 3] and all(r.rerank_score is None for r in kept)
+    turned = fusion.rerank(hits, 3, infer.pair_scorer(lambda q, t: t.str[1:].astype(float))).orderBy("rank").collect()
+    assert [r.id for r in turned] == [5, 4, 3]
+
+
 def test_inference_errors_become_columns(spark):
     rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, t string")
 
