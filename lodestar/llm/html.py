@@ -35,7 +35,7 @@ BLOCKS = frozenset(
     "html body div section article main nav header footer aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr"
     " td th blockquote pre figure figcaption form fieldset address hr details summary center menu dialog hgroup search".split()
 )
-RAW = frozenset("script style noscript template textarea iframe svg math title select object canvas video audio button".split())
+RAW = frozenset("script style noscript template textarea iframe svg title select object canvas video audio button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p li blockquote pre dt dd td th figcaption caption".split())
 FURNITURE = frozenset("nav footer aside form menu dialog search fieldset".split())
@@ -46,6 +46,10 @@ FURNITURE_NAMES = frozenset(
     " related recommended recommendations comment comments reply replies respond disqus subscribe subscription newsletter signup login search"
     " searchbox pagination pager toolbar widget skip copyright".split()
 )
+#: Furniture words that articles use for parts of their own.
+EITHER_WAY = frozenset("header footer masthead banner notice notices alert menu widget copyright".split())
+#: Elements whose own text is prose.
+PROSE = PARAGRAPHS | frozenset("section article main header".split())
 #: Words of layout that say nothing by themselves; a name of these and furniture words is furniture.
 LAYOUT_NAMES = frozenset(
     "site page main global top bottom left right upper lower inner outer box block list item items bar area section container wrapper wrap"
@@ -65,14 +69,15 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 class Node:
     """A block element; children are nodes and text slots.
 
+    `furniture`: not article text; `maybe`: named so inside a landmark by words that articles use too.
     `kind` tells elements and slots apart, `leaf` is the text of an element with one slot and nothing
     else, `weight` what it adds when all of it matches, `ref` the number of the reference element that it aligns with.
     """
 
-    __slots__ = ("tag", "kind", "children", "furniture", "size", "weight", "print", "leaf", "ref")
+    __slots__ = ("tag", "kind", "children", "furniture", "maybe", "size", "weight", "print", "leaf", "ref")
 
-    def __init__(self, tag: str, furniture: bool = False) -> None:
-        self.tag, self.kind, self.children, self.furniture, self.size = tag, tag, [], furniture, 1
+    def __init__(self, tag: str, furniture: bool = False, maybe: bool = False) -> None:
+        self.tag, self.kind, self.children, self.furniture, self.maybe, self.size = tag, tag, [], furniture, maybe, 1
         self.weight, self.print, self.leaf, self.ref = 1, 0, None, -1
 
 
@@ -90,29 +95,33 @@ class Slot:
         return self.text
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id is made of furniture and layout words alone, furniture among them."""
+def _named(value: str, names: frozenset) -> bool:
+    """Whether a class or id is made of furniture and layout words alone, `names` among them."""
     for word in value.split():
         parts = [p for p in re.split(r"[-_]+", word) if p]
-        if any(p in FURNITURE_NAMES for p in parts) and all(p in FURNITURE_NAMES or p in LAYOUT_NAMES for p in parts):
+        if any(p in names for p in parts) and all(p in FURNITURE_NAMES or p in LAYOUT_NAMES for p in parts):
             return True
     return False
 
 
-def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _is_furniture(tag: str, attributes: str, inside: bool) -> bool | None:
+    """None: inside a landmark, named so by words of EITHER_WAY alone."""
     if tag in FURNITURE or (tag == "header" and not inside):
         return True
     if not attributes:
         return False
+    maybe = False
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in FURNITURE_ROLES:
             return True
-        if (name == "class" or (name == "id" and tag not in HEADINGS)) and _named(value):
-            return True
+        if name == "class" or (name == "id" and tag not in HEADINGS):
+            if _named(value, FURNITURE_NAMES - EITHER_WAY if inside else FURNITURE_NAMES):
+                return True
+            maybe |= inside and _named(value, EITHER_WAY)
         if (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) is not None
+    return True if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else None if maybe else False
 
 
 def parse(page: str) -> tuple[Node, bool]:
@@ -188,7 +197,8 @@ def parse(page: str) -> tuple[Node, bool]:
                 leave(ending[-1])
             if tag == "hr":
                 continue
-            node = Node(tag, _is_furniture(tag, m[3], inside > 0))
+            kind = _is_furniture(tag, m[3], inside > 0)
+            node = Node(tag, bool(kind), kind is None)
             landmark |= tag in ("article", "main") and not node.furniture
             stack[-1].children.append(node)
             if tag in _ENDING:
@@ -348,13 +358,13 @@ def tree_match(a: Node, b: Node, cells: int = TABLE_CELLS) -> tuple[int, list[tu
 
 def _walk(root: Node, region: int = -2):
     """(slot, tag of its element, in furniture, in a landmark, in the region, nearest aligned element) of every slot in page order."""
-    todo: list[tuple] = [(root, "", False, False, False, -1)]
+    todo: list[tuple] = [(root, "", False, False, False, False, -1)]
     while todo:
-        node, block, furniture, marked, inside, home = todo.pop()
+        node, block, furniture, maybe, marked, inside, home = todo.pop()
         if node.kind == "#":
-            yield node, block, furniture, marked, inside, home
+            yield node, block, furniture or maybe and (block not in PROSE or node.linked >= 0.8), marked, inside, home
             continue
-        below = (node.tag, furniture or node.furniture, marked or node.tag in ("article", "main"), inside or node.ref == region, node.ref if node.ref >= 0 else home)
+        below = (node.tag, furniture or node.furniture, maybe or node.maybe, marked or node.tag in ("article", "main"), inside or node.ref == region, node.ref if node.ref >= 0 else home)
         todo += [(c, *below) for c in reversed(node.children)]
 
 

@@ -205,3 +205,27 @@ def test_registered_rows(spark):
     docs, vectors = spark.read.parquet(f"{sf}/documents.parquet").count(), spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert queries.op11_align_tokenizers(spark, sf).count() == docs and queries.op12_document_fingerprints(spark, sf).count() == docs
     assert queries.op13_whitened_vectors(spark, sf).count() == 16 * vectors
+
+
+def test_article_parts_with_furniture_names():
+    """Titles and paragraphs stay whatever an article calls their elements; what is furniture by tag, role or a plain name goes."""
+    from lodestar.llm import html
+
+    page = lambda inner: f"<html><body><div class='header'><p>Site</p></div><article><p>Body text.</p>{inner}<p>More.</p></article><footer>F</footer></body></html>"
+    text = lambda inner: html.main_text(*html.parse(page(inner)))
+    kept = ["<header class='article-header'><h1>KEEP</h1></header>", "<div class='post-header'><h1>KEEP</h1></div>", "<div class='content-header'><h2>KEEP</h2></div>", "<p class='notice'>KEEP</p>",
+            "<table class='header'><tr><td>KEEP</td></tr></table>", "<section class='text-alert'>KEEP</section>", "<p>a <math><mi>KEEP</mi></math> b</p>", "<header><h1>KEEP</h1></header>"]
+    assert all("KEEP" in text(k) for k in kept)
+    gone = ["<div class='comments'><p>GO</p></div>", "<div class='advert'><p>GO</p></div>", "<nav><p>GO</p></nav>", "<div role='alert'><p>GO</p></div>", "<div class='header'>GO</div>",
+            "<div class='menu'><ul><li><a href='x'>GO</a></li></ul></div>", "<p hidden>GO</p>", "<div class='related-posts'><p>GO</p></div>"]
+    assert all("GO" not in text(g) and "More." in text(g) for g in gone)
+    assert "Site" not in text("") and text("") == "Body text.\n\nMore."
+
+
+def test_recurring_notice_in_an_article_goes(spark):
+    """The same notice paragraph in the articles of aligned pages is template."""
+    from lodestar.llm import html
+
+    rows = [(i, f"https://h.example/{i}", f"<html><body><main><h1>Title {i * 7}</h1><p class='notice'>Subscribe to our service today.</p><p>Words of page {i * 13} and more of {i * 31}.</p></main></body></html>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Subscribe" not in t and f"Title {i * 7}" in t and f"page {i * 13}" in t for i, t in got.items())
