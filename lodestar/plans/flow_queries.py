@@ -11,8 +11,9 @@ from lodestar.operators import evaluate, fusion, infer, queryprep, reports, sear
 from lodestar.plans import pipeline
 from lodestar.plans import queries as base
 from lodestar.plans.queries import FILLERS, LINES, NAMES, OPEN_BOOSTS, _chunk_texts, _files, _hits, _rank_lists, _read
-from lodestar.session import shared_folder, stored
+from lodestar.session import shared_folder, stored, unique_name
 from lodestar.sources import corpus
+from lodestar.streaming import ingest
 
 CHANNELS = ("web", "internal", "api", "telegram")
 FLAGS = ("off", "always", "specialist", "auto", "", "hits")
@@ -266,6 +267,60 @@ def progress_upserts(spark, sf):
     return state.latest(log, ["file_path"], ["updated_at"]).select("file_path", "last_coord", "chunk_count", "completed")
 
 
+def miss_kinds(spark, sf):
+    """Reasons of misses that reach every rule: by document, an expected work and hits of each kind."""
+    kind = F.col("doc_id") % 6
+    found = _pick(("", "", "T05N0001", "T38N0001", "T09N0001", "T09N0001"), kind)
+    some = F.when(kind == 5, F.array(F.lit("term"))).otherwise(F.array().cast("array<string>"))
+    docs = _read(spark, sf, "documents")
+    results = docs.select(F.col("doc_id").alias("id"), F.array(_pick(("T08n0001", "T08n0001", "T05", "T01n0001", "T08n0001", "T08n0001"), kind)).alias("expected"), some.alias("sub_terms"), (F.col("doc_id") % 7 == 0).cast("int").alias("hit"))
+    hits = docs.where(kind > 0).select(F.col("doc_id").alias("id"), F.lit(1).alias("rank"), found.alias("canon_id"))
+    return evaluate.miss_reasons(results, hits).select("id", "hit", "miss_reason")
+
+
+def _document_chunks(spark, sf):
+    path = F.concat(F.lit("f"), F.floor(F.col("doc_id") / 4).cast("string"))
+    return _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), path.alias("file_path"), F.upper("lang").alias("series"), "text", F.array(F.col("n_chars").cast("float")).alias("embedding"))
+
+
+def chunk_versions(spark, sf):
+    """A chunk table of four versions: all files, every third one written anew, every seventh emptied, and new vectors for some chunks."""
+    rows, path = _document_chunks(spark, sf), f"{shared_folder(spark)}/{unique_name('chunks')}"
+    file = F.substring("file_path", 2, 20).cast("long")
+    corpus.write_chunks(rows, path, 0)
+    corpus.write_chunks(rows.where(file % 3 == 0).withColumn("text", F.concat(F.lit("new "), "text")), path, 1)
+    corpus.delete_files(rows.where(file % 7 == 0).select("file_path").distinct(), path, 2)
+    corpus.replace_embeddings(rows.where("id % 11 = 0").select("id", "series", F.array(F.lit(-1.0)).alias("embedding")), path, 3)
+    return corpus.read_chunks(spark, path).select("id", "file_path", "series", F.md5("text").alias("md5"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+def reembedded_ranges(spark, sf):
+    """New vectors for the turns of users in ranges of ids, two runs: a bounded one, and one for the rest."""
+    turns = _read(spark, sf, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), F.col("role").alias("series"), "text")
+    out, log = (f"{shared_folder(spark)}/{unique_name(n)}" for n in ("vectors", "ranges-log"))
+    ingest.reembed(turns, "user", out, log, dim=32, batch=500, limit=100)
+    ingest.reembed(turns, "user", out, log, dim=32, batch=500)
+    return ingest.read_reembedded(spark, out, log).select("id", "series", F.size("embedding").alias("dim"), F.md5("text").alias("md5"))
+
+
+def living_users(spark, sf):
+    """A stream of events into a keyed cache: the last time of each user within six hours of the newest event."""
+    events = stored(_read(spark, sf, "events").select("user_id", "ts"), "events")
+    folder = events.inputFiles()[0].rsplit("/", 1)[0]
+    out, mark = (f"{shared_folder(spark)}/{unique_name(n)}" for n in ("cache", "cache-state"))
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    ingest.latest_within_ttl(stream, ["user_id"], "ts", out, mark, "6 hours").start().awaitTermination()
+    return ingest.read_latest(spark, out, ["user_id"]).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+def resumed_answers(spark, sf):
+    """Answers kept by part: the turns of users first, then all turns, whose new ones alone are asked."""
+    turns, path = _read(spark, sf, "conversations"), f"{shared_folder(spark)}/{unique_name('kept')}"
+    infer.infer_resumable(turns.where("role = 'user'"), "text", lambda t: "a:" + t, path, "answer", parts=8, wait=0.0)
+    done = infer.infer_resumable(turns, "text", lambda t: "b:" + t, path, "answer", parts=8, wait=0.0)
+    return done.select("conv_id", "turn", F.md5("answer").alias("md5"), F.col("answer_error").alias("error"))
+
+
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _PLAIN = "trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
 _SPACED = "replace(replace(replace(text, 'the ', ' '), 'and ', ' '), 'of ', ' ')"
@@ -288,6 +343,14 @@ REGISTRY = {
     "flat_hits": (flat_hits, "WITH l AS (SELECT doc_id, lang, p[i] AS line, i - 1 AS i FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents))) SELECT doc_id, count(*) AS n, count(*) FILTER (i % 3 <> 0) AS n_distances, (sum(i) FILTER (i % 3 <> 0))::DOUBLE AS total, min(lang) AS lang FROM l WHERE " + _STRIP.format("line") + " <> '' GROUP BY doc_id"),
     "image_texts": (image_texts, "WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations QUALIFY n <= 16) SELECT conv_id AS id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS md5 FROM p WHERE turn % 3 <> 2 AND text <> '' GROUP BY conv_id"),
     "filler_terms": (filler_terms, "WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(" + _STRIP.format(_SPACED) + ", '\\s+'), lambda p: length(p) BETWEEN 2 AND 8) AS parts, list_filter(['tion', 'the', 'er'], lambda a: contains(text, a)) AS named FROM benchmark), j AS (SELECT *, list_concat(named, parts) AS al FROM w), k AS (SELECT *, list_filter(al, lambda v, i: list_position(al, v) = i)[1:5] AS t FROM j) SELECT item_id, md5(trim(replace(replace(replace(regexp_replace(" + _STRIP.format("text") + ", '[？?]+$', ''), 'the ', ''), 'and ', ''), 'of ', ''), '？? 的')) AS stripped, CASE WHEN len(t) > 0 THEN array_to_string(t, '|') ELSE left(text, 8) END AS terms FROM k"),
+    "miss_kinds": (miss_kinds, """SELECT doc_id AS id, (doc_id % 7 = 0)::INTEGER AS hit, CASE WHEN doc_id % 7 <> 0 THEN
+      ['no_hits', 'empty_canon_ids', 'wrong_volume_same_family', 'wrong_corpus_family', 'semantic_drift', 'bm25_and_vector_miss'][doc_id % 6 + 1] END AS miss_reason FROM documents"""),
+    "chunk_versions": (chunk_versions, """SELECT doc_id AS id, 'f' || (doc_id // 4) AS file_path, upper(lang) AS series, md5(CASE WHEN (doc_id // 4) % 3 = 0 THEN 'new ' || text ELSE text END) AS md5,
+      CASE WHEN doc_id % 11 = 0 THEN -1 ELSE n_chars::FLOAT END::DOUBLE AS first FROM documents WHERE (doc_id // 4) % 7 <> 0"""),
+    "reembedded_ranges": (reembedded_ranges, "SELECT conv_id * 10000 + turn AS id, role AS series, 32 AS dim, md5(text) AS md5 FROM conversations WHERE role = 'user'"),
+    "living_users": (living_users, "SELECT user_id, epoch_us(max(ts)) AS at FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"),
+    "resumed_answers": (resumed_answers, """WITH u AS (SELECT DISTINCT text FROM conversations WHERE role = 'user')
+      SELECT conv_id, turn, md5(CASE WHEN u.text IS NOT NULL THEN 'a:' ELSE 'b:' END || c.text) AS md5, NULL::VARCHAR AS error FROM conversations c LEFT JOIN u USING (text)"""),
     "dictionary_terms": (dictionary_terms, """WITH b AS (SELECT list_filter(string_split(text, ' '), lambda w: length(w) >= 4) AS ws FROM benchmark),
       p AS (SELECT DISTINCT ws[i] AS term, ws[i + 1] AS alt FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM b)),
       q AS (SELECT conv_id * 10000 + turn AS query_id, text FROM conversations), e AS (SELECT query_id, alt AS extra FROM q JOIN p ON contains(text, term) UNION SELECT query_id, term FROM q JOIN p ON contains(lower(text), lower(alt))),

@@ -180,7 +180,7 @@ class LatestRow(StatefulProcessor):
 
 
 #: Rows keep microseconds on their way through the state.
-MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -199,7 +199,8 @@ def latest_within_ttl(events: DataFrame, keys: list[str], time: str, out: str, c
     present = F.col(time).isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()
-    rows = events.where(present).withWatermark(time, ttl).select(*keys, *([time] if time not in keys else []), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), F.to_json(F.struct(*schema.names), MICROS).alias("_row"))
+    timed = events.where(present).withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", ttl)
+    rows = timed.select(*keys, "_time", F.unix_micros("_time").alias("_at"), F.to_json(F.struct(*schema.names), MICROS).alias("_row"))
     types = T.StructType([*[schema[k] for k in keys], T.StructField("_at", T.LongType()), T.StructField("_op", T.StringType()), T.StructField("_row", T.StringType())])
     changes = rows.groupBy(*keys).transformWithStateInPandas(LatestRow(keys), types, "Update", "EventTime")
 
