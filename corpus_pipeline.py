@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again as the next stage's docs. All but the last return the columns of documents. SQL cannot express
 the stages (a trained line labeller, component search, passage alignment, a tokenizer, a linear
 program), so they are tested against brute-force versions.
+
+Every stage takes rows with nulls, repeats and columns of any name, keeps all columns (the last one
+returns pieces), and gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +21,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines are mostly content; the rejected ones go."""
+    """Documents whose lines are mostly content; the rejected ones go, null and empty texts among them."""
     return line_rules.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, whatever their ids; wordless texts are one group."""
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that an earlier document has are cut out."""
+    """Passages of over 50 words that an earlier document has are cut out; rows stay, null texts as they are."""
     return passages.drop_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for; null is a source like any other."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 2048."""
+    """Token pieces in sequences of at most 2048; a null text is one piece of the end id."""
     return packing.pack(docs, tokenizer_file(), tokenizer_ranks())
 
 

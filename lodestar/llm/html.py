@@ -517,8 +517,8 @@ def extract_cell(pdf: pd.DataFrame) -> pd.DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null and empty pages have an empty text; repeated rows and ids keep their rows; an empty table
-    gives an empty result; other columns are not read, whatever their names. The html is shuffled
+    Null and empty pages have an empty text; very long pages are parsed whole, with long lists aligned in
+    linear time; repeated rows and ids keep their rows; an empty table gives an empty result; other columns are not read, whatever their names. The html is shuffled
     once, by host and cell. Every host is cut into cells of about CELL_PAGES pages and CELL_BYTES
     bytes by a hash of the page, at any size of the table. Pages without a host share one.
     """

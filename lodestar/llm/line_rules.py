@@ -31,7 +31,8 @@ def judged(table, model: crf.LineModel) -> dict[str, np.ndarray]:
 def label_documents(docs: DataFrame, model: crf.LineModel) -> DataFrame:
     """doc_id, the statistics, base_failed, content_share and kept of every row.
 
-    Null and empty texts have no words: all zero, base_failed, not kept. Repeated rows are judged alike.
+    Null and empty texts have no words: all zero, base_failed, not kept. Repeated rows are judged alike,
+    long texts whole; an empty table gives an empty result. Other columns are not read, whatever their names.
     """
     attach(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
@@ -49,7 +50,11 @@ def label_documents(docs: DataFrame, model: crf.LineModel) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """label_documents under a model fitted on `labels` (doc_id, quality) of these documents."""
+    """label_documents under a model fitted on `labels` (doc_id, quality) of these documents.
+
+    Nulls, repeats, empty tables and other columns as there; a table without labelled documents is
+    judged by an unfitted model.
+    """
     return label_documents(docs, crf.train_on_labels(docs, labels))
 
 

@@ -172,7 +172,8 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks: tuple[str, str] | None = N
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     Null and empty texts are one piece of the end id; repeated rows are packed separately; an empty
-    table gives an empty result. Sequences hold whole pieces end to end from offset 0.
+    table gives an empty result; other columns are not read, whatever their names. Sequences hold whole
+    pieces end to end from offset 0.
     """
     cut = materialize(pieces(docs, tokenizer_file, ranks, capacity, step, end_id), "pieces")
     counts = cut.groupBy("task", "cls").count()

@@ -26,7 +26,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; a null text scores as an empty one.
 
     Labels of held-out ids (crc32 of the id mod 5 = 0) are never read; a null id counts as the text
-    "" for that test. Only the text enters the score.
+    "" for that test. Only the text enters the score. Repeated rows score alike, long texts whole; an
+    empty table gives an empty result; other columns are not read, whatever their names.
     """
     attach(docs.sparkSession)
     model = crf.train_on_labels(docs, labels)

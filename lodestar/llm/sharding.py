@@ -92,7 +92,8 @@ def shard(docs: DataFrame, shards: int = 16, parts: int = PARTS) -> DataFrame:
     Size is the text's UTF-8 bytes plus 1 (null: 1, crc32 0, a group of its own). Groups below a
     shard's size / `parts` travel in hash bundles, larger ones singly. A group above a shard's fair
     size sets the capacity, since it cannot be divided. Slots number each shard's rows from 0 by
-    doc_id. Empty tables give empty results.
+    doc_id. Repeated rows and ids keep their rows and share a shard with their text. Empty tables give
+    empty results; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows = materialize(

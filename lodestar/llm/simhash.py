@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Links join fingerprints that differ in at most three bits; equal texts and wordless texts link
     through equal fingerprints. Null or repeated doc_ids keep their rows (null never becomes a
-    component_id unless the component has no other id). Empty tables give empty results.
+    component_id unless the component has no other id). Empty tables give empty results; other columns
+    are not read, whatever their names.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")

@@ -214,7 +214,8 @@ def score_texts(docs: DataFrame, is_training: str = "crc32(coalesce(cast(doc_id
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null texts score as empty ones (one token, the end); repeated rows are scored alike and each
-    counts as training text; an empty table gives an empty result. The two numbers of common keys
+    counts as training text; an empty table gives an empty result; other columns are not read, whatever
+    their names. The two numbers of common keys
     decide what is sent and what is joined, not any score.
     """
     spark = attach(docs.sparkSession)

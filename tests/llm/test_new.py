@@ -229,3 +229,39 @@ def test_recurring_notice_in_an_article_goes(spark):
     rows = [(i, f"https://h.example/{i}", f"<html><body><main><h1>Title {i * 7}</h1><p class='notice'>Subscribe to our service today.</p><p>Words of page {i * 13} and more of {i * 31}.</p></main></body></html>") for i in range(8)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Subscribe" not in t and f"Title {i * 7}" in t and f"page {i * 13}" in t for i, t in got.items())
+
+
+def _tables(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    assert corpus_pipeline.run(spark, _tables(spark, str(tmp_path), docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_pipeline_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    """Columns that the operators use inside, null ids and texts, and every row twice: the plain table's texts come through."""
+    import corpus_pipeline
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("row", "hash", "of", "fp", "size", "root", "key", "start", "length", "task", "block", "taken", "kept", "n")])
+    odd = clash.union(clash).union(clash.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).union(clash.limit(3).withColumn("text", F.lit(None).cast("string")))
+    folder, rows = _tables(spark, str(tmp_path), odd, labels), odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, rows, folder)
+        assert done.columns == odd.columns, name
+        rows = corpus_pipeline.materialize(done, "stage")
+        assert rows.count() > 0, name
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.columns == corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_nearest_of_null_vectors(spark):
+    from lodestar.llm import ann
+
+    assert ann.nearest(spark.createDataFrame([(i, None) for i in range(5)], "vec_id long, embedding array<float>")).count() == 0
