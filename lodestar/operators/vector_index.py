@@ -225,16 +225,16 @@ def shortlist(queries: DataFrame, path: str, probes: int | None = None, most: in
 
         found = rows.where(F.col("cell").isin(list(probing))).select(*columns).mapInPandas(local, _FOUND) if probing else spark.createDataFrame([], _FOUND)
     else:
-        sizes = {r.cell: -(-r["count"] // ROW_BLOCK) for r in rows.groupBy("cell").count().collect()}  # a row per cell
-        blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("cell")]
+        sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("long").alias("blocks")))  # a row per cell
+        blocks = F.col("blocks")
 
         @F.pandas_udf("array<int>")
         def cells_of(v: pd.Series) -> pd.Series:
             return pd.Series(list(model.nearest_cells(np.nan_to_num(units(np.array(v.tolist(), float))), probes).astype(np.int32)))
 
         series = F.col("series") if scoped else F.lit(None).cast("string").alias("series")
-        held = rows.select("cell", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.lit(0).alias("asks"), "id", "code", F.lit(None).cast("array<double>").alias("vector"), series)
-        asking = light.withColumn("cell", F.explode(cells_of("vector"))).where(blocks.isNotNull())
+        held = rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.lit(0).alias("asks"), "id", "code", F.lit(None).cast("array<double>").alias("vector"), series)
+        asking = light.withColumn("cell", F.explode(cells_of("vector"))).join(sizes, "cell")
         asking = asking.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(1).alias("asks"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("code"), "vector", series)
 
         def pass_by(frames):

@@ -114,7 +114,7 @@ def versions(spark, write, path, n=120):
 
 
 def test_token_table(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(text_index, "BUCKETS", 4)
+    monkeypatch.setattr(text_index, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(text_index, "DEALT_CHUNKS", 50)
     path = str(tmp_path / "tokens")
     chunks = versions(spark, text_index.write_token_table, path)
@@ -129,7 +129,7 @@ def test_token_table(spark, tmp_path, monkeypatch):
 
 
 def test_gram_table(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(text_index, "BUCKETS", 4)
+    monkeypatch.setattr(text_index, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(text_index, "DEALT_CHUNKS", 50)
     path = str(tmp_path / "grams")
     chunks = versions(spark, text_index.write_gram_table, path)
