@@ -142,6 +142,8 @@ def test_gram_table(spark, tmp_path, monkeypatch):
     rows = chunks.collect()
     brute = {(k, t, r.id) for k, t in enumerate(terms) for r in sorted(rows, key=lambda r: r.id) if t in r.text}
     assert {tuple(r)[:3] for r in text_index.search_grams(asked.select("query_id", "term"), path, 1000).select("query_id", "term", "id").collect()} == brute
+    plan = text_index.search_grams(asked.select("query_id", "term"), path, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # ranks are limited in each task before the shuffle, and again after it
 
 
 def test_keyword_search_keeps_few_rows(spark):
