@@ -18,6 +18,7 @@ a passage needs tens of agreements in one stretch.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -250,8 +251,8 @@ def _different(tokens: np.ndarray) -> np.ndarray:
     return (spot >= start) & (spot < start + MIN_SHINGLES) & (before < start)
 
 
-def _hopeful(token: np.ndarray, known: np.ndarray, which: np.ndarray, mark: np.ndarray, ask: np.ndarray) -> np.ndarray:
-    """The asking rows with a stretch of MIN_SHINGLES of which SIMILARITY is known; rows that repeat a token are not judged."""
+def _hopeful(known: np.ndarray, mark: np.ndarray, ask: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """The asking rows with a stretch of MIN_SHINGLES of which SIMILARITY is known; rows that repeat a token (`twice`) are not judged."""
     sizes = np.diff(mark)
     sums = np.concatenate([[0], np.cumsum(known)])
     starts = _text.ranges(mark[:-1], np.maximum(sizes - REACH, 0))
@@ -259,9 +260,28 @@ def _hopeful(token: np.ndarray, known: np.ndarray, which: np.ndarray, mark: np.n
     some = np.flatnonzero(count)
     if len(some):
         best[some] = np.maximum.reduceat(sums[starts + MIN_SHINGLES] - sums[starts], np.cumsum(count[some]) - count[some])
-    pair = _distinct(which.astype(np.int64) * (int(token.max(initial=0)) + 1) + token)
-    distinct = np.bincount(pair // (int(token.max(initial=0)) + 1), minlength=len(sizes))
-    return np.flatnonzero(ask & (sizes >= MIN_SHINGLES) & ((best >= SIMILARITY * MIN_SHINGLES) | (distinct < sizes)))
+    return np.flatnonzero(ask & (sizes >= MIN_SHINGLES) & ((best >= SIMILARITY * MIN_SHINGLES) | twice))
+
+
+def _promising(pair: np.ndarray, hit: np.ndarray, begin: np.ndarray, end: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """The pairs of which some stretch of at least `least` shingles can have `similarity`.
+
+    One item per hit (a shared shingle), by pair and place: its place, and the sums over both sides of the
+    different shingles before and up to it. A stretch has no more shared shingles than hits, so it can pass
+    only if (1 + similarity) * hits >= similarity * (different ones of both sides), which is an inequality
+    between a term of its last hit and one of its first.
+    """
+    if not len(pair):
+        return pair
+    n = np.arange(len(pair)) - np.searchsorted(pair, pair)
+    ends, starts = (1 + similarity) * (n + 1) - similarity * end, (1 + similarity) * n - similarity * begin
+    # The greatest end from each hit on, within its pair: earlier pairs are lifted above later ones.
+    lift = (pair[-1] - pair) * (ends.max() - ends.min() + 1.0)
+    best = np.maximum.accumulate((ends + lift)[::-1])[::-1] - lift
+    wide = int(hit.max()) + least + 1
+    to = np.searchsorted(pair * wide + hit, pair * wide + hit + least - 1)
+    inside = np.minimum(to, len(pair) - 1)
+    return _distinct(pair[(to < len(pair)) & (pair[inside] == pair) & (best[inside] >= starts - 1e-6)])
 
 
 def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
@@ -272,6 +292,8 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
     shingles in common with its source, so one of its rarest must be among them; a phrase that the
     whole group has is therefore no candidate by itself, and a group costs about its real matches.
     A source is earlier by (doc, text); the search of a row ends at the first one that holds both tokens.
+    Rows go on in rounds, each with its next few candidates, so that the bound which rules out nearly all
+    of them is computed for many pairs at once.
     """
     rows = rows.sort_values(["key", "doc", "text"], kind="stable", ignore_index=True)
     arrays = [np.frombuffer(x, np.uint32) for x in rows["around"]]
@@ -283,6 +305,12 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
     n_tokens, mark = int(token.max(initial=-1)) + 1, np.concatenate([[0], np.cumsum(sizes)])
     # Rows of one text are one holder; holders are numbered in order within the key.
     rank = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])[: len(rows)])
+    # Each row's tokens in order, with their places; rows that repeat one.
+    named = which * n_tokens + token
+    spot = np.argsort(named, kind="stable")
+    named = named[spot]
+    twice = np.zeros(len(rows), bool)
+    twice[which[spot[1:][named[1:] == named[:-1]]]] = True
     # Postings of the rows that may be sources, once per row and token, in order.
     source = ~ask[which]
     posting = _distinct(token[source].astype(np.int64) * len(rows) + which[source])
@@ -294,48 +322,80 @@ def regrouped(rows: pd.DataFrame) -> list[tuple[int, ...]]:
     earliest[some] = rank[holder[first[:-1][some]]]
     # A row can match only if some stretch has SIMILARITY of its tokens from earlier holders.
     known = earliest[token] < rank[which]
-    hopeful = _hopeful(token, known, which, mark, ask)
+    hopeful = _hopeful(known, mark, ask, twice)
     flag, found, sets = np.zeros(n_tokens, bool), [], {}
     at = {n: rows[n].to_numpy() for n in ("lo", "hi", "left", "right")}
+    ranks, names = rank.tolist(), text.tolist()
 
-    def part(k: int, mine: np.ndarray, other: np.ndarray, least: int) -> bool:
-        """Whether a stretch of row k has SIMILARITY of its tokens in common with the other's; `least`: no fewer than so many do."""
-        flag[other] = True
-        held_by = flag[mine]
-        flag[other] = False
-        if held_by.sum() < least:
-            return False
-        if k not in sets:
-            if len(sets) > 2000:
-                sets.clear()
-            sets[k] = _different(mine)
-        return bool((sets[k][:, held_by].sum(axis=1) >= SIMILARITY * sets[k].sum(axis=1)).any())
+    def walk(t: int):
+        for a in range(first[t], first[t + 1], 64):
+            yield from holder[a : min(a + 64, first[t + 1])].tolist()
 
-    for i in hopeful:
+    def earlier(i: int, lists: list):
+        """Rows before row i in these lists, in order and once; none of its own text."""
+        last = -1
+        for k in heapq.merge(*lists):
+            if ranks[k] >= ranks[i]:
+                return
+            if k != last and names[k] != names[i]:
+                last = k
+                yield k
+
+    def candidates(i: int):
+        """The earlier rows that hold one of the rarest shingles of a stretch of row i."""
         mine, count = token[mark[i] : mark[i + 1]], np.where(known[mark[i] : mark[i + 1]], often[mark[i] : mark[i + 1]], 0)
         ranked = np.argsort(count, kind="stable")
         different = _different(mine)[:, ranked]
         size = different.sum(axis=1)
         least = np.ceil(SIMILARITY * size - 1e-9)
         usable = different[:, count[ranked] > 0].sum(axis=1) >= least
-        if not usable.any():
-            continue
         different, size, least = different[usable], size[usable], least[usable]
         rare = _distinct(mine[ranked[(different & (np.cumsum(different, axis=1) <= (size - least + 1)[:, None])).any(axis=0)]])
-        last = -1
-        for k in heapq.merge(*[holder[first[t] : first[t + 1]].tolist() for t in rare]):
-            if (doc[k], text[k]) >= (doc[i], text[i]):
-                break
-            if k == last or text[k] == text[i]:
-                continue
-            last, theirs = k, token[mark[k] : mark[k + 1]]
-            if not (part(i, mine, theirs, int(least.min())) and part(k, theirs, mine, 1)):
-                continue
-            spans = verified_passages(arrays[i], arrays[k])
-            if spans:
-                found.append((text[i], doc[i], text[k], doc[k], at["left"][i], at["right"][i], at["left"][k], at["right"][k]))
-            if any(s <= at["lo"][i] and at["hi"][i] < e for s, e, *_ in spans):
-                break
+        return earlier(i, [walk(t) for t in rare.tolist()])
+
+    def part(k: int, other: int) -> bool:
+        """Whether a stretch of row k has SIMILARITY of its tokens in common with the other's."""
+        mine, theirs = (token[mark[r] : mark[r + 1]] for r in (k, other))
+        flag[theirs] = True
+        held_by = flag[mine]
+        flag[theirs] = False
+        if k not in sets:
+            if len(sets) > 2000:
+                sets.clear()
+            sets[k] = _different(mine)
+        return bool((sets[k][:, held_by].sum(axis=1) >= SIMILARITY * sets[k].sum(axis=1)).any())
+
+    def alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The numbers of those pairs of rows without repeats that can share a passage."""
+        pair = np.repeat(np.arange(len(one)), sizes[one])
+        mine = _text.ranges(mark[one], sizes[one])
+        want = other[pair] * n_tokens + token[mine]
+        to = np.minimum(np.searchsorted(named, want), len(named) - 1)
+        both = named[to] == want
+        pair, mine, theirs = pair[both], mine[both], spot[to[both]]
+        hit, place = mine - mark[one][pair], theirs - mark[other][pair]
+        return _promising(pair, hit, hit + place, hit + place + 2, SIMILARITY, MIN_SHINGLES)
+
+    for begin in range(0, len(hopeful), 500):
+        waiting, size = [(i, candidates(i)) for i in hopeful[begin : begin + 500].tolist()], 4
+        while waiting:
+            asked = [(i, rest, list(itertools.islice(rest, size))) for i, rest in waiting]
+            one, other = np.repeat([i for i, *_ in asked], [len(x) for *_, x in asked]), np.array([k for *_, x in asked for k in x], np.int64)
+            good, plain = twice[one] | twice[other], np.flatnonzero(~(twice[one] | twice[other]))
+            good[[n for n in np.flatnonzero(good).tolist() if not (part(one[n], other[n]) and part(other[n], one[n]))]] = False
+            good[plain[alike(one[plain], other[plain])]] = True
+            settled = set()
+            for n in np.flatnonzero(good).tolist():
+                i, k = int(one[n]), int(other[n])
+                if i in settled:
+                    continue
+                spans = verified_passages(arrays[i], arrays[k])
+                if spans:
+                    found.append((text[i], doc[i], text[k], doc[k], at["left"][i], at["right"][i], at["left"][k], at["right"][k]))
+                if any(s <= at["lo"][i] and at["hi"][i] < e for s, e, *_ in spans):
+                    settled.add(i)
+            waiting = [(i, rest) for i, rest, x in asked if len(x) == size and i not in settled]
+            size = min(2 * size, 64)
     return found
 
 
@@ -415,12 +475,20 @@ def _stretches(hit: np.ndarray, place: np.ndarray, similarity: float, least: int
     return out
 
 
+def _firsts(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many tokens stand for the first time before each place (one more item than tokens); order: their stable argsort."""
+    ranked, new = tokens[order], np.ones(len(tokens), bool)
+    new[order[1:]] = ranked[1:] != ranked[:-1]
+    return np.concatenate([[0], np.cumsum(new)])
+
+
 def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> list[tuple[int, int, int, int, float]]:
     """(start, end, source start, source end, similarity) of passages of shingles a that occur in b; ends exclusive.
 
     Shared shingles are chained while they shift by no more than a few; a chain counts if the sets
     of shingles it spans on both sides have that Jaccard similarity. If not, its maximal stretches
-    that have it count, and what lies between them is tried again with smaller skips.
+    that have it count, and what lies between them is tried again with smaller skips. Chains of which
+    no part can have it are given up at once.
     """
     order = np.argsort(b, kind="stable")
     ranked = b[order]
@@ -438,7 +506,7 @@ def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
             spots, aim = order[low[hit[k]] : high[hit[k]]], hit[k] + place[guide[k]] - hit[guide[k]]
             at = int(np.searchsorted(spots, aim))
             place[k] = min(spots[max(at - 1, 0) : at + 1], key=lambda x: abs(x - aim))
-    found = []
+    own, theirs, found = _firsts(a, np.argsort(a, kind="stable")), _firsts(b, order), []
 
     def passes(hit: np.ndarray, place: np.ndarray) -> bool:
         s, e, p, q = int(hit[0]), int(hit[-1]) + 1, int(place.min()), int(place.max()) + 1
@@ -452,7 +520,10 @@ def verified_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
         return True
 
     def search(hit: np.ndarray, place: np.ndarray, skips: tuple[int, ...]) -> None:
-        if len(hit) < similarity * least or passes(hit, place):
+        if len(hit) < similarity * least or hit[-1] - hit[0] + 1 < least:
+            return
+        # Where no part of the chain can pass, no smaller skips are tried.
+        if not len(_promising(np.zeros(len(hit), np.int64), hit, own[hit] + theirs[place], own[hit + 1] + theirs[place + 1], similarity, least)) or passes(hit, place):
             return
         rest, at = [], 0
         for i, j in _stretches(hit, place, similarity, least):
@@ -538,6 +609,18 @@ def text_passages(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, Dat
     return materialize(found.union(more).distinct(), "all-passages"), classes
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """doc_id, _text, _n (words of the text) of rows (doc_id, text, _text)."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, marks in _text.text_runs(batch):
+                words = np.diff(_text.word_bounds(data, marks)[2])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(part.start, part.stop - part.start) for n in ("doc_id", "_text")), pa.array(words, pa.int64())], ["doc_id", "_text", "_n"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_text", "text").mapInArrow(run, "doc_id long, _text long, _n long")
+
+
 def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Passages of at least 50 words that occur in an earlier document, at similarity 0.8 or more.
 
@@ -550,7 +633,7 @@ def near_duplicate_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """
     found, classes = text_passages(docs, hashes)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    sizes = rows.select("doc_id", F.xxhash64("text").alias("_text"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_n")).where(F.col("_n") >= MIN_WORDS)
+    sizes = word_counts(rows.withColumn("_text", F.xxhash64("text"))).where(F.col("_n") >= MIN_WORDS)
     again = sizes.join(classes.where("_copies > 1"), "_text").where("doc_id > _doc").select("doc_id", "_n", "_doc").distinct()
     zero = F.lit(0).cast("long")
     copies = again.select("doc_id", zero.alias("start_word"), F.col("_n").alias("end_word"), F.col("_doc").alias("source_doc_id"), zero.alias("source_start"), F.col("_n").alias("source_end"), F.lit(1.0).alias("similarity"), F.col("_doc").alias("copy_of"))

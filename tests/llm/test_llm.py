@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -654,3 +655,31 @@ def test_near_passages_are_found(spark):
     got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {(r.doc_id, r.source_doc_id) for r in got} <= {(2 * k + 1, 2 * k) for k in range(120)} and len({r.doc_id for r in got}) >= 116
     assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
+
+
+def test_holders_that_cannot_match_are_ruled_out_together(monkeypatch):
+    """240 holders of two least tokens have about four fifths of their shingles in common with each other: few pairs are verified, none is lost."""
+    rng = np.random.default_rng(12)
+    base, rows = rng.integers(0, 2**32, 64, dtype=np.uint32), []
+    for i in range(240):
+        around = base.copy()
+        if i % 40 == 20:
+            around = rows[-7]["around"].copy()  # a near copy of an earlier one
+        edits = rng.choice(np.r_[0:30, 34:64], 2 if i % 40 == 20 else 8, replace=False)
+        around[edits] = rng.integers(0, 2**32, len(edits), dtype=np.uint32)
+        if i % 60 == 30:
+            around[40:44] = around[36:40]  # repeats
+        rows.append({"key": 5, "ask": True, "text": 1000 + i, "doc": i, "lo": 31, "hi": 33, "left": 10, "right": 73, "around": around})
+    want = set()
+    for i, row in enumerate(rows):
+        for other in rows[:i]:
+            spans = passages.verified_passages(row["around"], other["around"])
+            if spans:
+                want.add((row["text"], row["doc"], other["text"], other["doc"], 10, 73, 10, 73))
+            if any(s <= 31 and 33 < e for s, e, *_ in spans):
+                break
+    calls, verify = [], passages.verified_passages
+    monkeypatch.setattr(passages, "verified_passages", lambda a, b: calls.append(1) or verify(a, b))
+    table = pd.DataFrame([r | {"around": r["around"].tobytes(), "ask": ask} for r in rows for ask in (False, True)])
+    found = passages.regrouped(table)
+    assert set(map(tuple, found)) == want and len(want) >= 6 and len(calls) <= len(found) + 40
