@@ -9,15 +9,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import has_prefix
+from lodestar.operators.nearest import Nearest, held_queries, pass_by, scopes, slices, vectors_of
 from lodestar.session import attach, stored
 
-#: Queries up to this number are sent to every task; larger tables meet the corpus in blocks dealt by shuffle.
+#: Queries up to this number are sent to every task; the corpus passes by blocks of larger tables.
 QUERY_BLOCK = 2000
-#: Vectors of the corpus that a task holds when the queries are too many to be sent.
+#: Vectors of the corpus that meet a block of queries at a time.
 ROW_BLOCK = 16384
 #: Terms of one automaton; more terms take another scan of the corpus.
 TERM_BLOCK = 500_000
@@ -62,86 +64,84 @@ def row_masks(queries: pd.DataFrame, rows: pd.DataFrame) -> Callable[[int], np.n
     return mask
 
 
-def keep_nearest(best: dict, q: int, d: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, most: int) -> None:
-    """Merge rows into the running `most` nearest (distances, ids) of query q, ties to smaller ids."""
-    held = best.get(q)
-    worst = held[0][-1] if held is not None and len(held[0]) == most else np.inf
-    ok = d <= worst  # never for NaN
-    if allowed is not None:
-        ok &= allowed
-    at = np.flatnonzero(ok)
-    if not len(at) and held is not None:
-        return
-    if len(at) > most:
-        at = at[d[at] <= np.partition(d[at], most - 1)[most - 1]]
-    dist, found = (d[at], ids[at]) if held is None else (np.concatenate([held[0], d[at]]), np.concatenate([held[1], ids[at]]))
-    order = np.lexsort((found, dist))[:most]
-    best[q] = dist[order], found[order]
+_NEAR = "query_id long, id long, distance double"
 
 
-def ranked_rows(ids: np.ndarray, best: dict) -> pd.DataFrame:
-    parts = [(np.repeat(ids[q], len(d)), found, d) for q, (d, found) in best.items()]
-    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[], [], []]
-    return pd.DataFrame(dict(zip(("query_id", "id", "distance"), columns)))
+class _Ranking:
+    """The nearest chunks of a task's queries among those that have passed by.
 
+    A query's series and prefixes, where it has such columns, are tested here: no key of the scope is
+    shuffled, so a prefix that the whole corpus has is no hot key. `after`: prefixes rule out no chunk,
+    but what has one of them is marked (column fits).
+    """
 
-def _rank_block(queries: pd.DataFrame, vectors: np.ndarray, rows: pd.DataFrame, most: int, best: dict) -> None:
-    """Merge a batch of chunks into the running nearest of each query."""
-    matrix = np.array(rows["embedding"].tolist(), float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        apart = 1 - vectors @ matrix.T / (np.sqrt((vectors**2).sum(axis=1))[:, None] * np.sqrt((matrix**2).sum(axis=1)))
-    mask, ids = row_masks(queries, rows), rows["id"].to_numpy()
-    for q in range(len(queries)):
-        keep_nearest(best, q, apart[q], ids, mask(q), most)
+    def __init__(self, asked: pa.Table, most: int, after: bool) -> None:
+        self.ids = asked["query_id"].to_numpy()
+        scope = asked.select([c for c in ("series", "prefixes") if c in asked.column_names]).to_pandas()
+        self.after, self.scope = after, scope.drop(columns="prefixes") if after else scope
+        if after:
+            heads = [None if p is None else tuple(x.upper() for x in p if x is not None) for p in scope["prefixes"]]
+            self.head, self.heads = pd.factorize(pd.Series(heads, dtype=object), use_na_sentinel=False)
+        self.groups = scopes(self.scope)
+        self.nearest = Nearest(vectors_of(asked["vector"]), most, extra=after)
+
+    def meet(self, rows: pa.Table) -> None:
+        chunks = rows.drop_columns("embedding").to_pandas()
+        mask = row_masks(self.scope, chunks)
+        met = [(at, None if at is None or (ok := mask(at[0])) is None else np.flatnonzero(ok)) for at in self.groups]
+        fits = self._fits(chunks["canon_id"]) if self.after else None
+        self.nearest.meet(chunks["id"].to_numpy(), vectors_of(rows["embedding"]), met, fits)
+
+    def _fits(self, canon: pd.Series) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        code, names = pd.factorize(canon.str.upper())
+        names, n = [*names, None], len(names) + 1  # code -1 is the last one: null
+
+        def one(pair: int) -> bool:
+            heads, name = self.heads[pair // n], names[pair % n]
+            return heads is not None and heads == heads and (heads == () or name is not None and name.startswith(heads))
+
+        def fits(q: np.ndarray, i: np.ndarray) -> np.ndarray:
+            pairs, at = np.unique(self.head[q] * n + code[i] % n, return_inverse=True)
+            return np.array([one(p) for p in pairs.tolist()], float)[at]
+
+        return fits
+
+    def found(self, keep: int | None = None) -> Iterator[pa.RecordBatch]:
+        """keep: so many of a query that fit, and no others."""
+        cut = keep is not None and self.after
+        for q, ids, distance, fits in self.nearest.found(only_extra=cut, keep=keep if cut else None):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[q], ids, distance, *([fits != 0] if self.after else []))], ["query_id", "id", "distance"] + ["fits"] * self.after)
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, most: int, after: bool = False, keep: int | None = None) -> DataFrame:
+    """The `most` nearest chunks of each query: few queries are sent to all tasks, each of which gives its own; of many,
+    each task holds a block, and all chunks pass by, so that it gives the nearest of all.
+
+    `after`: prefixes only mark what fits; of many queries' chunks, only the first `keep` that fit are given.
+    """
+    scope = [own for c, own in (("series", "series"), ("prefixes", "canon_id")) if c in queries.columns]
+    light = chunks.where("embedding is not null").select("id", "embedding", *scope)
+    queries = queries.where("vector is not null")
+    asked, schema = queries.limit(QUERY_BLOCK + 1).toArrow(), _NEAR + ", fits boolean" * after
+    if len(asked) <= QUERY_BLOCK:
 
+        def local(batches):
+            ranking = _Ranking(asked, most, after)
+            for batch in batches:
+                for part in slices(batch):
+                    ranking.meet(pa.Table.from_batches([part]))
+            yield from ranking.found()
 
-_NEAR = "query_id long, id long, distance double"
+        return light.mapInArrow(local, schema)
 
+    class Whole(_Ranking):
+        def __init__(self, asked: pa.Table) -> None:
+            super().__init__(asked, most, after)
 
-def _nearest(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    """The `most` nearest chunks of each query, per task: few queries are sent to all tasks, many pass by row blocks.
+        def found(self) -> Iterator[pa.RecordBatch]:
+            return super().found(keep)
 
-    A query's series and prefixes, where it has such columns, are tested in the task: no key of the
-    scope is shuffled, so a prefix that the whole corpus has is no hot key.
-    """
-    scope = [(c, own) for c, own in (("series", "series"), ("prefixes", "canon_id")) if c in queries.columns]
-    light = chunks.where("embedding is not null").select("id", "embedding", *[own for _, own in scope])
-    asked = queries.limit(QUERY_BLOCK + 1).toPandas()
-    if len(asked) <= QUERY_BLOCK:
-        ids, vectors = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1 if len(asked) else 0)
-
-        def local(frames):
-            best: dict = {}
-            for pdf in frames:
-                if len(pdf) and len(ids):
-                    _rank_block(asked, vectors, pdf, most, best)
-            yield ranked_rows(ids, best)
-
-        return light.mapInPandas(local, _NEAR)
-    blocks = max(1, -(-light.count() // ROW_BLOCK))
-    none = {"series": F.lit(None).cast("string").alias("series"), "canon_id": F.lit(None).cast("string").alias("canon_id"), "prefixes": F.lit(None).cast("array<string>").alias("prefixes")}
-    own = lambda frame, c: F.col(c) if c in frame.columns else none[c]
-    rows = light.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", F.col("embedding").cast("array<double>").alias("embedding"), own(light, "series"), own(light, "canon_id"), none["prefixes"])
-    asking = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1), F.col("query_id"), F.col("vector").cast("array<double>"), own(queries, "series"), none["canon_id"], own(queries, "prefixes"))
-    columns = ["id", *[c for c, _ in scope]]
-
-    def meet(frames):
-        """Rows come by block, its chunks first: they are held, its queries pass by."""
-        now, held = None, []
-        for pdf in frames:
-            for block, part in pdf.groupby("block", sort=False):
-                held = [] if block != now else held
-                now = block
-                held += [part[part["asks"] == 0]]
-                queries = part[part["asks"] == 1].reset_index(drop=True)
-                rows = pd.concat(held, ignore_index=True) if len(queries) else None
-                if rows is not None and len(rows):
-                    best: dict = {}
-                    _rank_block(queries[columns], np.array(queries["embedding"].tolist(), float), rows, most, best)
-                    held = [rows]
-                    yield ranked_rows(queries["id"].to_numpy(), best)
-
-    return rows.union(asking).repartition("block").sortWithinPartitions("block", "asks").mapInPandas(meet, _NEAR)
+    return pass_by(queries, light, held_queries(most, len(asked["vector"][0])), Whole, schema, ROW_BLOCK)
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes: bool = False, mode: str = "postfilter") -> DataFrame:
@@ -149,17 +149,16 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, prefixes:
 
     queries: query_id, vector and optionally series, prefixes (array), k (per-query limit). With
     prefixes, "postfilter" filters the nearest 200 and "prefilter" ranks only matching chunks. Queries
-    up to QUERY_BLOCK are sent to all tasks and the corpus is not shuffled; each task keeps its k best.
+    up to QUERY_BLOCK are sent to all tasks, and each keeps its k best; of more, each task holds a block
+    that the whole corpus passes by. The corpus is not shuffled.
     """
     attach(queries.sparkSession)
-    own_k, first = "k" in queries.columns, prefixes and mode == "prefilter"
-    light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns], *(["prefixes"] if first else []))
+    own_k, after = "k" in queries.columns, prefixes and mode != "prefilter"
+    light = queries.select(*[c for c in ("query_id", "vector", "series") if c in queries.columns], *(["prefixes"] if prefixes else []))
     most = queries.agg(F.max("k")).first()[0] or k if own_k else k
-    near = _nearest(light, chunks, max(most, OVER_FETCH) if prefixes and not first else most)
-    if prefixes and not first:
-        near = top_k(near, [F.col("distance"), F.col("id")], OVER_FETCH).drop("rank")
-        near = near.join(queries.select("query_id", "prefixes"), "query_id").join(chunks.select("id", "canon_id"), "id")
-        near = near.where((F.size("prefixes") == 0) | has_prefix(F.col("canon_id"), F.col("prefixes"))).select("query_id", "id", "distance")
+    near = _nearest(light, chunks, OVER_FETCH if after else most, after, most)
+    if after:
+        near = top_k(near, [F.col("distance"), F.col("id")], OVER_FETCH).where("fits").select("query_id", "id", "distance")
     if own_k:
         return top_k(near.join(queries.select("query_id", "k"), "query_id"), [F.col("distance"), F.col("id")], F.col("k")).select("query_id", "id", "distance", "rank")
     return top_k(near, [F.col("distance"), F.col("id")], k).select("query_id", "id", "distance", "rank")

@@ -8,15 +8,16 @@ Centres, code books, and how many cells and rows are enough are learned on a bou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.search import QUERY_BLOCK, ROW_BLOCK, keep_nearest, ranked_rows, row_masks, top_k
+from lodestar.operators.nearest import Nearest, held_queries, pass_by, scopes, slices, vectors_of
+from lodestar.operators.search import QUERY_BLOCK, ROW_BLOCK, row_masks, top_k
 from lodestar.session import attach, shared_folder, unique_name
 
 #: Bound of the sample that the model is fitted on (vectors, by hash of their ids), and of the part of it that asks.
@@ -138,10 +139,6 @@ def read_model(spark: SparkSession, path: str) -> CellModel:
     return CellModel(centres, np.frombuffer(r.books, "<f4").reshape(r.parts, r.words, r.width).astype(float), r.probes, r.shortlist)
 
 
-def _vectors_of(column: pa.Array) -> np.ndarray:
-    return pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-
-
 def _usable(chunks: DataFrame) -> DataFrame:
     """Rows with a vector that has a direction."""
     return chunks.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
@@ -156,7 +153,7 @@ def write_rows(chunks: DataFrame, model: CellModel, path: str) -> None:
         for batch in batches:
             if not len(batch):
                 continue
-            cells, codes = model.encode(units(_vectors_of(batch.column("embedding"))))
+            cells, codes = model.encode(units(vectors_of(batch.column("embedding"))))
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells.astype(np.int32))], [*columns, "embedding", "code", "cell"])
 
@@ -183,98 +180,87 @@ def build_vector_index(chunks: DataFrame, path: str, k: int = 10, cells: int | N
     return model
 
 
-_FOUND = "query_id long, id long, distance double"
-
-
-def shortlist(queries: DataFrame, path: str, probes: int | None = None, most: int | None = None) -> DataFrame:
-    """query_id, id, distance by the coded vectors: the `most` nearest of each query in its `probes` nearest cells.
-
-    Up to QUERY_BLOCK queries are sent to all tasks, which read the probed cells where they lie; more meet
-    the rows of their cells by shuffle, in blocks of at most about ROW_BLOCK rows.
-    """
+_FOUND = "query_id long, id long, distance double, exact double"
+
+
+class _Probing:
+    """The nearest rows of a task's queries by the coded vectors, in their nearest cells among the rows that have passed by,
+    each with its exact distance."""
+
+    def __init__(self, asked: pa.Table, model: CellModel, probes: int, most: int, keep: int | None = None) -> None:
+        self.ids, self.model, self.keep = asked["query_id"].to_numpy(), model, keep
+        self.vectors = units(vectors_of(asked["vector"])) if len(asked) else np.zeros((0, model.centres.shape[1]))
+        self.scope = asked.select([c for c in ("series",) if c in asked.column_names]).to_pandas()
+        self.groups = [np.arange(len(asked)) if g is None else g for g in scopes(self.scope)]
+        self.probing = np.zeros((len(model.centres), len(asked)), bool)
+        for a in range(0, len(asked), 1024):
+            near = model.nearest_cells(np.nan_to_num(self.vectors[a : a + 1024]), probes)
+            self.probing[near, a + np.arange(len(near))[:, None]] = True
+        self.nearest = Nearest(self.vectors, most, cosine=False, extra=True)
+
+    def meet(self, rows: pa.Table) -> None:
+        part = rows.drop_columns(["embedding", "code"]).to_pandas()
+        cells, mask = part["cell"].to_numpy(), row_masks(self.scope, part)
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(part), -1)
+        true, met = units(vectors_of(rows["embedding"])), []
+        for at in self.groups if len(self.ids) else []:
+            ok = mask(at[0])
+            for cell in np.unique(cells if ok is None else cells[ok]):
+                here = cells == cell if ok is None else (cells == cell) & ok
+                met.append((at[self.probing[cell, at]], np.flatnonzero(here)))
+        self.nearest.meet(part["id"].to_numpy(), self.model.decode(cells, codes), met, lambda q, i: 1 - np.einsum("ij,ij->i", self.vectors[q], true[i]))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for q, ids, distance, exact in self.nearest.found(order_by_extra=self.keep is not None, keep=self.keep):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[q], ids, distance, exact)], ["query_id", "id", "distance", "exact"])
+
+
+def _shortlist(queries: DataFrame, path: str, probes: int | None, most: int | None, keep: int | None = None) -> DataFrame:
+    """query_id, id, distance by the coded vectors, exact distance: at least what `shortlist` says; with `keep`, of
+    more than QUERY_BLOCK queries only the `keep` nearest of it by exact distance."""
     spark = attach(queries.sparkSession)
     model = read_model(spark, path)
     probes, most = min(probes or model.probes, len(model.centres)), most or model.shortlist
     rows = spark.read.parquet(f"{path}/rows")
     scoped = "series" in queries.columns and "series" in rows.columns
-    columns = ["id", "code", "cell"] + (["series"] if scoped else [])
     light = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"), *(["series"] if scoped else []))
+    table = rows.select("id", "code", "cell", "embedding", *(["series"] if scoped else []))
+    asked = light.limit(QUERY_BLOCK + 1).toArrow()
+    if len(asked) > QUERY_BLOCK:
+        held = held_queries(most, len(asked["vector"][0]) + len(model.centres) // 24)
+        return pass_by(light, table, held, lambda some: _Probing(some, model, probes, most, keep), _FOUND, ROW_BLOCK)
+    cells = np.flatnonzero(_Probing(asked, model, probes, 1).probing.any(axis=1)).tolist()
+
+    def local(batches):
+        met = _Probing(asked, model, probes, most)
+        for batch in batches:
+            for part in slices(batch):
+                met.meet(pa.Table.from_batches([part]))
+        yield from met.found()
 
-    def meet(asked: pd.DataFrame, vectors: np.ndarray, who: np.ndarray, part: pd.DataFrame, best: dict) -> None:
-        """The queries `who` meet the rows of one cell."""
-        codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
-        coded = model.decode(part["cell"].to_numpy(), codes)
-        mask = row_masks(asked, part)
-        apart = 1 - vectors[who] @ coded.T
-        for q, d in zip(who.tolist(), apart):
-            keep_nearest(best, q, d, part["id"].to_numpy(), mask(q), most)
-
-    if light.count() <= QUERY_BLOCK:
-        asked = light.toPandas()
-        vectors = units(np.array(asked["vector"].tolist(), float).reshape(len(asked), -1)) if len(asked) else np.zeros((0, model.centres.shape[1]))
-        near = model.nearest_cells(np.nan_to_num(vectors), probes)
-        probing = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-
-        def local(frames):
-            best: dict = {}
-            for pdf in frames:
-                for cell, part in pdf.groupby("cell", sort=False):
-                    if cell in probing:
-                        meet(asked, vectors, probing[cell], part, best)
-            yield ranked_rows(asked["query_id"].to_numpy(), best)
-
-        found = rows.where(F.col("cell").isin(list(probing))).select(*columns).mapInPandas(local, _FOUND) if probing else spark.createDataFrame([], _FOUND)
-    else:
-        sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("long").alias("blocks")))  # a row per cell
-        blocks = F.col("blocks")
-
-        @F.pandas_udf("array<int>")
-        def cells_of(v: pd.Series) -> pd.Series:
-            return pd.Series(list(model.nearest_cells(np.nan_to_num(units(np.array(v.tolist(), float))), probes).astype(np.int32)))
-
-        series = F.col("series") if scoped else F.lit(None).cast("string").alias("series")
-        held = rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.lit(0).alias("asks"), "id", "code", F.lit(None).cast("array<double>").alias("vector"), series)
-        asking = light.withColumn("cell", F.explode(cells_of("vector"))).join(sizes, "cell")
-        asking = asking.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(1).alias("asks"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("code"), "vector", series)
-
-        def pass_by(frames):
-            """Rows come by cell and block, the table's first: they are held, the queries pass by."""
-            now, kept = None, []
-            for pdf in frames:
-                for key, part in pdf.groupby(["cell", "block"], sort=False):
-                    kept = [] if key != now else kept
-                    now = key
-                    kept.append(part[part["asks"] == 0])
-                    here, asked = pd.concat(kept, ignore_index=True), part[part["asks"] == 1].reset_index(drop=True)
-                    kept = [here]
-                    if len(asked) and len(here):
-                        best: dict = {}
-                        who = asked[["id", "vector"] + (["series"] if scoped else [])].rename(columns={"id": "query_id"})
-                        meet(who, units(np.array(asked["vector"].tolist(), float)), np.arange(len(asked)), here, best)
-                        yield ranked_rows(who["query_id"].to_numpy(), best)
-
-        found = held.unionByName(asking).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInPandas(pass_by, _FOUND)
-    return top_k(found, [F.col("distance"), F.col("id")], most).drop("rank")
+    return table.where(F.col("cell").isin(cells)).mapInArrow(local, _FOUND)
+
+
+def shortlist(queries: DataFrame, path: str, probes: int | None = None, most: int | None = None) -> DataFrame:
+    """query_id, id, distance by the coded vectors: the `most` nearest of each query in its `probes` nearest cells.
+
+    Up to QUERY_BLOCK queries are sent to all tasks, which read the probed cells where they lie; of more, each
+    task holds a block, and the rows pass by, about ROW_BLOCK at a time.
+    """
+    found = _shortlist(queries, path, probes, most)
+    return top_k(found, [F.col("distance"), F.col("id")], most or read_model(queries.sparkSession, path).shortlist).select("query_id", "id", "distance")
 
 
 def search_vector_index(queries: DataFrame, path: str, k: int = 20, probes: int | None = None, most: int | None = None) -> DataFrame:
     """query_id, id, distance (exact), rank: the k nearest found of each query, ties by id.
 
     queries: query_id, vector and, to keep to a series, series. A shortlist of at least k rows is
-    reranked by exact cosine distances; `probes` and `most` override what the index has learned.
+    reranked by exact cosine distances, which are computed where the rows are read; `probes` and `most`
+    override what the index has learned.
     """
-    spark = queries.sparkSession
-    model = read_model(spark, path)
-    short = shortlist(queries, path, probes, max(k, most or model.shortlist)).select("query_id", "id")
-    met = spark.read.parquet(f"{path}/rows").select("id", "embedding").join(short, "id").join(queries.select("query_id", "vector"), "query_id")
-
-    def exact(batches):
-        for batch in batches:
-            a, b = (units(_vectors_of(batch.column(c))) for c in ("vector", "embedding"))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(1 - (a * b).sum(axis=1))], ["query_id", "id", "distance"])
-
-    near = met.select("query_id", "id", F.col("vector").cast("array<double>").alias("vector"), "embedding").mapInArrow(exact, _FOUND)
-    return top_k(near.where(~F.isnan("distance")), [F.col("distance"), F.col("id")], k)
+    most = max(k, most or read_model(queries.sparkSession, path).shortlist)
+    short = top_k(_shortlist(queries, path, probes, most, k), [F.col("distance"), F.col("id")], most).select("query_id", "id", F.col("exact").alias("distance"))
+    return top_k(short.where(~F.isnan("distance")), [F.col("distance"), F.col("id")], k)
 
 
 def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, sample: int = SAMPLE) -> DataFrame:
