@@ -43,3 +43,40 @@ def test_index_search_shuffles_no_cells(spark, tmp_path, monkeypatch):
     moved, found = shuffled(spark, lambda: vector_index.search_vector_index(asked.select("query_id", "vector"), path, 5).collect())
     assert {(r.query_id, r.id) for r in found} == few and len(found) == 5 * 1500
     assert moved < 10 * 1500
+
+
+def test_prefixes_are_tested_before_the_shuffle(spark, monkeypatch):
+    """Of many queries' nearest 200, only what has a prefix, and no more than asked for, leaves a task."""
+    _, chunks, asked = vector_tables(spark, 1500)
+    run = lambda: sorted(map(tuple, search.vector_search(asked.select("query_id", "vector", "prefixes"), chunks, 5, prefixes=True).collect()))
+    few = run()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(search, "ROW_BLOCK", 500)
+    moved, found = shuffled(spark, run)
+    assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in few] and len(found) == 5 * 1500
+    assert moved < 20 * 1500
+
+
+@pytest.mark.parametrize("scope", ["none", "series", "prefixes"])
+def test_queries_and_rows_meet_in_bounded_memory(spark, scope):
+    """5,000 queries meet 16,384 rows (655 MB of distances) in less than 60 MB; equal vectors tie by id."""
+    rng = np.random.default_rng(3)
+    rows = np.tile(rng.standard_normal((4096, 8)), (4, 1))
+    ids, canon, series = rng.permutation(16384), [f"T{i % 5}" for i in range(16384)], ["AB"[i % 2] for i in range(16384)]
+    chunks = pa.table({"id": ids, "embedding": list(rows), "series": series, "canon_id": canon})
+    own = {"query_id": np.arange(5000), "vector": list(rows[:5000])}
+    own |= {"series": series[:5000]} if scope == "series" else {"prefixes": [[c.lower()] for c in canon[:5000]]} if scope == "prefixes" else {}
+    asked = pa.table(own)
+    tracemalloc.start()
+    ranking = search._Ranking(asked, 6, False)
+    ranking.meet(chunks)
+    found = pa.Table.from_batches(ranking.found()).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for q in range(0, 5000, 131):
+        d = np.round(1 - unit @ unit[q], 9)
+        ok = [i for i in range(16384) if scope == "none" or (series if scope == "series" else canon)[i] == (series if scope == "series" else canon)[q]]
+        want = [int(ids[i]) for i in sorted(ok, key=lambda i: (d[i], ids[i]))[:6]]
+        assert found[found.query_id == q].id.tolist() == want
