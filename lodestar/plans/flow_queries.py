@@ -243,7 +243,8 @@ def collection_topk(spark, sf):
 
 def evaluation_json(spark, sf):
     """The nested evaluation report as one JSON object."""
-    results = evaluate.miss_reasons(evaluate.hits_at_k(base._golden(spark, sf), base._golden_hits(spark, sf), 1).withColumn("sub_terms", F.array().cast("array<string>")), base._golden_hits(spark, sf))
+    hits = base._golden_hits(spark, sf)
+    results = evaluate.miss_reasons(evaluate.hits_at_k(base._golden(spark, sf), hits, 1).withColumn("sub_terms", F.array().cast("array<string>")), hits)
     report = reports.evaluation_report(results, 1)
     return report.select("questions", "k", F.round("recall_all", 6).alias("recall_all"), F.size("misses").alias("misses"), F.round(F.col("by_category")["B"]["recall"], 6).alias("recall_b"), F.col("by_category")["B"]["n"].alias("n_b"))
 

@@ -7,18 +7,19 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import search, vector_index
+from lodestar.operators import search, text_index, vector_index
+from lodestar.plans import queries as base
 
 
-def shuffled(spark, run) -> tuple[int, int]:
-    """Rows that went through shuffles while `run` ran, and what it returned."""
+def shuffled(spark, run, what="shuffleWriteRecords") -> tuple[int, object]:
+    """Rows (or bytes) that went through shuffles while `run` ran, and what it returned."""
     sc = spark.sparkContext
     store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
 
     def written() -> int:
         sc._jsc.sc().listenerBus().waitUntilEmpty()
         stages = sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None))
-        return sum(s.shuffleWriteRecords() for s in stages)
+        return sum(getattr(s, what)() for s in stages)
 
     before, out = written(), run()
     return written() - before, out
@@ -80,3 +81,38 @@ def test_queries_and_rows_meet_in_bounded_memory(spark, scope):
         ok = [i for i in range(16384) if scope == "none" or (series if scope == "series" else canon)[i] == (series if scope == "series" else canon)[q]]
         want = [int(ids[i]) for i in sorted(ok, key=lambda i: (d[i], ids[i]))[:6]]
         assert found[found.query_id == q].id.tolist() == want
+
+
+def docs(spark, n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    words = np.array([f"w{i}" for i in range(50)])
+    rows = [(i, " ".join(rng.choice(words, 40, p=np.arange(50, 0, -1) / 1275))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, text string").repartition(4)
+
+
+def test_token_search_shuffles_packed_postings(spark, tmp_path):
+    """Neither tokens nor (query, chunk) pairs are shuffled one by one; replaced chunks are told without file names too."""
+    path, first, second = str(tmp_path / "tokens"), docs(spark), docs(spark, seed=1).where("id % 3 = 0")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{2 * i} W{3 * i} none") for i in range(20)], "query_id string, query string")
+    write = lambda: (text_index.write_token_table(first, path, 0), text_index.write_token_table(second, path, 1))
+    moved, _ = shuffled(spark, write)
+    assert moved < 10_000  # of 21,000 tokens and 12,000 distinct ones
+    living = first.where("id % 3 <> 0").union(second)
+    want = sorted(map(tuple, search.token_search(asked, living, 7, "any").collect()))
+    moved, found = shuffled(spark, lambda: sorted(map(tuple, text_index.search_tokens(asked, path, 7, "any").collect())))
+    assert found == want and len(found) == 140
+    assert moved < 2000  # of 7,000 pairs
+    assert text_index.search_tokens(asked.where("false"), path, 7, "any").count() == 0
+    twice = asked.union(asked)
+    assert sorted(map(tuple, text_index.search_tokens(twice, path, 7, "any").collect())) == sorted(map(tuple, search.token_search(twice, living, 7, "any").collect()))
+
+
+@pytest.mark.parametrize("name", ["miss_report", "reranked", "evaluation_json", "recall_report", "context_blocks", "hit_preview", "merged_hits", "fused_ranks"])
+def test_queries_shuffle_no_pairs(spark, name):
+    """Where the token table is there, a query shuffles packed postings of the asked tokens once; contexts hold whole texts."""
+    import __spark_entry__ as entry
+
+    sf, what, most = "/root/testdata/sf0.01", *(("shuffleWriteRecords", 5000) if name == "context_blocks" else ("shuffleWriteBytes", 450_000))
+    base._token_table(spark, sf)
+    moved, _ = shuffled(spark, lambda: entry.queries()[name](spark, sf).collect(), what)
+    assert moved < most
